@@ -108,7 +108,7 @@ class Words:
         self.data = LOWER[raw] if lower else raw
         n = len(raw)
         inside = np.zeros(n + 1, bool)
-        inside[:n] = word[raw]
+        inside[:n] = word[self.data]
         begins = inside[:n].copy()
         begins[1:] &= ~inside[: n - 1]
         cut = self.offsets[:-1][self.offsets[:-1] < n]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, token_counts, url_filter
+from . import bpe, decontaminate, fingerprint, line_dedup, token_counts, url_filter
 from .frames import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), digest=True)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -48,10 +57,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _REST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*', 0)"
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 ORACLE_SQL = {
+    "op8_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+y AS (SELECT doc_id, k, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_AZ}) AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM y WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT y.*, c.key IS NOT NULL AND y.doc_id <> c.top AS gone FROM y LEFT JOIN c ON y.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+""",
     "op7_url_filter": f"""
 WITH r AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE {_REST} END AS rest FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*', 0), {_AZ}) AS host,
              CASE WHEN instr(rest, '/') = 0 THEN '' ELSE substr(rest, instr(rest, '/')) END AS path FROM r),
 rules(verdict, rh, rp) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}),
 m AS (SELECT h.page_id, h.host, h.path, rules.*, row_number() OVER (PARTITION BY h.page_id ORDER BY length(rh) DESC NULLS LAST, length(rp) DESC) AS k
