@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, line_dedup, quality, token_counts, url_filter
+from . import bpe, decontaminate, fingerprint, line_dedup, quality, substring_dedup, token_counts, url_filter
 from .frames import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,11 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.removed(docs, substring_dedup.repeats(docs), digest=True)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
