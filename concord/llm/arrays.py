@@ -86,8 +86,8 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most `limit` bytes in `column`, or one row."""
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most `rows` rows and `limit` bytes in `column`, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -95,8 +95,9 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-            yield batch.slice(i, min(j, batch.num_rows) - i)
-            i = min(j, batch.num_rows)
+            j = min(j, i + rows, batch.num_rows)
+            yield batch.slice(i, j - i)
+            i = j
 
 
 class Words:
