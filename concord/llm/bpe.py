@@ -284,29 +284,30 @@ def _sha(x) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, full: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian uint32) and decoded (binary) of each row's text.
+def encode(docs: DataFrame, path: str, pattern: str, digest: bool = True, forms: bool = False) -> DataFrame:
+    """doc_id and n_tokens of each row's text; with digest ids_sha256 and decoded_sha256, with forms ids (binary,
+    little-endian uint32) and decoded (binary).
 
-    Null text is empty and has no ids. Null, repeated and extra columns stay apart: only doc_id and
-    text are read, one row out for each row in. With full=False ids and decoded are left as their
-    SHA-256 digests (ids_sha256, decoded_sha256) so that no row carries three forms of its text.
+    Null text is empty and has no ids. One row out for each row in, null doc_ids and repeated rows too;
+    only doc_id and text are read.
     """
-    names = ["doc_id", "n_tokens", "ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    columns = [("doc_id", "long"), ("n_tokens", "long")]
+    columns += [("ids_sha256", "string"), ("decoded_sha256", "string")] * digest + [("ids", "binary"), ("decoded", "binary")] * forms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        for b in A.pieces(batches):
+        for b in A.pieces(batches, limit=2 << 20):
             ids = bpe.encode_many([t or "" for t in b.column(1).to_pylist()])
-            every = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-            data, ends = bpe.decode(every)
+            data, ends = bpe.decode(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))
             data, counts = data.tobytes(), [len(x) // 4 for x in ids]
             ends = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
             texts = [data[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            kind, f = (pa.binary(), bytes) if full else (pa.string(), _sha)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array([f(x) for x in ids], kind), pa.array([f(x) for x in texts], kind)], names=names)
+            out = [b.column(0), pa.array(counts, pa.int64())]
+            out += [pa.array(list(map(_sha, x)), pa.string()) for x in (ids, texts)] if digest else []
+            out += [pa.array(x, pa.binary()) for x in (ids, texts)] if forms else []
+            yield pa.RecordBatch.from_arrays(out, names=[c for c, _ in columns])
 
-    kind = "binary" if full else "string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {names[2]} {kind}, {names[3]} {kind}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(" ".join(c) for c in columns))
 
 
 def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -314,7 +315,7 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        for b in A.pieces(batches):
+        for b in A.pieces(batches, limit=2 << 20):
             counts = [len(x) // 4 for x in bpe.encode_many([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 

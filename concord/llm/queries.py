@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, line_dedup, near_dedup, quality, substring_dedup, token_counts, url_filter
+from . import bpe, decontaminate, fingerprint, html_text, line_dedup, near_dedup, quality, substring_dedup, token_counts, url_filter
 from .frames import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -40,6 +40,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
