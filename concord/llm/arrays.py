@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _table(blanks: Iterable[int]) -> np.ndarray:

@@ -23,7 +23,7 @@ WINDOW = 13
 #: A document goes when at least 1 in SHARE of its words lies in a benchmark window.
 SHARE = 20
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class Queries:

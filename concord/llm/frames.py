@@ -37,7 +37,8 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    # mostly hashes and ids, which no codec shortens
+    df.write.option("compression", "uncompressed").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
