@@ -11,6 +11,21 @@ FOLD = (X.LATIN + X.DIGITS, X.CYRILLIC + X.DIGIT_LETTERS)
 _NORMAL = ("ё" + X.LATIN + "º" + X.DASHES + X.QUOTES, "е" + X.CYRILLIC + "°" + "-" * len(X.DASHES))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates value once per row for all its uses in body; a projection may be folded into a lambda, this may not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def gram_list(tokens: Column, n: int) -> Column:
+    """The n-grams of an array of tokens, joined by spaces; none if it is shorter."""
+
+    def made(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, made)
+
+
 def normalize(s: Column) -> Column:
     """Lower case, one alphabet for look-alikes, one dash, one space, none around marks, no quotes."""
     x = F.translate(F.lower(s), *_NORMAL)
@@ -41,8 +56,7 @@ def words(s: Column) -> Column:
 
 def phrase_tokens(s: Column) -> Column:
     """All tokens; the letter of a temperature scale after ° is с."""
-    t = _tokens(s)
-    return F.transform(t, lambda x, i: F.when((i > 0) & x.isin("c", "с") & (F.get(t, i - 1) == "°"), F.lit("с")).otherwise(x))
+    return let(_tokens(s), lambda t: F.transform(t, lambda x, i: F.when((i > 0) & x.isin("c", "с") & (F.get(t, i - 1) == "°"), F.lit("с")).otherwise(x)))
 
 
 def number_tokens(tokens: Column) -> Column:
