@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.functions import geometry as G
 from concord.functions import quantity as Q
 from concord.functions import text as T
-from concord.operators import locate, tokens
+from concord.operators import locate, measure, raster, readings, tokens, verdict
 
 from . import sql as S
 
@@ -230,3 +231,363 @@ def known_neighbours(spark, sf_dir):
 )
 def spread_sample(spark, sf_dir):
     return tokens.spread(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 60).select("c_custkey")
+
+
+# ---- quantities, sizes, codes, scale ------------------------------------------------------------
+
+_UNIT_OF = "CASE p_partkey % 6 WHEN 0 THEN ' л' WHEN 1 THEN ' мл' WHEN 2 THEN ' г' WHEN 3 THEN ' кг/л' WHEN 4 THEN ' дм³' ELSE 'мм' END"
+_AMOUNT = f"'Объём ' || replace(CAST(p_size AS VARCHAR) || '.5', '.', CASE WHEN p_partkey % 2 = 0 THEN ',' ELSE '.' END) || {_UNIT_OF} || CASE WHEN p_partkey % 7 = 0 THEN '; 2 л' ELSE '' END"
+
+
+def _amounts(spark, sf_dir):
+    p = F.col("p_partkey")
+    unit = F.when(p % 6 == 0, " л").when(p % 6 == 1, " мл").when(p % 6 == 2, " г").when(p % 6 == 3, " кг/л").when(p % 6 == 4, " дм³").otherwise("мм")
+    mark = F.when(p % 2 == 0, ",").otherwise(".")
+    text = F.concat(F.lit("Объём "), F.col("p_size").cast("string"), mark, F.lit("5"), unit, F.when(p % 7 == 0, "; 2 л").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+
+
+_PARSED = f"""
+s AS (SELECT p_partkey, lower(replace({_AMOUNT}, '³', '3')) AS t FROM part),
+m AS (SELECT p_partkey, list_filter(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}.,+-])([0-9]+(?:[.,][0-9]+)?\\s*(?:дм3|мл|кг|л|г)(?:[^\\p{{L}}\\p{{N}}/]|$))', 1), lambda x: true) AS v FROM s),
+u AS (SELECT p_partkey, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM m),
+z AS (SELECT p_partkey, k, CAST(replace(regexp_extract(x, '^[0-9]+(?:[.,][0-9]+)?', 0), ',', '.') AS DOUBLE) AS value, regexp_extract(x, '(дм3|мл|кг|л|г)', 1) AS un FROM u),
+qq AS (SELECT p_partkey, k, value, CASE un WHEN 'дм3' THEN 'дм³' ELSE un END AS unit, CASE WHEN un IN ('г', 'кг') THEN 'mass' ELSE 'volume' END AS kind, value * CASE un WHEN 'мл' THEN 0.001 WHEN 'кг' THEN 1000 ELSE 1 END AS base_value FROM z)
+"""
+
+
+@query(f"WITH {_PARSED} SELECT p_partkey, CAST(k AS INTEGER) AS k, value, unit, kind, base_value FROM qq")
+def quantities_parse(spark, sf_dir):
+    rows = _amounts(spark, sf_dir).select("p_partkey", F.posexplode(Q.quantities(F.col("text"))).alias("k", "q"))
+    return rows.select("p_partkey", (F.col("k") + 1).alias("k"), "q.value", "q.unit", "q.kind", "q.base_value")
+
+
+@query(
+    f"""WITH {_PARSED}, o AS (SELECT p_partkey, count(*) AS n, min(value) AS value, min(unit) AS unit, min(kind) AS kind, min(base_value) AS base_value FROM qq GROUP BY p_partkey),
+e AS (SELECT p.p_partkey, CASE WHEN n = 1 THEN kind END AS kind, CASE WHEN n = 1 THEN unit END AS unit, CASE WHEN n = 1 THEN base_value END AS b FROM part p LEFT JOIN o USING (p_partkey)),
+j AS (SELECT a.p_partkey, a.kind AS ek, a.unit AS eu, a.b AS eb, b.kind AS ak, b.unit AS au, b.b AS ab FROM e a JOIN e b ON b.p_partkey = a.p_partkey + 6)
+SELECT p_partkey, CASE WHEN eb IS NULL THEN 'ambiguous' WHEN ab IS NULL THEN 'unreadable' WHEN ek <> ak THEN 'wrong_unit' WHEN abs(eb - ab) > greatest(1e-9, abs(eb) * 1e-9) THEN CASE WHEN eu = au THEN 'wrong_value' ELSE 'wrong_quantity' END WHEN eu = au THEN 'match' ELSE 'equivalent' END AS status FROM j"""
+)
+def quantity_compare(spark, sf_dir):
+    e = _amounts(spark, sf_dir).select("p_partkey", Q.expected_quantity(F.col("text")).alias("e"))
+    a = e.select((F.col("p_partkey") - 6).alias("p_partkey"), F.col("e").alias("a"))
+    return e.join(a, "p_partkey").select("p_partkey", Q.quantity_comparison(F.col("e"), F.col("a")).alias("status"))
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, {_AMOUNT} AS t FROM part),
+v AS (SELECT p_partkey, t, unnest([regexp_replace(t, '([0-9/]\\s*)дм\\s*[3³]', '\\1л', 'g'), regexp_replace(regexp_replace(t, '([0-9/]\\s*)л([^\\p{{L}}\\p{{N}}]|$)', '\\1дм3\\2', 'g'), '([0-9/]\\s*)л$', '\\1дм3'), regexp_replace(t, '([0-9/]\\s*)мл([^\\p{{L}}\\p{{N}}]|$)', '\\1см3\\2', 'g')]) AS text FROM s)
+SELECT p_partkey, text FROM v WHERE text <> t"""
+)
+def notation_variants(spark, sf_dir):
+    rows = _amounts(spark, sf_dir).select("p_partkey", F.explode(Q.notations(F.col("text"))).alias("n"))
+    return rows.select("p_partkey", "n.text")
+
+
+@query(
+    "SELECT p_partkey, k AS check_ix, label, CAST(CASE WHEN unit = 'мм' THEN floor((m + 0.2) * 100 + 0.5) / 100 ELSE m END AS DOUBLE) AS min, unit, target FROM ("
+    "SELECT p_partkey, 0 AS k, 'Высота букв' AS label, p_size / 10.0 AS m, 'мм' AS unit, 'letters' AS target FROM part WHERE p_partkey % 3 = 0 "
+    "UNION ALL SELECT p_partkey, 0, 'Площадь предупреждения', p_size, '%', 'letters' FROM part WHERE p_partkey % 3 = 1 "
+    "UNION ALL SELECT p_partkey, unnest([0, 1]), unnest(['Буквы «Масса»', 'Количество товара']), unnest([p_size / 10.0, p_size * 10.0]), 'мм', unnest(['quantity_label', 'quantity']) FROM part WHERE p_partkey % 3 = 2)"
+)
+def size_rules(spark, sf_dir):
+    p, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    tenth = F.format_string("%d,%d", F.floor(F.col("p_size") / 10), F.col("p_size") % 10)
+    title = F.when(p % 3 == 2, "Масса").otherwise("Состав")
+    rule = F.when(p % 3 == 0, F.concat(F.lit("шрифт не менее "), tenth, F.lit(" мм"))).when(p % 3 == 1, F.concat(F.lit("площадь не менее "), n, F.lit(" %"))).otherwise(F.concat(F.lit("высота букв термина "), tenth, F.lit(" мм; количество "), n, F.lit(" см")))
+    rows = table(spark, sf_dir, "part").select(p, F.posexplode(Q.dimension_checks(title, rule, 0.2)).alias("check_ix", "c"))
+    return rows.select("p_partkey", "check_ix", "c.label", "c.min", "c.unit", "c.target")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 3 = 1 THEN 1 ELSE 2 END AS scope_ix FROM part")
+def scope_index(spark, sf_dir):
+    p = F.col("p_partkey")
+    text = F.concat(F.when(p % 3 == 0, "СРОК ГОДНОСТИ ").when(p % 3 == 1, "Условия хранения: ").otherwise("Состав "), F.col("p_name"))
+    scopes = F.array(*map(F.lit, ("срока годности", "условий хранения", "остальной текст")))
+    return table(spark, sf_dir, "part").select(p, Q.scope_index(scopes, text).alias("scope_ix"))
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'height' WHEN 1 THEN 'box' WHEN 2 THEN 'percent' WHEN 3 THEN 'unreadable' END AS kind, "
+    "CAST(CASE p_partkey % 5 WHEN 0 THEN p_size + 0.5 WHEN 2 THEN p_size END AS DOUBLE) AS value, CASE p_partkey % 5 WHEN 1 THEN CAST(p_size AS DOUBLE) END AS width, CAST(CASE p_partkey % 5 WHEN 1 THEN p_size + 0.25 END AS DOUBLE) AS height, "
+    "CASE p_partkey % 5 WHEN 2 THEN '>' END AS comparator, CAST(CASE p_partkey % 5 WHEN 2 THEN p_size * 10 + 0.5 END AS DOUBLE) AS threshold, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS marks FROM part"
+)
+def claims_parse(spark, sf_dir):
+    p, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = (
+        F.when(p % 5 == 0, F.concat(F.lit("↕ "), n, F.lit(" , 5 мм"))).when(p % 5 == 1, F.concat(n, F.lit(" x "), n, F.lit(",25 mm")))
+        .when(p % 5 == 2, F.concat(F.lit("площадь надписи > "), n, F.lit(" % ("), n, F.lit("0,5 мм²)"))).when(p % 5 == 3, F.concat(F.lit("0"), n, F.lit(" мм"))).otherwise(F.concat(F.lit("часть номер "), n))
+    )
+    rows = table(spark, sf_dir, "part").select(p, Q.parse_claim(text).alias("c"))
+    marks = F.when(F.col("c").isNull(), 0).otherwise(Q.claim_marks(F.col("c"))).alias("marks")
+    return rows.select("p_partkey", "c.kind", "c.value", F.get("c.values", F.lit(0)).alias("width"), F.get("c.values", F.lit(1)).alias("height"), "c.comparator", "c.threshold", marks)
+
+
+_TWELVE = "lpad(CAST(o_orderkey * 7919 AS VARCHAR), 12, '0')"
+
+
+@query(
+    f"SELECT o_orderkey, CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr({_TWELVE}, CAST(i AS INTEGER), 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 AS INTEGER) AS check_digit FROM orders"
+)
+def ean13_check(spark, sf_dir):
+    code = F.lpad((F.col("o_orderkey") * 7919).cast("string"), 12, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", Q.ean13_check_digit(code).cast("int").alias("check_digit"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 300.0 WHEN p_partkey % 3 = 1 THEN 72.0 END AS d, p_size * 20.0 AS w, p_size * 15.0 AS h,
+  CASE WHEN p_partkey % 4 = 0 THEN p_size * 20 * 25.4 / 300 ELSE p_size * 2.0 END AS a, CASE WHEN p_partkey % 4 = 0 THEN p_size * 15 * 25.4 / 300 WHEN p_partkey % 4 = 1 THEN p_size * 1.5 ELSE p_size * 1.2 END AS b FROM part),
+f AS (SELECT *, greatest(a, b) / greatest(w, h) AS l, least(a, b) / least(w, h) AS s, 25.4 / d AS f FROM p),
+g AS (SELECT *, d IS NOT NULL AND abs(f - l) <= greatest(f, l) * 0.02 AND abs(f - s) <= greatest(f, s) * 0.03 AS high, abs(l - s) <= greatest(l, s) * 0.03 AS medium FROM f)
+SELECT p_partkey, CASE WHEN high THEN 'high' WHEN medium THEN 'medium' ELSE 'none' END AS level, CASE WHEN high THEN f WHEN medium THEN (l + s) / 2 END AS mm_per_pixel FROM g"""
+)
+def scale_resolve(spark, sf_dir):
+    p, n = F.col("p_partkey"), F.col("p_size")
+    d = F.when(p % 3 == 0, 300.0).when(p % 3 == 1, 72.0)
+    a = F.when(p % 4 == 0, n * 20 * 25.4 / 300).otherwise(n * 2.0)
+    b = F.when(p % 4 == 0, n * 15 * 25.4 / 300).when(p % 4 == 1, n * 1.5).otherwise(n * 1.2)
+    s = Q.resolve_scale(d, d, n * 20.0, n * 15.0, a, b)
+    return table(spark, sf_dir, "part").select(p, s.alias("s")).select("p_partkey", "s.level", "s.mm_per_pixel")
+
+
+# ---- measuring ----------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT l_orderkey, l_suppkey % 40 AS s, list_sort(list(l_quantity)) AS h FROM lineitem GROUP BY ALL HAVING count(*) >= 1),
+m AS (SELECT l_orderkey % 500 AS sheet, l_orderkey * 40 + s AS word, h[CAST(floor(len(h) / 2) AS INTEGER) + 1] AS m FROM w), a AS (SELECT sheet, list_sort(list(m)) AS m FROM m GROUP BY sheet),
+k AS (SELECT *, len(m) AS n, CASE WHEN len(m) >= 5 THEN greatest(1, CAST(floor(len(m) * 0.05) AS INTEGER)) ELSE 0 END AS allowed FROM a),
+b AS (SELECT *, coalesce(list_min(list_filter(range(1, n + 1), lambda i: i > allowed OR i = n OR NOT (m[i] < 0.6 * m[i + 1]))), 1) AS f FROM k)
+SELECT sheet, n AS n_words, m[f] AS typical FROM b"""
+)
+def typical_height(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("sheet"), (F.col("l_orderkey") * 40 + F.col("l_suppkey") % 40).alias("word"), F.col("l_quantity").alias("h"))
+    return measure.typical_height(rows, ["sheet"], "word", "h", least=1)
+
+
+@query(
+    "SELECT l_orderkey, min(CASE WHEN c >= 80 AND l_quantity > 0 AND l_returnflag = 'N' THEN l_quantity END) AS digit_height, min(CASE WHEN c >= 80 AND l_quantity > 0 AND l_returnflag <> 'N' THEN l_quantity END) AS letter_height FROM (SELECT *, l_partkey % 101 AS c FROM lineitem) GROUP BY l_orderkey"
+)
+def glyph_min(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "N", "7").otherwise(F.col("l_returnflag")).alias("t"), "l_quantity", (F.col("l_partkey") % 101).alias("c"))
+    return measure.least_glyph(rows, ["l_orderkey"], "t", "l_quantity", "c")
+
+
+_DECLARED = """SELECT l_orderkey, min(CASE WHEN u THEN l_quantity END) AS declared, CASE WHEN count(*) FILTER (u) = 0 THEN NULL WHEN bool_and(l_linenumber % 3 = 1) FILTER (u) THEN 'high' ELSE 'medium' END AS level, count(*) AS n
+FROM (SELECT *, l_linenumber % 3 <> 0 AND l_returnflag <> 'R' AS u FROM lineitem) GROUP BY l_orderkey"""
+
+
+def _declared(spark, sf_dir):
+    level = F.element_at(F.array(F.lit("low"), F.lit("high"), F.lit("medium")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", level.alias("level"), F.when(F.col("l_returnflag") == "R", "line").otherwise("section").alias("scope"))
+    return measure.declared_least(rows, ["l_orderkey"], "l_quantity", "level", "scope", "l_linenumber")
+
+
+@query(_DECLARED)
+def declared_min(spark, sf_dir):
+    return _declared(spark, sf_dir)
+
+
+@query(
+    f"SELECT o_orderkey AS l_orderkey, coalesce(m, declared) AS value, CASE WHEN m IS NOT NULL THEN 'measured' WHEN declared IS NOT NULL THEN 'declared' END AS origin FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 1000 END AS m FROM orders) LEFT JOIN ({_DECLARED}) d ON o_orderkey = l_orderkey"
+)
+def coalesce_measured(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") / 1000).alias("measured"))
+    return measure.filled(m, _declared(spark, sf_dir), ["l_orderkey"])
+
+
+@query(
+    "SELECT l_orderkey, (max(x + w) - min(x)) * (max(y + 0.5) - min(y)) / (50.0 * 20) * 100 AS share FROM (SELECT l_orderkey, l_discount * 100 AS x, l_tax * 100 AS y, l_quantity AS w FROM lineitem) GROUP BY l_orderkey"
+)
+def area_share(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_discount") * 100).alias("x"), (F.col("l_tax") * 100).alias("y"), F.col("l_quantity").alias("w"), F.lit(0.5).alias("h"))
+    return measure.area_share(rows, ["l_orderkey"], "x", "y", "w", "h", F.lit(1000.0))
+
+
+@query(
+    "SELECT p_partkey, p_retailprice / 2 / (p_size / 100.0) AS base, p_retailprice / (p_retailprice / 2 / (p_size / 100.0)) * 100 AS stated, abs(p_retailprice - m) <= 0.1 * greatest(p_retailprice, m) AS agrees FROM (SELECT *, p_retailprice * (0.8 + (p_partkey % 5) / 10.0) AS m FROM part)"
+)
+def stated_area_share(spark, sf_dir):
+    price = F.col("p_retailprice")
+    s = measure.stated_share(price, price / 2, F.col("p_size").cast("double"), price * (0.8 + (F.col("p_partkey") % 5) / 10.0), F.lit(1e5))
+    return table(spark, sf_dir, "part").select("p_partkey", s.alias("s")).select("p_partkey", "s.base", "s.stated", "s.agrees")
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey % 101 AS score, l_returnflag AS kind, floor(l_quantity / 10) AS base_value, l_linestatus AS unit, l_suppkey % 4 = 0 AS anchored FROM lineitem),
+p AS (SELECT * FROM f QUALIFY NOT bool_or(anchored) OVER (PARTITION BY l_orderkey) OR anchored),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber, kind, base_value, unit) AS k FROM p), c AS (SELECT l_orderkey, count(DISTINCT (kind, base_value, unit)) FILTER (score >= 85) > 1 AS conflict FROM p GROUP BY l_orderkey)
+SELECT l_orderkey, kind, base_value, unit, conflict FROM b JOIN c USING (l_orderkey) WHERE k = 1"""
+)
+def quantity_evidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 101).alias("score"), F.col("l_returnflag").alias("kind"), F.floor(F.col("l_quantity") / 10).cast("double").alias("base_value"), F.col("l_linestatus").alias("unit"), (F.col("l_suppkey") % 4 == 0).alias("anchored"))
+    return measure.quantity_evidence(rows, ["l_orderkey"], "l_linenumber")
+
+
+# ---- several readings ---------------------------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id % 7 AS place, event_type AS v, event_id % 3 AS pass, 60 + value % 40 AS c FROM events),
+o AS (SELECT user_id, place, v, count(DISTINCT pass) AS support, max(c) AS confidence FROM r WHERE c >= 20 GROUP BY ALL HAVING max(c) >= 75 OR count(DISTINCT pass) >= 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id, place ORDER BY confidence + 4 * least(3, support) DESC, v) AS k FROM o) SELECT user_id, place, v, support, confidence, false AS conflict FROM b WHERE k = 1"""
+)
+def consensus_readings(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 7).alias("place"), F.col("event_type").alias("v"), (F.col("event_id") % 3).alias("pass"), (60 + F.col("value") % 40).alias("c"))
+    return readings.consensus(rows, ["user_id", "place"], "v", "pass", "c")
+
+
+@query("SELECT l_partkey, l_suppkey, count(DISTINCT l_quantity) AS n_values, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem WHERE l_discount >= 0.05 GROUP BY ALL HAVING count(DISTINCT l_quantity) > 1")
+def numeric_conflicts(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("c", F.when(F.col("l_discount") >= 0.05, 90).otherwise(60))
+    return readings.conflicts(rows, ["l_partkey", "l_suppkey"], "l_quantity", F.col("c"))
+
+
+_BOXES = "SELECT l_orderkey, l_linenumber, l_discount AS x, l_tax AS y, floor(l_quantity) / 100 AS w, 0.02 AS h FROM lineitem"
+
+
+def _boxes(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), (F.floor("l_quantity") / 100).alias("w"), F.lit(0.02).alias("h"))
+
+
+@query(f"WITH b AS ({_BOXES}) SELECT l_orderkey, l_linenumber FROM b WHERE NOT EXISTS (SELECT 1 FROM b a WHERE a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND abs(a.x - b.x) < 0.015 AND abs(a.y - b.y) < 0.015 AND abs(a.w - b.w) < 0.015)")
+def near_duplicates(spark, sf_dir):
+    return readings.distinct_boxes(_boxes(spark, sf_dir), ["l_orderkey"], "l_linenumber", 0.015).select("l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM ({_BOXES}) WHERE x >= 0.02 - 0.002 AND y >= 0.01 - 0.002 AND x + w <= 0.42 + 0.002 AND y + h <= 0.08 + 0.002")
+def inside_label(spark, sf_dir):
+    rows = _boxes(spark, sf_dir).withColumn("box", F.struct("x", "y", "w", "h"))
+    return readings.within(rows, G.box(0.02, 0.01, 0.4, 0.07)).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    f"WITH b AS ({_BOXES}), p AS (SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS s, a.w * a.h AS p, b.w * b.h AS q FROM b a JOIN b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber) SELECT l_orderkey, i, j, round(s / (p + q - s), 6) AS iou FROM p WHERE s / least(p, q) > 0.65"
+)
+def same_places(spark, sf_dir):
+    rows = _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", F.struct("x", "y", "w", "h").alias("box"))
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber"))).filter(G.same_place(F.col("a.box"), F.col("b.box")))
+    return pairs.select("a.l_orderkey", F.col("a.l_linenumber").alias("i"), F.col("b.l_linenumber").alias("j"), F.round(G.iou(F.col("a.box"), F.col("b.box")), 6).alias("iou"))
+
+
+@query(
+    f"WITH b AS ({_BOXES}), t AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS r, x, y, w, h, 1.4 AS a FROM b) SELECT l_orderkey, l_linenumber, CASE r WHEN 1 THEN 1 - y - h WHEN 2 THEN (1 - x - w) * a WHEN 3 THEN y ELSE x * a END AS rx, CASE r WHEN 1 THEN x * a WHEN 2 THEN 1 - y - h WHEN 3 THEN (1 - x - w) * a ELSE y END AS ry, CASE WHEN r IN (1, 3) THEN h ELSE w * a END AS rw FROM t"
+)
+def reading_boxes(spark, sf_dir):
+    rows = _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", F.struct("x", "y", "w", "h").alias("box"))
+    r = G.turned(F.col("box"), F.col("l_linenumber") % 4 * 90, F.lit(1.4))
+    return rows.select("l_orderkey", "l_linenumber", r.alias("r")).select("l_orderkey", "l_linenumber", F.col("r.x").alias("rx"), F.col("r.y").alias("ry"), F.col("r.w").alias("rw"))
+
+
+@query(
+    "WITH r AS (SELECT l_orderkey, l_linenumber AS k FROM lineitem WHERE l_partkey % 101 >= 30), n AS (SELECT l_orderkey, k, lead(k) OVER (PARTITION BY l_orderkey ORDER BY k) AS j FROM r) SELECT l_orderkey, k AS l_linenumber, j AS next_ix, j - k - 1 AS blank_between FROM n WHERE j IS NOT NULL"
+)
+def blank_between(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit("x").alias("t"), (F.col("l_partkey") % 101).alias("c"))
+    return readings.blanks(rows, ["l_orderkey"], "l_linenumber", "t", "c")
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey, l_linenumber AS token_ix, l_partkey % 10 AS k, l_suppkey % 100 AS c1, CAST(l_quantity AS INTEGER) AS e, l_partkey % 3 = 0 AS number, l_suppkey % 5 AS k2, l_partkey % 100 AS c2 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL))
+SELECT l_orderkey, token_ix, CASE WHEN k < 5 THEN 'same' WHEN k2 < 3 AND c2 >= 80 AND k < 8 AND (c1 >= 75 OR (c1 >= 50 AND number)) THEN 'disputed' WHEN k2 < 3 AND c2 >= 80 THEN 'resolved' WHEN k2 = 3 AND c2 >= 80 THEN 'contradicted' ELSE 'open' END AS outcome FROM t"""
+)
+def fuse_engines(spark, sf_dir):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    token = F.when(p % 3 == 0, F.col("l_quantity").cast("int").cast("string")).otherwise("слово")
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")))
+    first = items.select("l_orderkey", F.col("l_linenumber").alias("token_ix"), token.alias("expected"), F.when(p % 10 < 5, "same").when(p % 10 < 8, "replace").otherwise("missing").alias("kind"), token.alias("actual"), (s % 100).alias("confidence"))
+    second = items.filter(s % 5 < 4).select("l_orderkey", F.col("l_linenumber").alias("token_ix"), F.when(s % 5 < 3, "same").otherwise("replace").alias("kind"), token.alias("actual"), (p % 100).alias("confidence"))
+    return readings.fuse(first, second, ["l_orderkey"])
+
+
+# ---- verdicts -----------------------------------------------------------------------------------
+
+_JUDGED = "j AS (SELECT doc_id, lang, source, CASE quality WHEN 1 THEN 'same' ELSE 'different' END AS truth, CASE WHEN contains(text, ' | ') OR contains(text, '###') THEN 'difference' WHEN length(text) > 4000 THEN 'unsure' WHEN length(text) < 80 THEN 'not-found' ELSE 'match' END AS verdict FROM documents JOIN labels USING (doc_id)), o AS (SELECT *, CASE truth WHEN 'same' THEN CASE verdict WHEN 'match' THEN 'confirmed' WHEN 'difference' THEN 'falseDiff' ELSE 'open' END ELSE CASE verdict WHEN 'difference' THEN 'caught' WHEN 'match' THEN 'falseMatch' WHEN 'unsure' THEN 'flagged' ELSE 'open' END END AS outcome FROM j)"
+_COUNTS = ", ".join(f"count(*) FILTER (outcome = '{o}') AS {q}" for o, q in ((x, f'"{x}"') for x in ("confirmed", "caught", "flagged", "open", "falseMatch", "falseDiff")))
+
+
+def _judged(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    text = F.col("text")
+    v = F.when(text.contains(" | ") | text.contains("###"), "difference").when(F.char_length(text) > 4000, "unsure").when(F.char_length(text) < 80, "not-found").otherwise("match")
+    return docs.select("doc_id", "lang", "source", F.when(F.col("quality") == 1, "same").otherwise("different").alias("truth"), v.alias("verdict")).withColumn("outcome", verdict.outcome(F.col("truth"), F.col("verdict")))
+
+
+@query(f"WITH {_JUDGED} SELECT lang, {_COUNTS}, count(outcome) AS total FROM o GROUP BY lang")
+def outcome_tally(spark, sf_dir):
+    return verdict.tally(_judged(spark, sf_dir), ["lang"])
+
+
+@query(f"WITH {_JUDGED} SELECT lang, source, {_COUNTS}, CAST(CASE WHEN grouping(lang) = 1 THEN 0 WHEN grouping(source) = 1 THEN 1 ELSE 2 END AS INTEGER) AS level FROM o GROUP BY ROLLUP (lang, source)")
+def tally_rollup(spark, sf_dir):
+    return verdict.rolled(_judged(spark, sf_dir), ["lang", "source"])
+
+
+@query("SELECT event_type, count(DISTINCT user_id % 50) AS sheets FROM events GROUP BY event_type HAVING count(DISTINCT user_id % 50) = (SELECT count(DISTINCT user_id % 50) FROM events)")
+def complete_methods(spark, sf_dir):
+    return verdict.complete_methods(table(spark, sf_dir, "events").withColumn("sheet", F.col("user_id") % 50), "event_type", "sheet")
+
+
+@query(
+    f"WITH {_HITS}, {_COMPARED}, v AS (SELECT item_id, doc_id, status, CASE WHEN item_id % 9 = 0 THEN 'error' WHEN item_id % 11 = 0 AND status = 'found' THEN 'pass' WHEN status = 'found' THEN 'detected' WHEN status = 'all_words' THEN 'words' WHEN status IN ('partial', 'unreadable') THEN 'issue' ELSE 'pending' END AS row_status FROM c) SELECT item_id, doc_id, row_status, CASE status WHEN 'manual' THEN 'skip' WHEN 'found' THEN 'match' WHEN 'partial' THEN 'unsure' WHEN 'all_words' THEN 'unsure' ELSE 'not-found' END AS verdict FROM v"
+)
+def verdict_rows(spark, sf_dir):
+    rules, reads = _sides(spark, sf_dir)
+    rows = locate.compared(rules, reads, locate.candidates(rules, reads))
+    no = F.lit(False)
+    i, status = F.col("rule_id"), F.col("status")
+    s = verdict.row_status(status, rejected=i % 9 == 0, failed=no, exempt=no, confirmed=(i % 11 == 0) & (status == "found"), sizes_pass=F.lit(True), conditions=F.lit(True), quantity_issue=no, notation=no, size_issue=no, has_text=F.lit(True))
+    return rows.select(i.alias("item_id"), F.col("reading_id").alias("doc_id"), s.alias("row_status"), verdict.text_verdict(status, no).alias("verdict"))
+
+
+@query(f"WITH {_HITS}, {_COMPARED} SELECT status, count(*) AS n, CAST(min(coverage) AS INTEGER) AS least, CAST(max(coverage) AS INTEGER) AS most FROM c GROUP BY status")
+def status_counts(spark, sf_dir):
+    rules, reads = _sides(spark, sf_dir)
+    return locate.compared(rules, reads, locate.candidates(rules, reads)).groupBy("status").agg(F.count("*").alias("n"), F.min("coverage").alias("least"), F.max("coverage").alias("most"))
+
+
+@query()
+def mutations(spark, sf_dir):
+    return verdict.mutations(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query()
+def stress_tally(spark, sf_dir):
+    """Every mutated text against the original's own reading: what still counts as found is a false match."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    rows = verdict.mutations(b, "item_id", "text").join(b, "item_id")
+    return rows.select("kind", T.compare(F.col("mutated"), F.col("text")).alias("c")).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("c.status") == "found").alias("false_matches"))
+
+
+@query(
+    "SELECT n_regionkey, n_name, score FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY score DESC, n_nationkey) AS k FROM (SELECT n_regionkey, n_nationkey, n_name, sum(floor(c_acctbal)) AS score FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL)) WHERE k = 1"
+)
+def region_argmax(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("v", F.floor("c_acctbal").cast("double"))
+    return verdict.best_region(rows, "n_name", "v", ["n_regionkey"], "n_nationkey")
+
+
+@query(
+    "WITH o AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL), w AS (SELECT user_id, event_type, -count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY ALL) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = o.user_id AND w.event_type = o.event_type) UNION ALL SELECT * FROM w"
+)
+def upsert_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    count = lambda odd, sign: e.filter(F.col("event_id") % 2 == odd).groupBy("user_id", "event_type").agg((F.count("*") * sign).alias("n"))
+    return tokens.upsert(count(0, 1), count(1, -1), ["user_id", "event_type"])
+
+
+@query(
+    "WITH a AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), b AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL), d AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, coalesce(a.n, 0) - coalesce(b.n, 0) AS n FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus) SELECT o_custkey, o_orderstatus, CASE WHEN n > 0 THEN 'missing' ELSE 'new' END AS side, abs(n) AS times FROM d WHERE n <> 0"
+)
+def link_diff(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return tokens.difference(o.filter(F.col("o_orderkey") % 2 == 0).select("o_custkey", "o_orderstatus"), o.filter(F.col("o_orderkey") % 2 == 1).select("o_custkey", "o_orderstatus"))
+
+
+@query(
+    "WITH h AS (SELECT CAST(greatest(0, least(255, floor((embedding[1] + 1) * 127.5))) AS INTEGER) AS v, count(*) AS n FROM embeddings GROUP BY ALL), c AS (SELECT v, n, sum(n) OVER (ORDER BY v) AS w0, sum(n * v) OVER (ORDER BY v) AS s0, sum(n) OVER () AS w, sum(n * v) OVER () AS s FROM h), b AS (SELECT v, w0 * (w - w0) * power(s0 / w0 - (s - s0) / (w - w0), 2) AS between_var FROM c WHERE w0 < w) SELECT v AS threshold FROM b ORDER BY between_var DESC, v LIMIT 1"
+)
+def otsu_threshold(spark, sf_dir):
+    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.get("embedding", F.lit(0)) + 1) * 127.5))).cast("int")
+    return raster.otsu(table(spark, sf_dir, "embeddings").groupBy(v.alias("v")).agg(F.count("*").alias("n"))).select("threshold")
