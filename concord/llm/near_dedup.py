@@ -10,8 +10,8 @@
    A region still large at full depth gets neighbours too, and its rest is taken up in step 6.
 4. Two-bit sketches drop pairs far below the limit; the others are confirmed on full sets.
 5. Confirmed links contract to components.
-6. The rest: members of a large region that are not in the component of its smallest doc_id
-   meet all its members of other components, are confirmed, and components are taken again.
+6. The rest: members of a large region that are not in the component of its smallest doc_id are
+   held against all its members, block by block on full sets, and components are taken again.
 
 A region cut by a partition's border is two regions in that order; the other orders do not share the
 border. With similarity 0.8 a pair shares BASE values in at least one order but for odds of 4e-6.
@@ -33,6 +33,8 @@ from .graph import components
 VALUES, ORDERS, BASE, DEPTH, REGION, NEAR = 64, 24, 4, 8, 24, 4
 #: A pair goes on if so many of its VALUES two-bit sketch values agree: 5 deviations below what 0.8 gives.
 AGREE = 40
+#: Members on each side of a block of the rest.
+BLOCK = 512
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * A.U(2) + A.U(1)
 _DRAWN = np.stack([_rng.permutation(VALUES)[:DEPTH] for _ in range(ORDERS)])
@@ -153,7 +155,7 @@ def _regions(o: np.ndarray, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, z:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: candidate a, b; kind 1: region a (its least id here: b's hub) has member b with sketch z1, z2."""
+    """kind 0: candidate a, b; kind 1: region a has member b."""
     held: list[np.ndarray] = []
 
     def work(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -163,10 +165,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             uid = A.mix(A.mix(k1[m] + o[m].astype(A.U) * A.U(0x9E3779B97F4A7C15)) ^ k2[m])
         n, k = pairs.shape[1], len(m)
-        zero = np.zeros(n, A.U)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array([0, 1], np.int8), (n, k))), pa.array(np.concatenate((pairs[0], uid.view(np.int64)))), pa.array(np.concatenate((pairs[1], ids[m]))), A.signed(np.concatenate((zero, z[0, m]))), A.signed(np.concatenate((zero, z[1, m])))],
-            names=["kind", "a", "b", "z1", "z2"],
+            [pa.array(np.repeat(np.array([0, 1], np.int8), (n, k))), pa.array(np.concatenate((pairs[0], uid.view(np.int64)))), pa.array(np.concatenate((pairs[1], ids[m])))],
+            names=["kind", "a", "b"],
         )
 
     for b in batches:
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = settle(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")
     forest = settle(classes.select("id", "sig").mapInArrow(_forest_rows, "o tinyint, k1 long, k2 long, id long, z1 long, z2 long"), "forest")
     order = ["o", "k1", "k2", "id"]
-    found = settle(forest.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_candidates, "kind tinyint, a long, b long, z1 long, z2 long"), "candidates")
+    found = settle(forest.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_candidates, "kind tinyint, a long, b long"), "candidates")
     pairs = settle(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
     known_text = keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     links = settle(_confirmed(pairs, known_text, k, percent), "links")
@@ -229,25 +230,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         tops = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     else:
         tops = settle(components(links), "components")
-        more = _rest(found, tops, pairs)
-        if not more.isEmpty():
-            new = settle(_confirmed(more, known_text, k, percent), "links")
-            if not new.isEmpty():
-                tops = settle(components(links.unionByName(new)), "components")
+        new = _rest(found, tops, known_text, k, percent)
+        if not new.isEmpty():
+            tops = settle(components(links.unionByName(new)), "components")
     of = settle(classes.select("s1", "s2", F.col("id").alias("node")).join(tops, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id")), "class-components")
     rows = sigs.join(of, ["s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _rest(found: DataFrame, tops: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of members of large regions in different components, one of them outside the component of most members' hub."""
-    members = found.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("id"), "z1", "z2").distinct()
-    members = settle(members.join(tops, F.col("id") == F.col("node"), "left").select("region", "id", "z1", "z2", F.coalesce("component", "id").alias("top")), "members")
-    hubs = settle(members.groupBy("region").agg(F.min("top").alias("hub_top"), F.max("top").alias("most")).filter("hub_top < most").select("region", "hub_top"), "hubs")
-    torn = settle(members.join(hubs, "region"), "torn")
-    out = torn.filter("top <> hub_top").select("region", F.col("id").alias("x"), F.col("top").alias("xt"), F.col("z1").alias("x1"), F.col("z2").alias("x2"))
-    met = torn.join(out, "region").filter("top <> xt")
-    same = VALUES - sum((F.bit_count(((F.col(f"z{i}").bitwiseXOR(F.col(f"x{i}"))).bitwiseOR(F.shiftrightunsigned(F.col(f"z{i}").bitwiseXOR(F.col(f"x{i}")), 1))).bitwiseAND(F.lit(0x5555555555555555)))) for i in (1, 2))
-    new = met.filter(same >= AGREE).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    return settle(new.join(pairs, ["a", "b"], "left_anti"), "rest")
+def _rest(found: DataFrame, tops: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b that large regions still hide, all of them, in blocks.
+
+    Regions with members of several components are grouped by their least component. Every member
+    outside it is held against every member of the group on full sets, BLOCK x BLOCK at a time, and
+    leaves one link for each other component it belongs to. No pair is listed.
+    """
+    members = found.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("id")).distinct()
+    members = settle(members.join(tops, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("component", "id").alias("top")), "members")
+    hubs = settle(members.groupBy("region").agg(F.min("top").alias("hub"), F.max("top").alias("most")).filter("hub < most").select("region", "hub"), "hubs")
+    if hubs.isEmpty():
+        return members.select(F.col("id").alias("a"), F.col("top").alias("b")).limit(0)
+    torn = settle(members.join(hubs, "region").select("hub", "id", "top").distinct(), "torn")
+    outside = F.col("top") != F.col("hub")
+    sizes = settle(torn.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("outer")), "sizes")
+    texts = torn.join(sizes, "hub").join(keyed, F.col("id") == F.col("doc_id")).select("hub", "id", "top", "text", "blocks", "outer")
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = texts.filter(outside).select("hub", spot("outer").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"), "id", "top", "text")
+    two = texts.select("hub", every("outer").alias("i"), spot("blocks").alias("j"), F.lit(False).alias("asks"), "id", "top", "text")
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        asks = np.asarray(t.column("asks").combine_chunks())
+        ids, top = (np.asarray(t.column(c).combine_chunks()) for c in ("id", "top"))
+        sets = []
+        for at in range(0, len(ids), 512):
+            key, row = shingles(A.Words(t.column("text").combine_chunks().slice(at, 512), lower=True), k)
+            sets.append((key & A.U((1 << 54) - 1), row + at))
+        x, row = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
+        n = np.bincount(row, minlength=len(ids))
+        _, x = np.unique(x, return_inverse=True)
+        first = np.concatenate(([0], np.cumsum(n)))
+        mark = np.zeros(int(x.max(initial=0)) + 1, bool)
+        theirs = np.flatnonzero(~asks & (n > 0))
+        mine = np.repeat(np.isin(np.arange(len(ids)), theirs), n)
+        y, begin = x[mine], np.concatenate(([0], np.cumsum(n[theirs])[:-1])).astype(np.int64)
+        out: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(asks & (n > 0)) if len(theirs) else ():
+            own = x[first[i] : first[i + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[y].astype(np.int64), begin)
+            mark[own] = False
+            near = theirs[(100 * both >= percent * (n[i] + n[theirs] - both)) & (top[theirs] != top[i])]
+            _, lead = np.unique(top[near], return_index=True)
+            out.update((min(ids[i], ids[m]), max(ids[i], ids[m])) for m in near[lead])
+        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return settle(one.unionByName(two).groupBy("hub", "i", "j").applyInArrow(block, "a long, b long"), "rest")
