@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.functions import geometry as G
 from concord.functions import quantity as Q
 from concord.functions import text as T
-from concord.operators import locate, measure, raster, readings, tokens, verdict
+from concord.operators import align, locate, measure, raster, readings, requirements, tokens, verdict
+from concord.sources import documents, reports
 
 from . import sql as S
 
@@ -591,3 +592,105 @@ def link_diff(spark, sf_dir):
 def otsu_threshold(spark, sf_dir):
     v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.get("embedding", F.lit(0)) + 1) * 127.5))).cast("int")
     return raster.otsu(table(spark, sf_dir, "embeddings").groupBy(v.alias("v")).agg(F.count("*").alias("n"))).select("threshold")
+
+
+# ---- alignment ----------------------------------------------------------------------------------
+
+
+def _top_pairs(spark, sf_dir, k: int):
+    rules, reads = _sides(spark, sf_dir)
+    pairs = locate.candidates(rules, reads, k).select("rule_id", "reading_id")
+    left = rules.select(F.col("id").alias("rule_id"), F.col("raw").alias("rule_raw"), F.col("tokens").alias("rule_tokens"))
+    used = reads.join(pairs.select(F.col("reading_id").alias("id")).distinct(), "id", "left_semi")
+    right = used.select(F.col("id").alias("reading_id"), F.col("raw").alias("reading_raw"), F.col("tokens").alias("reading_tokens"))
+    return pairs.join(left, "rule_id").join(right, "reading_id")
+
+
+@query()
+def inside_similarity(spark, sf_dir):
+    """Edits in tokens of each required text against the closest stretch of its ten best readings."""
+    return align.similarities(_top_pairs(spark, sf_dir, 10), ["rule_id", "reading_id"], "rule_tokens", "reading_tokens")
+
+
+@query()
+def align_ops(spark, sf_dir):
+    """What the best reading of each required text has the same, different, missing and extra."""
+    rows = align.aligned(_top_pairs(spark, sf_dir, 1), ["rule_id", "reading_id"], "rule_tokens", "reading_tokens")
+    n = lambda k: F.size(F.filter("ops", lambda o: o["kind"] == k)).alias(k)
+    return rows.select("rule_id", "reading_id", "coverage", *(n(k) for k in ("same", "replace", "uncertain", "missing", "extra")), F.size(F.filter("ops", lambda o: o["anchored"])).alias("anchored"))
+
+
+@query()
+def score_lines(spark, sf_dir):
+    """Character, word, number, mark and letter errors of each required text against its two best readings."""
+    rows = _top_pairs(spark, sf_dir, 2).groupBy("rule_id").agg(F.min("rule_raw").alias("line"), F.sort_array(F.collect_list("reading_raw")).alias("readings"))
+    return align.score_lines(rows, ["rule_id"], "line", "readings")
+
+
+_LCS = """list_reduce(list_prepend(list_transform(range(0, len(b) + 1), lambda x: CAST(0 AS BIGINT)), list_transform(a, lambda t: [CAST(t AS BIGINT)])),
+ lambda prev, x: list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, len(b) + 1), lambda j: [CAST(j AS BIGINT)])), lambda cur, j: list_append(cur, CASE WHEN b[j[1]] = x[1] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], cur[len(cur)]) END)))"""
+
+
+@query(f"WITH p AS (SELECT o_custkey, list(o_orderkey % 13 ORDER BY o_orderkey) AS a, list(CAST(floor(o_totalprice) AS BIGINT) % 13 ORDER BY o_orderkey) AS b FROM orders GROUP BY o_custkey) SELECT o_custkey, CAST(list_last({_LCS}) AS INTEGER) AS common FROM p")
+def token_lcs(spark, sf_dir):
+    seq = lambda v: F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", (v % 13).cast("bigint").alias("v")))), lambda x: x["v"])
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(seq(F.col("o_orderkey")).alias("a"), seq(F.floor("o_totalprice")).alias("b"))
+    text = lambda c: F.transform(c, lambda x: x.cast("string"))
+    return rows.select("o_custkey", T.lcs_length(text(F.col("a")), text(F.col("b"))).alias("common"))
+
+
+# ---- requirement documents ----------------------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
+SELECT 'doc' || n_regionkey AS doc, CAST(k AS INTEGER) AS row_ix, CASE WHEN n_regionkey % 2 = 0 THEN 'Раздел ' || n_nationkey ELSE n_name END AS title, 'не менее ' || (n_nationkey + 1) || ' мм' AS "constraint", CASE WHEN n_regionkey % 2 = 0 THEN CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE n_name END ELSE 'Раздел ' || n_nationkey END AS text, n_regionkey % 2 = 0 AND n_nationkey % 7 = 0 AS source_review FROM r WHERE n_regionkey % 2 = 0
+UNION ALL SELECT 'doc' || n_regionkey, CAST(k AS INTEGER), 'Раздел ' || n_nationkey, 'не менее ' || (n_nationkey + 1) || ' мм', n_name, false FROM r WHERE n_regionkey % 2 = 1"""
+)
+def table_rules(spark, sf_dir):
+    """Nations as tables of requirements, one per region: with heads in another order for even regions, without for odd ones."""
+    n = table(spark, sf_dir, "nation")
+    even = F.col("n_regionkey") % 2 == 0
+    name = F.when(even & (F.col("n_nationkey") % 7 == 0), "").otherwise(F.col("n_name"))
+    title, cond = F.concat(F.lit("Раздел "), F.col("n_nationkey")), F.concat(F.lit("не менее "), F.col("n_nationkey") + 1, F.lit(" мм"))
+    row = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    body = n.select(F.concat(F.lit("doc"), "n_regionkey").alias("doc"), row.alias("row_ix"), F.when(even, F.array(name, cond, title)).otherwise(F.array(title, cond, name)).alias("r"))
+    heads = n.select("n_regionkey").distinct().select(F.concat(F.lit("doc"), "n_regionkey").alias("doc"), F.lit(0).alias("row_ix"), F.when(even, F.array(*map(F.lit, ("Текст надписи", "Требования", "Раздел")))).otherwise(F.array(*map(F.lit, ("1", "2", "3")))).alias("r"))
+    cells = body.unionByName(heads).select("doc", F.lit(0).alias("table_ix"), "row_ix", F.posexplode("r").alias("col_ix", "text"))
+    return requirements.table_rules(cells).select("doc", "row_ix", "title", "constraint", "text", "source_review")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section, turn, text FROM conversations)
+SELECT conv_id, CAST(section AS BIGINT) AS section, count(*) AS n_rows, string_agg(text, chr(10) ORDER BY turn, text) AS section_text FROM s GROUP BY ALL"""
+)
+def section_fold(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return requirements.section_fold(rows, ["conv_id"], "turn", F.col("role") == "user", "text")
+
+
+@query()
+def paragraph_rules(spark, sf_dir):
+    """Conversations as marked documents: a user's turn is a section, any other its text."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.when(F.col("role") == "user", F.concat(F.lit("Раздел: "), F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "))).otherwise(F.concat(F.lit("Текст: "), "text"))
+    return requirements.paragraph_rules(c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), text.alias("text"), F.lit(False).alias("heading")))
+
+
+@query()
+def html_extract(spark, sf_dir):
+    """Text blocks of pages by patterns alone."""
+    return documents.markup_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("SELECT o_custkey, '<tr><td>' || o_orderkey || '</td><td>' || replace(replace(o_orderpriority, '&', '&amp;'), '<', '&lt;') || '</td></tr>' AS html FROM orders")
+def report_rows(spark, sf_dir):
+    return reports.html_rows(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey", "o_orderpriority"])
+
+
+@query(
+    "SELECT event_type, sum(value) FILTER (d = 0) AS \"0\", sum(value) FILTER (d = 1) AS \"1\", sum(value) FILTER (d = 2) AS \"2\" FROM (SELECT event_type, event_id % 3 AS d, floor(sum(value)) AS value FROM events GROUP BY ALL) GROUP BY event_type"
+)
+def pivot_methods(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("event_type", (F.col("event_id") % 3).alias("d")).agg(F.floor(F.sum("value")).cast("double").alias("v"))
+    return reports.pivoted(rows, ["event_type"], "d", [0, 1, 2], "v")
