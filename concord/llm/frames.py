@@ -51,6 +51,17 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = "_" + n
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def plain(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and the named columns alone: other columns of the input never clash with ours."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import partitions, plain, settle, text_key
+from .frames import fresh, partitions, plain, settle, text_key
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _ROWS = "h1 long, h2 long, doc_id long, tkey long, n_lines int, at array<int>"
@@ -212,10 +212,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) ->
 
     A row whose text is null stays null, unless a digest is asked for (that of the empty text).
     """
-    keep = bitmaps.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_k"), F.col("keep").alias("_keep"))
     left = plain(docs) if digest else docs
-    on = (F.col("doc_id").cast("long") == F.col("_d")) & (text_key() == F.col("_k"))
-    joined = left.join(keep, on, "left").drop("_d", "_k")
+    d, k, bitmap = fresh(left, "doc", "key", "bitmap")
+    keep = bitmaps.select(F.col("doc_id").alias(d), F.col("tkey").alias(k), F.col("keep").alias(bitmap))
+    on = (F.col("doc_id").cast("long") == F.col(d)) & (text_key() == F.col(k))
+    joined = left.join(keep, on, "left").drop(d, k)
     names = joined.columns[:-1]
     at, bits = names.index("text"), len(names)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import plain, settle
+from .frames import fresh, plain, settle
 
 LENGTH, SEED = 50, 8
 
@@ -125,9 +125,10 @@ def removed(docs: DataFrame, found: DataFrame, digest: bool = False) -> DataFram
     docs' own columns, the text of a row that lost words being its kept words joined by one space.
     Null text has no words.
     """
-    lists = found.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "n")).alias("_at")).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_k"), F.col("_at.start").alias("_start"), F.col("_at.n").alias("_n"))
     left = plain(docs) if digest else docs
-    joined = left.join(lists, (F.col("doc_id").cast("long") == F.col("_d")) & (_short_key() == F.col("_k")), "left").drop("_d", "_k")
+    d, k, start_, n_ = fresh(left, "doc", "key", "starts", "sizes")
+    lists = found.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "n")).alias("_at")).select(F.col("doc_id").alias(d), F.col("tkey").alias(k), F.col("_at.start").alias(start_), F.col("_at.n").alias(n_))
+    joined = left.join(lists, (F.col("doc_id").cast("long") == F.col(d)) & (_short_key() == F.col(k)), "left").drop(d, k)
     names = joined.columns[:-2]
     at = names.index("text")
 
