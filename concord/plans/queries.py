@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from concord.functions import geometry as G
 from concord.functions import quantity as Q
 from concord.functions import text as T
-from concord.operators import align, locate, measure, raster, readings, requirements, tokens, verdict
+from concord.operators import align, callouts, layout, locate, measure, raster, readings, requirements, tokens, verdict
 from concord.sources import documents, reports
 
 from . import sql as S
@@ -694,3 +694,67 @@ def report_rows(spark, sf_dir):
 def pivot_methods(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("event_type", (F.col("event_id") % 3).alias("d")).agg(F.floor(F.sum("value")).cast("double").alias("v"))
     return reports.pivoted(rows, ["event_type"], "d", [0, 1, 2], "v")
+
+
+# ---- places around words --------------------------------------------------------------------------
+
+
+def _placed_words(spark, sf_dir):
+    """Words of a document laid out on a page: 12 a line, a fortieth of the page high."""
+    w = tokens.word_rows(_docs(spark, sf_dir), "doc_id", "text")
+    box = G.box(F.col("col") * 0.08, F.col("line") * 0.03, F.least(F.lit(0.07), F.char_length("word") * 0.006), F.lit(0.025))
+    return w.withColumn("box", box)
+
+
+@query(
+    f"WITH {_WORDS}, p AS (SELECT doc_id, word_ix, (word_ix % 12) * 0.08 AS x, (word_ix // 12) * 0.03 AS y, least(0.07, length(word) * 0.006) AS w FROM u), "
+    "n AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(w) OVER o AS pw FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY word_ix)), "
+    "c AS (SELECT doc_id, sum(CASE WHEN px IS NOT NULL AND ((abs(y - py) < 0.65 * 0.025 AND x - px - pw < 6 * 0.025) OR (y >= py AND y - py - 0.025 < 2.5 * 0.025 AND x <= px + pw)) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY word_ix) AS chain FROM n) "
+    "SELECT doc_id, CAST(chain AS BIGINT) AS chain, count(*) AS n_words FROM c GROUP BY ALL"
+)
+def reading_chains(spark, sf_dir):
+    return layout.chains(_placed_words(spark, sf_dir), ["doc_id"]).groupBy("doc_id", "chain").agg(F.count("*").alias("n_words"))
+
+
+@query("SELECT conv_id, max(CASE WHEN regexp_matches(text, '[A-Za-z]{5,}|[A-Za-z]{3,}\\s+[A-Za-z]{3,}') THEN 'rus+eng' ELSE 'rus' END) AS languages FROM conversations GROUP BY conv_id")
+def reading_languages(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sheet_id"), "text")
+    return layout.languages(rows).withColumnRenamed("sheet_id", "conv_id")
+
+
+@query(
+    """WITH a AS (SELECT doc_id AS id, quality AS text FROM labels), b AS (SELECT doc_id AS id, length(text) % 7 AS status FROM documents WHERE doc_id % 3 <> 0)
+SELECT coalesce(a.id, b.id) AS id, a.text, b.status, CASE WHEN b.status IS NULL THEN 'not observed' WHEN a.text IS NULL THEN 'no reference' END AS gap FROM a FULL JOIN b ON a.id = b.id"""
+)
+def audit_join(spark, sf_dir):
+    ref = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("text"))
+    seen = _docs(spark, sf_dir).filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), (F.char_length("text") % 7).cast("long").alias("status"))
+    return layout.audit(ref, seen)
+
+
+@query(
+    "SELECT user_id, event_type, value AS v, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1"
+)
+def latest_reviews(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("sheet_id"), F.col("event_type").alias("rule_id"), F.col("value").alias("v"), "event_id", F.lit(True).alias("not_applicable"), F.lit("seen").alias("note"))
+    return layout.latest_reviews(rows, "event_id").select(F.col("sheet_id").alias("user_id"), F.col("rule_id").alias("event_type"), "v", "event_id")
+
+
+@query(
+    "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1"
+)
+def surest_reading(spark, sf_dir):
+    return readings.supersede(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "value", "event_id").select("user_id", "event_id", "value")
+
+
+@query(
+    "WITH a AS (SELECT part.p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || ',5 мм' ELSE p_size || ' мм' END AS raw FROM part) SELECT p_partkey, raw, CAST(2 AS INTEGER) AS reads FROM a"
+)
+def callout_readings(spark, sf_dir):
+    """Three attempts at each callout: two alike whose marks agree with the ink, and a surer one with a lost mark."""
+    p, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    good = F.when(p % 2 == 0, F.concat(n, F.lit(",5 мм"))).otherwise(F.concat(n, F.lit(" мм")))
+    lost = F.when(p % 2 == 0, F.concat(n, F.lit("5 мм"))).otherwise(F.concat(n, F.lit(",1 мм")))
+    tries = table(spark, sf_dir, "part").select(p.alias("sheet_id"), F.lit(0).alias("callout_ix"), F.explode(F.array(*(F.struct(F.lit(i).alias("attempt"), r.alias("raw"), F.lit(c).alias("confidence")) for i, r, c in ((0, lost, 95.0), (1, good, 60.0), (2, good, 50.0))))).alias("t"), F.when(p % 2 == 0, 1).otherwise(0).alias("separators"))
+    rows = callouts.best_reading(tries.select("sheet_id", "callout_ix", "t.*", "separators"))
+    return rows.select(F.col("sheet_id").alias("p_partkey"), "raw", "reads")
