@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .frames import settle
+
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 4096
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
-    """n_tokens and n_docs: one row per distinct length. Partial counts are taken before the shuffle, so a hot length is no hot task."""
-    return lengths.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_tokens and n_docs: one row per distinct length. Partial counts are taken before the shuffle, so a hot length is no hot
+    task; the histogram is written once, as every answer reads it more than once."""
+    rows = lengths.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return settle(rows, "lengths")
 
 
 def limits(hist: DataFrame) -> DataFrame:
