@@ -78,6 +78,36 @@ _REST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*', 0)"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+f AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k),
+g AS (SELECT r, i FROM s JOIN f USING (k) WHERE doc_id > least),
+c AS (SELECT DISTINCT r, i + j AS p FROM g, unnest(range(0, 50)) AS t(j)),
+n AS (SELECT r, list(p) AS gone FROM c GROUP BY r),
+p AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text FROM p ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+""",
+    "op5_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), @AZ@), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) WHEN len(w) = 1 THEN w ELSE [] END AS s FROM d),
+u AS (SELECT doc_id, unnest(s) AS x FROM s),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM b JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 80 * (len(p.s) + len(q.s) - n)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id WHERE r.c < l.b)
+SELECT s.doc_id, len(s) AS n_shingles, min(c) AS component_id, min(c) = s.doc_id AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(s)
+""".replace("@AZ@", _AZ),
+    "op9_decontaminate": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), @AZ@), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), @AZ@), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS k FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(i) WHERE len(w) > 0),
+g AS (SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS k FROM d, (SELECT DISTINCT m FROM q), unnest(range(1, len(w) - m + 2)) AS t(i)),
+h AS (SELECT DISTINCT r, i, g.m, item_id FROM g JOIN q USING (m, k)),
+c AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, m)) AS t(j) GROUP BY r),
+n AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)
+""".replace("@AZ@", _AZ),
     "op8_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
 y AS (SELECT doc_id, k, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_AZ}) AS key FROM l),
