@@ -145,9 +145,9 @@ def _alike(a: str, b: str) -> bool:
 
 def operations(target: Sequence[str], tokens: Sequence[str]) -> list[dict]:
     """same, replace, uncertain, missing and extra steps of the best alignment; a missing word between two read
-    neighbours that touch is anchored, look-alikes and cut numbers are uncertain."""
+    neighbours that touch is anchored, look-alikes and cut numbers are uncertain; `at` is the token's place."""
     if not len(target) or not len(tokens):
-        return [{"kind": "missing", "expected": t, "actual": None, "anchored": False} for t in target]
+        return [{"kind": "missing", "expected": t, "actual": None, "anchored": False, "at": None} for t in target]
     words, spots = np.unique(np.array(tokens, object).astype(str), return_inverse=True)
     digit = lambda s: any(c.isdigit() for c in s)
     folded = {t.translate(_FOLD) for t in target}
@@ -164,11 +164,11 @@ def operations(target: Sequence[str], tokens: Sequence[str]) -> list[dict]:
             a, b = target[i], str(tokens[j])
             da, db = "".join(filter(str.isdigit, a)), "".join(filter(str.isdigit, b))
             cut = bool(da) and 0 < len(db) < len(da) and (da.startswith(db) or da.endswith(db))
-            out.append({"kind": "same" if a == b else "uncertain" if _lookalike(a, b) or cut else "replace", "expected": a, "actual": b, "anchored": False})
+            out.append({"kind": "same" if a == b else "uncertain" if _lookalike(a, b) or cut else "replace", "expected": a, "actual": b, "anchored": False, "at": j})
         elif kind == "missing":
-            out.append({"kind": "missing", "expected": target[i], "actual": None, "anchored": False})
+            out.append({"kind": "missing", "expected": target[i], "actual": None, "anchored": False, "at": None})
         else:
-            out.append({"kind": "extra", "expected": None, "actual": str(tokens[j]), "anchored": False})
+            out.append({"kind": "extra", "expected": None, "actual": str(tokens[j]), "anchored": False, "at": j})
     for k, op in enumerate(out):
         if op["kind"] == "missing":
             left = next((o for o in out[k - 1 :: -1] if o["kind"] != "missing"), None) if k else None
@@ -177,7 +177,7 @@ def operations(target: Sequence[str], tokens: Sequence[str]) -> list[dict]:
     return out
 
 
-_OPS = "array<struct<kind:string,expected:string,actual:string,anchored:boolean>>"
+_OPS = "array<struct<kind:string,expected:string,actual:string,anchored:boolean,at:int>>"
 
 
 def aligned(pairs: DataFrame, keys: Sequence[str], target: str, tokens: str) -> DataFrame:

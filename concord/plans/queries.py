@@ -13,6 +13,7 @@ from concord.functions import text as T
 from concord.operators import align, callouts, layout, locate, measure, raster, readings, requirements, tokens, verdict
 from concord.sources import documents, reports
 
+from . import assess
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -758,3 +759,16 @@ def callout_readings(spark, sf_dir):
     tries = table(spark, sf_dir, "part").select(p.alias("sheet_id"), F.lit(0).alias("callout_ix"), F.explode(F.array(*(F.struct(F.lit(i).alias("attempt"), r.alias("raw"), F.lit(c).alias("confidence")) for i, r, c in ((0, lost, 95.0), (1, good, 60.0), (2, good, 50.0))))).alias("t"), F.when(p % 2 == 0, 1).otherwise(0).alias("separators"))
     rows = callouts.best_reading(tries.select("sheet_id", "callout_ix", "t.*", "separators"))
     return rows.select(F.col("sheet_id").alias("p_partkey"), "raw", "reads")
+
+
+@query()
+def assess_rows(spark, sf_dir):
+    """The core plan: each required text judged on its three best documents, whose words get a made-up confidence."""
+    rules, reads = _sides(spark, sf_dir)
+    pairs = locate.candidates(rules, reads, 3).select("rule_id", F.col("reading_id").alias("sheet_id"))
+    text = rules.select(F.col("id").alias("rule_id"), F.col("raw").alias("text"))
+    table_ = pairs.join(text, "rule_id").select("sheet_id", "rule_id", F.lit("Текст").alias("title"), F.lit("").alias("constraint"), F.col("text").alias("original"), "text")
+    docs = _docs(spark, sf_dir).join(pairs.select(F.col("sheet_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    w = tokens.word_rows(docs, "doc_id", "text")
+    words = w.select(F.col("doc_id").alias("sheet_id"), "word_ix", F.lit("a").alias("pass"), F.col("word").alias("text"), (60 + F.col("word_ix") * 7 % 40).cast("double").alias("confidence"))
+    return assess.assess(table_, words).drop("expected")
