@@ -6,15 +6,25 @@ slice's bytes (``pieces`` bounds them), never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+# Workers live through many tasks: freed memory goes back to the system (see trim), Arrow's too.
+pa.set_memory_pool(pa.system_memory_pool())
 SLICE_BYTES = 1 << 19
 
 
+def trim() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def _table(blanks: Iterable[int]) -> np.ndarray:
     t = np.ones(256, bool)
     t[list(blanks)] = False
@@ -88,16 +98,19 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `rows` rows and `limit` bytes in `column`, or one row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, off = buffers(batch.column(batch.schema.get_field_index(column)))
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-            j = min(j, i + rows, batch.num_rows)
-            yield batch.slice(i, j - i)
-            i = j
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, off = buffers(batch.column(batch.schema.get_field_index(column)))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+                j = min(j, i + rows, batch.num_rows)
+                yield batch.slice(i, j - i)
+                i = j
+    finally:
+        trim()
 
 
 class Words:

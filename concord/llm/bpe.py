@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 #: Distinct pieces whose ids a worker remembers; beyond it the memory is cleared, results stay the same.
-REMEMBERED = 400_000
+REMEMBERED = 320_000
 #: Longer pieces go through the scalar table.
 LANE = 48
 _MISS = np.int64(-1)
