@@ -35,6 +35,8 @@ VALUES, ORDERS, BASE, DEPTH, REGION, NEAR = 64, 24, 4, 8, 24, 4
 AGREE = 40
 #: Members on each side of a block of the rest.
 BLOCK = 512
+#: Ids that are broadcast, at most, to pick the texts of large regions.
+MAX_IDS = 200_000
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * A.U(2) + A.U(1)
 _DRAWN = np.stack([_rng.permutation(VALUES)[:DEPTH] for _ in range(ORDERS)])
@@ -202,8 +204,9 @@ def _confirm(k: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
-    one = pairs.join(keyed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(keyed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    # a shuffle at every size: the few pairs of a small run must not turn into a broadcast that a large one can't have
+    one = pairs.join(keyed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    two = one.join(keyed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
@@ -254,7 +257,10 @@ def _rest(found: DataFrame, tops: DataFrame, keyed: DataFrame, k: int, percent:
     torn = settle(members.join(hubs, "region").select("hub", "id", "top").distinct(), "torn")
     outside = F.col("top") != F.col("hub")
     sizes = settle(torn.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("outer")), "sizes")
-    texts = torn.join(sizes, "hub").join(keyed, F.col("id") == F.col("doc_id")).select("hub", "id", "top", "text", "blocks", "outer")
+    ids = settle(torn.select(F.col("id").alias("doc_id")).distinct(), "torn-ids")
+    if ids.count() <= MAX_IDS:  # then only their texts are shuffled; beyond it all are
+        keyed = keyed.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = torn.join(sizes, "hub").join(keyed.hint("merge"), F.col("id") == F.col("doc_id")).select("hub", "id", "top", "text", "blocks", "outer")
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = texts.filter(outside).select("hub", spot("outer").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"), "id", "top", "text")

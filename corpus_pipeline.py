@@ -37,7 +37,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least doc_id stays."""
     gone = near_dedup.near_duplicates(docs, SHINGLE, PERCENT).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(settle(gone, "near-copies"), "doc_id", "left_anti").select(docs.columns)
+    # the ids grow with the documents: a shuffle at every size, never a broadcast
+    return docs.join(settle(gone, "near-copies").hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
