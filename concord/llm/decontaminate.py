@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .frames import settle
 
 WINDOW = 13
 #: A document goes when at least 1 in SHARE of its words lies in a benchmark window.
 SHARE = 20
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 1 << 20
+#: Blocks gone through in one pass over the documents.
+TOGETHER = 4
 
 
 class Queries:
@@ -43,15 +46,14 @@ class Queries:
         self.end = np.repeat(w.first[1:], n)  # of the item: how far a longest match can reach
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[pa.Table]:
-    """The benchmark's non-empty items, in blocks of about `limit` bytes each."""
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, bool]]:
+    """The benchmark's non-empty items in blocks of about `limit` bytes, one at a time, and whether it is the last."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // limit))
-    if n == 1:
-        return [items.toArrow()]
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [items.filter(part == i).toArrow() for i in range(n)]
+    for i in range(n):
+        yield (items.filter(part == i) if n > 1 else items).toArrow(), i == n - 1
 
 
 class SuffixArray:
@@ -183,7 +185,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """
     spark = docs.sparkSession
     found = None
-    for block in blocks(benchmark):
+    for block, _ in blocks(benchmark):
         shared = spark.sparkContext.broadcast(Queries(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -268,9 +270,10 @@ def _pass(docs: DataFrame, block: pa.Table, window: int, share: int, first: bool
 
 
 def _all(docs: DataFrame, benchmark: DataFrame, window: int, share: int, digest: bool) -> DataFrame:
-    todo = blocks(benchmark)
-    for i, block in enumerate(todo):
-        docs = _pass(docs, block, window, share, i == 0, i == len(todo) - 1, digest)
+    for i, (block, last) in enumerate(blocks(benchmark)):
+        docs = _pass(docs, block, window, share, i == 0, last, digest)
+        if not last and i % TOGETHER == TOGETHER - 1:  # blocks that are done are let go, by driver and executors
+            docs = settle(docs, "decontamination")
     return docs
 
 
