@@ -89,8 +89,8 @@ def alike(a: Column, b: Column) -> Column:
 
 def compare(expected: Column, actual: Column) -> Column:
     """struct<status, coverage, missing>: found, all_words, partial, unreadable, or manual without expected text."""
-    e, a = compact(dehyphenate(expected)), compact(dehyphenate(actual))
-    return compare_tokens(e, a, words(expected), words(actual))
+    parts = F.struct(compact(dehyphenate(expected)).alias("e"), compact(dehyphenate(actual)).alias("a"), words(expected).alias("want"), words(actual).alias("read"))
+    return let(parts, lambda p: compare_tokens(p["e"], p["a"], p["want"], p["read"]))
 
 
 def compare_tokens(e: Column, a: Column, want: Column, read: Column) -> Column:
@@ -118,7 +118,10 @@ def marked_tokens(s: Column) -> Column:
 
 def punctuation(expected: Column, actual: Column) -> Column:
     """struct<checked, differences>: marks that differ, over tokens matched in order; null when nothing was checked."""
-    left, right = marked_tokens(expected), marked_tokens(actual)
+    return let(F.struct(marked_tokens(expected).alias("l"), marked_tokens(actual).alias("r")), lambda p: _marks_compared(p["l"], p["r"]))
+
+
+def _marks_compared(left: Column, right: Column) -> Column:
     of = lambda a: F.transform(a, lambda x: x["token"])
     same = of(left) == of(right)
     shape = "struct<cursor:int,checked:int,differences:array<struct<word:string,expected:string,actual:string>>>"

@@ -154,8 +154,17 @@ def operations(target: Sequence[str], tokens: Sequence[str]) -> list[dict]:
     stems = {f[:4] for f in folded if len(f) >= 4}
     numeric = any(map(digit, target))
     swap = np.ones((len(target), len(words)), np.int8)
+    # related words share four folded letters or, of one length, all but one: only such are compared
+    near: dict = {}
     for i, t in enumerate(target):
-        for j, w in enumerate(words):
+        f = t.translate(_FOLD)
+        for k in {t, f, f[:4], len(f)} | ({"digit"} if digit(t) else set()):
+            near.setdefault(k, set()).add(i)
+    for j, w in enumerate(words):
+        f = w.translate(_FOLD)
+        some = near.get(w, set()) | near.get(f, set()) | near.get(f[:4], set()) | (near.get(len(f), set()) if len(f) >= 6 else set()) | (near.get("digit", set()) if digit(w) else set())
+        for i in some:
+            t = target[i]
             swap[i, j] = -1 if t == w else 0 if (digit(t) and digit(w)) or _alike(t, w) else 1
     foreign = np.array([w.translate(_FOLD) not in folded and not (numeric and digit(w)) and w.translate(_FOLD)[:4] not in stems for w in words])
     out = []

@@ -7,6 +7,7 @@ text, of signs or graphics wait for a person; automatic evidence never passes a
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,12 +36,11 @@ def pass_readings(words: DataFrame, label: DataFrame | None = None) -> DataFrame
     if label is not None:
         rows = rows.join(label.select("sheet_id", F.col("box").alias("_l")), "sheet_id", "left").filter(F.col("_l").isNull() | G.inside(F.col("box"), F.col("_l"))).drop("_l")
     rows = rows.select("sheet_id", "pass", "word_ix", F.trim("text").alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")).filter("text <> ''")
-    item = F.struct("word_ix", "text", "confidence")
-    sets = rows.groupBy("sheet_id", "pass").agg(F.sort_array(F.collect_list(item)).alias("w"))
     # tokens word by word, so that each keeps its word's confidence
-    tokens = F.flatten(F.transform("w", lambda x: F.transform(T.phrase_tokens(x["text"]), lambda t: F.struct(t.alias("t"), x["confidence"].alias("c")))))
-    sets = sets.select("sheet_id", "pass", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("reading"), tokens.alias("tc"))
-    return sets.select("sheet_id", "pass", "reading", F.transform("tc", lambda x: x["t"]).alias("read"), F.transform("tc", lambda x: x["c"]).alias("confidences"))
+    rows = rows.withColumn("t", T.phrase_tokens(F.col("text")))
+    item = F.struct("word_ix", "text", "confidence", "t")
+    sets = rows.groupBy("sheet_id", "pass").agg(F.sort_array(F.collect_list(item)).alias("w"))
+    return sets.select("sheet_id", "pass", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("reading"), F.flatten(F.transform("w", lambda x: x["t"])).alias("read"), F.flatten(F.transform("w", lambda x: F.transform(x["t"], lambda _: x["confidence"]))).alias("confidences"))
 
 
 def located(rules: DataFrame, readings: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def assess(rules: DataFrame, words: DataFrame, *, volume: str = "0,7", margin: f
     A sheet without words has all its texts pending; letter heights move the status only with heights_affect_status.
     """
     rules = expected_texts(rules, volume)
-    readings = pass_readings(words, label)
+    # read by four stages; kept on disk, and made again from its input if an executor is lost
+    readings = pass_readings(words, label).persist(StorageLevel.DISK_ONLY)
     every = readings.groupBy("sheet_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pass", "reading"))), lambda x: x["reading"]), "\n").alias("all"))
     rows = rules.join(every, "sheet_id", "left").join(located(rules, readings), ["sheet_id", "rule_id"], "left").join(quantities_of(rules, readings), ["sheet_id", "rule_id"], "left")
     sizes = _sizes(rules, measured, margin, heights_affect_status)

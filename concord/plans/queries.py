@@ -765,7 +765,7 @@ def callout_readings(spark, sf_dir):
 def assess_rows(spark, sf_dir):
     """The core plan: each required text judged on its three best documents, whose words get a made-up confidence."""
     rules, reads = _sides(spark, sf_dir)
-    pairs = locate.candidates(rules, reads, 3).select("rule_id", F.col("reading_id").alias("sheet_id"))
+    pairs = locate.candidates(rules, reads, 3).select("rule_id", F.col("reading_id").alias("sheet_id")).persist()
     text = rules.select(F.col("id").alias("rule_id"), F.col("raw").alias("text"))
     table_ = pairs.join(text, "rule_id").select("sheet_id", "rule_id", F.lit("Текст").alias("title"), F.lit("").alias("constraint"), F.col("text").alias("original"), "text")
     docs = _docs(spark, sf_dir).join(pairs.select(F.col("sheet_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
