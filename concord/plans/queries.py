@@ -31,7 +31,12 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer pieces than there are cores (one small file) are dealt over the cores, others left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +124,11 @@ def _sides(spark, sf_dir):
     return locate.prepared(table(spark, sf_dir, "benchmark"), "item_id", "text"), locate.prepared(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _pairs(rules, reads, k: int = 10):
+    """The k best readings of each rule, kept: several joins read these few rows."""
+    return locate.candidates(rules, reads, k).persist()
+
+
 _HITS = f"""
 b AS (SELECT item_id, {S.tokens('text')} AS t, text FROM benchmark), d AS (SELECT doc_id, {S.tokens('text')} AS t, text FROM documents),
 w AS (SELECT item_id, least(len(list_distinct(t)), 2) AS need, unnest(list_distinct(t)) AS token FROM b),
@@ -147,13 +157,13 @@ c AS (SELECT item_id, doc_id, CASE WHEN e = '' THEN 'manual' WHEN contains(a, e)
 @query(f"WITH {_HITS}, {_COMPARED} SELECT item_id, doc_id, status, coverage FROM c")
 def compare_text(spark, sf_dir):
     rules, readings = _sides(spark, sf_dir)
-    return locate.compared(rules, readings, locate.candidates(rules, readings)).select(F.col("rule_id").alias("item_id"), F.col("reading_id").alias("doc_id"), "status", "coverage")
+    return locate.compared(rules, readings, _pairs(rules, readings)).select(F.col("rule_id").alias("item_id"), F.col("reading_id").alias("doc_id"), "status", "coverage")
 
 
 @query(f"WITH {_HITS}, {_COMPARED} SELECT item_id, doc_id, len(missing) AS n_missing, array_to_string(missing, ' ') AS missing FROM c WHERE status IN ('partial', 'unreadable')")
 def missing_tokens(spark, sf_dir):
     rules, readings = _sides(spark, sf_dir)
-    rows = locate.compared(rules, readings, locate.candidates(rules, readings)).filter(F.col("status").isin("partial", "unreadable"))
+    rows = locate.compared(rules, readings, _pairs(rules, readings)).filter(F.col("status").isin("partial", "unreadable"))
     return rows.select(F.col("rule_id").alias("item_id"), F.col("reading_id").alias("doc_id"), F.size("missing").cast("long").alias("n_missing"), F.array_join(F.sort_array("missing"), " ").alias("missing"))
 
 
@@ -536,7 +546,7 @@ def complete_methods(spark, sf_dir):
 )
 def verdict_rows(spark, sf_dir):
     rules, reads = _sides(spark, sf_dir)
-    rows = locate.compared(rules, reads, locate.candidates(rules, reads))
+    rows = locate.compared(rules, reads, _pairs(rules, reads))
     no = F.lit(False)
     i, status = F.col("rule_id"), F.col("status")
     s = verdict.row_status(status, rejected=i % 9 == 0, failed=no, exempt=no, confirmed=(i % 11 == 0) & (status == "found"), sizes_pass=F.lit(True), conditions=F.lit(True), quantity_issue=no, notation=no, size_issue=no, has_text=F.lit(True))
@@ -546,7 +556,7 @@ def verdict_rows(spark, sf_dir):
 @query(f"WITH {_HITS}, {_COMPARED} SELECT status, count(*) AS n, CAST(min(coverage) AS INTEGER) AS least, CAST(max(coverage) AS INTEGER) AS most FROM c GROUP BY status")
 def status_counts(spark, sf_dir):
     rules, reads = _sides(spark, sf_dir)
-    return locate.compared(rules, reads, locate.candidates(rules, reads)).groupBy("status").agg(F.count("*").alias("n"), F.min("coverage").alias("least"), F.max("coverage").alias("most"))
+    return locate.compared(rules, reads, _pairs(rules, reads)).groupBy("status").agg(F.count("*").alias("n"), F.min("coverage").alias("least"), F.max("coverage").alias("most"))
 
 
 @query()
@@ -600,7 +610,7 @@ def otsu_threshold(spark, sf_dir):
 
 def _top_pairs(spark, sf_dir, k: int):
     rules, reads = _sides(spark, sf_dir)
-    pairs = locate.candidates(rules, reads, k).select("rule_id", "reading_id")
+    pairs = _pairs(rules, reads, k).select("rule_id", "reading_id")
     left = rules.select(F.col("id").alias("rule_id"), F.col("raw").alias("rule_raw"), F.col("tokens").alias("rule_tokens"))
     used = reads.join(pairs.select(F.col("reading_id").alias("id")).distinct(), "id", "left_semi")
     right = used.select(F.col("id").alias("reading_id"), F.col("raw").alias("reading_raw"), F.col("tokens").alias("reading_tokens"))
@@ -765,7 +775,7 @@ def callout_readings(spark, sf_dir):
 def assess_rows(spark, sf_dir):
     """The core plan: each required text judged on its three best documents, whose words get a made-up confidence."""
     rules, reads = _sides(spark, sf_dir)
-    pairs = locate.candidates(rules, reads, 3).select("rule_id", F.col("reading_id").alias("sheet_id")).persist()
+    pairs = _pairs(rules, reads, 3).select("rule_id", F.col("reading_id").alias("sheet_id"))
     text = rules.select(F.col("id").alias("rule_id"), F.col("raw").alias("text"))
     table_ = pairs.join(text, "rule_id").select("sheet_id", "rule_id", F.lit("Текст").alias("title"), F.lit("").alias("constraint"), F.col("text").alias("original"), "text")
     docs = _docs(spark, sf_dir).join(pairs.select(F.col("sheet_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
