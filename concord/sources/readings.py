@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from concord.functions import geometry as G
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
-SCHEMA_TAG = "label-check.ocr-result/1"
+#: The tag of interchange results: any producer, kind and version as stated.
+SCHEMA_TAG = r"^[a-z-]+\.ocr-result/1$"
 WORD = f"struct<text:string,box:{BOX},rotation:int,confidence:double,source:string,engine:string,pass:string,line:string>"
 INTERCHANGE = f"schema string, method string, engine struct<det:string,rec:string,runtime:string>, page struct<width:double,height:double>, scale struct<mmPerPixel:double,level:string,origin:string,sourcePixelMm:double>, words array<{WORD}>"
 TRUTH = f"schema string, sheet string, kind string, sourceDpi int, page int, annotator string, status string, statusNote string, label {BOX}, tags array<string>, excluded string, lines array<struct<text:string,rotation:int,tags:array<string>>>, sections array<struct<rule:string,title:string,truth:string,differences:array<string>>>"
@@ -91,6 +92,6 @@ def problems(result: DataFrame, most: int = 20) -> DataFrame:
         F.when(w["confidence"].between(0, 100), F.array().cast("array<string>")).otherwise(F.array(F.format_string("word %d: confidence", i))),
         F.when(w["source"].isin(*SOURCES), F.array().cast("array<string>")).otherwise(F.array(F.format_string("word %d: source", i))),
     )
-    head = F.array_compact(F.array(F.when(~F.col("schema").eqNullSafe(SCHEMA_TAG), "schema"), F.when(~F.coalesce((F.col("page.width") > 0) & (F.col("page.height") > 0), F.lit(False)), "page"), F.when(F.col("words").isNull(), "words")))
+    head = F.array_compact(F.array(F.when(~F.coalesce(F.col("schema").rlike(SCHEMA_TAG), F.lit(False)), "schema"), F.when(~F.coalesce((F.col("page.width") > 0) & (F.col("page.height") > 0), F.lit(False)), "page"), F.when(F.col("words").isNull(), "words")))
     words = F.flatten(F.transform(F.coalesce("words", F.array().cast(f"array<{WORD}>")), bad))
     return result.select("path", F.slice(F.concat(head, words), 1, most + 1).alias("problems"))

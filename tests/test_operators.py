@@ -229,7 +229,7 @@ def test_documents(spark, tmp_path):
 
 def test_interchange(spark, tmp_path):
     word = {"text": "x", "box": {"x": 10, "y": 20, "w": 30, "h": 40}, "rotation": 0, "confidence": 50, "source": "recognition", "engine": "e", "pass": "p", "line": "0"}
-    good = {"schema": sources.SCHEMA_TAG, "method": "m", "page": {"width": 100, "height": 200}, "words": [word, word | {"source": "pdf-text", "pass": "pdf"}]}
+    good = {"schema": "own.ocr-result/1", "method": "m", "page": {"width": 100, "height": 200}, "words": [word, word | {"source": "pdf-text", "pass": "pdf"}]}
     (tmp_path / "good.json").write_text(json.dumps(good))
     (tmp_path / "bad.json").write_text(json.dumps(good | {"schema": "other", "words": [word | {"text": " ", "rotation": 45, "confidence": 101, "source": "?", "box": {"x": 0, "y": 0, "w": 0, "h": 1}}]}))
     df = sources.read_interchange(spark, str(tmp_path))
