@@ -128,6 +128,29 @@ def test_near_large_regions(spark):
     assert got(out, "doc_id", "component_id") == want([(a, c) for a, _, c, _ in brute.near(rows, 2)])
 
 
+def test_near_pairs_in_families_below_the_limit(spark):
+    """A family of texts too different to link, with pairs just above the limit: its large regions break up, the pairs stay."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(600)]
+
+    def changed(w, n):
+        w = list(w)
+        for i in r.sample(range(600), n):
+            w[i] = f"x{r.randrange(10**9)}"
+        return w
+
+    rows = []
+    for d in range(200):
+        w = changed(words, 52)
+        rows.append((d, " ".join(w)))
+        if d % 3 == 0:
+            rows.append((1000 + d, " ".join(changed(w, 62))))
+    expected = [(a, c) for a, _, c, _ in brute.near(rows, 1)]
+    assert sum(a != c for a, c in expected) == 67
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 1)
+    assert got(out, "doc_id", "component_id") == want(expected)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
