@@ -1,5 +1,6 @@
 """Each operator against a plain version, with nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import json
 import random
 
 import numpy as np
@@ -280,6 +281,15 @@ def test_html(spark):
     assert out[20, None][0] == "Title 1\nalone" and out[21, "http://h.com/y"] == ("", 0) and out[23, "no host"][0] == "just text"
 
 
+def test_all_content_of_a_page_stays():
+    two = lambda i: f"<body><p>Our site</p><article><p>a long first part {i}</p></article><div>between {i}</div><article><p>second {i}</p></article></body>"
+    wrap = html_text._tree(json.loads(html_text.wrapper([two(i) for i in range(6)])))
+    assert html_text.extract(two(9), wrap) == "a long first part 9\nbetween 9\nsecond 9"
+    assert html_text.extract(two(9)) == "a long first part 9\nsecond 9"
+    assert html_text.extract("<body><div class=content>one</div><div class=content><p>two</p></div></body>") == "one\ntwo"
+    assert html_text.extract("<body><p>plain <p><a href=x>a linked block</a></body>") == "plain\na linked block"
+
+
 def test_tree_matching():
     a, b = html_text.parse("<div><p>x</p><p>y</p><ul><li>1</ul></div>"), html_text.parse("<div><p>x</p><ul><li>1</ul></div>")
     assert html_text.match(a, b) == html_text.match(b, a) == 7  # root, div, p and its text, ul, li and its text
