@@ -290,6 +290,16 @@ def test_all_content_of_a_page_stays():
     assert html_text.extract("<body><p>plain <p><a href=x>a linked block</a></body>") == "plain\na linked block"
 
 
+def test_template_of_every_layout_and_size(spark):
+    """Two layouts of one host, and a menu of 1,500 entries: the template of both goes, wherever the sampled pages come from."""
+    menu = "".join(f"<li>entry number {j}</li>" for j in range(1500))
+    big = lambda i: f"<body><ul>{menu}</ul><div><p>story {i}</p></div></body>"
+    lay = lambda i, c: f"<body><div class={c}><p>all about {c}</p><p>item {i} is new</p></div></body>"
+    rows = [(i, "http://big.com/x", big(i)) for i in range(4)] + [(10 + i, "http://two.com/x", lay(i, "abc"[i % 3])) for i in range(24)] + [(50, "http://one.com/x", "<p>one page")] * 5
+    out = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"story {i}" for i in range(4)} | {10 + i: f"item {i} is new" for i in range(24)} | {50: "one page"}
+
+
 def test_tree_matching():
     a, b = html_text.parse("<div><p>x</p><p>y</p><ul><li>1</ul></div>"), html_text.parse("<div><p>x</p><ul><li>1</ul></div>")
     assert html_text.match(a, b) == html_text.match(b, a) == 7  # root, div, p and its text, ul, li and its text
