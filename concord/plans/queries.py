@@ -684,7 +684,7 @@ def section_fold(spark, sf_dir):
 def paragraph_rules(spark, sf_dir):
     """Conversations as marked documents: a user's turn is a section, any other its text."""
     c = table(spark, sf_dir, "conversations")
-    text = F.when(F.col("role") == "user", F.concat(F.lit("Раздел: "), F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "))).otherwise(F.concat(F.lit("Текст: "), "text"))
+    text = F.when(F.col("role") == "user", F.concat(F.lit("Раздел: "), F.regexp_replace("text", r"\s+", " "))).otherwise(F.concat(F.lit("Текст: "), "text"))
     return requirements.paragraph_rules(c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), text.alias("text"), F.lit(False).alias("heading")))
 
 

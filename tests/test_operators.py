@@ -287,3 +287,11 @@ def test_entry_runs(spark, name):
     from concord.plans.queries import QUERIES
 
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_paragraph_rules_take_whole_turns(spark, tmp_path):
+    from concord.plans.queries import QUERIES
+
+    long = " ".join(f"слово{i}" for i in range(60))
+    spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "Ответ")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [(r.title, r.text) for r in QUERIES["paragraph_rules"](spark, str(tmp_path)).collect()] == [(long, "Ответ")]
