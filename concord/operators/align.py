@@ -186,20 +186,37 @@ def operations(target: Sequence[str], tokens: Sequence[str]) -> list[dict]:
     return out
 
 
+def quality(target: Sequence[str], ops: Sequence[dict]) -> float:
+    """1 less the weighed share of steps that are not same: words foreign to the target that go on with an insertion weigh a quarter."""
+    folded = {t.translate(_FOLD) for t in target}
+    stems = {f[:4] for f in folded if len(f) >= 4}
+    digit = lambda s: any(c.isdigit() for c in s)
+    numeric = any(map(digit, target))
+    weighed, last = 0.0, None
+    for o in ops:
+        if o["kind"] != "same":
+            f = o["actual"].translate(_FOLD) if o["kind"] == last == "extra" else None
+            weighed += 0.25 if f is not None and f not in folded and not (numeric and digit(f)) and f[:4] not in stems else 1
+        last = o["kind"]
+    return 1 - weighed / max(1, len(target))
+
+
 _OPS = "array<struct<kind:string,expected:string,actual:string,anchored:boolean,at:int>>"
 
 
 def aligned(pairs: DataFrame, keys: Sequence[str], target: str, tokens: str) -> DataFrame:
-    """keys, coverage (per cent of target tokens read) and ops of each pair's best alignment."""
+    """keys, coverage (per cent of target tokens read), n_same, quality and ops of each pair's best alignment."""
     kept = [pairs.schema[k] for k in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ops = [operations(list(x), list(y)) for x, y in zip(b[target], b[tokens])]
-            cover = [int(100 * sum(o["kind"] == "same" for o in o_) / max(1, len(x)) + 0.5) for o_, x in zip(ops, b[target])]
-            yield b[list(keys)].assign(coverage=np.array(cover, np.int32), ops=ops)
+            same = [sum(o["kind"] == "same" for o in o_) for o_ in ops]
+            cover = [int(100 * n / max(1, len(x)) + 0.5) for n, x in zip(same, b[target])]
+            good = [quality(list(x), o_) for o_, x in zip(ops, b[target])]
+            yield b[list(keys)].assign(coverage=np.array(cover, np.int32), n_same=np.array(same, np.int32), quality=np.array(good, np.float64), ops=ops)
 
-    return pairs.select(*keys, target, tokens).mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + f", coverage int, ops {_OPS}")
+    return pairs.select(*keys, target, tokens).mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + f", coverage int, n_same int, quality double, ops {_OPS}")
 
 
 def similarities(pairs: DataFrame, keys: Sequence[str], needle: str, hay: str) -> DataFrame:

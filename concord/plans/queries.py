@@ -625,16 +625,17 @@ def inside_similarity(spark, sf_dir):
 
 @query()
 def align_ops(spark, sf_dir):
-    """What the best reading of each required text has the same, different, missing and extra."""
-    rows = align.aligned(_top_pairs(spark, sf_dir, 1), ["rule_id", "reading_id"], "rule_tokens", "reading_tokens")
+    """What the best aligned of each required text's ten readings has the same, different, missing and extra."""
+    rows = align.aligned(_top_pairs(spark, sf_dir, 10), ["rule_id", "reading_id"], "rule_tokens", "reading_tokens")
+    rows = tokens.top(rows, ["rule_id"], [F.desc("n_same"), F.desc("quality"), F.asc("reading_id")], 1)
     n = lambda k: F.size(F.filter("ops", lambda o: o["kind"] == k)).alias(k)
     return rows.select("rule_id", "reading_id", "coverage", *(n(k) for k in ("same", "replace", "uncertain", "missing", "extra")), F.size(F.filter("ops", lambda o: o["anchored"])).alias("anchored"))
 
 
 @query()
 def score_lines(spark, sf_dir):
-    """Character, word, number, mark and letter errors of each required text against its two best readings."""
-    rows = _top_pairs(spark, sf_dir, 2).groupBy("rule_id").agg(F.min("rule_raw").alias("line"), F.sort_array(F.collect_list("reading_raw")).alias("readings"))
+    """Character, word, number, mark and letter errors of each required text against its ten best readings."""
+    rows = _top_pairs(spark, sf_dir, 10).groupBy("rule_id").agg(F.min("rule_raw").alias("line"), F.sort_array(F.collect_list("reading_raw")).alias("readings"))
     return align.score_lines(rows, ["rule_id"], "line", "readings")
 
 
@@ -773,9 +774,9 @@ def callout_readings(spark, sf_dir):
 
 @query()
 def assess_rows(spark, sf_dir):
-    """The core plan: each required text judged on its three best documents, whose words get a made-up confidence."""
+    """The core plan: each required text judged on each of its ten best documents, whose words get a made-up confidence."""
     rules, reads = _sides(spark, sf_dir)
-    pairs = _pairs(rules, reads, 3).select("rule_id", F.col("reading_id").alias("sheet_id"))
+    pairs = _pairs(rules, reads, 10).select("rule_id", F.col("reading_id").alias("sheet_id"))
     text = rules.select(F.col("id").alias("rule_id"), F.col("raw").alias("text"))
     table_ = pairs.join(text, "rule_id").select("sheet_id", "rule_id", F.lit("Текст").alias("title"), F.lit("").alias("constraint"), F.col("text").alias("original"), "text")
     docs = _docs(spark, sf_dir).join(pairs.select(F.col("sheet_id").alias("doc_id")).distinct(), "doc_id", "left_semi")

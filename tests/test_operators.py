@@ -295,3 +295,23 @@ def test_paragraph_rules_take_whole_turns(spark, tmp_path):
     long = " ".join(f"слово{i}" for i in range(60))
     spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "Ответ")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [(r.title, r.text) for r in QUERIES["paragraph_rules"](spark, str(tmp_path)).collect()] == [(long, "Ответ")]
+
+
+@pytest.fixture(scope="module")
+def misread(spark, tmp_path_factory):
+    """Required texts that stand in order, with a misread word, in the document of least overlap: two long ones hold all words scattered."""
+    at = tmp_path_factory.mktemp("misread")
+    one = [f"слово{chr(1072 + i)}{chr(1072 + i)}" for i in range(20)]
+    scattered = " ".join(x for w in reversed(one) for x in (w, "прочее", "иное", "другое"))
+    read = " ".join(w if i != 7 else "ошибка" for i, w in enumerate(one))
+    spark.createDataFrame([(1, " ".join(one))], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+    spark.createDataFrame([(i, scattered) for i in range(4)] + [(9, "начало " + read + " конец")], "doc_id long, text string").write.parquet(str(at / "documents.parquet"))
+    return str(at)
+
+
+def test_ten_readings_are_aligned(spark, misread):
+    from concord.plans.queries import QUERIES
+
+    assert [(r.reading_id, r.coverage) for r in QUERIES["align_ops"](spark, misread).collect()] == [(9, 95)]
+    assert [(r.words, r.word_errors) for r in QUERIES["score_lines"](spark, misread).collect()] == [(20, 1)]
+    assert {r.sheet_id: r.coverage for r in QUERIES["assess_rows"](spark, misread).collect()}[9] == 95
