@@ -1,6 +1,5 @@
 """Each operator against a plain version, with nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
-import json
 import random
 
 import numpy as np
@@ -281,17 +280,103 @@ def test_html(spark):
     assert out[20, None][0] == "Title 1\nalone" and out[21, "http://h.com/y"] == ("", 0) and out[23, "no host"][0] == "just text"
 
 
+def wrapped(pages):
+    """The wrapper of these pages of one host, counted plainly."""
+    trees = [html_text.outline(html_text.parse(p)) for p in dict.fromkeys(pages)]
+    shapes = {}
+    for t, _ in trees:
+        shapes[t.write()] = shapes.get(t.write(), 0) + 1
+    first = sorted(shapes, key=lambda s: (-shapes[s], html_text._outline_key(s)))[: html_text.SHAPES]
+    w = html_text.induce(first)
+    at, texts = {}, {}
+    for t, members in trees:
+        for i, j in html_text.align(html_text.Tree.read(w), t)[1]:
+            own = [x for x in members[j] if x.tag == "#"]
+            if own or len(members[j]) > 1 or j and t.kids[j]:
+                n, c, x, lo, hi = at.get(i, (0, 0, 0, 10**9, 0))
+                at[i] = n + 1, c + sum(len(y.text) for y in own), x + sum(y.links for y in own), min(lo, len(members[j])), max(hi, len(members[j]))
+            for key in {html_text._key(y.text) for y in own}:
+                texts[i, key] = texts.get((i, key), 0) + 1
+    common = [k for k, n in texts.items() if n >= html_text.LEAST and n >= html_text.ALIKE * at[k[0]][0]]
+    return w, [(i, *at[i]) for i in at], common
+
+
+def site(n, head="", foot=""):
+    """Pages of a host whose names say nothing: a menu, a line that varies, a story of one to four paragraphs, a closing line."""
+    r = random.Random(n)
+    story = "".join(f"<p>paragraph {n} {j} tells more</p>" for j in range(1 + n % 4))
+    menu = "".join(f"<li><a href=/x{r.random()}>item {r.random()}</a>" for _ in range(3 + n % 3))
+    return f"<body><div class=k1><ul>{menu}</ul></div><div class=k2>buy {r.random()} now</div>{head}<div class=k3>{story}</div>{foot}<div class=k4>closing {r.random()}</div></body>"
+
+
+def test_the_wrapper_decides(spark):
+    """No name of these pages excludes anything: without the wrapper all text stays, with it the story alone."""
+    pages = [site(n, f"<h2>Heading {n}</h2>") for n in range(12)]
+    w = html_text.Wrapper(*wrapped(pages))
+    for n, p in enumerate(pages):
+        want_ = "\n".join([f"Heading {n}"] + [f"paragraph {n} {j} tells more" for j in range(1 + n % 4)])
+        assert html_text.extract(p, w) == html_text.extract(p, w, names=False) == want_
+        assert "buy" in html_text.extract(p) and "closing" in html_text.extract(p)
+    df = spark.createDataFrame([(i, "http://h.org/x", p) for i, p in enumerate(pages + pages[:3])], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_text.extract_pages(df).collect()}
+    assert out == {i: html_text.extract(p, w) for i, p in enumerate(pages + pages[:3])}
+    made = html_text.wrappers(df.withColumn("host", F.lit("h.org"))).collect()
+    tree, stats, common = wrapped(pages)
+    assert len(made) == 1 and made[0]["wrapper"] == tree
+    assert sorted(map(tuple, made[0]["stats"])) == sorted(stats) and sorted(map(tuple, made[0]["common"] or ())) == sorted(common)
+    # the same through the join that stands beyond the broadcast's bound
+    bound = html_text.MAX_BYTES
+    try:
+        html_text.MAX_BYTES = 0
+        assert {r.page_id: r.text for r in html_text.extract_pages(df).collect()} == out
+    finally:
+        html_text.MAX_BYTES = bound
+
+
+def test_the_wrapper_alone_finds_the_articles(spark):
+    """Over the test table's pages: names switched off, the wrapper gives each page's article; without it no page is right."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "html", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host"))
+    made = {r.h: html_text.Wrapper(r.wrapper, [tuple(x) for x in r.stats], [tuple(x) for x in r.common or ()]) for r in html_text.wrappers(pages.select("host", "html")).collect()}
+    rows = pages.collect()
+    assert len(made) >= 50
+    for r in rows:
+        article = html_text.extract(re.search("<article>.*</article>", r.html, re.S)[0])
+        assert html_text.extract(r.html, made[r.host], names=False) == article
+        assert html_text.extract(r.html, None, names=False) != article
+
+
 def test_all_content_of_a_page_stays():
     two = lambda i: f"<body><p>Our site</p><article><p>a long first part {i}</p></article><div>between {i}</div><article><p>second {i}</p></article></body>"
-    wrap = html_text._tree(json.loads(html_text.wrapper([two(i) for i in range(6)])))
+    wrap = html_text.Wrapper(*wrapped([two(i) for i in range(6)]))
     assert html_text.extract(two(9), wrap) == "a long first part 9\nbetween 9\nsecond 9"
     assert html_text.extract(two(9)) == "a long first part 9\nsecond 9"
+    # two stories, a title outside of them, and names inside that exclude outside only
+    more = lambda i: f"<body><main><h1>Title {i}</h1><article>{'<p>first {0}</p>'.format(i) * (1 + i % 3)}<p class=alert>beware {i}</p><div class=side>aside {i}</div></article><article>{'<p>second {0}</p>'.format(i) * (1 + i % 2)}</article></main><div class=alert>frame {i}</div></body>"
+    wrap = html_text.Wrapper(*wrapped([more(i) for i in range(9)]))
+    assert html_text.extract(more(4), wrap) == html_text.extract(more(4)) == "Title 4\nfirst 4\nfirst 4\nbeware 4\naside 4\nsecond 4"
     assert html_text.extract("<body><div class=content>one</div><div class=content><p>two</p></div></body>") == "one\ntwo"
     assert html_text.extract("<body><p>plain <p><a href=x>a linked block</a></body>") == "plain\na linked block"
+    assert html_text.extract("<body><h1>Title</h1><nav>menu</nav><article><p>story</article>x</body>") == "Title\nstory"
+    # stories right in the body, between menus without names
+    flat = lambda i: f"<body><ul>{'<li><a href=x>go {0}</a>'.format(i) * (2 + i % 3)}</ul>{'<p>story {0}</p>'.format(i) * (1 + i % 4)}</body>"
+    assert html_text.extract(flat(2), html_text.Wrapper(*wrapped([flat(i) for i in range(9)]))) == "story 2\nstory 2\nstory 2"
+    # a page of another layout than its host's wrapper keeps its text
+    assert html_text.extract("<body><table><tr><td>other</table></body>", wrap) == "other"
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 100_000 + "bottom" + "</div>" * 100_000
+    long = "<body><p>" + "word " * 400_000 + "</p></body>"
+    rows = [(i, "http://deep.com/", d) for i, d in enumerate([deep, deep + "<p>tail", long, "<p>short", "<i>" * 50_000 + "x", "</div>" * 50_000 + "y", "<ul>" + "<li>z" * 20_000])]
+    out = {r.page_id: (r.text[:12], r.n_chars) for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0] == ("bottom", 6) and out[1] == ("bottom\ntail", 11) and out[2] == ("word word wo", 1_999_999) and out[3] == ("short", 5) and out[5] == ("y", 1)
+    assert out[6] == ("z\nz\nz\nz\nz\nz\n", 39_999)
 
 
 def test_template_of_every_layout_and_size(spark):
-    """Two layouts of one host, and a menu of 1,500 entries: the template of both goes, wherever the sampled pages come from."""
+    """Two layouts of one host, and a menu of 1,500 entries: the template of all goes, whatever their share."""
     menu = "".join(f"<li>entry number {j}</li>" for j in range(1500))
     big = lambda i: f"<body><ul>{menu}</ul><div><p>story {i}</p></div></body>"
     lay = lambda i, c: f"<body><div class={c}><p>all about {c}</p><p>item {i} is new</p></div></body>"
@@ -301,9 +386,42 @@ def test_template_of_every_layout_and_size(spark):
 
 
 def test_tree_matching():
-    a, b = html_text.parse("<div><p>x</p><p>y</p><ul><li>1</ul></div>"), html_text.parse("<div><p>x</p><ul><li>1</ul></div>")
-    assert html_text.match(a, b) == html_text.match(b, a) == 7  # root, div, p and its text, ul, li and its text
-    assert html_text.wrapper(["<p>a</p>"] * 2) is None
+    """Against the plain recursion over all pairs, and the pairs themselves: equal keys, order and ancestry kept."""
+
+    def tree(r, depth=0):
+        return (r.choice("ab"), [tree(r, depth + 1) for _ in range(r.randrange(4 if depth < 3 else 1))])
+
+    def flat(t):
+        out = html_text.Tree([t[0]], [-1])
+        stack = [(0, t[1])]
+        while stack:
+            i, kids = stack.pop()
+            stack += [(out.add(k[0], i, len(out.kids[i])), k[1]) for k in kids]
+        return out
+
+    def plain(a, b):
+        if a[0] != b[0]:
+            return 0
+        m = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+        for i, x in enumerate(a[1]):
+            for j, y in enumerate(b[1]):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + plain(x, y))
+        return 1 + m[-1][-1]
+
+    r = random.Random(7)
+    for _ in range(400):
+        a, b = ("r", [tree(r) for _ in range(r.randrange(5))]), ("r", [tree(r) for _ in range(r.randrange(5))])
+        x, y = flat(a), flat(b)
+        size, pairs = html_text.align(x, y)
+        assert size == plain(a, b) == len(pairs) == len({i for i, _ in pairs}) == len({j for _, j in pairs})
+        of = dict(pairs)
+        assert all(x.keys[i] == y.keys[j] and (i == 0 or of[x.parents[i]] == y.parents[j]) for i, j in pairs)
+        for kids in x.kids:
+            got_ = [y.kids[y.parents[of[k]]].index(of[k]) for k in kids if k in of]
+            assert got_ == sorted(got_)
+        # grown by b, the tree holds both
+        html_text.grow(x, y)
+        assert html_text.align(x, y)[0] == len(y.keys) and html_text.align(x, flat(a))[0] == len(flat(a).keys)
 
 
 def test_fingerprints(spark, rows):
