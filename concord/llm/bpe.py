@@ -28,6 +28,8 @@ from . import arrays as A
 REMEMBERED = 320_000
 #: Longer pieces go through the scalar table.
 LANE = 48
+#: Values of the bytes in hashes of token-long ranges.
+_BYTE = np.random.default_rng(0xC0FFEE).integers(1, 2**63, 256, dtype=np.uint64)
 _MISS = np.int64(-1)
 
 
@@ -110,7 +112,7 @@ class Bpe:
             at += len(b)
         self.blob = np.frombuffer(b"".join(blob), np.uint8)
         ids = np.fromiter(self.token, np.int64, len(self.token))
-        self.by_hash = _Hash(A.byte_hash(self.blob, self.offset[ids], self.offset[ids] + self.size[ids], 3), ids)
+        self.by_hash = _Hash(A.Prefix(_BYTE[self.blob], 3).of(self.offset[ids], self.offset[ids] + self.size[ids]), ids)
         self.memory: dict[str, bytes] = {}
 
     def _take_apart(self, i: int, b: bytes) -> None:
@@ -168,7 +170,7 @@ class Bpe:
         data = np.frombuffer(b"".join(texts), np.uint8)
         begin = np.concatenate(([0], np.cumsum(size)[:-1]))[order]
         size = size[order]
-        sums = A.Prefix(A._BYTE[3][data], 3)
+        sums = A.Prefix(_BYTE[data], 3)
         most = int(size[0])
         last = np.full((len(texts), most + 1), _MISS)
         for i in range(1, most + 1):

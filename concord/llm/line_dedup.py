@@ -1,6 +1,6 @@
 """Line dedup over range-partitioned line hashes.
 
-1. Each document gives one row per distinct long line: a 128-bit hash of its key, doc_id, positions.
+1. Each document gives one row per distinct long line: 128 bits of BLAKE2b of its key, doc_id, positions.
 2. The rows are range-partitioned by (hash, doc_id descending) and sorted: a line that stands in a
    third of all documents is spread over many partitions, in order.
 3. Each partition streams its rows. The first document of a hash, the largest doc_id, keeps its
@@ -55,7 +55,7 @@ def _line_rows(min_chars: int):
             long = points[last] - points[first] >= min_chars
             some, first, last = some[long], first[long], last[long]
             low = A.LOWER[data]
-            h1, h2 = (A.byte_hash(low, first, last, k) for k in (0, 1))
+            h1, h2 = A.digests(low, first, last)
             order = np.lexsort((at[some], h2, h1, row[some]))
             r, h1, h2, at = row[some][order], h1[order], h2[order], at[some][order]
             new = np.ones(len(r), bool)

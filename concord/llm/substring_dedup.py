@@ -12,8 +12,11 @@ windows with the same anchor form a span, the anchor extended both ways as far a
 5. Per document, overlapping repeats merge into maximal ones.
 
 Every grouping takes partial minima first and every join back has a plain shuffle on both sides, so
-a passage in a third of all documents is no hot task; no pairs of documents are ever listed. Hashes
-that decide are 128 bits wide.
+a passage in a third of all documents is no hot task; no pairs of documents are ever listed. What decides is
+an anchor and a span (or window) of it, 64 bits each, made from two independent hashes of the words.
+
+Defined cases: null, empty and short texts have no windows and lose nothing; a text of any length is one row;
+an empty table gives an empty result; columns other than doc_id and text are passed on whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ def _short_key() -> Column:
 def _spans(w: A.Words, length: int, seed: int):
     """Word hashes' prefix sums, and of each span: anchor hash, first window, number of windows, anchor's offset."""
     h = w.hashes()
-    sums = A.Prefix(h, 1)
+    sums = A.Prefix(w.hashes(1), 1)
     i = np.arange(max(0, len(h) - seed + 1))
     grams = A.Prefix(h, 0).of(i, i + seed)
     least = A.window_argmin(grams, length - seed + 1)

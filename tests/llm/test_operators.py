@@ -48,6 +48,12 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, DOCS).repartition(4).cache()
 
 
+def alternating(n, zero="a", one="b"):
+    """The Thue-Morse word of n characters, and its opposite: equal under every polynomial hash modulo 2**64 from 1,024 on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((zero, one)[b] for b in bits), "".join((one, zero)[b] for b in bits)
+
+
 def wide(df):
     return df.select("*", *(F.lit("z").alias(c) for c in CLASH))
 
@@ -76,6 +82,37 @@ def test_lines(spark, docs, rows):
     assert kept.columns == wide(docs).columns and kept.filter("text IS NULL").count() == 1
 
 
+def test_texts_built_to_collide(spark):
+    """Long words, lines and word sequences that polynomial hashes modulo 2**64 can't tell apart."""
+    a, b = alternating(2048)
+    c, d = (x.split() for x in alternating(2048, "yes ", "no "))
+    story = lambda w: " ".join([f"w{i}" for i in range(60)] + [w] + [f"v{i}" for i in range(60)])
+    texts = [story(a), story(b), story(a), story("other"), a, b, a, "x\n" + a, b + "\ny", " ".join(c), " ".join(d), " ".join(c[:70]), " ".join(d[:70]), a + " " + b, b + " " + a]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, DOCS).repartition(2)
+    out = substring_dedup.removed(df, substring_dedup.repeats(df), digest=True)
+    assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.substring(rows))
+    out = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df), digest=True)
+    assert got(out, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want(brute.lines(rows))
+    for k in (2, 5):
+        assert got(near_dedup.near_duplicates(df, k), "doc_id", "n_shingles", "component_id", "kept") == want(brute.near(rows, k))
+    items = [(0, story(a)), (1, b), (2, " ".join(c[:13])), (3, a + " " + b)]
+    out = decontaminate.judge(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert got(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want(brute.contaminated(rows, items))
+
+
+def test_byte_hashes():
+    import pyarrow as pa
+
+    from concord.llm import arrays as A
+
+    words = sorted({"".join(random.Random(i).choices("abé\x00", k=i % 90 + 1)) for i in range(4000)} | {"\x00" * i for i in range(1, 200)})
+    for which in range(3):
+        h = A.Words(pa.array([" ".join(words)])).hashes(which)
+        assert len(set(h.tolist())) == len(words)
+        assert h.tolist() == [int(A.Words(pa.array([x])).hashes(which)[0]) for x in words]
+
+
 def test_line_stream_over_any_cuts():
     import pyarrow as pa
 
