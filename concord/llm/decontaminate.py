@@ -1,10 +1,12 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 A shard is a slice of documents (a few MB): its words become ranks, its suffixes are sorted by
-their first 4, 12, 36, ... words until no two are alike or the longest item is reached, and every
-benchmark suffix is found in that order by binary search. Documents never span shards, so there is
-no shuffle. The benchmark is the broadcast side: it is cut into blocks of at most ``BLOCK_BYTES`` of
-text, gone through one after the other, so its size never decides whether a run fits.
+their first 4, 12, 36, ... words until no two are alike or a window's length is reached. Every
+benchmark suffix is found in that order by binary search; what begins there is extended on both sides to
+longest verbatim matches, and these decide which words, items and documents are hit. Documents never span
+shards, so there is no shuffle. The benchmark is the broadcast side: it is cut into blocks of at most
+``BLOCK_BYTES`` of text, ``TOGETHER`` of which are searched in one pass over the documents, in one array per
+shard. Further blocks take further passes, so the benchmark's size never decides whether a run fits.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import settle
+from .frames import fresh, plain, settle
 
 WINDOW = 13
 #: A document goes when at least 1 in SHARE of its words lies in a benchmark window.
 SHARE = 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
-#: Blocks gone through in one pass over the documents.
+#: Blocks searched in one pass over the documents.
 TOGETHER = 4
 
 
@@ -40,10 +42,10 @@ class Queries:
         self.ids = items.column("item_id").cast(pa.string()).to_pylist()
         size = np.minimum(w.count, window)
         n = np.where(w.count > 0, w.count - size + 1, 0)
-        self.start = A.ranges(w.first[:-1], n)
-        self.size = np.repeat(size, n)
-        self.item = np.repeat(np.arange(len(n)), n)
-        self.end = np.repeat(w.first[1:], n)  # of the item: how far a longest match can reach
+        self.start = A.ranges(w.first[:-1], n).astype(np.int32)
+        self.size = np.repeat(size, n).astype(np.int32)
+        self.item = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.first = w.first  # of each item's words: how far a longest match can reach
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, bool]]:
@@ -164,129 +166,138 @@ class SuffixArray:
         return out
 
 
-def _search(words: A.Words, hashes: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-    """Matches of windows within one document: index of the query and the word where it begins."""
+def _longest(words: A.Words, hashes: np.ndarray, sa: SuffixArray, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest matches of at least a window: item, its word, the shard's word, and the length; none can be extended within both texts."""
     if not len(hashes) or not len(q.start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sa = SuffixArray(hashes, int(q.size.max()))
+        return (np.zeros(0, np.int64),) * 4
     lo, hi = sa.find(q.words, q.start, q.size)
     n = hi - lo
     which = np.repeat(np.arange(len(n)), n)
     at = sa.order[A.ranges(lo, n)]
     doc = np.searchsorted(words.first, at, "right") - 1
     inside = at + q.size[which] <= words.first[doc + 1]
-    return which[inside], at[inside]
+    which, at, doc = which[inside], at[inside], doc[inside]
+    item, start, length = q.item[which].astype(np.int64), q.start[which].astype(np.int64), q.size[which].astype(np.int64)
+    # to the left: a match that goes on there is found from its beginning
+    left = np.flatnonzero((start > q.first[item]) & (at > words.first[doc]))
+    begins = np.ones(len(at), bool)
+    begins[left] = hashes[at[left] - 1] != q.words[start[left] - 1]
+    item, start, at, doc, length = item[begins], start[begins], at[begins], doc[begins], length[begins]
+    live = np.arange(len(at))
+    while len(live):  # to the right
+        x, y = at[live] + length[live], start[live] + length[live]
+        on = (x < words.first[doc[live] + 1]) & (y < q.first[item[live] + 1])
+        live, x, y = live[on], x[on], y[on]
+        live = live[hashes[x] == q.words[y]]
+        length[live] += 1
+    return item, start - q.first[item], at, length
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int) -> Iterator[tuple[list, int, bool]]:
+    """For each pass over the documents its broadcast blocks, the longest window in them, and whether it is the last."""
+    spark, held, depth = docs.sparkSession, [], 1
+    for block, last in blocks(benchmark):
+        q = Queries(block, window)
+        depth = max(depth, int(q.size.max(initial=1)))
+        held.append(spark.sparkContext.broadcast(q))
+        if last or len(held) == TOGETHER:
+            yield held, depth, last
+            held, depth = [], 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Longest verbatim matches: doc_id, doc_word, item_id, item_word, n_words.
 
-    A match is at least a window long and cannot be extended on either side within both texts.
+    A match is at least a window (or a whole item of fewer words) long and cannot be extended on either
+    side within both texts. Null texts have none; other columns are not read.
     """
-    spark = docs.sparkSession
-    found = None
-    for block, _ in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Queries(block, window))
+    docs, found = plain(docs), None
+    for shared, depth, _ in _passes(docs, benchmark, window):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, depth=depth) -> Iterator[pa.RecordBatch]:
             for b in A.pieces(batches, limit=SHARD_BYTES):
                 w = A.Words(b.column(1), A.ALNUM, lower=True)
                 h = w.hashes()
-                which, at = _search(w, h, q)
-                doc = np.searchsorted(w.first, at, "right") - 1
-                begin = np.searchsorted(q.item, q.item[which], "left")
-                head = q.start[which] > q.start[begin]
-                left = np.flatnonzero(head & (at > w.first[doc]))
-                open_ = np.ones(len(at), bool)
-                open_[left] = h[at[left] - 1] != q.words[q.start[which[left]] - 1]
-                which, at, doc = which[open_], at[open_], doc[open_]
-                length, live = q.size[which].copy(), np.arange(len(which))
-                while len(live):
-                    x, y = at[live] + length[live], q.start[which[live]] + length[live]
-                    on = (x < w.first[doc[live] + 1]) & (y < q.end[which[live]])
-                    live, x, y = live[on], x[on], y[on]
-                    live = live[h[x] == q.words[y]]
-                    length[live] += 1
-                first = np.zeros(len(which), np.int64)
-                first = q.start[np.searchsorted(q.item, q.item[which], "left")] if len(which) else first
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(at - w.first[doc]), pa.array([q.ids[i] for i in q.item[which]], pa.string()), pa.array(q.start[which] - first), pa.array(length)], names=["doc_id", "doc_word", "item_id", "item_word", "n_words"])
-
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, doc_word long, item_id string, item_word long, n_words long")
+                sa = SuffixArray(h, depth)
+                for x in shared:
+                    item, word, at, length = _longest(w, h, sa, x.value)
+                    doc = np.searchsorted(w.first, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(at - w.first[doc]), pa.array([x.value.ids[i] for i in item], pa.string()), pa.array(word), pa.array(length)], names=["doc_id", "doc_word", "item_id", "item_word", "n_words"])
+
+        one = docs.mapInArrow(run, "doc_id long, doc_word long, item_id string, item_word long, n_words long")
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _hits(first: np.ndarray, which: np.ndarray, at: np.ndarray, q: Queries, n: int) -> tuple[np.ndarray, list[list[str]]]:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + q.size[which], -1)
-    hit = np.cumsum(edge)[:n] > 0
-    doc = np.searchsorted(first, at, "right") - 1
-    pair = np.unique(doc * (len(q.ids) + 1) + q.item[which]) if len(at) else np.zeros(0, np.int64)
-    items: list[list[str]] = [[] for _ in range(len(first) - 1)]
-    for p in pair.tolist():
-        if (name := q.ids[p % (len(q.ids) + 1)]) is not None:
-            items[p // (len(q.ids) + 1)].append(name)
-    return hit, items
-
-
-def _pass(docs: DataFrame, block: pa.Table, window: int, share: int, first: bool, last: bool, digest: bool) -> DataFrame:
-    """One block of the benchmark over all documents; hit words and items so far travel as columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(Queries(block, window))
-    names = docs.columns if first else docs.columns[:-2]
-    at = names.index("text")
-    ids = names.index("doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        for b in A.pieces(batches, limit=SHARD_BYTES):
-            w = A.Words(b.column(at), A.ALNUM, lower=True)
-            h = w.hashes()
-            hit, items = _hits(w.first, *_search(w, h, q), q, len(h))
-            if not first:
-                for i, (bits, old) in enumerate(zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())):
-                    hit[w.first[i] : w.first[i + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(w.count[i])).astype(bool)
-                    items[i] += old
-            if not last:
-                packed = [np.packbits(hit[i:j]).tobytes() for i, j in zip(w.first[:-1], w.first[1:])]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(packed, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*names, "_hit", "_items"])
-                continue
-            n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[w.first])
-            bad = (n_hit > 0) & (share * n_hit >= w.count)
-            if digest:
-                items = [sorted(set(x)) for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(ids), pa.array(w.count), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array(bad)],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-            else:
-                yield b.select(range(len(names))).filter(pa.array(~bad))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(names)])
-    if not last:
-        return docs.mapInArrow(run, schema + ", _hit binary, _items array<string>")
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if digest else schema)
+def _hits(w: A.Words, h: np.ndarray, shared: list, depth: int) -> tuple[np.ndarray, list[list[str]]]:
+    """Which words of the shard lie in a match, and the items that each row's matches belong to."""
+    edge = np.zeros(len(h) + 1, np.int64)
+    items: list[list[str]] = [[] for _ in w.count]
+    sa = SuffixArray(h, depth)
+    for x in shared:
+        q = x.value
+        item, _, at, length = _longest(w, h, sa, q)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        pairs = np.unique(np.stack((np.searchsorted(w.first, at, "right") - 1, item)), axis=1)
+        for d, i in pairs.T.tolist():
+            if q.ids[i] is not None:
+                items[d].append(q.ids[i])
+    return np.cumsum(edge)[: len(h)] > 0, items
 
 
 def _all(docs: DataFrame, benchmark: DataFrame, window: int, share: int, digest: bool) -> DataFrame:
-    for i, (block, last) in enumerate(blocks(benchmark)):
-        docs = _pass(docs, block, window, share, i == 0, last, digest)
-        if not last and i % TOGETHER == TOGETHER - 1:  # blocks that are done are let go, by driver and executors
+    """Every pass over all documents; hit words and items so far travel as columns."""
+    names = docs.columns
+    text, ids = names.index("text"), names.index("doc_id")
+    bits, found = fresh(docs, "hit", "items")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    more = f"{schema}, `{bits}` binary, `{found}` array<string>"
+    done = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if digest else schema
+    first = True
+    for shared, depth, last in _passes(docs, benchmark, window):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, depth=depth, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            for b in A.pieces(batches, limit=SHARD_BYTES):
+                w = A.Words(b.column(text), A.ALNUM, lower=True)
+                hit, items = _hits(w, w.hashes(), shared, depth)
+                if not first:
+                    for i, (x, old) in enumerate(zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())):
+                        hit[w.first[i] : w.first[i + 1]] |= np.unpackbits(np.frombuffer(x, np.uint8), count=int(w.count[i])).astype(bool)
+                        items[i] += old
+                if not last:
+                    packed = [np.packbits(hit[i:j]).tobytes() for i, j in zip(w.first[:-1], w.first[1:])]
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(packed, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*names, bits, found])
+                    continue
+                n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[w.first])
+                bad = (n_hit > 0) & (share * n_hit >= w.count)
+                if digest:
+                    items = [sorted(set(x)) for x in items]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(ids), pa.array(w.count), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array(bad)],
+                        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                    )
+                else:
+                    yield b.select(range(len(names))).filter(pa.array(~bad))
+
+        docs = docs.mapInArrow(run, done if last else more)
+        if not last:  # blocks that are done are let go, by driver and executors
             docs = settle(docs, "decontamination")
+        first = False
     return docs
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row.
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row, from its longest matches.
 
     Words are ASCII-lower-cased runs of ASCII letters, digits and all beyond ASCII. Null and empty
     texts have none and are clean; a null item_id marks words but names no item; repeated item ids
-    count once; an empty benchmark finds nothing; other columns are not read.
+    count once; an empty benchmark finds nothing, an empty table gives an empty result; a very long text is a
+    shard of its own; other columns are not read.
     """
-    return _all(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, share, True)
+    return _all(plain(docs), benchmark, window, share, True)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
+    """The rows of docs, all columns whatever their names, that are not contaminated."""
     return _all(docs, benchmark, window, share, False)

@@ -14,7 +14,7 @@ from . import brute
 
 DOCS = "doc_id long, text string"
 #: Names that operators use themselves.
-CLASH = ["keep", "tkey", "n_lines", "at", "start", "component", "node", "_keep", "_d", "h1", "a", "id", "host"]
+CLASH = ["hit", "items", "_hit", "keep", "tkey", "n_lines", "at", "start", "component", "node", "_keep", "_d", "h1", "a", "id", "host"]
 
 
 def corpus(seed=3, n=60):
@@ -218,9 +218,11 @@ def test_contamination(spark, docs, rows):
     assert clean.columns == wide(docs).columns and clean.count() == sum(not x[5] for x in expected)
     old = decontaminate.BLOCK_BYTES
     assert len(list(decontaminate.blocks(bench, 100))) > 5
-    try:  # the same in several blocks
+    try:  # the same in several blocks and passes
         decontaminate.blocks.__defaults__ = (100,)
-        assert got(decontaminate.judge(docs, bench), *cols) == want(expected)
+        assert got(decontaminate.judge(wide(docs), bench), *cols) == want(expected)
+        clean = decontaminate.remove(wide(docs), bench)
+        assert clean.columns == wide(docs).columns and clean.count() == sum(not x[5] for x in expected)
     finally:
         decontaminate.blocks.__defaults__ = (old,)
 
@@ -232,6 +234,28 @@ def test_longest_matches(spark):
     assert got(out, "doc_id", "doc_word", "item_id", "item_word", "n_words") == [(1, 1, "7", 5, 20)]
 
 
+def test_longest_matches_against_all_pairs(spark):
+    r = random.Random(11)
+    text = lambda n: " ".join(r.choices("a b c".split(), k=n))
+    rows = [(d, text(r.randrange(60))) for d in range(12)] + [(50, None), (51, "...")]
+    items = [(i, text(r.choice([2, 4, 5, 9, 30]))) for i in range(8)] + [(9, "")]
+    expected = []
+    for d, t in rows:
+        for i, q in items:
+            x, y = (t or "").split(), q.split()
+            x = [] if x == ["..."] else x
+            least = min(5, len(y))
+            for a in range(len(x)):
+                for b in range(len(y)):
+                    n = 0
+                    while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n]:
+                        n += 1
+                    if n >= max(1, least) and (a == 0 or b == 0 or x[a - 1] != y[b - 1]):
+                        expected.append((d, a, str(i), b, n))
+    out = decontaminate.matches(wide(spark.createDataFrame(rows, DOCS)), spark.createDataFrame(items, "item_id long, text string"), 5)
+    assert got(out, "doc_id", "doc_word", "item_id", "item_word", "n_words") == want(expected)
+
+
 def test_suffix_array_order():
     r = np.random.default_rng(4)
     for n in (1, 2, 30, 400):
