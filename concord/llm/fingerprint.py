@@ -5,9 +5,9 @@ spaces still has many; a gram is k consecutive units. Of each window of w consec
 of least hash is kept, the rightmost on ties; two texts that share w+k-1 whole units therefore share a
 kept gram. Positions stay with the hashes. A text of fewer than k units is one gram, an empty one none.
 
-A kept gram is one long: 40 hash bits above 23 bits that count down with the position, so that the
-plain minimum of a window is also the rightmost of equals. Positions count modulo 2**23; ties across
-such a border fall to the left one, alike for equal texts.
+While a window's minimum is sought a gram is one long: 32 hash bits above 31 bits that count down with the
+position (an array has fewer elements than 2**31), so that the plain minimum is also the rightmost of equals.
+A kept gram has its place and its whole 64-bit hash.
 """
 
 from __future__ import annotations
@@ -16,13 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .frames import settle
+
 GRAM, WINDOW = 4, 9
 UNIT = r"\s*\S{1,8}\s*|\s+"
 #: Rows that one bucket of neighbouring ids should hold, and the number of quantiles taken of the ids.
-BUCKET_ROWS, QUANTILES = 2048, 256
+BUCKET_ROWS, QUANTILES = 256, 256
 #: Bucket ends are broadcast up to this many; beyond it they are joined by a shuffle.
 MAX_ENDS = 100_000
-_POS = (1 << 23) - 1
+_POS = (1 << 31) - 1
+#: Buckets of one doc_id that holds more than a quantile, by its texts' hashes; all other rows of a bucket come after these.
+_TIES = 1024
 
 
 def _let(value: Column, body) -> Column:
@@ -31,15 +35,15 @@ def _let(value: Column, body) -> Column:
 
 
 def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
-    """array<long> of kept grams in order of position."""
+    """array<struct<at int, hash long>> of kept grams in order of position, which counts units from 1."""
 
-    def gram(u: Column, i: Column) -> Column:
-        h = F.shiftrightunsigned(F.xxhash64(F.slice(u, i, k)), 24)
-        return F.shiftleft(h, 23) + (F.lit(_POS).cast("long") - i.cast("long").bitwiseAND(F.lit(_POS).cast("long")))
+    def ranked(u: Column, i: Column) -> Column:
+        h = F.shiftrightunsigned(F.xxhash64(F.slice(u, i, k)), 32)
+        return F.shiftleft(h, 31) + (F.lit(_POS).cast("long") - i.cast("long"))
 
     def grams(u: Column) -> Column:
         n = F.size(u)
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(k)) - (k - 1)), lambda i: gram(u, i)))
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(k)) - (k - 1)), lambda i: ranked(u, i)))
 
     def least(h: Column) -> Column:
         n = F.size(h)
@@ -47,21 +51,25 @@ def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
             F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(w)) - (w - 1)), lambda i: F.array_min(F.slice(h, i, F.lit(w)))))
         )
 
-    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: _let(grams(u), least))
+    def whole(u: Column, x: Column) -> Column:
+        at = (F.lit(_POS).cast("long") - x.bitwiseAND(F.lit(_POS).cast("long"))).cast("int")
+        return F.struct(at.alias("at"), F.xxhash64(F.slice(u, at, k)).alias("hash"))
+
+    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: F.transform(_let(grams(u), least), lambda x: whole(u, x)))
 
 
 def hashes(kept: Column) -> Column:
-    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, 23)))
+    return F.array_distinct(kept.getField("hash"))
 
 
 def positions(kept: Column) -> Column:
-    """Unit at which each kept gram begins, from 1 (modulo 2**23)."""
-    return F.transform(kept, lambda x: (F.lit(_POS).cast("long") - x.bitwiseAND(F.lit(_POS).cast("long"))))
+    """Unit at which each kept gram begins, from 1."""
+    return kept.getField("at")
 
 
 def written(kept: Column) -> Column:
     """The fingerprint as text: hexadecimal position, colon, hexadecimal hash, by position."""
-    return F.array_join(F.transform(kept, lambda x: F.concat(F.hex(F.lit(_POS).cast("long") - x.bitwiseAND(F.lit(_POS).cast("long"))), F.lit(":"), F.hex(F.shiftright(x, 23)))), " ")
+    return F.array_join(F.transform(kept, lambda x: F.concat(F.hex(x["at"].cast("long")), F.lit(":"), F.hex(x["hash"]))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,18 +79,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
 
 
-def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with `_bucket`: numbers of neighbouring, ordered ranges of doc_id of about BUCKET_ROWS rows."""
-    n, cuts = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 4096)).first()
-    cuts = sorted(set(cuts or [0]))
+def _bucketed(docs: DataFrame) -> DataFrame:
+    """docs with `_bucket`, numbers of neighbouring, ordered ranges of (doc_id, text hash) of about BUCKET_ROWS rows, and `_q`, the quantile they lie in."""
+    n, cuts = docs.agg(F.count("*"), F.percentile_approx(F.coalesce("doc_id", F.lit(-(1 << 63))), [i / QUANTILES for i in range(QUANTILES + 1)], 4096)).first()
+    cuts = cuts or [0]
+    heavy = sorted({c for c, d in zip(cuts, cuts[1:]) if c == d})
+    cuts = sorted(set(cuts))
     parts = max(1, -(-n // (BUCKET_ROWS * max(1, len(cuts) - 1))))
     at = F.array(*(F.lit(c).cast("long") for c in cuts))
-    q = F.greatest(F.lit(1), F.least(F.lit(max(1, len(cuts) - 1)), F.size(F.filter(at, lambda c: c <= F.col("doc_id")))))
+    # a null id sorts below all
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    q = F.greatest(F.lit(1), F.size(F.filter(at, lambda c: c <= key)))
     lo, hi = F.element_at(at, q), F.element_at(at, F.least(q + 1, F.size(at)))
-    part = F.when(hi > lo, F.floor((F.col("doc_id").cast("double") - lo) * parts / (hi - lo).cast("double"))).otherwise(F.lit(0))
+    wide = hi.cast("double") - lo.cast("double")
+    part = F.when(wide > 0, F.floor((key.cast("double") - lo.cast("double")) * parts / wide)).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))
-    # a null id sorts below all: it shares the first bucket
-    return docs.withColumn("_bucket", F.when(F.col("doc_id").isNull(), F.lit(0).cast("long")).otherwise((q.cast("long") - 1) * parts + part)), n
+    # a quantile ends at such an id, so the id comes first in its bucket; split by its texts
+    own = F.when(key.isin(heavy), F.shiftright("_tie", 54) + _TIES // 2).otherwise(F.lit(_TIES)) if heavy else F.lit(_TIES)
+    return docs.withColumn("_q", q.cast("long")).withColumn("_bucket", ((q.cast("long") - 1) * parts + part) * (_TIES + 1) + own.cast("long"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -91,15 +105,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows of equal doc_id follow each other by their text's hash; null ids come last. One shuffle of
     the texts: each bucket gets, as a ghost row, the first row of the bucket below it.
     """
-    docs, _ = _bucketed(docs)
-    docs = docs.withColumn("_tie", F.xxhash64("text"))
+    docs = _bucketed(docs.withColumn("_tie", F.xxhash64("text")))
     order = F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("_tie").alias("c"))
-    ends = docs.groupBy("_bucket").agg(F.max(order).alias("_top")).cache()
-    count = ends.count()
-    # the first row of a bucket goes to the nearest bucket above; of the topmost, round to the lowest
-    last = ends.agg(F.min("_bucket")).first()[0]
-    to = ends.select("_top", F.coalesce(F.lead("_bucket").over(W.orderBy("_bucket")), F.lit(last).cast("long")).alias("_to"))
-    to = to.select("_to", *(F.col(f"_top.{x}").alias(f"_{x}") for x in "abc"))
+    ends = settle(docs.groupBy("_q", "_bucket").agg(F.max(order).alias("_top")), "buckets")
+    count, last = ends.agg(F.count("*"), F.min("_bucket")).first()
+    # the first row of a bucket goes to the nearest bucket above; of the topmost, round to the lowest.
+    # The quantile's own buckets are ordered in its task, the quantiles (QUANTILES at most) in one
+    above = ends.groupBy("_q").agg(F.min("_bucket").alias("_low")).select("_q", F.lead("_low").over(W.orderBy("_q")).alias("_above"))
+    to = ends.withColumn("_next", F.lead("_bucket").over(W.partitionBy("_q").orderBy("_bucket"))).join(F.broadcast(above), "_q")
+    to = to.select(F.coalesce("_next", "_above", F.lit(last).cast("long")).alias("_to"), *(F.col(f"_top.{x}").alias(f"_{x}") for x in "abc"))
     small = F.broadcast(to) if count <= MAX_ENDS else to
     same = (F.col("doc_id").isNotNull() == F.col("_a")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_b")) & (F.col("_tie") == F.col("_c"))
     # the topmost row follows the lowest: there it stands below all others
@@ -124,7 +138,7 @@ def compare_with_next(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFr
     third = F.floor(n / 3).cast("int")
     rows = with_next(docs).withColumn("next_text", F.coalesce("next_text", "text"))
     rows = rows.select("doc_id", "_bucket", "_rank", "_tie", "_ghost", n.cast("long").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)).alias("edited"))
-    rows = rows.select("doc_id", "_bucket", "_rank", "_tie", "_ghost", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), winnow(F.col("text"), k, w).alias("f"), F.when(F.col("_ghost"), F.array().cast("array<bigint>")).otherwise(winnow(F.col("edited"), k, w)).alias("e"))
+    rows = rows.select("doc_id", "_bucket", "_rank", "_tie", "_ghost", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), winnow(F.col("text"), k, w).alias("f"), F.when(F.col("_ghost"), F.array().cast("array<struct<at:int,hash:bigint>>")).otherwise(winnow(F.col("edited"), k, w)).alias("e"))
     rows = rows.withColumn("_next", F.lead("f").over(_down())).filter(~F.col("_ghost"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("f")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"),

@@ -1,7 +1,6 @@
 """Plain versions of the operators' contracts, for small inputs."""
 
 import hashlib
-import math
 import re
 
 _LOW = {c: c + 32 for c in range(65, 91)}
@@ -103,12 +102,46 @@ def contaminated(rows, items, n=13, share=20):
     return out
 
 
-def edited(rows):
-    """(doc_id, sha of the edited text) by descending doc_id; ids are distinct."""
-    rows = sorted(rows, key=lambda r: -r[0])
+def spark_hash(*texts, seed=42):
+    """The 64-bit hash Spark gives a string, or an array of strings, as an unsigned number."""
+    import xxhash
+
+    for t in texts:
+        seed = xxhash.xxh64(t.encode(), seed=seed).intdigest()
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def winnowed(text, k=4, w=9):
+    """(place, hash) of the kept grams: in every window of w grams the one of least 32 leading bits, the rightmost of equals."""
+    units = re.findall(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]{1,8}[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]+", text or "")
+    grams = [spark_hash(*units[i : i + k]) for i in range(max(1, len(units) - k + 1))] if units else []
+    kept = set()
+    for i in range(max(1, len(grams) - w + 1) if grams else 0):
+        window = range(i, min(i + w, len(grams)))
+        least = min(grams[j] >> 32 for j in window)
+        kept.add(max(j for j in window if grams[j] >> 32 == least))
+    return [(j + 1, grams[j]) for j in sorted(kept)]
+
+
+def fingerprints(rows):
+    """(doc_id, n_chars, sha of the edited text, both fingerprints, both likenesses) of each row."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, signed(spark_hash(rows[i][1] or ""))), reverse=True)
+    write = lambda f: " ".join(f"{a:X}:{h:X}" for a, h in f)
+
+    def alike(a, b):
+        a, b = {h for _, h in a}, {h for _, h in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
     out = []
-    for i, (d, t) in enumerate(rows):
-        t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
-        m = math.floor(len(t) / 3)
-        out.append((d, sha(t[: len(t) - m] + nxt[:m])))
+    for n, i in enumerate(order):
+        d, t = rows[i][0], rows[i][1] or ""
+        other = rows[order[(n + 1) % len(order)]][1] or ""
+        m = len(t) // 3
+        edited_ = t[: len(t) - m] + other[:m]
+        f, e = winnowed(t), winnowed(edited_)
+        out.append((d, len(t), sha(edited_), write(f), write(e), alike(f, e), alike(f, winnowed(other))))
     return out

@@ -485,23 +485,36 @@ def test_tree_matching():
         assert html_text.align(x, y)[0] == len(y.keys) and html_text.align(x, flat(a))[0] == len(flat(a).keys)
 
 
+FINGER = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def test_fingerprints(spark, rows):
-    rows = [(d, t) for d, t in {d: (d, t) for d, t in rows if d is not None}.values()]
     out = fingerprint.compare_with_next(wide(spark.createDataFrame(rows, DOCS)))
-    assert got(out, "doc_id", "edited_sha256") == want(brute.edited(rows))
+    assert got(out, *FINGER) == want(brute.fingerprints(rows))
     by = {r.doc_id: r for r in out.collect()}
     assert by[83].fingerprint == by[3].fingerprint  # equal texts
     assert by[80].fingerprint == by[81].fingerprint == "" and by[80].n_chars == 0
-    assert all(0 <= x <= 1 for r in by.values() for x in (r.near_edited, r.near_next))
     one = spark.createDataFrame([(None, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g")], DOCS)
     assert [r.near_next for r in fingerprint.compare_with_next(one).collect()] == [1.0] * 3
 
 
+def test_fingerprints_of_heavy_ids(spark):
+    """Ids and nulls that hold many rows are split by their texts, in the same order."""
+    r = random.Random(6)
+    text = lambda: " ".join(r.choices("ab cd ef gh ij".split(), k=r.randrange(1, 60)))
+    rows = [(d, text()) for d in [3] * 300 + [None] * 200 + [99] * 300 + list(range(400)) + [10**15, -(10**15)]]
+    out = fingerprint.compare_with_next(spark.createDataFrame(rows, DOCS).repartition(5))
+    assert got(out, *FINGER) == want(brute.fingerprints(rows))
+
+
 def test_winnowing_is_the_rightmost_minimum(spark):
-    text = " ".join(random.Random(0).choices("ab cd ef gh".split(), k=80))
-    kept = spark.createDataFrame([(text,)], "text string").select(fingerprint.winnow(F.col("text")).alias("k")).first()["k"]
-    pos = [fingerprint._POS - (x & fingerprint._POS) for x in kept]
-    assert pos == sorted(pos) and max(b - a for a, b in zip(pos, pos[1:])) <= fingerprint.WINDOW  # a kept gram in each window
+    r = random.Random(0)
+    texts = [" ".join(r.choices("ab cd ef gh".split(), k=n)) for n in (0, 1, 3, 4, 5, 12, 13, 80, 400)] + ["same " * 100, "x" * 500, " \t\n", "a\u00a0b c"]
+    kept = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", fingerprint.winnow(F.col("text")).alias("k")).collect()
+    for r in kept:
+        assert [(x["at"], x["hash"] % 2**64) for x in r.k] == brute.winnowed(texts[r.i])
+        assert all(b["at"] - a["at"] <= fingerprint.WINDOW for a, b in zip(r.k, r.k[1:]))  # a kept gram in each window
+    assert [x["at"] for x in kept[9].k] == list(range(9, 98))  # all grams are alike: the rightmost of each window
 
 
 def test_quality(spark):
