@@ -11,12 +11,16 @@
 4. Two-bit sketches drop pairs far below the limit; the others are confirmed on full sets.
 5. Confirmed links contract to components.
 6. The rest: members of a region of more than REGION rows that are not in its least component are
-   held against all its members, block by block on full sets, and components are taken again. So every
-   pair that shares a region of any size is decided.
+   held against all its members, block by block: first by signatures alone (MATCHES), then those with a partner,
+   and only their texts, on full sets. Components are taken again. So every pair that shares a region of any size is decided.
 
 A region cut by a partition's border is two regions in that order; the other orders do not share the
 border. A pair shares BASE values in at least one of these orders but for odds of 3.2e-4 at similarity
-0.80, 1.2e-4 at 0.82 and 2.1e-5 at 0.85 (simulated; the orders draw from the same VALUES values).
+0.80, 1.2e-4 at 0.82 and 2.1e-5 at 0.85 (simulated; the orders draw from the same VALUES values). A large
+region is streamed: a task never holds more than HELD rows of it.
+
+Defined cases: see near_duplicates; an empty table gives an empty result, a text of any length is one row of
+its slice, columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +39,12 @@ from .graph import components
 VALUES, ORDERS, BASE, DEPTH, REGION, NEAR = 64, 24, 4, 8, 24, 4
 #: A pair goes on if so many of its VALUES two-bit sketch values agree: 5 deviations below what 0.8 gives.
 AGREE = 40
-#: Members on each side of a block of the rest.
-BLOCK = 512
+#: Signature values, of VALUES, that a pair of the rest must share to be held against each other on full sets: 5 deviations below what 0.8 gives.
+MATCHES = 35
+#: Members on each side of a block of the rest, of signatures and of texts, and shingles on each side of the latter.
+SIGNATURES, BLOCK, BLOCK_SHINGLES = 2048, 512, 1 << 19
+#: Rows of one region that a task holds.
+HELD = 1 << 18
 #: Ids that are broadcast, at most, to pick the texts of large regions.
 MAX_IDS = 200_000
 _rng = np.random.default_rng(20)
@@ -159,8 +167,6 @@ def _regions(o: np.ndarray, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, z:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: candidate a, b; kind 1: region a has member b."""
-    held: list[np.ndarray] = []
-
     def work(cols: list[np.ndarray]) -> pa.RecordBatch:
         o, k1, k2, ids, z1, z2 = cols
         k1, k2, z = k1.view(A.U), k2.view(A.U), np.stack((z1.view(A.U), z2.view(A.U)))
@@ -173,21 +179,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["kind", "a", "b"],
         )
 
+    held: list[list[np.ndarray]] = []
+    total, need = 0, 4096
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [np.asarray(c) for c in b.columns]
-        if held:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
+        held.append([np.asarray(c) for c in b.columns])
+        total += b.num_rows
+        if total < need:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held)]
         last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
-        if cut >= 4096 or (cut and len(cols[0]) - cut > cut):
+        if cut:
             yield work([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]
-        else:
-            held = cols
-    if held:
-        yield work(held)
+            cols = [c[cut:] for c in cols]
+        elif total >= HELD:
+            # a piece of one large region: its least row and its end stay, so that the next piece is large and linked with this one
+            yield work(cols)
+            stay = np.concatenate(([int(np.argmin(cols[3]))], np.arange(total - REGION, total)))
+            cols = [c[stay] for c in cols]
+        held, total = [cols], len(cols[0])
+        need = max(4096, 2 * total)
+    if total:
+        yield work([np.concatenate(x) for x in zip(*held)])
 
 
 def _confirm(k: int, percent: int):
@@ -223,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keyed = plain(docs)
     sigs = settle(keyed.mapInArrow(_signature_rows(k), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "signatures")
     known = sigs.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = settle(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")
+    classes = settle(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n")), "classes")
     forest = settle(classes.select("id", "sig").mapInArrow(_forest_rows, "o tinyint, k1 long, k2 long, id long, z1 long, z2 long"), "forest")
     order = ["o", "k1", "k2", "id"]
     found = settle(forest.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_candidates, "kind tinyint, a long, b long"), "candidates")
@@ -234,7 +249,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         tops = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     else:
         tops = settle(components(links), "components")
-    new = _rest(found, tops, known_text, k, percent)
+    new = _rest(found, tops, classes, known_text, k, percent)
     if not new.isEmpty():
         tops = settle(components(links.unionByName(new)), "components")
     of = settle(classes.select("s1", "s2", F.col("id").alias("node")).join(tops, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id")), "class-components")
@@ -243,11 +258,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _rest(found: DataFrame, tops: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
+def _blocked(rows: DataFrame, most: int, weight: int | None, *cols: str) -> DataFrame:
+    """Rows (hub, id, top, n and cols) dealt to blocks (hub, i, j): each member outside the hub's component once per
+    column j as one that asks, each member once per row i; at most about `most` members (and `weight` shingles) on a side."""
+    outside = F.col("top") != F.col("hub")
+    enough = lambda on: F.greatest(F.ceil(F.count_if(on) / most), F.ceil(F.sum(F.when(on, F.col("n")).otherwise(0)) / weight) if weight else F.lit(1), F.lit(1)).cast("int")
+    sizes = settle(rows.groupBy("hub").agg(enough(F.lit(True)).alias("blocks"), enough(outside).alias("outer")), "sizes")
+    rows = rows.join(sizes, "hub")
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.filter(outside).select("hub", spot("outer").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"), "id", "top", *cols)
+    two = rows.select("hub", every("outer").alias("i"), spot("blocks").alias("j"), F.lit(False).alias("asks"), "id", "top", *cols)
+    return one.unionByName(two)
+
+
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.asarray(t.column(c).combine_chunks()) for c in names]
+
+
+def _screen(t: pa.Table) -> pa.Table:
+    """Members of a block that share MATCHES signature values with one of another component."""
+    asks, ids, top = _columns(t, "asks", "id", "top")
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+    theirs = np.flatnonzero(~asks)
+    keep = np.zeros(len(ids), bool)
+    for i in np.flatnonzero(asks):
+        near = theirs[((sig[theirs] == sig[i]).sum(1) >= MATCHES) & (top[theirs] != top[i])]
+        keep[near] = True
+        keep[i] |= len(near) > 0
+    return pa.table({"hub": np.repeat(np.asarray(t.column("hub").combine_chunks())[:1], keep.sum()), "id": ids[keep]})
+
+
+def _rest(found: DataFrame, tops: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
     """Links a, b that large regions still hide, all of them, in blocks.
 
     Regions with members of several components are grouped by their least component. Every member
-    outside it is held against every member of the group on full sets, BLOCK x BLOCK at a time, and
+    outside it is held against every member of the group, first by signatures, then on full sets, and
     leaves one link for each other component it belongs to. No pair is listed.
     """
     members = found.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("id")).distinct()
@@ -255,22 +301,18 @@ def _rest(found: DataFrame, tops: DataFrame, keyed: DataFrame, k: int, percent:
     hubs = settle(members.groupBy("region").agg(F.min("top").alias("hub"), F.max("top").alias("most")).filter("hub < most").select("region", "hub"), "hubs")
     if hubs.isEmpty():
         return members.select(F.col("id").alias("a"), F.col("top").alias("b")).limit(0)
-    torn = settle(members.join(hubs, "region").select("hub", "id", "top").distinct(), "torn")
-    outside = F.col("top") != F.col("hub")
-    sizes = settle(torn.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("outer")), "sizes")
+    torn = members.join(hubs, "region").select("hub", "id", "top").distinct()
+    torn = settle(torn.join(classes.select("id", "sig", "n").hint("merge"), "id"), "torn")
+    near = _blocked(torn, SIGNATURES, None, "sig").groupBy("hub", "i", "j").applyInArrow(_screen, "hub long, id long").distinct()
+    torn = settle(torn.drop("sig").join(settle(near, "screened").hint("merge"), ["hub", "id"]), "torn-near")
     ids = settle(torn.select(F.col("id").alias("doc_id")).distinct(), "torn-ids")
     if ids.count() <= MAX_IDS:  # then only their texts are shuffled; beyond it all are
         keyed = keyed.join(F.broadcast(ids), "doc_id", "left_semi")
-    texts = torn.join(sizes, "hub").join(keyed.hint("merge"), F.col("id") == F.col("doc_id")).select("hub", "id", "top", "text", "blocks", "outer")
-    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = texts.filter(outside).select("hub", spot("outer").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"), "id", "top", "text")
-    two = texts.select("hub", every("outer").alias("i"), spot("blocks").alias("j"), F.lit(False).alias("asks"), "id", "top", "text")
+    texts = torn.join(keyed.hint("merge"), F.col("id") == F.col("doc_id")).select("hub", "id", "top", "n", "text")
 
     def block(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        asks = np.asarray(t.column("asks").combine_chunks())
-        ids, top = (np.asarray(t.column(c).combine_chunks()) for c in ("id", "top"))
+        asks, ids, top = _columns(t, "asks", "id", "top")
         sets = []
         for at in range(0, len(ids), 512):
             key, row = shingles(A.Words(t.column("text").combine_chunks().slice(at, 512), lower=True), k)
@@ -289,10 +331,10 @@ def _rest(found: DataFrame, tops: DataFrame, keyed: DataFrame, k: int, percent:
             mark[own] = True
             both = np.add.reduceat(mark[y].astype(np.int64), begin)
             mark[own] = False
-            near = theirs[(100 * both >= percent * (n[i] + n[theirs] - both)) & (top[theirs] != top[i])]
-            _, lead = np.unique(top[near], return_index=True)
-            out.update((min(ids[i], ids[m]), max(ids[i], ids[m])) for m in near[lead])
+            alike = theirs[(100 * both >= percent * (n[i] + n[theirs] - both)) & (top[theirs] != top[i])]
+            _, lead = np.unique(top[alike], return_index=True)
+            out.update((min(ids[i], ids[m]), max(ids[i], ids[m])) for m in alike[lead])
         pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return settle(one.unionByName(two).groupBy("hub", "i", "j").applyInArrow(block, "a long, b long"), "rest")
+    return settle(_blocked(texts, BLOCK, BLOCK_SHINGLES, "text").groupBy("hub", "i", "j").applyInArrow(block, "a long, b long"), "rest")

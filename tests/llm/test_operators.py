@@ -188,6 +188,55 @@ def test_near_pairs_in_families_below_the_limit(spark):
     assert got(out, "doc_id", "component_id") == want(expected)
 
 
+def test_near_regions_in_pieces_and_blocks(spark):
+    """The same result when a large region is streamed in pieces and its rest is cut into small blocks."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+
+    def changed(w, n):
+        w = list(w)
+        for i in r.sample(range(200), n):
+            w[i] = f"x{r.randrange(10**9)}"
+        return w
+
+    rows = []
+    for d in range(300):
+        w = changed(words, r.choice([1, 2, 14, 16]))
+        rows.append((d, " ".join(w)))
+        if d % 5 == 0:
+            rows.append((1000 + d, " ".join(changed(w, 18))))
+    expected = [(a, c) for a, _, c, _ in brute.near(rows, 1)]
+    old = near_dedup.HELD, near_dedup.SIGNATURES, near_dedup.BLOCK, near_dedup.BLOCK_SHINGLES
+    try:
+        near_dedup.HELD, near_dedup.SIGNATURES, near_dedup.BLOCK, near_dedup.BLOCK_SHINGLES = 60, 50, 20, 3000
+        out = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 1)
+        assert got(out, "doc_id", "component_id") == want(expected)
+    finally:
+        near_dedup.HELD, near_dedup.SIGNATURES, near_dedup.BLOCK, near_dedup.BLOCK_SHINGLES = old
+
+
+def test_candidate_pieces_cover_the_region():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    sizes = [3, 40, 9000, 1, 30, 25, 24, 5000]
+    key = np.repeat(np.arange(len(sizes)), sizes).astype(np.int64)
+    ids = r.permutation(len(key)).astype(np.int64)
+    z = r.integers(0, 2**62, len(key))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int8)), pa.array(k), pa.array(k), pa.array(i), pa.array(y), pa.array(y)], names=list("abcdef")) for k, i, y in zip(np.array_split(key, 40), np.array_split(ids, 40), np.array_split(z, 40))]
+    old = near_dedup.HELD
+    try:
+        near_dedup.HELD = 2000
+        rows = [x for b in near_dedup._candidates(iter(batches)) for x in b.to_pylist()]
+    finally:
+        near_dedup.HELD = old
+    by = {}
+    for x in rows:
+        if x["kind"] == 1:
+            by.setdefault(x["a"], set()).add(x["b"])
+    assert sorted(map(sorted, by.values())) == sorted(sorted(ids[key == k].tolist()) for k, n in enumerate(sizes) if n > near_dedup.REGION)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
