@@ -25,62 +25,79 @@ def _framed(x0, y0, x1, y1, turn):
     return {0: (x0, x1, y0, y1), 90: (-y1, -y0, x0, x1), 180: (-x1, -x0, -y1, -y0), 270: (y0, y1, -x1, -x0)}[turn]
 
 
+def _joined(links: np.ndarray) -> np.ndarray:
+    """The least member of each node's connected component; links: a symmetric boolean matrix."""
+    lab = np.arange(len(links))
+    while True:
+        new = np.minimum(lab, np.where(links, lab, len(lab)).min(1, initial=len(lab)))
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def _extents(group: np.ndarray, start, end, top, low) -> tuple[np.ndarray, ...]:
+    """Groups and the bounds of each."""
+    ids, at = np.unique(group, return_inverse=True)
+    out = [np.full(len(ids), np.inf), np.full(len(ids), -np.inf), np.full(len(ids), np.inf), np.full(len(ids), -np.inf)]
+    for o, v, f in zip(out, (start, end, top, low), (np.minimum, np.maximum) * 2):
+        f.at(o, at, v)
+    return at, *out
+
+
+def _level(top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Pairs on one baseline and of one size."""
+    h = low - top
+    least, most = np.minimum.outer(h, h), np.maximum.outer(h, h)
+    return (np.abs(np.subtract.outer(top + low, top + low)) / 2 < 0.5 * least) & (most < 1.8 * least)
+
+
 def order_lines(boxes: np.ndarray, turn: int) -> list[tuple[int, int, int]]:
     """(index, row, block) of boxes (x0, y0, x1, y1) of one rotation in reading order.
 
-    Boxes on one baseline less than .8 of a height apart form a row; rows under each other (gap up to 1.5 heights,
-    overlap of .3 or starts within 1.5 heights) a block, each joining the nearest; a lone piece up to 4 heights
-    after a row of a block of three joins that row when it lies inside the block's column.
+    Rows are connected components of boxes on one baseline less than .8 of a height apart. A row lies under
+    another (gap up to 1.5 heights, overlap of .3 or starts within 1.5 heights) if each is the other's nearest;
+    blocks are the components of that. A piece of a block of one or two rows that follows a row of a block of three
+    by up to 4 heights, inside that block's column, belongs to the row.
     """
-    start, end, top, low = _framed(*boxes.T, turn)
-    rows: list[dict] = []
-
-    def level(a, b) -> bool:
-        p, q = a["low"] - a["top"], b["low"] - b["top"]
-        return abs(a["top"] + a["low"] - b["top"] - b["low"]) / 2 < 0.5 * min(p, q) and max(p, q) < 1.8 * min(p, q)
-
-    for i in np.lexsort((start, top)):
-        one = {"items": [i], "start": start[i], "end": end[i], "top": top[i], "low": low[i]}
-        h = low[i] - top[i]
-        for row in reversed(rows):
-            if level(one, row) and one["start"] >= row["end"] - h / 2 and one["start"] - row["end"] < 0.8 * h:
-                row["items"].append(i)
-                row.update(end=max(row["end"], end[i]), top=min(row["top"], top[i]), low=max(row["low"], low[i]))
-                break
-        else:
-            rows.append(one)
-    blocks: list[list[dict]] = []
-    for row in sorted(rows, key=lambda r: (r["top"], r["start"])):
-        h, fit = row["low"] - row["top"], []
-        for k, block in enumerate(blocks):
-            last = block[-1]
-            o, gap = last["low"] - last["top"], row["top"] - last["low"]
-            common = min(row["end"], last["end"]) - max(row["start"], last["start"])
-            beside = common < 0.3 * min(row["end"] - row["start"], last["end"] - last["start"]) and abs(row["start"] - last["start"]) > 1.5 * max(h, o)
-            if -0.5 * min(h, o) <= gap <= 1.5 * max(h, o) and max(h, o) <= 1.8 * min(h, o) and not beside:
-                fit.append((gap, k))
-        if fit:
-            blocks[min(fit)[1]].append(row)
-        else:
-            blocks.append([row])
-    wide = [(b, min(r["start"] for r in b), max(r["end"] for r in b)) for b in blocks if len(b) > 2]
-    for block in blocks:
-        if len(block) > 2:
-            continue
-        for row in list(block):
-            h = row["low"] - row["top"]
-            hosts = (c for b, lo, hi in wide if lo - h / 2 <= row["start"] and row["end"] <= hi + h / 2 for c in b)
-            host = next((c for c in hosts if level(row, c) and row["start"] >= c["end"] - h / 2 and row["start"] - c["end"] < 4 * h), None)
-            if host:
-                host["items"] += row["items"]
-                host["end"] = max(host["end"], row["end"])
-                block.remove(row)
-    out, n = [], 0
-    for k, block in enumerate(sorted((b for b in blocks if b), key=lambda b: (b[0]["top"], b[0]["start"]))):
-        for row in block:
-            out += [(int(i), n, k) for i in sorted(row["items"], key=lambda i: start[i])]
-            n += 1
-    return out
+    n = len(boxes)
+    if not n:
+        return []
+    start, end, top, low = (np.asarray(v, float) for v in _framed(*boxes.T, turn))
+    h = low - top
+    gap = start[None, :] - end[:, None]  # from i to j
+    after = _level(top, low) & (gap >= -h / 2) & (gap < 0.8 * h) & ~np.eye(n, dtype=bool)
+    row, s, e, t, b = _extents(_joined(after | after.T), start, end, top, low)
+    height = b - t
+    least, most = np.minimum.outer(height, height), np.maximum.outer(height, height)
+    drop = t[None, :] - b[:, None]  # from the row above to the one below
+    common = np.minimum.outer(e, e) - np.maximum.outer(s, s)
+    width = e - s
+    column = (common >= 0.3 * np.minimum.outer(width, width)) | (np.abs(np.subtract.outer(s, s)) <= 1.5 * most)
+    under = (drop >= -0.5 * least) & (drop <= 1.5 * most) & (most <= 1.8 * least) & column & (t[None, :] + b[None, :] > (t + b)[:, None])
+    far = np.where(under, drop, np.inf)
+    k = np.arange(len(s))
+    mutual = under & (far.argmin(1)[:, None] == k[None, :]) & (far.argmin(0)[None, :] == k[:, None])
+    block = _joined(mutual | mutual.T)
+    rows_in = np.bincount(block, minlength=len(k))
+    big = rows_in[block] > 2
+    # lone pieces go to the row they continue
+    of = k.copy()
+    _, left, right, _, _ = _extents(block, s, e, t, b)
+    place = np.unique(block, return_inverse=True)[1]
+    piece_gap = s[None, :] - e[:, None]
+    hosted = _level(t, b) & big[:, None] & ~big[None, :] & (piece_gap >= -height / 2) & (piece_gap < 4 * height)
+    hosted &= (left[place][:, None] - height / 2 <= s[None, :]) & (e[None, :] <= right[place][:, None] + height / 2)
+    lone = np.flatnonzero(hosted.any(0))
+    of[lone] = np.where(hosted, piece_gap, np.inf).argmin(0)[lone]
+    row, block = of[row], block[of]
+    key = np.full((len(k), 2), np.inf)  # where a block begins: its highest row, then its start
+    for i in np.unique(row):
+        key[block[i]] = min(tuple(key[block[i]]), (t[i], s[i]))
+    order = np.lexsort((start, s[row], t[row], *key[block[row]].T[::-1]))
+    name = {v: i for i, v in enumerate(dict.fromkeys(row[order].tolist()))}
+    blocks = {v: i for i, v in enumerate(dict.fromkeys(block[row[order]].tolist()))}
+    return [(int(i), name[int(row[i])], blocks[int(block[row[i]])]) for i in order]
 
 
 def reading_order(lines: DataFrame, sheet: str = "sheet_id", order: str = "line_ix") -> DataFrame:
@@ -115,30 +132,33 @@ def joined_hyphens(tokens: Column) -> Column:
 
 
 def respaced(target: Sequence[str], tokens: Sequence[str]) -> list[str]:
-    """Tokens with lost and added spaces undone as far as letters spell target tokens; numbers are never joined or parted."""
+    """tokens cut anew where letters spell the target: of all ways to keep a token, to part one into two or three
+    neighbouring target tokens, or to join two or three into one, that which leaves least tokens foreign to the target,
+    then changes least. Numbers and tokens of the target stay as they are."""
     known = set(target)
-    runs = {}
+    spelled: dict[str, tuple[str, ...]] = {w: (w,) for w in known if w.isalpha()}
     for n in (2, 3):
-        for i in range(len(target) - n + 1):
-            part = list(target[i : i + n])
-            if all(p.isalpha() for p in part) and "".join(part) not in known:
-                runs.setdefault("".join(part), part)
-    out, j = [], 0
-    while j < len(tokens):
-        t = tokens[j]
-        if t in known or t in runs:
-            out += [t] if t in known else runs[t]
-            j += 1
-            continue
-        for n in (3, 2):
-            part = tokens[j : j + n]
-            if len(part) == n and all(p.isalpha() and p not in known for p in part) and "".join(part) in known:
-                out.append("".join(part))
-                j += n
+        for part in zip(*(target[i:] for i in range(n))):
+            if all(map(str.isalpha, part)):
+                spelled.setdefault("".join(part), part)
+    n = len(tokens)
+    best: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+    move: list[tuple[int, tuple[str, ...]]] = [(0, ())] * n
+    for j in range(n - 1, -1, -1):
+        ways = [((tokens[j] not in known) + best[j + 1][0], best[j + 1][1], 1, (tokens[j],))]
+        for k in range(1, min(3, n - j) + 1):
+            part = tokens[j : j + k]
+            if any(p in known or not p.isalpha() for p in part):
                 break
-        else:
-            out.append(t)
-            j += 1
+            whole = spelled.get("".join(part))
+            if whole and (k == 1 or len(whole) == 1):
+                ways.append((best[j + k][0], best[j + k][1] + 1, k, whole))
+        unknown, changes, k, whole = min(ways)
+        best[j], move[j] = (unknown, changes), (k, whole)
+    out, j = [], 0
+    while j < n:
+        out += move[j][1]
+        j += move[j][0]
     return out
 
 

@@ -31,7 +31,7 @@ def table_rules(cells: DataFrame) -> DataFrame:
     """doc, table_ix, row_ix, title, constraint, text, source_review of each row that is a rule. Empty rows, the row 1|2|3 and
     rows of single letters are none; a row without text, or of a table of unknown shape, is for review."""
     rows = cells.groupBy("doc", "table_ix", "row_ix").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_ix", "text"))), lambda x: F.trim(x["text"])).alias("r"))
-    rows = rows.join(F.broadcast(table_roles(cells)), ["doc", "table_ix"]).filter(F.col("row_ix") >= F.col("first_row"))
+    rows = rows.join(table_roles(cells), ["doc", "table_ix"]).filter(F.col("row_ix") >= F.col("first_row"))
     at = lambda c: F.coalesce(F.when(F.col(c) >= 0, F.get("r", F.col(c))), F.lit(""))
     no = F.forall("r", lambda s: s == "") | (F.col("known") & ((F.array_join(F.slice("r", 1, 3), "|") == "1|2|3") | F.forall("r", lambda s: s.rlike("(?i)^[a-z]$"))))
     title = F.when(~F.col("known"), "Неразобранная строка таблицы").when(F.col("title") >= 0, at("title")).otherwise(F.substring(at("text"), 1, 65))

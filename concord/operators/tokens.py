@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from concord.functions import text as T
 
@@ -60,11 +61,31 @@ def _sized(n: int):
 
 
 
+def numbered(df: DataFrame, order: Sequence[str], buckets: int = 64) -> tuple[DataFrame, int]:
+    """df with `ix`, each row's place from 0 in the given order, and the number of rows.
+
+    Rows are dealt to ranges of the first column of order (where it is a number; else all are one range) and numbered in each,
+    after the rows of the ranges below: no task sorts all rows. A null comes first.
+    """
+    first = F.col(order[0])
+    n, cuts = df.count(), None
+    if n and isinstance(df.schema[order[0]].dataType, NumericType):
+        cuts = df.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < first)) if cuts else F.lit(0)
+    rows = df.withColumn("_range", F.when(first.isNull(), -1).otherwise(at))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # `buckets` rows
+    rows = rows.join(F.broadcast(before), "_range")
+    return rows.withColumn("ix", F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1).drop("_range", "_before"), n
+
+
 def spread(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
-    """An evenly spread choice of `limit` rows in the given order: rows floor(i * n / limit), never a random sample."""
-    n = df.count()
-    rows = df.withColumn("ix", F.row_number().over(W.orderBy(*order)) - 1)
-    return rows if n <= limit else rows.filter(F.floor(F.col("ix") * limit / n) != F.floor((F.col("ix") - 1) * limit / n))
+    """An evenly spread choice of `limit` rows in the given order: rows floor(i * n / limit) for i < limit, never a random sample."""
+    rows, n = numbered(df, order)
+    if n <= limit:
+        return rows
+    i = F.floor(((F.col("ix") + 1) * limit - 1) / n)  # the last i whose row is not beyond ix
+    return rows.filter(F.floor(i * n / limit) == F.col("ix"))
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions import quantity as Q
+from concord.functions import text as T
+
 
 def sure_difference(kind: Column, confidence: Column, anchored: Column) -> Column:
     return F.coalesce(F.when(kind == "missing", anchored).otherwise((kind != "uncertain") & (kind != "same") & (confidence >= 75)), F.lit(False))
@@ -90,35 +93,74 @@ def best_region(scores: DataFrame, region: str, score: str, by: Sequence[str] =
     return best.select(*by, F.col("b.r").alias(region), "b.score")
 
 
+#: Most changes of each kind that one text gets, spread evenly over its places.
+CHANGES = {"number": 12, "inside": 8, "edge": 4, "added": 8, "letter": 8}
+ADDED = "дополнительно "
+
+
+def mutable(title: Column, text: Column) -> Column:
+    """Rules that mutations are made of: a text to compare, no amount, code, sign or graphic."""
+    return (F.coalesce(text, F.lit("")) != "") & (text != "-") & ~Q.is_quantity_title(title) & ~title.rlike("(?iu)штриховой код|знаки|мебиус|рюмка")
+
+
+def spread_of(items: Column, limit: int) -> Column:
+    """Items floor(i * n / limit) of an array of n, all of it up to `limit`."""
+    n = F.size(items)
+    return F.when(n <= limit, items).otherwise(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.get(items, F.floor(i * n / limit).cast("int"))))
+
+
 def mutations(rules: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind, place, mutated: texts with one digit, word or letter changed, spread evenly over the text.
+    """key, kind, place, mutated: texts with one number, word or letter changed, places spread evenly over the text.
 
-    Up to 12 digits become the next one; up to 8 words inside and 4 at the edges go; up to 8 places gain a
-    word; up to 8 letters of long words are exchanged for the next of the alphabet.
+    number: the last digit goes up by one; inside and edge: a word of four letters or more goes, with or without tokens on
+    both sides of it in its sentence; added: a word comes before one inside; letter: the middle letter of a word of six or more
+    becomes another. place counts characters before the change. Words are those of any alphabet.
     """
-    words = F.split(F.col(text), r"\s+")
-    rows = rules.select(F.col(key), F.col(text).alias("_t"), words.alias("_w"))
-    n = F.size("_w")
-
-    def chosen(count: Column, limit: int) -> Column:
-        """Evenly spread ordinals below count."""
-        return F.when(count <= 0, F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.least(count, F.lit(limit)) - 1), lambda i: F.floor(i * count / F.least(count, F.lit(limit))).cast("int"))))
-
-    def without(i: Column) -> Column:
-        return F.array_join(F.concat(F.slice("_w", 1, i), F.slice("_w", i + 2, F.greatest(n, F.lit(1)))), " ")
-
-    digits = F.size(F.regexp_extract_all("_t", F.lit(r"\d"), F.lit(0)))
-    nth = lambda i: F.char_length(F.regexp_substr("_t", F.concat(F.lit(r"^(?:[^\d]*\d){"), (i + 1).cast("string"), F.lit("}"))))
-    bump = lambda p: F.concat(F.substring("_t", F.lit(1), p - 1), ((F.substring("_t", p, F.lit(1)).try_cast("int") + 1) % 10).cast("string"), F.substring("_t", p + 1, F.char_length("_t")))
-    make = lambda kind, at, mutated: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("place"), mutated.alias("mutated"))
-    long = F.filter(F.transform("_w", lambda w, i: F.when(F.char_length(w) >= 4, i)), lambda i: i.isNotNull())
-    swap = lambda w: F.concat(F.substring(w, 1, 1), F.translate(F.substring(w, 2, 1), "abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyza"), F.substring(w, F.lit(3), F.char_length(w)))
-    put = lambda i, w: F.array_join(F.concat(F.slice("_w", 1, i), F.array(w), F.slice("_w", i + 2, F.greatest(n, F.lit(1)))), " ")
-    every = F.concat(
-        F.transform(chosen(digits, 12), lambda i: make("digit", nth(i), bump(nth(i)))),
-        F.transform(chosen(n - 4, 8), lambda i: make("delete-inside", i + 2, without(i + 2))),
-        F.when(n >= 4, F.transform(F.array(F.lit(0), F.lit(1), n - 2, n - 1), lambda i: make("delete-edge", i, without(i)))).otherwise(F.array().cast("array<struct<kind:string,place:int,mutated:string>>")),
-        F.transform(chosen(n - 1, 8), lambda i: make("insert", i + 1, F.array_join(F.concat(F.slice("_w", 1, i + 1), F.array(F.lit("не")), F.slice("_w", i + 2, F.greatest(n, F.lit(1)))), " "))),
-        F.transform(chosen(F.size(long), 8), lambda i: make("letter", F.get(long, i), put(F.get(long, i), swap(F.get("_w", F.get(long, i)))))),
-    )
-    return rows.select(key, "_t", F.explode(every).alias("m")).filter(F.col("m.mutated") != F.col("_t")).select(key, "m.kind", "m.place", "m.mutated")
+
+    def parts(pattern: str) -> Column:
+        """array<struct<part, at>>: the text taken apart into runs of the pattern and runs between, and where each begins."""
+        runs = F.regexp_extract_all(F.col(text), F.lit(rf"{pattern}+|[^{pattern[1:-1]}]+"), F.lit(0))
+        begin = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<part:string,at:int>>").alias("a"))
+        step = lambda s, p: F.struct((s["n"] + F.char_length(p)).alias("n"), F.concat(s["a"], F.array(F.struct(p.alias("part"), s["n"].alias("at")))).alias("a"))
+        return F.aggregate(runs, begin, step, lambda s: s["a"])
+
+    pieces = T.let(T.fragments(F.col(text)), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.col(text))))
+    find = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<lo:int,hi:int>>").alias("a"))
+
+    def found(s: Column, p: Column) -> Column:
+        lo = F.position(p, F.col(text), s["n"] + 1) - 1
+        hi = lo + F.char_length(p)
+        return F.struct(hi.alias("n"), F.concat(s["a"], F.array(F.struct(lo.alias("lo"), hi.alias("hi")))).alias("a"))
+
+    rows = rules.select(F.col(key), F.col(text), F.filter(parts("[0-9]"), lambda p: p["part"].rlike("^[0-9]")).alias("_n"), F.filter(parts(r"[\p{L}]"), lambda p: p["part"].rlike(r"^\p{L}{4}")).alias("_w"), F.aggregate(pieces, find, found, lambda s: s["a"]).alias("_s"))
+    some = lambda lo, n: F.substring(F.col(text), lo + 1, n).rlike(r"[0-9\p{L}%°º]")
+
+    def inner(w: Column) -> Column:
+        """Whether its sentence has tokens on both sides of the word; one whose pieces were joined across a line break is not found in the text."""
+        end = w["at"] + F.char_length(w["part"])
+        around = F.transform(F.filter("_s", lambda s: (s["lo"] <= w["at"]) & (w["at"] < s["hi"])), lambda s: (s["lo"] >= 0) & some(s["lo"], w["at"] - s["lo"]) & some(end, s["hi"] - end))
+        return F.coalesce(F.get(around, F.lit(0)), F.lit(False))
+
+    rows = rows.withColumn("_in", F.filter("_w", inner)).withColumn("_out", F.filter("_w", lambda w: ~inner(w))).withColumn("_long", F.filter("_w", lambda w: F.char_length(w["part"]) >= 6))
+    head = lambda w: F.substring(F.col(text), F.lit(1), w["at"])
+    tail = lambda w: F.substring(F.col(text), w["at"] + F.char_length(w["part"]) + 1, F.char_length(text))
+    make = lambda kind, w, new: F.struct(F.lit(kind).alias("kind"), w["at"].alias("place"), new.alias("mutated"))
+    bumped = lambda d: F.concat(F.left(d, F.char_length(d) - 1), ((F.right(d, F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    gone = lambda w: F.regexp_replace(F.concat(head(w), tail(w)), " {2,}", " ")
+
+    def turned(w: Column) -> Column:
+        at = F.floor(F.char_length(w) / 2).cast("int") + 1
+        old = F.substring(w, at, F.lit(1))
+        new = F.when(F.lower(old) == "ж", "ш").otherwise("ж")
+        return F.concat(F.substring(w, F.lit(1), at - 1), F.when(old == F.lower(old), new).otherwise(F.upper(new)), F.substring(w, at + 1, F.char_length(w)))
+
+    kinds = {
+        "number": ("_n", lambda w: F.concat(head(w), bumped(w["part"]), tail(w))), "inside": ("_in", gone), "edge": ("_out", gone),
+        "added": ("_in", lambda w: F.concat(head(w), F.lit(ADDED), w["part"], tail(w))), "letter": ("_long", lambda w: F.concat(head(w), turned(w["part"]), tail(w))),
+    }
+
+    def changed(kind: str, places: str, change) -> Column:
+        return F.transform(spread_of(F.col(places), CHANGES[kind]), lambda w: make(kind, w, change(w)))
+
+    every = F.concat(*(changed(k, c, f) for k, (c, f) in kinds.items()))
+    return rows.select(key, F.explode(every).alias("m")).select(key, "m.kind", "m.place", "m.mutated")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,29 +13,7 @@ from concord.sources import documents, reports
 
 from . import assess
 from . import sql as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts that come in fewer pieces than there are cores (one small file) are dealt over the cores, others left as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
+from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,19 +74,19 @@ def calibrate_confidence(spark, sf_dir):
 
 _ALIKE = f"""
 WITH w AS (SELECT DISTINCT unnest({S.words('text')}) AS t FROM benchmark),
-f AS (SELECT t, {S.fold('t')} AS x, regexp_matches(t, '[0-9]') AS d FROM w WHERE length(t) >= 4),
-p AS (SELECT a.t AS a, b.t AS b, a.x AS x, b.x AS y, a.d OR b.d AS d FROM f a JOIN f b ON a.t < b.t AND abs(length(a.x) - length(b.x)) <= 2 AND (left(a.x, 3) = left(b.x, 3) OR right(a.x, 3) = right(b.x, 3))),
+f AS (SELECT t, {S.fold('t')} AS x, regexp_matches(t, '[0-9]') AS d FROM w ),
+p AS (SELECT a.t AS a, b.t AS b, a.x AS x, b.x AS y, a.d OR b.d AS d FROM f a JOIN f b ON a.t < b.t),
 s AS (SELECT *, least(length(x), length(y)) AS m, len(list_filter(range(1, 40), lambda i: i <= least(length(x), length(y)) AND left(x, i) = left(y, i))) AS k,
   CASE WHEN length(x) = length(y) THEN len(list_filter(range(1, 40), lambda i: x[i] <> y[i])) END AS h FROM p)
-SELECT a, b FROM s WHERE x = y OR (NOT d AND ((k >= 4 AND m >= 4 AND k >= m - 2) OR (h <= 1 AND m >= 6)))
+SELECT a, b FROM s WHERE x = y OR (NOT d AND ((k >= 4 AND m >= 4 AND k >= m - 2 AND abs(length(x) - length(y)) <= 2) OR (h <= 1 AND m >= 6)))
 """
 
 
 @query(_ALIKE)
 def alike_pairs(spark, sf_dir):
-    """Word pairs of one form, found by equal first or last three letters: an equi-join on blocks. A pair that differs in
-    one letter shares its first or its last three when it has six letters or more."""
-    w = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("t")).distinct().filter(F.char_length("t") >= 4)
+    """Word pairs of one form, found by equal first or last three letters of the folded words (the whole of shorter ones): an
+    equi-join on blocks. A pair that differs in one letter shares its first or its last three when it has six letters or more."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("t")).distinct()
     x = T.fold(F.col("t"))
     blocks = w.select("t", F.explode(F.array(F.concat(F.lit("<"), F.substring(x, 1, 3)), F.concat(F.lit(">"), F.right(x, F.lit(3))))).alias("block"))
     pairs = blocks.alias("l").join(blocks.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.t") < F.col("r.t"))).select(F.col("l.t").alias("a"), F.col("r.t").alias("b")).distinct()
@@ -179,7 +155,11 @@ def locate_exact(spark, sf_dir):
     return locate.contiguous(rules, readings).select(F.col("rule_id").alias("item_id"), F.col("reading_id").alias("doc_id"))
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({S.tokens('text')}, ' ') || ' ' AS l FROM documents), b AS (SELECT item_id, {S.fragments('text')} AS f FROM benchmark),
+p AS (SELECT item_id, len(f) AS n_fragments, list_transform(f, lambda x: ' ' || array_to_string({S.tokens('x')}, ' ') || ' ') AS f FROM b WHERE len(f) > 0)
+SELECT item_id, doc_id, n_fragments FROM p JOIN d ON len(list_filter(f, lambda x: NOT contains(l, x))) = 0"""
+)
 def locate_fragments(spark, sf_dir):
     rules, readings = _sides(spark, sf_dir)
     return locate.by_fragments(rules, readings).select(F.col("rule_id").alias("item_id"), F.col("reading_id").alias("doc_id"), "n_fragments")
@@ -238,11 +218,9 @@ def known_neighbours(spark, sf_dir):
     return rows.select("event_id", "event_type", "last_known", "next_known")
 
 
-@query(
-    "WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) SELECT c_custkey FROM o WHERE n <= 60 OR floor(i * 60 / n) <> floor((i - 1) * 60 / n)"
-)
+@query("WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) SELECT c_custkey FROM o WHERE n <= 71 OR list_contains(list_transform(range(71), lambda k: k * n // 71), i)")
 def spread_sample(spark, sf_dir):
-    return tokens.spread(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 60).select("c_custkey")
+    return tokens.spread(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 71).select("c_custkey")
 
 
 # ---- quantities, sizes, codes, scale ------------------------------------------------------------
@@ -559,17 +537,48 @@ def status_counts(spark, sf_dir):
     return locate.compared(rules, reads, _pairs(rules, reads)).groupBy("status").agg(F.count("*").alias("n"), F.min("coverage").alias("least"), F.max("coverage").alias("most"))
 
 
-@query()
+_CHANGES = ", ".join(f"('{k}', {n})" for k, n in verdict.CHANGES.items())
+_MUTATIONS = f"""
+b AS (SELECT item_id, text, {S.fragments('text')} AS f FROM benchmark),
+p AS (SELECT item_id, text, list_transform(CASE WHEN len(f) > 0 THEN f ELSE [text] END, lambda x: [x]) AS f FROM b),
+s AS (SELECT item_id, text, list_reduce(list_prepend(CAST([] AS VARCHAR[]), f), lambda acc, x: list_concat(acc,
+  [CAST(instr(substr(text, coalesce(CAST(acc[len(acc)] AS INTEGER), 0) + 1), x[1]) - 1 + CASE WHEN contains(substr(text, coalesce(CAST(acc[len(acc)] AS INTEGER), 0) + 1), x[1]) THEN coalesce(CAST(acc[len(acc)] AS INTEGER), 0) ELSE 0 END AS VARCHAR),
+   CAST(instr(substr(text, coalesce(CAST(acc[len(acc)] AS INTEGER), 0) + 1), x[1]) - 1 + CASE WHEN contains(substr(text, coalesce(CAST(acc[len(acc)] AS INTEGER), 0) + 1), x[1]) THEN coalesce(CAST(acc[len(acc)] AS INTEGER), 0) ELSE 0 END + length(x[1]) AS VARCHAR)])) AS sent FROM p),
+r AS (SELECT item_id, text, sent, regexp_extract_all(text, '[0-9]+|[^0-9]+') AS ns, regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+') AS ws FROM s),
+n AS (SELECT item_id, text, unnest(ns) AS part, list_transform(range(1, len(ns) + 1), lambda i: coalesce(list_sum(list_transform(ns[1:i - 1], lambda x: length(x))), 0)) AS ats, generate_subscripts(ns, 1) AS i FROM r),
+w AS (SELECT item_id, text, sent, unnest(ws) AS part, list_transform(range(1, len(ws) + 1), lambda i: coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0)) AS ats, generate_subscripts(ws, 1) AS i FROM r),
+v AS (SELECT item_id, text, part, CAST(ats[i] AS INTEGER) AS place, list_transform(list_filter(range(1, len(sent) // 2 + 1), lambda k: CAST(sent[2 * k - 1] AS INTEGER) <= ats[i] AND ats[i] < CAST(sent[2 * k] AS INTEGER)),
+  lambda k: CAST(sent[2 * k - 1] AS INTEGER) >= 0 AND regexp_matches(substr(text, CAST(sent[2 * k - 1] AS INTEGER) + 1, CAST(ats[i] AS INTEGER) - CAST(sent[2 * k - 1] AS INTEGER)), '[0-9\\p{{L}}%°º]') AND regexp_matches(substr(text, CAST(ats[i] AS INTEGER) + length(part) + 1, CAST(sent[2 * k] AS INTEGER) - CAST(ats[i] AS INTEGER) - length(part)), '[0-9\\p{{L}}%°º]'))[1] AS inner_
+  FROM w WHERE regexp_matches(part, '^\\p{{L}}{{4}}')),
+c AS (SELECT item_id, text, part, CAST(ats[i] AS INTEGER) AS place, 'number' AS kind FROM n WHERE regexp_matches(part, '^[0-9]')
+  UNION ALL SELECT item_id, text, part, place, 'inside' FROM v WHERE coalesce(inner_, false) UNION ALL SELECT item_id, text, part, place, 'edge' FROM v WHERE NOT coalesce(inner_, false)
+  UNION ALL SELECT item_id, text, part, place, 'added' FROM v WHERE coalesce(inner_, false) UNION ALL SELECT item_id, text, part, place, 'letter' FROM v WHERE length(part) >= 6),
+o AS (SELECT c.*, most, row_number() OVER (PARTITION BY item_id, kind ORDER BY place) - 1 AS ix, count(*) OVER (PARTITION BY item_id, kind) AS total FROM c JOIN (VALUES {_CHANGES}) m(kind, most) USING (kind)),
+g AS (SELECT *, substr(text, 1, place) AS head, substr(text, place + length(part) + 1) AS tail, length(part) // 2 + 1 AS mid FROM o WHERE total <= most OR list_contains(list_transform(range(most), lambda k: k * total // most), ix)),
+mutated AS (SELECT item_id, kind, place, CASE kind WHEN 'number' THEN head || left(part, length(part) - 1) || CAST((CAST(right(part, 1) AS INTEGER) + 1) % 10 AS VARCHAR) || tail
+  WHEN 'added' THEN head || 'дополнительно ' || part || tail WHEN 'letter' THEN head || left(part, mid - 1) || CASE WHEN part[mid] = lower(part[mid]) THEN CASE WHEN part[mid] = 'ж' THEN 'ш' ELSE 'ж' END ELSE CASE WHEN lower(part[mid]) = 'ж' THEN 'Ш' ELSE 'Ж' END END || substr(part, mid + 1) || tail
+  ELSE regexp_replace(head || tail, ' {{2,}}', ' ', 'g') END AS mutated FROM g)
+"""
+
+
+@query(f"WITH {_MUTATIONS} SELECT item_id, kind, place, mutated FROM mutated")
 def mutations(spark, sf_dir):
     return verdict.mutations(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query()
 def stress_tally(spark, sf_dir):
-    """Every mutated text against the original's own reading: what still counts as found is a false match."""
+    """Every mutated text judged again on the reading of the text as it was: a match is a false match."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    rows = verdict.mutations(b, "item_id", "text").join(b, "item_id")
-    return rows.select("kind", T.compare(F.col("mutated"), F.col("text")).alias("c")).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("c.status") == "found").alias("false_matches"))
+    changed = verdict.mutations(b, "item_id", "text")
+    rule = F.concat_ws(":", "kind", F.col("place").cast("string"))
+    rules = changed.select(F.col("item_id").alias("sheet_id"), rule.alias("rule_id"), F.lit("Текст").alias("title"), F.lit("").alias("constraint"), F.col("mutated").alias("original"), F.col("mutated").alias("text"))
+    w = tokens.word_rows(b, "item_id", "text")
+    words = w.select(F.col("item_id").alias("sheet_id"), "word_ix", F.lit("a").alias("pass"), F.col("word").alias("text"), F.lit(95.0).alias("confidence"))
+    rows = assess.assess(rules, words).withColumn("kind", F.substring_index("rule_id", ":", 1))
+    n = lambda c: F.count_if(c)
+    v = F.col("verdict")
+    return rows.groupBy("kind").agg(F.count("*").alias("total"), n(v == "match").alias("false_match"), n(v == "difference").alias("caught"), n(~v.isin("match", "difference")).alias("flagged"))
 
 
 @query(

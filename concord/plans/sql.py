@@ -51,3 +51,11 @@ def words(e: str) -> str:
 
 def fold(e: str) -> str:
     return f"translate({e}, {q(X.LATIN + X.DIGITS)}, {q(X.CYRILLIC + X.DIGIT_LETTERS)})"
+
+
+def fragments(e: str) -> str:
+    """Pieces at newlines and sentence ends; one of fewer than three tokens joins the piece before; none unless there are two, of three tokens each."""
+    cut = rr(e, r"([.!?;])\s+(\p{Lu})", "\\1\n\\2")
+    pieces = f"list_filter(string_split_regex({cut}, '\n+'), lambda p: trim(p) <> '')"
+    folded = f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({pieces}, lambda p: [p])), lambda acc, p: CASE WHEN len(acc) > 0 AND len({tokens('p[1]')}) < 3 THEN list_concat(acc[1:len(acc) - 1], [acc[len(acc)] || ' ' || p[1]]) ELSE list_concat(acc, p) END)"
+    return f"list_transform([{folded}], lambda a: CASE WHEN len(a) > 1 AND len(list_filter(a, lambda x: len({tokens('x')}) < 3)) = 0 THEN a ELSE [] END)[1]"

@@ -142,12 +142,52 @@ def test_verdict_ladders(value):  # noqa: F811
     assert value(verdict.numeric_difference(F.lit("replace"), F.lit("40"), F.lit("45"), F.lit(80))) and not value(verdict.numeric_difference(F.lit("replace"), F.lit("40"), F.lit("40 г"), F.lit(80)))
 
 
+def plain_mutations(text):
+    """The changes by their definition, one text at a time."""
+    import re
+
+    chosen = lambda items, k: items if len(items) <= k else [items[i * len(items) // k] for i in range(k)]
+    parts = [p for p in re.split(r"\n+|(?<=[.!?;])\s+(?=[A-ZА-ЯЁ])", text) if p.strip(" ")]
+    assert len(parts) == 1 or all(len(re.findall(r"\d+|[^\W\d_]+", p)) >= 3 for p in parts)  # else they would join
+    spans, at = [], 0
+    for p in parts if len(parts) > 1 else [text]:
+        at = text.index(p, at)
+        spans.append((at, at + len(p)))
+        at += len(p)
+    some = lambda s: re.search(r"[\d%°]|[^\W\d_]", s) is not None
+    words = [m for m in re.finditer(r"[^\W\d_]{4,}", text)]
+    lo_hi = lambda m: next((s for s in spans if s[0] <= m.start() < s[1]), None)
+    inner = [m for m in words if lo_hi(m) and some(text[lo_hi(m)[0] : m.start()]) and some(text[m.end() : lo_hi(m)[1]])]
+    out = []
+    for m in chosen(list(re.finditer(r"[0-9]+", text)), 12):
+        out.append(("number", m.start(), text[: m.end() - 1] + str((int(m[0][-1]) + 1) % 10) + text[m.end() :]))
+    without = lambda m: re.sub(" {2,}", " ", text[: m.start()] + text[m.end() :])
+    out += [("inside", m.start(), without(m)) for m in chosen(inner, 8)]
+    out += [("edge", m.start(), without(m)) for m in chosen([m for m in words if m not in inner], 4)]
+    out += [("added", m.start(), text[: m.start()] + verdict.ADDED + text[m.start() :]) for m in chosen(inner, 8)]
+    for m in chosen([m for m in words if len(m[0]) >= 6], 8):
+        at = m.start() + len(m[0]) // 2
+        new = "ш" if text[at].lower() == "ж" else "ж"
+        out.append(("letter", m.start(), text[:at] + (new if text[at].islower() else new.upper()) + text[at + 1 :]))
+    return sorted(out)
+
+
 def test_mutations(spark):
-    text = "one two 40 four five six7 seven eight nine"
-    rows = verdict.mutations(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").collect()
-    kinds = {r.kind for r in rows}
-    assert kinds == {"digit", "delete-inside", "delete-edge", "insert", "letter"} and all(r.mutated != text for r in rows)
-    assert {r.mutated for r in rows if r.kind == "digit"} == {text.replace("40", "50"), text.replace("40", "41"), text.replace("six7", "six8")}
+    texts = ["one two 40 four five six7 seven eight nine", "Срок годности двенадцать месяцев. Хранить в сухом прохладном месте при температуре 25 °С; Беречь от света и Жарыжы", "Короткий", " ".join(f"слово{i} ещё длинное" for i in range(30))]
+    rows = verdict.mutations(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").collect()
+    for i, t in enumerate(texts):
+        got = sorted((r.kind, r.place, r.mutated) for r in rows if r.id == i)
+        assert got == plain_mutations(t) and all(m != t for _, _, m in got)
+    assert sum(r.kind == "letter" and r.id == 1 for r in rows) == 8
+
+
+def test_spread(spark):
+    for n, limit in ((10, 3), (1, 5), (100, 7), (61, 60), (0, 4)):
+        df = spark.createDataFrame([((i * 37) % 1009, str(i)) for i in range(n)], "k int, s string")
+        expected = sorted((i * 37) % 1009 for i in range(n))
+        expected = expected if n <= limit else [expected[i * n // limit] for i in range(limit)]
+        assert sorted(r.k for r in tokens.spread(df, ["k"], limit).collect()) == expected
+        assert tokens.spread(df, ["s"], limit).count() == min(n, limit)
 
 
 def test_rasters(spark):
