@@ -86,3 +86,28 @@ def upper_median(values: Column, none: float | None = None) -> Column:
     """The middle of the sorted values, the upper of two; never in between."""
     s = F.sort_array(values)
     return F.coalesce(F.get(s, F.floor(F.size(s) / 2).cast("int")), F.lit(none).cast("double"))
+
+
+def upright_size(width: Column, height: Column, rotation: Column) -> Column:
+    """struct<width, height> of a line crop once its text stands upright."""
+    aside = rotation % 180 != 0
+    return F.struct(F.when(aside, height).otherwise(width).alias("width"), F.when(aside, width).otherwise(height).alias("height"))
+
+
+def source_pixel(x0: Column, y0: Column, x1: Column, y1: Column, rotation: Column, u: Column, v: Column) -> Column:
+    """struct<x, y>: the page pixel under pixel (u, v) of the upright crop of x0..x1, y0..y1."""
+    make = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.when(rotation == 90, make(x0 + v, y1 - 1 - u)).when(rotation == 180, make(x1 - 1 - u, y1 - 1 - v)).when(rotation == 270, make(x1 - 1 - v, y0 + u)).otherwise(make(x0 + u, y0 + v))
+
+
+def unstretched(b: Column, stretch: Column) -> Column:
+    """A box read in an image drawn wider by `stretch`, in the image itself."""
+    return box(b["x"] / stretch, b["y"], b["w"] / stretch, b["h"])
+
+
+def turned_quad(x: Column, y: Column, advance: Column, font: Column, angle: Column, width: Column, height: Column) -> Column:
+    """Bounding box, in fractions of the page, of a run of text of a text layer: its origin, length, size and direction in page units."""
+    corner = lambda a, b: (x + a * F.cos(angle) - b * F.sin(angle), y + a * F.sin(angle) + b * F.cos(angle))
+    corners = [corner(a, b) for a in (F.lit(0.0), advance) for b in (F.lit(0.0), -font)]
+    xs, ys = F.array(*(c[0] / width for c in corners)), F.array(*(c[1] / height for c in corners))
+    return box(F.array_min(xs), F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))

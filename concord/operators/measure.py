@@ -80,3 +80,33 @@ def raster_step(page: Column, coarser: Column, scale: Column, detail: Column) ->
 
 def borderline(value: Column, least: Column, step: Column) -> Column:
     return F.coalesce((step > 0) & (F.abs(value - least) <= 2 * step), F.lit(False))
+
+
+def symbols_measured(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, pixel_step, symbols: the coarsest raster step of surely read words with measured letters, and how many letters these have.
+
+    words: confidence, source_step, step, heights (array).
+    """
+    sure = words.filter((F.coalesce("confidence", F.lit(0.0)) >= X.FLOOR_SURE) & F.exists("heights", lambda h: h.isNotNull()))
+    step = F.greatest(F.coalesce("source_step", F.lit(0.0)), F.coalesce("step", F.lit(0.0)))
+    return sure.groupBy(*keys).agg(F.max(F.when(step > 0, step)).alias("pixel_step"), F.sum(F.size(F.filter("heights", lambda h: h.isNotNull()))).alias("symbols"))
+
+
+def peaks(samples: DataFrame, keys: Sequence[str], kind: str, value: str) -> DataFrame:
+    """keys, peak_total and peak of each kind of process: the largest sum at one moment, and the largest value of each kind. samples: keys, at, kind, value."""
+    moments = samples.groupBy(*keys, "at").agg(F.sum(value).alias("_t")).groupBy(*keys).agg(F.max("_t").alias("peak_total"))
+    by = samples.groupBy(*keys, "at", kind).agg(F.sum(value).alias("_v")).groupBy(*keys, kind).agg(F.max("_v").alias("peak"))
+    return by.join(moments, list(keys))
+
+
+def grid(rows: DataFrame, settings: Sequence[str], counts: Sequence[tuple[str, str, str]], ms: str) -> DataFrame:
+    """settings, a rate in per cent for each (name, errors, total), and the mean time of a sheet in whole milliseconds."""
+    sums = [(n, F.sum(e), F.sum(t)) for n, e, t in counts]
+    return rows.groupBy(*settings).agg(*(F.when(t > 0, F.floor(e / t * 1000 + 0.5) / 10).alias(n) for n, e, t in sums), F.floor(F.avg(ms) + 0.5).cast("long").alias("mean_ms"))
+
+
+def detector_scales(width: Column, height: Column) -> Column:
+    """Scales at which an image is searched for lines: its own size beyond 2,400 pixels, else 1,000 and 2,000 pixels, between .5 and 3."""
+    long = F.greatest(width, height)
+    one = lambda target: F.floor(F.greatest(F.lit(0.5), F.least(F.lit(3.0), target / long)) * 100 + 0.5) / 100
+    return F.when(long > 2400, F.array(F.lit(1.0))).otherwise(F.array_distinct(F.array(one(1000.0), one(2000.0))))

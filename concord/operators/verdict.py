@@ -164,3 +164,12 @@ def mutations(rules: DataFrame, key: str, text: str) -> DataFrame:
 
     every = F.concat(*(changed(k, c, f) for k, (c, f) in kinds.items()))
     return rows.select(key, F.explode(every).alias("m")).select(key, "m.kind", "m.place", "m.mutated")
+
+
+FILTERS = {"all": None, "issues": ("error", "issue"), "pending": ("pending",), "passed": ("pass", "detected", "words")}
+
+
+def shown(status: Column, wanted: str) -> Column:
+    """Whether a row is shown under a filter of the report."""
+    kept = FILTERS[wanted]
+    return F.lit(True) if kept is None else status.isin(*kept)

@@ -792,3 +792,6 @@ def assess_rows(spark, sf_dir):
     w = tokens.word_rows(docs, "doc_id", "text")
     words = w.select(F.col("doc_id").alias("sheet_id"), "word_ix", F.lit("a").alias("pass"), F.col("word").alias("text"), (60 + F.col("word_ix") * 7 % 40).cast("double").alias("confidence"))
     return assess.assess(table_, words).drop("expected")
+
+
+from . import place_queries, rule_queries  # noqa: E402,F401  register their queries
