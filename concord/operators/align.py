@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from concord.functions import text as T
 
+from . import layout
+
 
 def _coded(a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
     codes: dict = {}
@@ -143,80 +145,284 @@ def _alike(a: str, b: str) -> bool:
     return (p >= 4 and least >= 4 and abs(len(x) - len(y)) <= 2 and p >= least - 2) or (len(x) == len(y) >= 6 and sum(c != d for c, d in zip(x, y)) <= 1)
 
 
-def operations(target: Sequence[str], tokens: Sequence[str]) -> list[dict]:
-    """same, replace, uncertain, missing and extra steps of the best alignment; a missing word between two read
-    neighbours that touch is anchored, look-alikes and cut numbers are uncertain; `at` is the token's place."""
-    if not len(target) or not len(tokens):
-        return [{"kind": "missing", "expected": t, "actual": None, "anchored": False, "at": None} for t in target]
-    words, spots = np.unique(np.array(tokens, object).astype(str), return_inverse=True)
-    digit = lambda s: any(c.isdigit() for c in s)
+def _digits(s: str) -> str:
+    return "".join(filter(str.isdigit, s))
+
+
+def _typed(expected: str, actual: str) -> str:
+    """What reading actual for expected means: a look-alike or a number cut short is no sure difference."""
+    da, db = _digits(expected), _digits(actual)
+    cut = bool(da) and 0 < len(db) < len(da) and (da.startswith(db) or da.endswith(db))
+    return "uncertain" if _lookalike(expected, actual) or cut else "replace"
+
+
+def _foreign(target: Sequence[str], words: Sequence[str]) -> np.ndarray:
+    """Words that have nothing of the target: no folded token, no digit where the target has one, no shared stem of four letters."""
     folded = {t.translate(_FOLD) for t in target}
     stems = {f[:4] for f in folded if len(f) >= 4}
-    numeric = any(map(digit, target))
+    numeric = any(map(_digits, target))
+    return np.array([w.translate(_FOLD) not in folded and not (numeric and _digits(w)) and w.translate(_FOLD)[:4] not in stems for w in words], bool)
+
+
+def _keys(f: str) -> list:
+    """What a folded word shares with any word alike: its stem, or one half of a word of its length."""
+    half = len(f) // 2
+    return [f, f[:4]] + ([(len(f), f[:half]), (-len(f), f[half:])] if len(f) >= 6 else [])
+
+
+def _related(target: Sequence[str], words: Sequence[str]) -> np.ndarray:
+    """-1 where word j is target i, 0 where the two may be one misread, 1 else. Only words that share a stem, a half or digits are compared."""
     swap = np.ones((len(target), len(words)), np.int8)
-    # related words share four folded letters or, of one length, all but one: only such are compared
     near: dict = {}
     for i, t in enumerate(target):
-        f = t.translate(_FOLD)
-        for k in {t, f, f[:4], len(f)} | ({"digit"} if digit(t) else set()):
+        for k in {t, *_keys(t.translate(_FOLD))} | ({"digit"} if _digits(t) else set()):
             near.setdefault(k, set()).add(i)
-    for j, w in enumerate(words):
-        f = w.translate(_FOLD)
-        some = near.get(w, set()) | near.get(f, set()) | near.get(f[:4], set()) | (near.get(len(f), set()) if len(f) >= 6 else set()) | (near.get("digit", set()) if digit(w) else set())
+    folded = "\n".join(words).translate(_FOLD).split("\n")
+    for j, (w, f) in enumerate(zip(words, folded)):
+        numeric = not w.isalpha() and _digits(w)
+        if not (numeric or f[:4] in near or w in near or f in near or (len(f) >= 6 and ((len(f), f[: len(f) // 2]) in near or (-len(f), f[len(f) // 2 :]) in near))):
+            continue
+        some = set().union(*(near.get(k, ()) for k in [w, *_keys(f), *(["digit"] if numeric else [])]))
         for i in some:
             t = target[i]
-            swap[i, j] = -1 if t == w else 0 if (digit(t) and digit(w)) or _alike(t, w) else 1
-    foreign = np.array([w.translate(_FOLD) not in folded and not (numeric and digit(w)) and w.translate(_FOLD)[:4] not in stems for w in words])
+            # a number may only be another number misread
+            swap[i, j] = -1 if t == w else 0 if (numeric if _digits(t) else not numeric and _alike(t, w)) else 1
+    return swap
+
+
+def _step(kind: str, expected: str | None, actual: str | None, at: int | None) -> dict:
+    return {"kind": kind, "expected": expected, "actual": actual, "anchored": False, "at": at}
+
+
+def operations(target: Sequence[str], tokens: Sequence[str], confidence: Sequence[float] | None = None, boxes: np.ndarray | None = None, words: Sequence[int] | None = None) -> list[dict]:
+    """same, replace, uncertain, missing and extra steps of the best alignment, settled.
+
+    An extra reading of a word that is there goes, and so do extra words beside the phrase (boxes: start, end, top, bottom of each token as it
+    reads, one row a token; words: the word each token is of). A missing word and an extra one in its place are one replacement.
+    A weakly read number (below 75) reads nothing for sure. A missing word between two read neighbours is anchored. `at` is the token's place.
+    """
+    lost = [_step("missing", t, None, None) for t in target]
+    if not len(target) or not len(tokens):
+        return lost
+    code: dict[str, int] = {}
+    spots = np.array([code.setdefault(t, len(code)) for t in tokens])
+    names = list(code)
+    swap = _related(target, names)[:, spots]
+    if confidence is not None:
+        weak = np.array([not t.isalpha() and bool(_digits(t)) for t in names])[spots] & (np.asarray(confidence, float) < 75)
+        swap[:, weak] = np.maximum(swap[:, weak], 0)
+    # what lies further than the target's length from all related tokens is in no best alignment
+    some = np.flatnonzero((swap <= 0).any(0))
+    if not len(some):
+        return lost
+    lo, hi = max(0, int(some[0]) - len(target)), min(len(tokens), int(some[-1]) + 1 + len(target))
+    foreign = _foreign(target, tokens[lo:hi])
     out = []
-    for kind, i, j in affine(swap[:, spots], foreign[spots]):
+    for kind, i, j in affine(swap[:, lo:hi], foreign):
         if kind == "swap":
+            j += lo
             a, b = target[i], str(tokens[j])
-            da, db = "".join(filter(str.isdigit, a)), "".join(filter(str.isdigit, b))
-            cut = bool(da) and 0 < len(db) < len(da) and (da.startswith(db) or da.endswith(db))
-            out.append({"kind": "same" if a == b else "uncertain" if _lookalike(a, b) or cut else "replace", "expected": a, "actual": b, "anchored": False, "at": j})
+            same = swap[i, j] < 0
+            out.append(_step("same" if same else "uncertain" if a == b else _typed(a, b), a, b, j))
         elif kind == "missing":
-            out.append({"kind": "missing", "expected": target[i], "actual": None, "anchored": False, "at": None})
+            out.append(_step("missing", target[i], None, None))
         else:
-            out.append({"kind": "extra", "expected": None, "actual": str(tokens[j]), "anchored": False, "at": j})
+            out.append(_step("extra", None, str(tokens[j + lo]), j + lo))
+    if boxes is not None:
+        out = _in_flow(_read_once(out, boxes), boxes, None if confidence is None else np.asarray(confidence, float))
+    out = _paired(out)
     for k, op in enumerate(out):
         if op["kind"] == "missing":
             left = next((o for o in out[k - 1 :: -1] if o["kind"] != "missing"), None) if k else None
             right = next((o for o in out[k + 1 :] if o["kind"] != "missing"), None)
             op["anchored"] = bool(left and right and left["kind"] == right["kind"] == "same")
+            if op["anchored"]:
+                op["between"] = (left["at"], right["at"])
     return out
 
 
+def _read_once(ops: list[dict], boxes: np.ndarray) -> list[dict]:
+    """Without extra words that repeat the equal step beside them over the same print."""
+    keep = []
+    for k, o in enumerate(ops):
+        twin = False
+        if o["kind"] == "extra":
+            for p in (ops[i] for i in (k - 1, k + 1) if 0 <= i < len(ops)):
+                a, b = boxes[o["at"]], boxes[p["at"]] if p["at"] is not None else boxes[o["at"]]
+                twin |= p["kind"] == "same" and p["expected"] == o["actual"] and min(a[1], b[1]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[2], b[2])
+        if not twin:
+            keep.append(o)
+    return keep
+
+
+def _in_flow(ops: list[dict], boxes: np.ndarray, confidence: np.ndarray | None) -> list[dict]:
+    """Without runs of extra words beside the phrase: fewer than half of a run's words follow its left neighbour on the line, lead up to its
+    right one, or stand on lines between the two inside the phrase's area; or the run, surely read, stands apart from the column's edge."""
+    read = [o["at"] for o in ops if o["kind"] == "same"]
+    if not read:
+        return ops
+    own = boxes[read]
+    from_, to = own[:, 0].min(), own[:, 1].max()
+    slack = 0.5 * float(np.sort(np.minimum(own[:, 1] - own[:, 0], own[:, 3] - own[:, 2]))[len(own) // 2])
+    area = (from_ - slack, to + slack, own[:, 2].min() - slack, own[:, 3].max() + slack)
+    level = lambda p, q: min(p[3], q[3]) - max(p[2], q[2]) >= 0.4 * min(p[3] - p[2], q[3] - q[2])
+
+    def chain(run: np.ndarray, anchor, ahead: bool) -> int:
+        """Words that follow one another from the neighbour on, at word spacing."""
+        n, last = 0, anchor
+        for w in run[np.argsort(run[:, 0] if ahead else -run[:, 0], kind="stable")]:
+            gap = w[0] - last[1] if ahead else last[0] - w[1]
+            if not level(w, last) or gap > 3 * (last[3] - last[2]) or gap < -(w[1] - w[0]):
+                break
+            last, n = w, n + 1
+        return n
+
+    def flows(w, p, q) -> bool:
+        middle = (w[0] + w[1]) / 2, (w[2] + w[3]) / 2
+        if not (area[0] <= middle[0] <= area[1] and area[2] <= middle[1] <= area[3]):
+            return False
+        if p is not None and level(w, p) and w[0] >= p[0]:
+            return q is None or not level(w, q) or w[1] <= q[1]
+        if q is not None and level(w, q) and w[1] <= q[1]:
+            return True
+        return p is not None and q is not None and w[2] >= p[2] and w[3] <= q[3] and not level(p, q)
+
+    def apart(at: list[int], run: np.ndarray, p, q) -> bool:
+        if confidence is not None and (confidence[at] < 75).any():
+            return False
+        after = p is not None and all(level(w, p) for w in run) and (q is None or not level(q, p))
+        if after and run[:, 0].min() > to + 0.5 * (p[3] - p[2]) and run[:, 0].min() - p[1] > 1.2 * (p[3] - p[2]):
+            return True
+        before = q is not None and all(level(w, q) for w in run) and (p is None or not level(p, q))
+        return bool(before and run[:, 1].max() < from_ - 0.5 * (q[3] - q[2]) and q[0] - run[:, 1].max() > 1.2 * (q[3] - q[2]))
+
+    out, k = [], 0
+    while k < len(ops):
+        end = k
+        while end < len(ops) and ops[end]["kind"] == "extra":
+            end += 1
+        if end > k:
+            at = [o["at"] for o in ops[k:end]]
+            run = boxes[at]
+            p = next((boxes[o["at"]] for o in ops[k - 1 :: -1] if o["kind"] == "same"), None) if k else None
+            q = next((boxes[o["at"]] for o in ops[end:] if o["kind"] == "same"), None)
+            inside = max(chain(run, p, True) if p is not None else 0, chain(run, q, False) if q is not None else 0, sum(flows(w, p, q) for w in run))
+            if inside >= 0.5 * len(run) and not apart(at, run, p, q):
+                out += ops[k:end]
+            k = end
+        if k < len(ops):
+            out.append(ops[k])
+            k += 1
+    return out
+
+
+def _paired(ops: list[dict]) -> list[dict]:
+    """Of a run of missing and extra steps as many as possible become replacements: the first missing with the first extra, and so on."""
+    out, k = [], 0
+    while k < len(ops):
+        end = k
+        while end < len(ops) and ops[end]["kind"] in ("missing", "extra"):
+            end += 1
+        run = ops[k:end]
+        added = [o for o in run if o["kind"] == "extra"]
+        n = min(len(added), len(run) - len(added))
+        gone, used = 0, 0
+        for o in run:
+            if o["kind"] == "missing" and gone < n:
+                read = added[gone]
+                out.append(_step(_typed(o["expected"], read["actual"]), o["expected"], read["actual"], read["at"]))
+                gone += 1
+            elif o["kind"] == "extra" and used < n:
+                used += 1
+            else:
+                out.append(o)
+        if end < len(ops):
+            out.append(ops[end])
+        k = end + 1
+    return out
+
+
+def differences(ops: Sequence[dict], confidence: Sequence[float] | None = None) -> list[dict]:
+    """Steps that differ, neighbours of one kind made one; a pair or a split of the same shapes (look-alikes folded, spaces left out) is uncertain.
+
+    Each has kind, expected, actual, confidence (the highest of its words, 0 if uncertain), anchored, and the steps `first` to `last` it covers.
+    """
+    sure = lambda o: float(confidence[o["at"]]) if confidence is not None and o["at"] is not None and o["kind"] in ("replace", "extra") else 0.0
+    out: list[dict] = []
+    for k, o in enumerate(ops):
+        if o["kind"] == "same":
+            continue
+        last = out[-1] if out else None
+        if last and last["kind"] == o["kind"] and last["anchored"] == o["anchored"] and last["last"] == k - 1:
+            for c in ("expected", "actual"):
+                last[c] = " ".join(x for x in (last[c], o[c]) if x) or None
+            last.update(last=k, confidence=max(last["confidence"], sure(o)))
+        else:
+            out.append({c: o[c] for c in ("kind", "expected", "actual", "anchored")} | {"confidence": sure(o), "first": k, "last": k})
+    shape = lambda *texts: "".join(t or "" for t in texts).replace(" ", "").translate(_FOLD)
+    settled: list[dict] = []
+    for d in out:
+        last = settled[-1] if settled else None
+        both = last and all(x["kind"] in ("missing", "replace", "uncertain") for x in (last, d)) and (last["actual"] or d["actual"])
+        if both and not last.get("whole") and shape(last["expected"], d["expected"]) == shape(last["actual"], d["actual"]):
+            last.update(kind="uncertain", confidence=0.0, anchored=False, last=d["last"], whole=True, **{c: " ".join(x for x in (last[c], d[c]) if x) or None for c in ("expected", "actual")})
+            continue
+        if d["kind"] == "replace" and shape(d["expected"]) == shape(d["actual"]):
+            d.update(kind="uncertain", confidence=0.0, whole=True)
+        settled.append(d)
+    for d in settled:
+        d.pop("whole", None)
+    return settled
+
+
 def quality(target: Sequence[str], ops: Sequence[dict]) -> float:
     """1 less the weighed share of steps that are not same: words foreign to the target that go on with an insertion weigh a quarter."""
-    folded = {t.translate(_FOLD) for t in target}
-    stems = {f[:4] for f in folded if len(f) >= 4}
-    digit = lambda s: any(c.isdigit() for c in s)
-    numeric = any(map(digit, target))
     weighed, last = 0.0, None
     for o in ops:
         if o["kind"] != "same":
-            f = o["actual"].translate(_FOLD) if o["kind"] == last == "extra" else None
-            weighed += 0.25 if f is not None and f not in folded and not (numeric and digit(f)) and f[:4] not in stems else 1
+            weighed += 0.25 if o["kind"] == last == "extra" and _foreign(target, [o["actual"]])[0] else 1
         last = o["kind"]
     return 1 - weighed / max(1, len(target))
 
 
 _OPS = "array<struct<kind:string,expected:string,actual:string,anchored:boolean,at:int>>"
+_DIFF = "array<struct<kind:string,expected:string,actual:string,confidence:double,anchored:boolean,before:int,after:int,at:int>>"
 
 
-def aligned(pairs: DataFrame, keys: Sequence[str], target: str, tokens: str) -> DataFrame:
-    """keys, coverage (per cent of target tokens read), n_same, quality and ops of each pair's best alignment."""
+def aligned(pairs: DataFrame, keys: Sequence[str], target: str, tokens: str, confidences: str | None = None, spans: str | None = None) -> DataFrame:
+    """keys, coverage (per cent of target tokens read), n_same, quality, ops and diff of each pair's best alignment.
+
+    confidences: one of each token. spans: start, end, top and bottom of each token as it reads, one after the other; with them words read twice
+    or standing beside the phrase are no differences. In diff, `before` and `after` are the read tokens round an anchored gap, `at` the first token read there.
+    """
     kept = [pairs.schema[k] for k in keys]
+    more = [c for c in (confidences, spans) if c]
+
+    def one(x, y, c, b) -> dict:
+        x, y = list(x), list(y)
+        box = np.asarray(b, float).reshape(-1, 4) if b is not None and y and len(b) == 4 * len(y) else None
+        # spaces that the reading lost or added are undone first
+        made = layout.respaced_from(x, y)
+        if len(made) != len(y) or any(i != j for _, i, j in made):
+            c = None if c is None else [float(np.min(c[i : j + 1])) for _, i, j in made]
+            box = None if box is None else np.array([(box[i : j + 1, 0].min(), box[i : j + 1, 1].max(), box[i : j + 1, 2].min(), box[i : j + 1, 3].max()) for _, i, j in made])
+        ops = operations(x, [t for t, _, _ in made], c, box)
+        at = lambda i, end=False: None if i is None else made[i][2 if end else 1]
+        same = sum(o["kind"] == "same" for o in ops)
+        diff = []
+        for d in differences(ops, c):
+            gap = ops[d["first"]].get("between") or (None, None)
+            diff.append({k: d[k] for k in ("kind", "expected", "actual", "confidence", "anchored")} | {"before": at(gap[0], True), "after": at(gap[1]), "at": at(ops[d["first"]]["at"])})
+        return {"coverage": int(100 * same / max(1, len(x)) + 0.5), "n_same": same, "quality": quality(x, ops), "ops": [{k: o[k] for k in ("kind", "expected", "actual", "anchored")} | {"at": at(o["at"])} for o in ops], "diff": diff}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ops = [operations(list(x), list(y)) for x, y in zip(b[target], b[tokens])]
-            same = [sum(o["kind"] == "same" for o in o_) for o_ in ops]
-            cover = [int(100 * n / max(1, len(x)) + 0.5) for n, x in zip(same, b[target])]
-            good = [quality(list(x), o_) for o_, x in zip(ops, b[target])]
-            yield b[list(keys)].assign(coverage=np.array(cover, np.int32), n_same=np.array(same, np.int32), quality=np.array(good, np.float64), ops=ops)
+            none = [None] * len(b)
+            rows = [one(*r) for r in zip(b[target], b[tokens], b[confidences] if confidences else none, b[spans] if spans else none)]
+            out = b[list(keys)].reset_index(drop=True)
+            yield out.assign(**{c: pd.Series([r[c] for r in rows], dtype=t) for c, t in (("coverage", "int32"), ("n_same", "int32"), ("quality", "float64"), ("ops", object), ("diff", object))})
 
-    return pairs.select(*keys, target, tokens).mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + f", coverage int, n_same int, quality double, ops {_OPS}")
+    return pairs.select(*keys, target, tokens, *more).mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + f", coverage int, n_same int, quality double, ops {_OPS}, diff {_DIFF}")
 
 
 def similarities(pairs: DataFrame, keys: Sequence[str], needle: str, hay: str) -> DataFrame:

@@ -132,7 +132,11 @@ def joined_hyphens(tokens: Column) -> Column:
 
 
 def respaced(target: Sequence[str], tokens: Sequence[str]) -> list[str]:
-    """tokens cut anew where letters spell the target: of all ways to keep a token, to part one into two or three
+    return [t for t, _, _ in respaced_from(target, tokens)]
+
+
+def respaced_from(target: Sequence[str], tokens: Sequence[str]) -> list[tuple[str, int, int]]:
+    """tokens, each with the first and last one it is made of, cut anew where letters spell the target: of all ways to keep a token, to part one into two or three
     neighbouring target tokens, or to join two or three into one, that which leaves least tokens foreign to the target,
     then changes least. Numbers and tokens of the target stay as they are."""
     known = set(target)
@@ -141,25 +145,39 @@ def respaced(target: Sequence[str], tokens: Sequence[str]) -> list[str]:
         for part in zip(*(target[i:] for i in range(n))):
             if all(map(str.isalpha, part)):
                 spelled.setdefault("".join(part), part)
-    n = len(tokens)
-    best: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-    move: list[tuple[int, tuple[str, ...]]] = [(0, ())] * n
-    for j in range(n - 1, -1, -1):
-        ways = [((tokens[j] not in known) + best[j + 1][0], best[j + 1][1], 1, (tokens[j],))]
-        for k in range(1, min(3, n - j) + 1):
+    # moves from a token: how many tokens, and what they become; only tokens that begin something spelled have any
+    begins = {w[:k] for w in spelled for k in range(1, len(w) + 1)} - known
+    moves: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+    for j in (j for j, t in enumerate(tokens) if t in begins):
+        for k in range(1, min(3, len(tokens) - j) + 1):
             part = tokens[j : j + k]
-            if any(p in known or not p.isalpha() for p in part):
+            if part[-1] in known or not part[-1].isalpha():
                 break
             whole = spelled.get("".join(part))
             if whole and (k == 1 or len(whole) == 1):
-                ways.append((best[j + k][0], best[j + k][1] + 1, k, whole))
-        unknown, changes, k, whole = min(ways)
-        best[j], move[j] = (unknown, changes), (k, whole)
-    out, j = [], 0
-    while j < n:
-        out += move[j][1]
-        j += move[j][0]
-    return out
+                moves.setdefault(j, []).append((k, whole))
+    out: list[tuple[str, int, int]] = []
+    j = 0
+    for first in sorted(moves):
+        if first < j:
+            continue
+        out += [(t, j + i, j + i) for i, t in enumerate(tokens[j:first])]
+        # tokens that chained moves reach are settled together
+        end, at = first + 1, first
+        while at < end:
+            end = max([end, *(at + k for k, _ in moves.get(at, ()))])
+            at += 1
+        best: dict[int, tuple] = {end: (0, 0)}
+        for i in range(end - 1, first - 1, -1):
+            ways = [((tokens[i] not in known) + best[i + 1][0], best[i + 1][1], 1, (tokens[i],))]
+            ways += [(best[i + k][0], best[i + k][1] + 1, k, whole) for k, whole in moves.get(i, ())]
+            best[i] = min(ways)
+        j = first
+        while j < end:
+            _, _, k, whole = best[j]
+            out += [(t, j, j + k - 1) for t in whole]
+            j += k
+    return out + [(t, j + i, j + i) for i, t in enumerate(tokens[j:])]
 
 
 def turned_frame(b: Column, turn: Column, width: Column, height: Column) -> Column:

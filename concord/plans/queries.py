@@ -10,6 +10,7 @@ from concord.functions import quantity as Q
 from concord.functions import text as T
 from concord.operators import align, callouts, layout, locate, measure, raster, readings, requirements, tokens, verdict
 from concord.sources import documents, reports
+from concord.sources.shared import kept
 
 from . import assess
 from . import sql as S
@@ -102,7 +103,7 @@ def _sides(spark, sf_dir):
 
 def _pairs(rules, reads, k: int = 10):
     """The k best readings of each rule, kept: several joins read these few rows."""
-    return locate.candidates(rules, reads, k).persist()
+    return kept(locate.candidates(rules, reads, k), "candidates")
 
 
 _HITS = f"""
