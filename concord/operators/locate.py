@@ -1,4 +1,4 @@
-"""Where required texts stand in readings: candidates, then exact, by fragments, by words.
+"""Where required texts stand in readings: candidates, then exact, by fragments, by sections, by alignment, by words.
 
 An inverted index of tokens is the only join; no stage crosses texts with readings. Stages
 run cheapest first, and what is located leaves before the next.
@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import text as T
+from concord.sources.shared import kept
 
+from . import align
 from .tokens import top
 
 
@@ -69,18 +71,52 @@ def compared(rules: DataFrame, readings: DataFrame, pairs: DataFrame) -> DataFra
     return rows.select("rule_id", "reading_id", T.compare_tokens(F.col("e"), F.col("a"), F.col("want"), F.col("read")).alias("c")).select("rule_id", "reading_id", "c.status", "c.coverage", "c.missing")
 
 
+def _aligned(rules: DataFrame, readings: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """rule_id, reading_id, coverage, n_same, quality of pairs whose best alignment has quality `least`. No more can be read than what
+    the reading holds, with or without its spaces: pairs that hold too little are not aligned."""
+    want = rules.select(F.col("id").alias("rule_id"), F.col("tokens").alias("want"))
+    used = readings.join(pairs.select(F.col("reading_id").alias("id")).distinct(), "id", "left_semi")
+    rows = pairs.select("rule_id", "reading_id").join(want, "rule_id").join(used.select(F.col("id").alias("reading_id"), F.col("tokens").alias("read")), "reading_id")
+    held = T.let(F.array_join("read", ""), lambda x: F.size(F.filter("want", lambda t: F.contains(x, t))))
+    # each token not read is a step that is not same
+    rows = rows.filter(F.size("want") - held <= (1 - least) * F.size("want") + 1e-9)
+    return align.aligned(rows, ["rule_id", "reading_id"], "want", "read").filter(F.col("quality") >= least).select("rule_id", "reading_id", "coverage", "n_same", "quality")
+
+
+def by_sections(rules: DataFrame, readings: DataFrame, k: int = 10, least: int = 55) -> DataFrame:
+    """rule_id, reading_id, coverage where every fragment of a rule is aligned in the reading (quality .5) with a coverage of `least`; coverage weighed by the fragments' tokens."""
+    parts = rules.select(F.col("id").alias("rule_id"), F.posexplode(T.fragments(F.col("raw"))).alias("part", "raw"))
+    parts = parts.select(F.struct("rule_id", "part").alias("id"), T.phrase_tokens(F.col("raw")).alias("tokens"))
+    found = _aligned(parts, readings, candidates(parts, readings, k), 0.5).filter(F.col("coverage") >= least)
+    sizes = parts.select(F.col("id").alias("rule_id"), F.size("tokens").alias("n"))
+    count = parts.groupBy(F.col("id.rule_id").alias("rule_id")).agg(F.count("*").alias("parts"))
+    sums = found.join(sizes, "rule_id").groupBy(F.col("rule_id.rule_id").alias("rule_id"), "reading_id").agg(F.count("*").alias("found"), F.floor(F.sum(F.col("coverage") * F.col("n")) / F.sum("n") + 0.5).cast("int").alias("coverage"))
+    return sums.join(count, "rule_id").filter("found = parts").select("rule_id", "reading_id", "coverage")
+
+
 def staged(rules: DataFrame, readings: DataFrame, k: int = 10) -> DataFrame:
     """rule_id, method, reading_id, coverage: the best place of each rule by the first method that finds one, with null for none.
 
-    exact, then fragments, then words (most coverage, 50 at least).
+    exact, then fragments, then sections (each fragment aligned by itself), then layout (the best alignment of quality .5: most
+    tokens read, then quality, then the candidates' order), then words (most coverage, 50 at least).
     """
     exact = contiguous(rules, readings).groupBy("rule_id").agg(F.min("reading_id").alias("reading_id")).select("rule_id", F.lit("exact").alias("method"), "reading_id", F.lit(100).alias("coverage"))
-    left = rules.join(exact, rules.id == exact.rule_id, "left_anti")
+    exact = kept(exact, "exact")
+    without = lambda rows, done: rows.join(done, rows.id == done.rule_id, "left_anti")
+    left = without(rules, exact)
     parts = by_fragments(left, readings).groupBy("rule_id").agg(F.min("reading_id").alias("reading_id")).select("rule_id", F.lit("fragments").alias("method"), "reading_id", F.lit(100).alias("coverage"))
-    left = left.join(parts, left.id == parts.rule_id, "left_anti")
-    scored = compared(left, readings, candidates(left, readings, k)).filter("coverage >= 50")
-    words = top(scored, ["rule_id"], [F.desc("coverage"), F.asc("reading_id")], 1).select("rule_id", F.lit("words").alias("method"), "reading_id", "coverage")
-    every = exact.unionByName(parts).unionByName(words)
+    parts = kept(parts, "fragments")
+    left = without(left, parts)
+    of = lambda method, rows: rows.select("rule_id", F.lit(method).alias("method"), "reading_id", "coverage")
+    sections = kept(of("sections", top(by_sections(left, readings, k), ["rule_id"], [F.desc("coverage"), F.asc("reading_id")], 1)), "sections")
+    left = without(left, sections)
+    near = kept(candidates(left, readings, k), "candidates")
+    fit = _aligned(left, readings, near, 0.5).join(near.select("rule_id", "reading_id", F.col("rank").alias("_k")), ["rule_id", "reading_id"])
+    layout = kept(of("layout", top(fit, ["rule_id"], [F.desc("n_same"), F.desc("quality"), F.asc("_k")], 1)), "layout")
+    near = near.join(layout.select("rule_id"), "rule_id", "left_anti")
+    scored = compared(left, readings, near).filter("coverage >= 50")
+    words = of("words", top(scored, ["rule_id"], [F.desc("coverage"), F.asc("reading_id")], 1))
+    every = exact.unionByName(parts).unionByName(sections).unionByName(layout).unionByName(words)
     return rules.select(F.col("id").alias("rule_id")).join(every, "rule_id", "left")
 
 

@@ -35,10 +35,13 @@ def conflicts(readings: DataFrame, place: Sequence[str], value: str, confidence:
 
 
 def distinct_boxes(boxes: DataFrame, keys: Sequence[str], order: str, tolerance: float) -> DataFrame:
-    """Boxes without those near an earlier one (each side within tolerance): a grid of twice the tolerance is the join key, so only near ones meet."""
-    cell = lambda c: F.floor(F.col(c) / (2 * tolerance))
-    base = boxes.withColumn("_gx", cell("x")).withColumn("_gy", cell("y"))
-    spots = base.withColumn("_c", F.explode(F.array(*(F.struct((F.col("_gx") + i).alias("_gx"), (F.col("_gy") + j).alias("_gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
+    """Boxes without those near an earlier one (each side within tolerance): cells of twice the tolerance are the join key, so only near ones meet."""
+    cell = lambda c: F.floor(c / (2 * tolerance))
+    base = boxes.withColumn("_gx", cell(F.col("x"))).withColumn("_gy", cell(F.col("y")))
+    # what is near lies in the cell of x - tolerance or in that of x + tolerance, so too for y: four cells at most
+    ends = lambda c: F.array_distinct(F.array(cell(F.col(c) - tolerance), cell(F.col(c) + tolerance)))
+    both = F.flatten(F.transform(ends("x"), lambda x: F.transform(ends("y"), lambda y: F.struct(x.alias("_gx"), y.alias("_gy")))))
+    spots = boxes.withColumn("_c", F.explode(both))
     early = spots.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(order).alias("_o"), "_c._gx", "_c._gy", *(F.col(v).alias(f"_{v}") for v in "xywh"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.abs(F.col(v) - F.col(f"_{v}")) < tolerance for v in "xywh"]
     on = (base._gx == early._gx) & (base._gy == early._gy) & (early._o < base[order])

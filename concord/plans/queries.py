@@ -98,7 +98,8 @@ def alike_pairs(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    return locate.prepared(table(spark, sf_dir, "benchmark"), "item_id", "text"), locate.prepared(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Required texts and readings, each taken apart once; the readings are kept, as every stage reads their tokens."""
+    return locate.prepared(table(spark, sf_dir, "benchmark"), "item_id", "text"), kept(locate.prepared(table(spark, sf_dir, "documents"), "doc_id", "text"), "prepared")
 
 
 def _pairs(rules, reads, k: int = 10):
@@ -691,7 +692,14 @@ def section_fold(spark, sf_dir):
     return requirements.section_fold(rows, ["conv_id"], "turn", F.col("role") == "user", "text")
 
 
-@query()
+@query(
+    """WITH c AS (SELECT conv_id, turn, role = 'user' AS u, CASE WHEN role = 'user' THEN [regexp_replace(text, '\\s+', ' ', 'g')] ELSE string_split(text, chr(10)) END AS ls FROM conversations),
+l AS (SELECT conv_id, turn, u, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM c),
+f AS (SELECT conv_id, min(turn) FILTER (u) AS first_user, min(turn) AS first FROM c GROUP BY conv_id),
+s AS (SELECT l.*, CAST(sum(CASE WHEN u THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, k) + CASE WHEN coalesce(first_user > first, true) THEN 1 ELSE 0 END AS BIGINT) AS section FROM l JOIN f USING (conv_id)),
+g AS (SELECT conv_id, section, min(CASE WHEN u THEN trim(line) END) AS head, coalesce(string_agg(CASE WHEN NOT u AND trim(line) <> '' THEN trim(line) END, chr(10) ORDER BY turn, k), '') AS text FROM s GROUP BY ALL)
+SELECT conv_id AS doc, section AS section_ord, coalesce(head, 'Текст этикетки') AS title, '' AS "constraint", text, false AS extra, text = '' AS source_review FROM g"""
+)
 def paragraph_rules(spark, sf_dir):
     """Conversations as marked documents: a user's turn is a section, any other its text."""
     c = table(spark, sf_dir, "conversations")
@@ -699,7 +707,14 @@ def paragraph_rules(spark, sf_dir):
     return requirements.paragraph_rules(c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), text.alias("text"), F.lit(False).alias("heading")))
 
 
-@query()
+_BARE = S.rr(S.rr(S.rr(S.rr("html", r"(?is)<script\b.*?</script\s*>", ""), r"(?is)<style\b.*?</style\s*>", ""), r"(?is)<title\b.*?</title\s*>", ""), r"(?s)<!--.*?-->", "")
+_BLOCKS = S.rr(_BARE, r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|footer|header|body|html|head|tr|td|table|section)\b[^>]*>", chr(1))
+
+
+@query(
+    f"""WITH b AS (SELECT page_id, list_filter(list_transform(string_split({_BLOCKS}, chr(1)), lambda x: trim({S.rr(S.rr('x', '<[^>]*>', ''), S.X.WS + '+', ' ')})), lambda x: x <> '') AS f FROM pages)
+SELECT page_id, CAST(unnest(range(len(f))) AS INTEGER) AS ord, unnest(f) AS text FROM b"""
+)
 def html_extract(spark, sf_dir):
     """Text blocks of pages by patterns alone."""
     return documents.markup_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
