@@ -17,7 +17,8 @@ def test_assess(spark):
     words = spark.createDataFrame(words, "sheet_id string, word_ix int, pass string, text string, confidence double, box struct<x:double,y:double,w:double,h:double>")
     measured = spark.createDataFrame([("s", "r6", 0, 8.0, 0.1)], "sheet_id string, rule_id string, check_ix int, value double, step double")
     reviews = spark.createDataFrame([("s", "r0", True, False, False, None), ("s", "r7", False, False, True, "нет")], "sheet_id string, rule_id string, text_confirmed boolean, rejected boolean, not_applicable boolean, note string")
-    rows = {(r.sheet_id, r.rule_id): r for r in assess(rules, words, volume="0,5", measured=measured, reviews=reviews).collect()}
+    judged = assess(rules, words, volume="0,5", measured=measured, reviews=reviews).cache()
+    rows = {(r.sheet_id, r.rule_id): r for r in judged.collect()}
     got = {k: (r.comparison, r.status, r.status_label) for k, r in rows.items()}
     assert got == {
         ("s", "r0"): ("found", "pass", None), ("s", "r1"): ("partial", "issue", "Проверить число"), ("s", "r2"): ("found", "detected", None), ("s", "r3"): ("manual", "pending", None), ("s", "r4"): ("na", "na", None),
@@ -26,6 +27,6 @@ def test_assess(spark):
     assert rows["s", "r2"].quantity == "match" and rows["s", "r1"].verdict == "difference"
     automatic = assess(rules, words, volume="0,5").collect()
     assert not any(r.status == "pass" for r in automatic)
-    counts = {r.sheet_id: (r.issues, r.done) for r in ready(assess(rules, words, volume="0,5", measured=measured, reviews=reviews)).collect()}
+    counts = {r.sheet_id: (r.issues, r.done) for r in ready(judged).collect()}
     assert counts == {"s": (3, False), "t": (0, False)}
     assert first_volume(rules).first()["volume"] == 0.5
