@@ -32,6 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
+#: Paths of the tables settled so far, in order; see release.
+_made: list[str] = []
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -39,7 +43,26 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     schema = df.schema
     # mostly hashes and ids, which no codec shortens
     df.write.option("compression", "uncompressed").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _made.append(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._settled = path
+    return back
+
+
+def mark() -> int:
+    """Where release begins."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables settled since the mark, but for those of `keep`: nothing that is read from here on may need the others."""
+    kept = {getattr(d, "_settled", None) for d in keep}
+    gone = [p for p in _made[since:] if p not in kept]
+    _made[since:] = [p for p in _made[since:] if p in kept]
+    conf = spark._jsc.hadoopConfiguration()
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import fresh, partitions, plain, settle, text_key
+from .frames import fresh, mark, partitions, plain, release, settle, text_key
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _ROWS = "h1 long, h2 long, doc_id long, tkey long, n_lines int, at array<int>"
@@ -174,9 +174,11 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, least: int = MIN_DOCS) ->
     """doc_id, tkey, n_lines and the dropped line numbers `at` of each document that loses lines."""
     spark = docs.sparkSession
     keyed = plain(docs).filter(F.col("doc_id").isNotNull()).withColumn("tkey", text_key())
+    begun = mark()
     rows = settle(keyed.mapInArrow(_line_rows(min_chars), _ROWS), "lines")
     ranged = rows.repartitionByRange(partitions(spark), "h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"))
     found = settle(ranged.mapInArrow(_stream(least), "kind tinyint, " + _ROWS + ", docs long"), "line-runs")
+    release(spark, begun, found)
     # two summaries and a few open rows per partition: bounded by the partitions, not by the rows
     ends = found.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("doc_id").alias("top"))
     late = found.filter("kind = 1").drop("kind", "docs").join(F.broadcast(ends), ["h1", "h2"]).filter((F.col("n") >= least) & (F.col("doc_id") < F.col("top")))

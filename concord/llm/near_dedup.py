@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import partitions, plain, settle
+from .frames import mark, partitions, plain, release, settle
 from .graph import components
 
 VALUES, ORDERS, BASE, DEPTH, REGION, NEAR = 64, 24, 4, 8, 24, 4
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     kept. Rows of one doc_id with different texts are judged each by its own text.
     """
     spark = docs.sparkSession
-    keyed = plain(docs)
+    keyed, begun = plain(docs), mark()
     sigs = settle(keyed.mapInArrow(_signature_rows(k), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "signatures")
     known = sigs.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = settle(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n")), "classes")
@@ -253,6 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not new.isEmpty():
         tops = settle(components(links.unionByName(new)), "components")
     of = settle(classes.select("s1", "s2", F.col("id").alias("node")).join(tops, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id")), "class-components")
+    release(spark, begun, sigs, of)
     rows = sigs.join(of, ["s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import fresh, plain, settle
+from .frames import fresh, mark, plain, release, settle
 
 LENGTH, SEED = 50, 8
 
@@ -99,6 +99,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     cause repeats; rows of one doc_id cause none in each other.
     """
     keyed = plain(docs).filter(F.col("doc_id").isNotNull()).withColumn("tkey", _short_key())
+    begun = mark()
     spans = settle(keyed.mapInArrow(_span_rows(length, seed), "anchor long, span long, doc_id long, tkey int, start int, windows int"), "spans")
     shared = settle(spans.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("span").alias("a"), F.max("span").alias("b")).filter("lo < hi").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
     seeds = settle(spans.join(shared, "anchor"), "seeds")
@@ -110,6 +111,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     windows = keyed.join(ends, ["doc_id", "tkey"]).select("doc_id", "text", "tkey", "at").mapInArrow(_window_rows(length, seed), "anchor long, window long, doc_id long, tkey int, start int")
     windows = settle(windows, "windows")
     early = settle(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "early")
+    release(docs.sparkSession, begun, placed, windows, early)
     parts = windows.join(early, ["anchor", "window"]).filter("doc_id > least").select("doc_id", "tkey", "start", F.lit(length).alias("n"))
     return whole.unionByName(parts)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .frames import settle
 
 #: Lengths per block of the two-level suffix sums.
-BLOCK = 4096
+BLOCK = 256
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
@@ -23,7 +23,7 @@ def limits(hist: DataFrame) -> DataFrame:
     """For each length L as a context limit: documents of at least and of more than L tokens, all tokens
     in documents of at least L, total tokens when each document is cut at L, and the quantile that L is.
 
-    Suffix sums in two levels: within a block of lengths, and over the blocks (one row for each 4,096 lengths).
+    Suffix sums in two levels: within a block of lengths, and over the blocks (one row for each 256 lengths).
     No documents: no rows.
     """
     h = hist.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_t", F.col("n_tokens") * F.col("n_docs"))

@@ -566,6 +566,47 @@ def test_winnowing_is_the_rightmost_minimum(spark):
     assert [x["at"] for x in kept[9].k] == list(range(9, 98))  # all grams are alike: the rightmost of each window
 
 
+def test_follow_the_regularised_leader():
+    """Weights against the update rule written out one coordinate at a time, and scores against plain sparse dot products."""
+    import math
+
+    import pyarrow as pa
+
+    r = random.Random(2)
+    examples = []
+    for _ in range(30):
+        i = sorted(r.sample(range(50), r.randrange(1, 8))) + [1 << quality.BITS]
+        examples.append((np.array(i), np.array([r.random() * 2 for _ in i], np.float32), r.randrange(2)))
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for i, x, y in examples:
+            w = [weight(k) for k in i.tolist()]
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(a * b for a, b in zip(w, x.tolist()))))))
+            for k, v, own in zip(i.tolist(), x.tolist(), w):
+                g = (p - y) * v
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / quality.ALPHA * own
+                n[k] = old + g * g
+    learnt = quality._ftrl(examples)
+    assert all(abs(learnt[k] - weight(k)) < 1e-6 for k in z) and np.count_nonzero(learnt) == sum(weight(k) != 0 for k in z)
+    texts = ["One two, two THREE 4!", "", None, "a a a", "x"]
+    i, where, count = quality.features(pa.array(texts))
+    weights = np.random.default_rng(1).normal(size=(1 << quality.BITS) + 1)
+    expected = []
+    for row, t in enumerate(texts):
+        total = sum(weights[k] for k, at in zip(i.tolist(), where.tolist()) if at == row) * quality.SCALE / max(1, len((t or "").split()))
+        expected.append(1 / (1 + math.exp(-max(-35.0, min(35.0, total + weights[-1])))))
+    assert np.allclose(quality._scores(pa.array(texts), weights), expected)
+    # a word, its shape, the pair with the next, the pair's shapes, and a word repeated
+    assert np.bincount(where, minlength=5).tolist() == [5 * 2 + 4 * 2 + 0, 0, 0, 3 * 2 + 2 * 2 + 2, 2] and count.tolist() == [5, 0, 0, 3, 1]
+
+
 def test_quality(spark):
     r = random.Random(4)
     words = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(200)]
