@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from concord.llm.frames import settle, table
+from concord.llm.frames import mark, release, settle, table
 from concord.llm.queries import tokenizer
 
 SHINGLE, PERCENT = 5, 80
@@ -64,6 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    begun = mark()
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, begun, docs)  # what the stage and those before it wrote on their way
     return docs
