@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from concord.functions import geometry as G
 from concord.functions import text as T
-from concord.operators import layout, marks, places, tokens
+from concord.operators import layout, lines, marks, places, tokens
+from concord.sources import engines
 
 from . import sql as S
 from .registry import query, table
@@ -423,3 +424,50 @@ def respaced_tokens(spark, sf_dir):
             yield b[["item_id"]].assign(respaced=out)
 
     return rows.mapInPandas(run, f"item_id {rows.schema['item_id'].dataType.simpleString()}, respaced string")
+
+
+# ---- engines, sheets, measuring ------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_ONE}, w AS (SELECT s, i, CASE p % 3 WHEN 0 THEN 'a1,b2' WHEN 1 THEN '12.5' ELSE 'xyz' END AS t, CAST(q % 101 AS DOUBLE) AS c, n * 4 AS x0, n * 4 + 60 AS x1, p % 5 = 0 AS l, p % 7 = 0 AS r FROM o),
+a AS (SELECT *, regexp_replace(t, '[^0-9.,]', '', 'g') AS u FROM w)
+SELECT s AS l_orderkey, i AS l_linenumber, u AS text, CASE WHEN (l AND x0 < 40 * 0.8) OR (r AND x1 > 260 - 40 * 0.8) THEN least(50, c) ELSE c END AS confidence FROM a WHERE u <> ''"""
+)
+def engine_words(spark, sf_dir):
+    """A digit whitelist, and words at cut edges trusted by half."""
+    p = F.col("p")
+    text = F.when(p % 3 == 0, "a1,b2").when(p % 3 == 1, "12.5").otherwise("xyz")
+    rows = _one(spark, sf_dir).select("s", "i", text.alias("text"), (F.col("q") % 101).cast("double").alias("confidence"), (F.col("n") * 4).alias("x0"), (F.col("n") * 4 + 60).alias("x1"), F.lit(260.0).alias("width"), F.lit(40.0).alias("height"), (p % 5 == 0).alias("cut_left"), (p % 7 == 0).alias("cut_right"))
+    out = engines.cut_edges(engines.allowed(rows, "0123456789.,"))
+    return out.select(F.col("s").alias("l_orderkey"), F.col("i").alias("l_linenumber"), "text", "confidence")
+
+
+@query(
+    f"""WITH {_ONE}, l AS (SELECT s, i, CAST(i AS INTEGER) * 78 AS y, n * 10 + 100 AS w, 1 + p % 3 AS k, p % 4 = 0 AS cl FROM o), f AS (SELECT s, i, CAST(i AS INTEGER) * 78 + CASE WHEN p % 6 = 0 THEN 60 ELSE 20 END AS y0, n * 8 AS x0, n * 8 + 50 AS x1, 0.2 + q % 90 / 100.0 AS score FROM o),
+j AS (SELECT f.s, l.i, f.i AS word_ix, least(100, f.score * 100) AS c, greatest(0, least(l.w / l.k, (f.x0 - 24) / l.k)) AS a, greatest(0, least(l.w / l.k, (f.x1 - 24) / l.k)) AS b, l.cl, l.k FROM f JOIN l ON l.s = f.s AND (2 * f.y0 + 10) / 2 >= l.y - 4 AND (2 * f.y0 + 10) / 2 < l.y + 52)
+SELECT s AS l_orderkey, i AS line_ix, word_ix AS text, CASE WHEN cl AND a < 48.0 / k * 0.8 THEN least(50, c) ELSE c END AS confidence, round(a, 6) AS x0, round(b, 6) AS x1 FROM j WHERE b > a"""
+)
+def line_sheet_words(spark, sf_dir):
+    """Words read on packed sheets of line images, back at their lines."""
+    o = _one(spark, sf_dir)
+    p, i = F.col("p"), F.col("i").cast("int")
+    y = i * 78 + F.when(p % 6 == 0, 60).otherwise(20)
+    found = o.select(F.col("s").alias("sheet"), F.col("i").cast("string").alias("text"), (0.2 + F.col("q") % 90 / 100).alias("score"), (F.col("n") * 8).alias("x0"), y.alias("y0"), (F.col("n") * 8 + 50).alias("x1"), (y + 10).alias("y1"))
+    slots = o.select(F.col("s").alias("sheet"), F.struct(F.col("s").alias("s"), F.col("i").alias("i")).alias("line_ix"), F.lit(24.0).alias("slot_x"), (i * 78).alias("slot_y"), (F.col("n") * 10 + 100).alias("width"), F.lit(48.0).alias("height"), (1 + p % 3).alias("scale"), (p % 4 == 0).alias("cut_left"), F.lit(False).alias("cut_right"))
+    out = engines.from_line_sheets(found, slots)
+    return out.select(F.col("line_ix.s").alias("l_orderkey"), F.col("line_ix.i").alias("line_ix"), F.col("text").cast("int").alias("text"), "confidence", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
+
+
+@query(
+    """WITH t AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.9 WHEN 2 THEN 1.0 ELSE 2.1 END AS h, (p_partkey * 37 % 1000) / 1000.0 AS p FROM part), e AS (SELECT CAST(h AS DOUBLE) AS h, CAST(p AS DOUBLE) AS p, CAST(p AS DOUBLE) + CAST(h AS DOUBLE) / 0.085 AS q FROM t),
+m AS (SELECT h, len(list_filter(range(0, CAST(ceil(q) AS INTEGER) + 1), lambda i: greatest(0, least(q, i + 1) - greatest(p, i)) >= 0.5)) * 0.085 - h AS whole, len(list_filter(range(0, CAST(ceil(q / 0.25) AS INTEGER) + 1), lambda i: greatest(0, least(q, (i + 1) * 0.25) - greatest(p, i * 0.25)) / 0.25 >= 0.5)) * 0.25 * 0.085 - h AS fine,
+ list_sum(list_transform(range(0, CAST(ceil(q) AS INTEGER) + 1), lambda i: floor(greatest(0, least(q, i + 1) - greatest(p, i)) * 255 + 0.5) / 255)) * 0.085 - h AS gray FROM e)
+SELECT h AS height, round(avg(whole), 9) AS whole_bias, round(sqrt(avg(whole * whole)), 9) AS whole_rms, round(avg(fine), 9) AS fine_bias, round(sqrt(avg(fine * fine)), 9) AS fine_rms, round(avg(gray), 9) AS gray_bias, round(sqrt(avg(gray * gray)), 9) AS gray_rms FROM m GROUP BY h"""
+)
+def height_errors(spark, sf_dir):
+    """Bias and error of three ways to measure a letter's height on a raster of 300 dots per inch."""
+    p = F.col("p_partkey")
+    h = F.when(p % 4 == 0, 0.8).when(p % 4 == 1, 0.9).when(p % 4 == 2, 1.0).otherwise(2.1)
+    out = lines.height_errors(table(spark, sf_dir, "part").select(h.alias("height"), (p * 37 % 1000 / 1000).alias("phase")), 0.085)
+    return out.select("height", *(F.round(c, 9).alias(c) for c in out.columns if c != "height"))

@@ -89,3 +89,21 @@ def packed(lines: DataFrame, keys: list[str], order: str, width: str, *, gap: in
     items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.least(F.col(width), F.lit(most_width - 2 * margin)).cast("int").alias("w"))))
     sheets = lines.groupBy(*keys).agg(F.aggregate(items, start, place)["out"].alias("out"))
     return sheets.select(*keys, F.explode("out").alias("s")).select(*keys, F.col("s.o").alias(order), "s.sheet", F.col("s.x").alias("slot_x"), F.col("s.y").alias("slot_y"))
+
+
+#: Largest artwork taken; what the first bytes of each kind are.
+MAX_ARTWORK = 30 << 20
+MAGIC = {"pdf": "25504446", "png": "89504E470D0A1A0A", "jpeg": "FFD8FF"}
+
+
+def artwork(files: DataFrame, content: str = "content", length: str = "length") -> DataFrame:
+    """files with kind (pdf, png, jpeg, webp) and error instead of their content: others, and those over 30 MB, are rejected; dpi of pictures where stated."""
+    head = F.hex(F.substring(F.col(content), 1, 16))
+    kind = F.lit(None).cast("string")
+    for name, magic in MAGIC.items():
+        kind = F.when(head.startswith(magic), name).otherwise(kind)
+    # RIFF, four bytes of size, WEBP
+    kind = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp").otherwise(kind)
+    large = F.col(length) > MAX_ARTWORK
+    rows = files.withColumn("error", F.when(large, "too large").when(kind.isNull(), "unknown kind")).withColumn("kind", F.when(F.col("error").isNull(), kind))
+    return densities(rows.withColumn(content, F.when(F.col("kind").isin("png", "jpeg"), F.col(content))), content)

@@ -37,3 +37,12 @@ def markdown(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def pivoted(rows: DataFrame, keys: Sequence[str], method: str, methods: Sequence[str], value: str) -> DataFrame:
     """A column for each method, in the order given."""
     return rows.groupBy(*keys).pivot(method, list(methods)).agg(F.first(value))
+
+
+def fixture(found: DataFrame, expected: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """Writes the links found as compressed JSON lines, those a person expected carried over as `expected`; returns what differs from before, on either side."""
+    from concord.operators import tokens
+
+    carried = expected.select(*keys).distinct().withColumn("expected", F.lit(True))
+    found.join(carried, list(keys), "left").withColumn("expected", F.coalesce("expected", F.lit(False))).write.mode("overwrite").option("compression", "gzip").json(path)
+    return tokens.difference(expected.select(*keys), found.select(*keys))

@@ -63,3 +63,65 @@ def test_seed_blocks():
     words = [(0, 40, 0, 10), (45, 90, 0, 10), (0, 60, 14, 24), (200, 260, 0, 10), (0, 30, 200, 230)]
     found = marks.seed_blocks(np.array([(*w, 100.0) for w in words]))
     assert [(s["start"], s["top"], s["lines"]) for s in found] == [(0.0, 0.0, 2), (200.0, 0.0, 1), (0.0, 200.0, 1)]
+
+
+def test_lines_of_a_block():
+    from concord.operators import lines
+
+    gray = np.full((120, 200), 250, np.uint8)
+    for y in (10, 50, 90):
+        for x in range(10, 90, 14):
+            gray[y : y + 20, x : x + 8] = 20
+    gray[30:52, 24:26] = 20  # a descender that touches the line below
+    gray[10:30, 150:160] = 20  # another column on the first row
+    found = lines.isolated(gray)
+    assert [x["band"][0] for x in found["lines"]] == [10, 50, 90] or len(found["lines"]) >= 2
+    clean = lines.line_image(gray, found, found["lines"][-1], 2)
+    assert (clean < 100).any() and clean.shape[0] <= 30
+    assert lines.columns(gray, 20, 6) == [(10, 88), (150, 160)] and len(lines.columns(gray, 20, 1)) == 1
+    one = lines.picked(found, found["lines"][-1]["band"][0] + 5, 12, 60)
+    assert one["left"] == 10 and one["right"] == 88 and lines.picked(found, 500, 0, 10) is None
+
+
+def test_scans_and_crops():
+    from concord.operators import lines
+
+    rgb = np.full((60, 300, 3), 250, np.uint8)
+    for x in range(40, 100, 12):
+        rgb[20:40, x : x + 8] = 10
+    rgb[20:40, 106:114] = 10  # at a word space
+    rgb[20:40, 200:208] = 10  # far away
+    band = lines.Band(rgb, 20, 40)
+    assert band.first_ink(0, 1, 100) == (40, 40) and band.first_ink(120, 1, 20) is None
+    assert band.follow(40, 1, 14) == 113 and band.line(40, 1, 14, 10) == {"from": 40, "to": 114, "low": 20, "high": 40}
+    rgb[20:40, 99:103] = (250, 20, 20)  # another callout's ink bars the way
+    assert lines.Band(rgb, 20, 40, tone=0.0).follow(40, 1, 14) == 95
+    red = lines.hue_tone(rgb, 0.0)
+    assert (red[20:40, 99:103] < 100).all() and (red[:, :90] == 255).all() and (lines.dark_tone(rgb)[20:40, 40:48] == 0).all()
+    crop = lines.ink_crop(lines.dark_tone(rgb), scale=2, rotation=90, pad=3)
+    assert crop.shape == (600 + 6, 120 + 6) and crop[0, 0] == 255 and crop.min() == 0
+    upright = lines.ink_crop(np.array([[0.0, 255.0], [255.0, 255.0]]), rotation=90)
+    assert upright.tolist() == [[255, 0], [255, 255]]
+
+
+def test_artwork_engines_and_fixture(spark, tmp_path):
+    from concord.plans.local import run_local
+    from concord.sources import engines, images, readings, reports
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8
+    files = [("a", bytearray(b"%PDF-1.7 ...."), 10), ("b", bytearray(png), 10), ("c", bytearray(b"RIFF\0\0\0\0WEBPVP8 "), 10), ("d", bytearray(b"text of no kind"), 10), ("e", bytearray(png), 40 << 20)]
+    got = {r.path: (r.kind, r.error) for r in images.artwork(spark.createDataFrame(files, "path string, content binary, length long")).collect()}
+    assert got == {"a": ("pdf", None), "b": ("png", None), "c": ("webp", None), "d": (None, "unknown kind"), "e": (None, "too large")}
+    words = spark.createDataFrame([("s", 0, 0, "вода", 90.0, 0, 0, 10, 5), ("s", 0, 1, "соль", 80.0, 12, 0, 20, 5), ("s", 1, 0, "лёд", 70.0, 0, 8, 9, 12)], "sheet_id string, line int, word_ix int, text string, confidence double, x0 int, y0 int, x1 int, y1 int")
+    nested = engines.tree(words, "sheet_id").collect()[0]["blocks"]
+    assert [[w.text for w in x.words] for x in nested[0].paragraphs[0].lines] == [["вода", "соль"], ["лёд"]]
+    links = lambda *x: spark.createDataFrame(list(x), "a int, b int")
+    path = str(tmp_path / "links")
+    diff = reports.fixture(links((1, 1), (2, 2)), links((1, 1), (3, 3)), ["a", "b"], path)
+    assert sorted((r.a, r.side) for r in diff.collect()) == [(2, "new"), (3, "missing")]
+    assert sorted((r.a, r.expected) for r in spark.read.json(path).collect()) == [(1, True), (2, False)]
+    rules = spark.createDataFrame([("s", "r0", "Прочее", "", "вода сахар", "вода сахар")], "sheet_id string, rule_id string, title string, `constraint` string, original string, text string")
+    read = [("s", 0, 0, 0, "a", "иное", 95.0), ("s", 0, 90, 0, "a", "вода", 95.0), ("s", 0, 90, 1, "a", "сахар", 95.0)]
+    df = spark.createDataFrame(read, "sheet_id string, region_ix int, turn int, word_ix int, pass string, text string, confidence double")
+    assert run_local(rules, df).first()["comparison"] == "found"
+    assert readings.SOURCES
