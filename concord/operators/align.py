@@ -439,11 +439,12 @@ def similarities(pairs: DataFrame, keys: Sequence[str], needle: str, hay: str) -
 
 
 _MARKS = frozenset(".,:;()%/+-°\"!?")
-SCORES = ("characters", "character_errors", "words", "word_errors", "numbers", "number_errors", "marks", "mark_errors", "letters", "letter_errors")
+SCORES = ("characters", "character_errors", "words", "word_errors", "numbers", "number_errors", "marks", "mark_errors", "letters", "letter_errors", "tokens", "token_errors", "number_tokens", "number_token_errors", "missed")
 
 
-def score_line(line: str, hypotheses: Sequence[str], letters: str, letter_hypotheses: Sequence[str]) -> dict:
-    """Error counts of one true line against all readings: characters, words, numbers, marks and letters. Texts come in strict form."""
+def score_line(line: str, hypotheses: Sequence[str], letters: str, letter_hypotheses: Sequence[str], tokens: Sequence[str] = (), token_hypotheses: Sequence[Sequence[str]] = ()) -> dict:
+    """Error counts of one true line against all readings: characters, words, numbers, marks, letters, the tokens that texts are compared by and
+    those with a digit; missed is 1 where no character was read. Texts come in strict form, tokens taken apart."""
     by_char = closest(list(line), [list(h) for h in hypotheses])
     by_word = closest(line.split(" "), [h.split(" ") for h in hypotheses])
     by_letter = closest(list(letters), [list(h) for h in letter_hypotheses])
@@ -465,17 +466,20 @@ def score_line(line: str, hypotheses: Sequence[str], letters: str, letter_hypoth
         beside = lambda k: 0 <= k < len(hyp) and str(hyp[k]).isdigit()
         wrong += not good or beside(pos[start] - 1) or beside(pos[end - 1] + 1)
     marks = [i for i, c in enumerate(line) if c in _MARKS]
-    return dict(zip(SCORES, (len(line), by_char["distance"], len(line.split(" ")), by_word["distance"], numbers, wrong, len(marks), sum(by_char["status"][i] != "same" for i in marks), len(letters), by_letter["distance"])))
+    by_token = closest(list(tokens), [list(h) for h in token_hypotheses])
+    numeric = [i for i, t in enumerate(tokens) if _digits(t)]
+    more = (len(tokens), by_token["distance"], len(numeric), sum(by_token["status"][i] != "same" for i in numeric), int(all(x == "missing" for x in by_char["status"])))
+    return dict(zip(SCORES, (*(len(line), by_char["distance"], len(line.split(" ")), by_word["distance"], numbers, wrong, len(marks), sum(by_char["status"][i] != "same" for i in marks), len(letters), by_letter["distance"]), *more)))
 
 
 def score_lines(lines: DataFrame, keys: Sequence[str], text: str, readings: str) -> DataFrame:
     """keys and the counts of SCORES for each true line; readings is an array of texts."""
     kept = [lines.schema[k] for k in keys]
-    rows = lines.select(*keys, T.strict(F.col(text)).alias("_t"), F.transform(readings, T.strict).alias("_h"), T.letters(F.col(text)).alias("_l"), F.transform(readings, T.letters).alias("_g"))
+    rows = lines.select(*keys, T.strict(F.col(text)).alias("_t"), F.transform(readings, T.strict).alias("_h"), T.letters(F.col(text)).alias("_l"), F.transform(readings, T.letters).alias("_g"), T.phrase_tokens(F.col(text)).alias("_k"), F.transform(readings, T.phrase_tokens).alias("_n"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = pd.DataFrame([score_line(*x) for x in zip(b["_t"], b["_h"], b["_l"], b["_g"])], columns=list(SCORES))
+            out = pd.DataFrame([score_line(*x) for x in zip(b["_t"], b["_h"], b["_l"], b["_g"], b["_k"], b["_n"])], columns=list(SCORES))
             yield pd.concat([b[list(keys)].reset_index(drop=True), out.astype("int64")], axis=1)
 
     return rows.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + "".join(f", {s} long" for s in SCORES))

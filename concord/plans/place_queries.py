@@ -8,6 +8,7 @@ from concord.functions import geometry as G
 from concord.functions import text as T
 from concord.operators import layout, lines, marks, places, tokens
 from concord.sources import engines
+from concord.sources import readings as sources
 
 from . import sql as S
 from .registry import query, table
@@ -471,3 +472,15 @@ def height_errors(spark, sf_dir):
     h = F.when(p % 4 == 0, 0.8).when(p % 4 == 1, 0.9).when(p % 4 == 2, 1.0).otherwise(2.1)
     out = lines.height_errors(table(spark, sf_dir, "part").select(h.alias("height"), (p * 37 % 1000 / 1000).alias("phase")), 0.085)
     return out.select("height", *(F.round(c, 9).alias(c) for c in out.columns if c != "height"))
+
+
+@query(
+    f"""WITH {_ONE} SELECT s AS l_orderkey, row_number() OVER (PARTITION BY s ORDER BY i) - 1 AS ix, 'слово' || i AS text, CAST(q % 101 AS DOUBLE) AS confidence, round(0.1 + (d * 1000) / 400 * 0.5, 6) AS x, round(0.2 + (t * 1000) / 300 * 0.4, 6) AS y, round(n / 400 * 0.5, 6) AS w FROM o"""
+)
+def tree_words(spark, sf_dir):
+    """Words as an engine's nested tree, and flat again as boxes of the page."""
+    o = _one(spark, sf_dir)
+    words = o.select(F.col("s").alias("sheet"), F.lit(0).alias("line"), F.col("i").alias("word_ix"), F.concat(F.lit("слово"), F.col("i").cast("string")).alias("text"), (F.col("q") % 101).alias("confidence"), (F.col("d") * 1000).alias("x0"), (F.col("t") * 1000).alias("y0"), (F.col("d") * 1000 + F.col("n")).alias("x1"), (F.col("t") * 1000 + 10).alias("y1"))
+    blocks = engines.tree(words, "sheet").select("sheet", F.from_json(F.to_json(F.struct("blocks")), f"blocks {sources.TREE}")["blocks"].alias("blocks"))
+    flat = sources.words_from_tree(blocks, "sheet", "blocks", G.box(0.1, 0.2, 0.5, 0.4), F.lit(400.0), F.lit(300.0), F.lit(0), F.lit(0.1), F.lit("ocr-1"))
+    return flat.select(F.col("sheet").alias("l_orderkey"), F.col("wi").cast("long").alias("ix"), "text", "confidence", *(F.round(f"box.{k}", 6).alias(k) for k in "xyw"))
