@@ -198,14 +198,16 @@ def unread_gaps(gaps: DataFrame, words: DataFrame) -> DataFrame:
     """gaps that are not blank: some readable word of the same turn stands between the two neighbours (left semi join in the sheet).
 
     gaps: sheet_id, gap_ix, before, after (boxes), rotation; words: sheet_id, box, rotation, confidence, text. A missing
-    confidence counts as 100; other readings of either neighbour do not count.
+    confidence counts as 100; other readings of either neighbour (more than half of their length on its line) do not count.
     """
-    w = words.filter((F.coalesce("confidence", F.lit(100.0)) >= X.FLOOR_BLANK) & F.col("text").rlike(r"[\p{L}\p{N}]")).select("sheet_id", F.col("rotation").alias("_r"), turned_frame(F.col("box"), F.col("rotation"), F.lit(1.0), F.lit(1.0)).alias("m"))
+    # the length is the box's own side: the difference of its rounded ends would decide other words of exactly half
+    length = F.when(F.col("rotation").isin(90, 270), F.col("box.h")).otherwise(F.col("box.w"))
+    w = words.filter((F.coalesce("confidence", F.lit(100.0)) >= X.FLOOR_BLANK) & F.col("text").rlike(r"[\p{L}\p{N}]")).select("sheet_id", F.col("rotation").alias("_r"), turned_frame(F.col("box"), F.col("rotation"), F.lit(1.0), F.lit(1.0)).alias("m"), length.alias("_len"))
     g = gaps.select("*", *(turned_frame(F.col(c), F.col("rotation"), F.lit(1.0), F.lit(1.0)).alias(f"_{c}") for c in ("before", "after")))
     b, a, m = F.col("_before"), F.col("_after"), F.col("m")
     size = b["c1"] - b["c0"]
     row = lambda p, q: F.abs(p["c0"] + p["c1"] - q["c0"] - q["c1"]) / 2 < 0.6 * size
-    again = lambda p: (F.least(m["a1"], p["a1"]) - F.greatest(m["a0"], p["a0"]) > 0.5 * (m["a1"] - m["a0"])) & row(m, p)
+    again = lambda p: (F.least(m["a1"], p["a1"]) - F.greatest(m["a0"], p["a0"]) > 0.5 * F.col("_len")) & row(m, p)
     later, sooner = row(m, b) & (m["a0"] >= b["a1"] - 0.3 * size), row(m, a) & (m["a1"] <= a["a0"] + 0.3 * size)
     between = F.when(row(b, a), later & sooner).otherwise(later | sooner)
     on = (F.col("sheet_id") == F.col("_s")) & (F.col("rotation") == F.col("_r")) & ~again(b) & ~again(a) & between

@@ -1,9 +1,11 @@
 """Reading order and the places around phrases."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from concord.operators import layout
+from concord.plans.queries import ORACLES, QUERIES
 
 from .test_functions import value  # noqa: F401
 
@@ -42,6 +44,19 @@ def test_gaps(spark):
     assert [r.gap_ix for r in layout.unread_gaps(gaps, words).collect()] == [0]
 
 
+def test_gaps_of_exactly_half_a_word_as_sql(spark, tmp_path):
+    # the first word of each sheet lies half on the one before the gap: the SQL's rounding takes it for the same word
+    rows = [(1, 1, 17285, 864, 4.0, 0.03, 0.06), (1, 5, 3864, 150, 2.0, 0.03, 0.06), (1, 6, 10660, 838, 28.0, 0.09, 0.03)]
+    rows += [(2, 4, 13880, 18, 4.0, 0.02, 0.02), (2, 2, 7397, 462, 2.0, 0.02, 0.02), (2, 3, 4874, 224, 29.0, 0.09, 0.05)]
+    rows += [(3, 1, 50, 0, 10.0, 0.01, 0.02), (3, 2, 50, 0, 10.0, 0.05, 0.02), (3, 3, 50, 0, 10.0, 0.03, 0.02)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in QUERIES["unread_gaps"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert got == set(con.execute(ORACLES["unread_gaps"]).fetchall()) == {(3, 1)}
+
+
 def test_refinement(spark):
     m = [("s", "r0", False, 60, 0, [(0.1, 0.1, 0.1, 0.02), (0.21, 0.1, 0.1, 0.02)], [5, 5], "layout"), ("s", "r1", False, 60, 0, [(0.1, 0.1, 0.1, 0.02), (0.21, 0.1, 0.1, 0.02)], [5, 5], "words"), ("s", "r2", True, 100, 0, [], [], "layout"), ("s", "r3", False, 50, 90, [(0.7, 0.1, 0.02, 0.1), (0.7, 0.3, 0.02, 0.1)], [4, 4], "layout")]
     df = spark.createDataFrame(m, f"sheet_id string, rule_id string, exact boolean, coverage int, rotation int, boxes array<{B}>, chars array<int>, method string")
