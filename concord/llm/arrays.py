@@ -147,12 +147,34 @@ class Words:
         return byte_hash(self.data, self.start, self.end, which)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; behind the end zeros."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), 0, (1,))
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] and data[start2:end2] are equal, for each pair of ranges; in blocks of eight bytes."""
+    size = end - start
+    out = size == end2 - start2
+    eight = _eights(data)
+    live = np.flatnonzero(out & (size > 0) & (size <= SHORT))
+    a, b, left = start[live], start2[live], size[live]
+    while len(live):
+        cut = U(8) * (U(8) - np.minimum(left, 8).astype(U))
+        equal = ((eight[a] ^ eight[b]) << cut) == 0
+        out[live[~equal]] = False
+        on = equal & (left > 8)
+        live, a, b, left = live[on], a[on] + 8, b[on] + 8, left[on] - 8
+    for i in np.flatnonzero(out & (size > SHORT)).tolist():
+        out[i] = np.array_equal(data[start[i] : end[i]], data[start2[i] : end2[i]])
+    return out
+
+
 def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
     """64-bit hashes of data[start:end]: each block of eight bytes is mixed into all bits before the next; `which` gives independent ones."""
     size = end - start
     out = (size.astype(U) + U(which + 1)) * U(_BASES[which])
-    # eight bytes from any position on
-    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), 0, (1,))
+    eight = _eights(data)
     live = np.flatnonzero(size <= SHORT)
     at, left = start[live], size[live]
     while len(live):

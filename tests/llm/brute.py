@@ -145,3 +145,99 @@ def fingerprints(rows):
         f, e = winnowed(t), winnowed(edited_)
         out.append((d, len(t), sha(edited_), write(f), write(e), alike(f, e), alike(f, winnowed(other))))
     return out
+
+
+def audit(rows, labels):
+    """(part, order, step, seven counts) by going through the filters document by document."""
+    from itertools import permutations
+
+    least = {}
+    for d, t, _ in rows:
+        if d is not None:
+            least[t or ""] = min(least.get(t or "", d), d)
+    docs = []
+    for d, t, lang in rows:
+        t = t or ""
+        w = blanks(t)
+        fails = (len(w) < 200, 100 * len(set(w)) < 50 * len(w), 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), bool(re.search(r"[#$%&*|]", t)), d is not None and d > least[t])
+        docs.append((lang or "", {f for f, x in zip("ABCDE", fails) if x}, any(i == d and q == 1 for i, q, _ in labels), any(i == d and x == 1 for i, _, x in labels)))
+    out, every = {}, {}
+    for part in {x[0] for x in docs}:
+        mine = [x[1:] for x in docs if x[0] == part]
+        for order in map("".join, permutations("ABCDE")):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone, stay = [x for x in left if f in x[0]], [x for x in left if f not in x[0]]
+                counts = [len(stay), len(gone), sum(f in x[0] for x in mine) - len(gone), sum(x[0] == {f} for x in mine), sum(x[1] for x in gone), sum(x[2] for x in gone)]
+                out[part, order, step] = counts
+                every[part, f] = every.get((part, f), 0) + len(gone)
+                left = stay
+    return [(*k, *v, every[k[0], k[1][k[2] - 1]]) for k, v in out.items()]
+
+
+def aligned(rows, encode_a, encode_b):
+    """(doc_id, n_a, n_b, n_groups, n_links, groups, n_best, count_sum); encoders give (id, bytes) of each token."""
+    from collections import Counter
+
+    found = []
+    for d, t in rows:
+        a, b = (encode_a(" " + t), encode_b(t)) if t else ([], [])
+        want = (" " + (t or "")).encode()
+        if b"".join(x for _, x in a) != want or b"".join(x for _, x in b) != want:
+            a, b = [], []
+        ends = []
+        for tokens in (a, b):
+            at, e = 0, []
+            for _, x in tokens:
+                at += len(x)
+                e.append(at)
+            ends.append(e)
+        shared = set(ends[0]) & set(ends[1])
+        groups, sides, links = [], ([], []), []
+        for e, side, i in sorted([(e, 0, i) for (i, _), e in zip(a, ends[0])] + [(e, 1, i) for (i, _), e in zip(b, ends[1])], key=lambda x: x[:2]):
+            sides[side].append(i)
+            if side and e in shared:
+                groups.append("|".join(",".join(map(str, x)) for x in sides))
+                links.append((sides[0][-1], i))
+                sides = ([], [])
+        found.append((d, len(a), len(b), len(groups), links, ";".join(groups)))
+    n = Counter(x for f in found for x in f[4])
+    best = {}
+    for (_, j), k in n.items():
+        best[j] = max(best.get(j, 0), k)
+    return [(d, a, b, g, len(k), s, sum(n[x] == best[x[1]] for x in k), sum(n[x] for x in k)) for d, a, b, g, k, s in found]
+
+
+def simhashes(rows, k=3, radius=2):
+    """(doc_id, fingerprint, component_id)."""
+    import xxhash
+
+    points = []
+    for _, t in rows:
+        w = low(t).encode().split()
+        s = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [b" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        points.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    top = components(points, radius)
+    least = {}
+    for t, (d, _) in zip(top, rows):
+        if d is not None:
+            least[t] = min(least.get(t, d), d)
+    return [(d, f"{p:016x}", least.get(t)) for (d, _), p, t in zip(rows, points, top)]
+
+
+def components(points, radius=2):
+    """For each of the numbers the first one that links of at most `radius` differing bits reach."""
+    top = list(range(len(points)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, p in enumerate(points):
+        for j in range(i):
+            if (p ^ points[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(points))]
