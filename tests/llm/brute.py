@@ -160,7 +160,7 @@ def audit(rows, labels):
         t = t or ""
         w = blanks(t)
         fails = (len(w) < 200, 100 * len(set(w)) < 50 * len(w), 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), bool(re.search(r"[#$%&*|]", t)), d is not None and d > least[t])
-        docs.append((lang or "", {f for f, x in zip("ABCDE", fails) if x}, any(i == d and q == 1 for i, q, _ in labels), any(i == d and x == 1 for i, _, x in labels)))
+        docs.append((lang or "", {f for f, x in zip("ABCDE", fails) if x}, any(d is not None and i == d and q == 1 for i, q, _ in labels), any(d is not None and i == d and x == 1 for i, _, x in labels)))
     out, every = {}, {}
     for part in {x[0] for x in docs}:
         mine = [x[1:] for x in docs if x[0] == part]
