@@ -1,7 +1,7 @@
-"""Where required texts stand in readings: candidates, then exact, by fragments, by sections, by alignment, by words.
+"""Where required texts stand in readings: exact, by fragments, by sections, by alignment, by words.
 
-An inverted index of tokens is the only join; no stage crosses texts with readings. Stages
-run cheapest first, and what is located leaves before the next.
+Readings are scanned, never crossed with texts and never shuffled whole (see search). Stages run cheapest first, and what is
+located leaves before the next.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from concord.functions import text as T
 from concord.sources.shared import kept
 
-from . import align
+from . import align, search
 from .tokens import top
 
 
@@ -22,41 +22,32 @@ def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def candidates(rules: DataFrame, readings: DataFrame, k: int = 10) -> DataFrame:
-    """rule_id, reading_id, overlap, rank: the k readings that hold most of a rule's distinct tokens, two (or all) at least.
+    """rule_id, reading_id, overlap, rank: the k readings that hold most of a rule's distinct tokens, two (or all) at least."""
+    return search.ranked(rules, readings, k)
 
-    The reading's distinct tokens are counted per rule inside the task that holds the reading.
-    """
-    want = rules.select(F.col("id").alias("rule_id"), F.array_distinct("tokens").alias("t")).select("rule_id", F.least(F.size("t"), F.lit(2)).alias("need"), F.explode("t").alias("token"))
-    have = readings.select(F.col("id").alias("reading_id"), F.explode(F.array_distinct("tokens")).alias("token"))
-    hits = have.join(want, "token").groupBy("rule_id", "reading_id").agg(F.count("*").alias("overlap"), F.min("need").alias("need")).filter("overlap >= need").drop("need")
-    return top(hits, ["rule_id"], [F.desc("overlap"), F.asc("reading_id")], k)
+
+def contiguous(rules: DataFrame, readings: DataFrame) -> DataFrame:
+    """rule_id, reading_id of each reading that holds the rule's tokens in one run."""
+    return search.runs(rules, readings)
 
 
-def _line(tokens) -> F.Column:
-    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+def parts_of(rules: DataFrame) -> DataFrame:
+    """id (rule_id, part) and tokens of each fragment of the rules that have fragments."""
+    parts = rules.select(F.col("id").alias("rule_id"), F.posexplode(T.fragments(F.col("raw"))).alias("part", "raw"))
+    return parts.select(F.struct("rule_id", "part").alias("id"), T.phrase_tokens(F.col("raw")).alias("tokens"))
 
 
-def contiguous(rules: DataFrame, readings: DataFrame, gram: int = 3) -> DataFrame:
-    """rule_id, reading_id of each reading that holds the rule's tokens in one run: an equi-join on the first tokens, then a check of all."""
-    first = rules.filter(F.size("tokens") > 0).select(F.col("id").alias("rule_id"), _line(F.col("tokens")).alias("want"), F.least(F.size("tokens"), F.lit(gram)).alias("n"), F.array_join(F.slice("tokens", 1, gram), " ").alias("gram"))
-    sizes = [r[0] for r in first.select("n").distinct().collect()]  # at most `gram` rows
-    rows = readings.select(F.col("id").alias("reading_id"), "tokens", _line(F.col("tokens")).alias("line"))
-    if not sizes:
-        return first.select("rule_id", F.lit(None).cast(readings.schema["id"].dataType).alias("reading_id"))
-    made = T.let(F.col("tokens"), lambda t: F.array_distinct(F.flatten(F.array(*(T.gram_list(t, n) for n in sizes)))))
-    grams = rows.select("reading_id", F.explode(made).alias("gram"))
-    pairs = grams.join(first, "gram").select("rule_id", "reading_id", "want")
-    return pairs.join(rows.select("reading_id", "line"), "reading_id").filter(F.col("line").contains(F.col("want"))).select("rule_id", "reading_id").distinct()
+def all_parts(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """rule_id, reading_id, n_fragments where every part of a rule was found; found: rule_id (rule_id, part), reading_id."""
+    count = parts.groupBy(F.col("id.rule_id").alias("rule_id")).agg(F.count("*").alias("n_fragments"))
+    hits = found.select(F.col("rule_id.rule_id").alias("rule_id"), "reading_id").groupBy("rule_id", "reading_id").agg(F.count("*").alias("n"))
+    return hits.join(count, "rule_id").filter("n = n_fragments").select("rule_id", "reading_id", "n_fragments")
 
 
 def by_fragments(rules: DataFrame, readings: DataFrame) -> DataFrame:
     """rule_id, reading_id, n_fragments where every fragment of a rule stands in the reading."""
-    parts = rules.select(F.col("id").alias("rule_id"), F.posexplode(T.fragments(F.col("raw"))).alias("part", "raw"))
-    parts = parts.select("rule_id", F.struct("rule_id", "part").alias("id"), T.phrase_tokens(F.col("raw")).alias("tokens"))
-    count = parts.groupBy("rule_id").agg(F.count("*").alias("n_fragments"))
-    found = contiguous(parts.select("id", "tokens"), readings)
-    hits = found.select(F.col("rule_id.rule_id").alias("rule_id"), "reading_id").groupBy("rule_id", "reading_id").agg(F.count("*").alias("n"))
-    return hits.join(count, "rule_id").filter("n = n_fragments").select("rule_id", "reading_id", "n_fragments")
+    parts = parts_of(rules)
+    return all_parts(parts, contiguous(parts, readings))
 
 
 def compared(rules: DataFrame, readings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -83,11 +74,11 @@ def _aligned(rules: DataFrame, readings: DataFrame, pairs: DataFrame, least: flo
     return align.aligned(rows, ["rule_id", "reading_id"], "want", "read").filter(F.col("quality") >= least).select("rule_id", "reading_id", "coverage", "n_same", "quality")
 
 
-def by_sections(rules: DataFrame, readings: DataFrame, k: int = 10, least: int = 55) -> DataFrame:
-    """rule_id, reading_id, coverage where every fragment of a rule is aligned in the reading (quality .5) with a coverage of `least`; coverage weighed by the fragments' tokens."""
-    parts = rules.select(F.col("id").alias("rule_id"), F.posexplode(T.fragments(F.col("raw"))).alias("part", "raw"))
-    parts = parts.select(F.struct("rule_id", "part").alias("id"), T.phrase_tokens(F.col("raw")).alias("tokens"))
-    found = _aligned(parts, readings, candidates(parts, readings, k), 0.5).filter(F.col("coverage") >= least)
+def by_sections(rules: DataFrame, readings: DataFrame, k: int = 10, least: int = 55, near: DataFrame | None = None) -> DataFrame:
+    """rule_id, reading_id, coverage where every fragment of a rule is aligned in the reading (quality .5) with a coverage of `least`; coverage
+    weighed by the fragments' tokens. near: the fragments' candidates, if they are known."""
+    parts = parts_of(rules)
+    found = _aligned(parts, readings, candidates(parts, readings, k) if near is None else near, 0.5).filter(F.col("coverage") >= least)
     sizes = parts.select(F.col("id").alias("rule_id"), F.size("tokens").alias("n"))
     count = parts.groupBy(F.col("id.rule_id").alias("rule_id")).agg(F.count("*").alias("parts"))
     sums = found.join(sizes, "rule_id").groupBy(F.col("rule_id.rule_id").alias("rule_id"), "reading_id").agg(F.count("*").alias("found"), F.floor(F.sum(F.col("coverage") * F.col("n")) / F.sum("n") + 0.5).cast("int").alias("coverage"))
@@ -100,24 +91,27 @@ def staged(rules: DataFrame, readings: DataFrame, k: int = 10) -> DataFrame:
     exact, then fragments, then sections (each fragment aligned by itself), then layout (the best alignment of quality .5: most
     tokens read, then quality, then the candidates' order), then words (most coverage, 50 at least).
     """
-    exact = contiguous(rules, readings).groupBy("rule_id").agg(F.min("reading_id").alias("reading_id")).select("rule_id", F.lit("exact").alias("method"), "reading_id", F.lit(100).alias("coverage"))
-    exact = kept(exact, "exact")
+    # one scan for all runs, of rules and of their fragments; one more for the candidates of what is left
+    whole = lambda rows: rows.select(F.struct(F.col("id").alias("rule_id"), F.lit(-1).alias("part")).alias("id"), "tokens")
+    runs = kept(contiguous(whole(rules).unionByName(parts_of(rules)), readings), "runs")
+    of = lambda method, rows: rows.select("rule_id", F.lit(method).alias("method"), "reading_id", "coverage")
+    sure = lambda rows: rows.groupBy("rule_id").agg(F.min("reading_id").alias("reading_id")).withColumn("coverage", F.lit(100))
     without = lambda rows, done: rows.join(done, rows.id == done.rule_id, "left_anti")
+    exact = kept(of("exact", sure(runs.filter("rule_id.part = -1").select("rule_id.rule_id", "reading_id"))), "exact")
     left = without(rules, exact)
-    parts = by_fragments(left, readings).groupBy("rule_id").agg(F.min("reading_id").alias("reading_id")).select("rule_id", F.lit("fragments").alias("method"), "reading_id", F.lit(100).alias("coverage"))
-    parts = kept(parts, "fragments")
+    parts = kept(of("fragments", sure(all_parts(parts_of(left), runs.filter("rule_id.part >= 0")))), "fragments")
     left = without(left, parts)
-    of = lambda method, rows: rows.select("rule_id", F.lit(method).alias("method"), "reading_id", "coverage")
-    sections = kept(of("sections", top(by_sections(left, readings, k), ["rule_id"], [F.desc("coverage"), F.asc("reading_id")], 1)), "sections")
+    every = kept(candidates(whole(left).unionByName(parts_of(left)), readings, k), "candidates")
+    sections = kept(of("sections", top(by_sections(left, readings, k, near=every.filter("rule_id.part >= 0")), ["rule_id"], [F.desc("coverage"), F.asc("reading_id")], 1)), "sections")
     left = without(left, sections)
-    near = kept(candidates(left, readings, k), "candidates")
+    near = every.filter("rule_id.part = -1").select(F.col("rule_id.rule_id").alias("rule_id"), "reading_id", "overlap", "rank").join(left, F.col("rule_id") == left.id, "left_semi")
     fit = _aligned(left, readings, near, 0.5).join(near.select("rule_id", "reading_id", F.col("rank").alias("_k")), ["rule_id", "reading_id"])
     layout = kept(of("layout", top(fit, ["rule_id"], [F.desc("n_same"), F.desc("quality"), F.asc("_k")], 1)), "layout")
     near = near.join(layout.select("rule_id"), "rule_id", "left_anti")
     scored = compared(left, readings, near).filter("coverage >= 50")
     words = of("words", top(scored, ["rule_id"], [F.desc("coverage"), F.asc("reading_id")], 1))
-    every = exact.unionByName(parts).unionByName(sections).unionByName(layout).unionByName(words)
-    return rules.select(F.col("id").alias("rule_id")).join(every, "rule_id", "left")
+    placed = exact.unionByName(parts).unionByName(sections).unionByName(layout).unionByName(words)
+    return rules.select(F.col("id").alias("rule_id")).join(placed, "rule_id", "left")
 
 
 def weights(df: DataFrame, key: str, text: str) -> DataFrame:

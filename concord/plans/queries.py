@@ -98,8 +98,8 @@ def alike_pairs(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    """Required texts and readings, each taken apart once; the readings are kept, as every stage reads their tokens."""
-    return locate.prepared(table(spark, sf_dir, "benchmark"), "item_id", "text"), kept(locate.prepared(table(spark, sf_dir, "documents"), "doc_id", "text"), "prepared")
+    """Required texts and readings. Readings are taken apart in the scan that looks through them; no copy of them is written."""
+    return locate.prepared(table(spark, sf_dir, "benchmark"), "item_id", "text"), locate.prepared(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _pairs(rules, reads, k: int = 10):
