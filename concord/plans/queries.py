@@ -810,4 +810,4 @@ def assess_rows(spark, sf_dir):
     return assess.assess(table_, words).drop("expected")
 
 
-from . import place_queries, rule_queries  # noqa: E402,F401  register their queries
+from . import place_queries, print_queries, rule_queries  # noqa: E402,F401  register their queries
