@@ -74,6 +74,11 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+def text_keys(text: str = "text") -> tuple[Column, Column]:
+    """text_key and as many bits again, of another seed: 128 bits tell any number of rows of one doc_id apart."""
+    return text_key(text), F.xxhash64(F.lit(1), F.col(text))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as it takes to be no column of df."""
     taken, out = {c.lower() for c in df.columns}, []

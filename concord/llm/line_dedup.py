@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import fresh, mark, partitions, plain, release, settle, text_key
+from .frames import fresh, mark, partitions, plain, release, settle, text_keys
 
 MIN_CHARS, MIN_DOCS = 20, 3
-_ROWS = "h1 long, h2 long, doc_id long, tkey long, n_lines int, at array<int>"
+_ROWS = "h1 long, h2 long, doc_id long, t1 long, t2 long, n_lines int, at array<int>"
+#: Columns that tell rows of one doc_id apart by their texts.
+KEY = ("t1", "t2")
 
 
 def _lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,14 +65,14 @@ def _line_rows(min_chars: int):
             head = np.flatnonzero(new)
             take = pa.array(r[head])
             yield pa.RecordBatch.from_arrays(
-                [A.signed(h1[head]), A.signed(h2[head]), b.column(0).take(take), b.column(2).take(take), pa.array(n_lines[r[head]], pa.int32()), A.lists(at, np.diff(np.append(head, len(r))), pa.int32())],
-                names=["h1", "h2", "doc_id", "tkey", "n_lines", "at"],
+                [A.signed(h1[head]), A.signed(h2[head]), *(b.column(i).take(take) for i in (0, 2, 3)), pa.array(n_lines[r[head]], pa.int32()), A.lists(at, np.diff(np.append(head, len(r))), pa.int32())],
+                names=["h1", "h2", "doc_id", *KEY, "n_lines", "at"],
             )
 
     return run
 
 
-_OUT = ["kind", "h1", "h2", "doc_id", "tkey", "n_lines", "at", "docs"]
+_OUT = ["kind", "h1", "h2", "doc_id", *KEY, "n_lines", "at", "docs"]
 
 
 def _stream(least: int):
@@ -87,7 +89,7 @@ def _stream(least: int):
                 if rows is not None:
                     for x in rows.to_batches():
                         yield out(x, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([top], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.list_(pa.int32())), pa.array([seen], pa.int64())], names=_OUT)
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([top], pa.int64()), *(pa.array([None], pa.int64()) for _ in KEY), pa.array([None], pa.int32()), pa.array([None], pa.list_(pa.int32())), pa.array([seen], pa.int64())], names=_OUT)
 
         def out(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
             n = rows.num_rows
@@ -171,9 +173,9 @@ def _stream(least: int):
 
 
 def drops(docs: DataFrame, min_chars: int = MIN_CHARS, least: int = MIN_DOCS) -> DataFrame:
-    """doc_id, tkey, n_lines and the dropped line numbers `at` of each document that loses lines."""
+    """doc_id, t1, t2 (the text's key), n_lines and the dropped line numbers `at` of each document that loses lines."""
     spark = docs.sparkSession
-    keyed = plain(docs).filter(F.col("doc_id").isNotNull()).withColumn("tkey", text_key())
+    keyed = plain(docs).filter(F.col("doc_id").isNotNull()).withColumns(dict(zip(KEY, text_keys())))
     begun = mark()
     rows = settle(keyed.mapInArrow(_line_rows(min_chars), _ROWS), "lines")
     ranged = rows.repartitionByRange(partitions(spark), "h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"))
@@ -182,10 +184,10 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, least: int = MIN_DOCS) ->
     # two summaries and a few open rows per partition: bounded by the partitions, not by the rows
     ends = found.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("doc_id").alias("top"))
     late = found.filter("kind = 1").drop("kind", "docs").join(F.broadcast(ends), ["h1", "h2"]).filter((F.col("n") >= least) & (F.col("doc_id") < F.col("top")))
-    cols = ["doc_id", "tkey", "n_lines", "at"]
+    cols = ["doc_id", *KEY, "n_lines", "at"]
     every = found.filter("kind = 0").select(cols).unionByName(late.select(cols))
     # repeated rows (same id and text) bring the same numbers again
-    return every.groupBy("doc_id", "tkey").agg(F.max("n_lines").alias("n_lines"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    return every.groupBy("doc_id", *KEY).agg(F.max("n_lines").alias("n_lines"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
 
 def _pack(n: int, at: list[int]) -> bytes:
@@ -195,7 +197,7 @@ def _pack(n: int, at: list[int]) -> bytes:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, least: int = MIN_DOCS) -> DataFrame:
-    """doc_id, tkey, n_lines, n_dropped and keep: the zlib-compressed bitmap of lines that stay.
+    """doc_id, t1, t2, n_lines, n_dropped and keep: the zlib-compressed bitmap of lines that stay.
 
     Only documents that lose lines have a row. Null and empty texts have one empty line and lose
     none; rows without doc_id lose none and count for none; rows of one doc_id count as one document.
@@ -203,10 +205,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, least: int = MIN_D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, at = b.column(2).to_pylist(), b.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(list(map(len, at)), pa.int32()), pa.array([_pack(*x) for x in zip(n, at)], pa.binary())], names=["doc_id", "tkey", "n_lines", "n_dropped", "keep"])
+            n, at = b.column(3).to_pylist(), b.column(4).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(list(map(len, at)), pa.int32()), pa.array([_pack(*x) for x in zip(n, at)], pa.binary())], names=["doc_id", *KEY, "n_lines", "n_dropped", "keep"])
 
-    return drops(docs, min_chars, least).mapInArrow(run, "doc_id long, tkey long, n_lines int, n_dropped int, keep binary")
+    return drops(docs, min_chars, least).mapInArrow(run, "doc_id long, t1 long, t2 long, n_lines int, n_dropped int, keep binary")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) -> DataFrame:
@@ -215,10 +217,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) ->
     A row whose text is null stays null, unless a digest is asked for (that of the empty text).
     """
     left = plain(docs) if digest else docs
-    d, k, bitmap = fresh(left, "doc", "key", "bitmap")
-    keep = bitmaps.select(F.col("doc_id").alias(d), F.col("tkey").alias(k), F.col("keep").alias(bitmap))
-    on = (F.col("doc_id").cast("long") == F.col(d)) & (text_key() == F.col(k))
-    joined = left.join(keep, on, "left").drop(d, k)
+    d, k1, k2, bitmap = fresh(left, "doc", "key1", "key2", "bitmap")
+    keep = bitmaps.select(F.col("doc_id").alias(d), F.col("t1").alias(k1), F.col("t2").alias(k2), F.col("keep").alias(bitmap))
+    t1, t2 = text_keys()
+    on = (F.col("doc_id").cast("long") == F.col(d)) & (t1 == F.col(k1)) & (t2 == F.col(k2))
+    joined = left.join(keep, on, "left").drop(d, k1, k2)
     names = joined.columns[:-1]
     at, bits = names.index("text"), len(names)
 

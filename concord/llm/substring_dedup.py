@@ -26,18 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import fresh, mark, plain, release, settle
+from .frames import fresh, mark, plain, release, settle, text_keys
 
 LENGTH, SEED = 50, 8
-
-
-def _short_key() -> Column:
-    """Tells the few rows of one doc_id apart by their texts."""
-    return F.hash(F.col("text"))
+#: Columns that tell rows of one doc_id apart by their texts.
+KEY = ("t1", "t2")
 
 
 def _spans(w: A.Words, length: int, seed: int):
@@ -68,7 +65,7 @@ def _span_rows(length: int, seed: int):
             with np.errstate(over="ignore"):
                 span = A.mix(span + offset.astype(A.U) * A.U(0x9E3779B97F4A7C15))
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([A.signed(anchor), A.signed(span), b.column(0).take(take), b.column(2).take(take), pa.array(start - w.first[row], pa.int32()), pa.array(windows, pa.int32())], names=["anchor", "span", "doc_id", "tkey", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([A.signed(anchor), A.signed(span), *(b.column(i).take(take) for i in (0, 2, 3)), pa.array(start - w.first[row], pa.int32()), pa.array(windows, pa.int32())], names=["anchor", "span", "doc_id", "t1", "t2", "start", "windows"])
 
     return run
 
@@ -80,39 +77,39 @@ def _window_rows(length: int, seed: int):
         for b in A.pieces(batches):
             w = A.Words(b.column(1))
             sums, anchor, start, windows, _ = _spans(w, length, seed)
-            at = b.column(3)
+            at = b.column(4)
             wanted = np.asarray(at.flatten()) + np.repeat(w.first[:-1], np.asarray(at.value_lengths()))
             k = np.flatnonzero(np.isin(start, wanted))
             first = A.ranges(start[k], windows[k])
             owner = np.repeat(k, windows[k])
             row = np.searchsorted(w.first, first, "right") - 1
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([A.signed(anchor[owner]), A.signed(sums.of(first, first + length)), b.column(0).take(take), b.column(2).take(take), pa.array(first - w.first[row], pa.int32())], names=["anchor", "window", "doc_id", "tkey", "start"])
+            yield pa.RecordBatch.from_arrays([A.signed(anchor[owner]), A.signed(sums.of(first, first + length)), *(b.column(i).take(take) for i in (0, 2, 3)), pa.array(first - w.first[row], pa.int32())], names=["anchor", "window", "doc_id", "t1", "t2", "start"])
 
     return run
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc_id, tkey, start and n (words) of each repeat of `length` words or more of a document of smaller doc_id.
+    """doc_id, t1, t2 (the text's key), start and n (words) of each repeat of `length` words or more of a document of smaller doc_id.
 
     Repeats of one document may overlap; removed() merges them. Rows without doc_id neither have nor
     cause repeats; rows of one doc_id cause none in each other.
     """
-    keyed = plain(docs).filter(F.col("doc_id").isNotNull()).withColumn("tkey", _short_key())
+    keyed = plain(docs).filter(F.col("doc_id").isNotNull()).withColumns(dict(zip(KEY, text_keys())))
     begun = mark()
-    spans = settle(keyed.mapInArrow(_span_rows(length, seed), "anchor long, span long, doc_id long, tkey int, start int, windows int"), "spans")
+    spans = settle(keyed.mapInArrow(_span_rows(length, seed), "anchor long, span long, doc_id long, t1 long, t2 long, start int, windows int"), "spans")
     shared = settle(spans.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("span").alias("a"), F.max("span").alias("b")).filter("lo < hi").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
     seeds = settle(spans.join(shared, "anchor"), "seeds")
     least = settle(seeds.groupBy("anchor", "span").agg(F.min("doc_id").alias("least")), "least")
     placed = settle(seeds.join(least, ["anchor", "span"]), "placed")
-    whole = placed.filter("doc_id > least").select("doc_id", "tkey", "start", (F.col("windows") + length - 1).alias("n"))
+    whole = placed.filter("doc_id > least").select("doc_id", *KEY, "start", (F.col("windows") + length - 1).alias("n"))
     # ends of repeats: of each distinct span the document of least doc_id goes on, if its anchor has other spans in other documents
-    ends = placed.filter("mixed AND doc_id = least").groupBy("doc_id", "tkey").agg(F.collect_set("start").alias("at"))
-    windows = keyed.join(ends, ["doc_id", "tkey"]).select("doc_id", "text", "tkey", "at").mapInArrow(_window_rows(length, seed), "anchor long, window long, doc_id long, tkey int, start int")
+    ends = placed.filter("mixed AND doc_id = least").groupBy("doc_id", *KEY).agg(F.collect_set("start").alias("at"))
+    windows = keyed.join(ends, ["doc_id", *KEY]).select("doc_id", "text", *KEY, "at").mapInArrow(_window_rows(length, seed), "anchor long, window long, doc_id long, t1 long, t2 long, start int")
     windows = settle(windows, "windows")
     early = settle(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "early")
     release(docs.sparkSession, begun, placed, windows, early)
-    parts = windows.join(early, ["anchor", "window"]).filter("doc_id > least").select("doc_id", "tkey", "start", F.lit(length).alias("n"))
+    parts = windows.join(early, ["anchor", "window"]).filter("doc_id > least").select("doc_id", *KEY, "start", F.lit(length).alias("n"))
     return whole.unionByName(parts)
 
 
@@ -131,9 +128,10 @@ def removed(docs: DataFrame, found: DataFrame, digest: bool = False) -> DataFram
     Null text has no words.
     """
     left = plain(docs) if digest else docs
-    d, k, start_, n_ = fresh(left, "doc", "key", "starts", "sizes")
-    lists = found.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "n")).alias("_at")).select(F.col("doc_id").alias(d), F.col("tkey").alias(k), F.col("_at.start").alias(start_), F.col("_at.n").alias(n_))
-    joined = left.join(lists, (F.col("doc_id").cast("long") == F.col(d)) & (_short_key() == F.col(k)), "left").drop(d, k)
+    d, k1, k2, start_, n_ = fresh(left, "doc", "key1", "key2", "starts", "sizes")
+    lists = found.groupBy("doc_id", *KEY).agg(F.collect_set(F.struct("start", "n")).alias("_at")).select(F.col("doc_id").alias(d), F.col("t1").alias(k1), F.col("t2").alias(k2), F.col("_at.start").alias(start_), F.col("_at.n").alias(n_))
+    t1, t2 = text_keys()
+    joined = left.join(lists, (F.col("doc_id").cast("long") == F.col(d)) & (t1 == F.col(k1)) & (t2 == F.col(k2)), "left").drop(d, k1, k2)
     names = joined.columns[:-2]
     at = names.index("text")
 

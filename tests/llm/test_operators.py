@@ -74,6 +74,20 @@ def test_substring(spark, docs, rows):
     assert texts.columns == docs.columns and texts.count() == len(rows)
 
 
+def test_substring_rows_of_one_id(spark):
+    """Texts of one doc_id that a 32-bit hash does not tell apart; and very many rows of one doc_id."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    pair = [" ".join(f"w{i}" for i in range(60)) + " 4826", "short 87250"]
+    rows = [(2, t) for t in pair] + [(1, pair[0])] + [(3, f"{i} {shared if i % 3 == 0 else ''} {i * i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, DOCS)
+    one, two = df.filter("doc_id = 2").select(F.hash("text")).collect()
+    assert one == two
+    out = substring_dedup.removed(df, substring_dedup.repeats(df), digest=True)
+    assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.substring(rows))
+    lost = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df), digest=True)
+    assert got(lost, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want(brute.lines(rows))
+
+
 def test_lines(spark, docs, rows):
     out = line_dedup.apply_bitmaps(wide(docs), line_dedup.keep_bitmaps(wide(docs)), digest=True)
     assert got(out, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want(brute.lines(rows))
@@ -129,10 +143,10 @@ def test_line_stream_over_any_cuts():
             while part:
                 size = r.randrange(1, 6)
                 p, part = part[:size], part[size:]
-                batches.append(pa.RecordBatch.from_arrays([pa.array([x[i] for x in p], pa.int64()) for i in range(4)] + [pa.array([9] * len(p), pa.int32()), pa.array([[0]] * len(p), pa.list_(pa.int32()))], names=["h1", "h2", "doc_id", "tkey", "n_lines", "at"]))
+                batches.append(pa.RecordBatch.from_arrays([pa.array([x[i] for x in p], pa.int64()) for i in (0, 1, 2, 3, 3)] + [pa.array([9] * len(p), pa.int32()), pa.array([[0]] * len(p), pa.list_(pa.int32()))], names=["h1", "h2", "doc_id", "t1", "t2", "n_lines", "at"]))
             for o in line_dedup._stream(3)(iter(batches)):
                 for x in o.to_pylist():
-                    k = (x["h1"], x["h2"], x["doc_id"], x["tkey"])
+                    k = (x["h1"], x["h2"], x["doc_id"], x["t1"])
                     if x["kind"] == 2:
                         n[x["h1"]] = n.get(x["h1"], 0) + x["docs"]
                         top[x["h1"]] = max(top.get(x["h1"], -1), x["doc_id"])
