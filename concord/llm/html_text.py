@@ -13,12 +13,14 @@
 4. Constant nodes are template: a text that stands at its node in at least ``ALIKE`` of the pages that
    have the node, and a node whose text is mostly links. A slot is a node whose text varies. A *region* is
    an element with a slot that repeats, more often in one page than in another. Slots are
-   content if they are in a region, between two, in a container (below the body) with one, or headings; the others, one
-   text in the page's frame, are not. A wrapper without regions has nothing but content slots.
+   content if they are in a region, between two, in a container (below the body) with one, headings, or of some length: ``LEAD``
+   characters a page on average, behind all regions ``TAIL``. The others, one short text in the page's frame, are not. In a region a text is
+   template only if it stands in nearly every page (``ALWAYS``). A wrapper without regions has nothing but content slots.
 5. Every page is aligned with the wrapper, and the text of its content slots goes out in page order.
 
 Names only exclude: elements, classes and roles of menus, headers, footers, sidebars, notices,
-adverts, forms, scripts and comments; within content only those of ``_STRICT``. A host without a wrapper (fewer than
+adverts, forms, scripts and comments; within content only those of ``_STRICT``, and a paragraph, item or heading there only by a class of
+just that name. Ids count as names, but tell no nodes apart unless they are such names: many are made from the page. A host without a wrapper (fewer than
 three different pages), and a page that has none of its wrapper's regions, is left to names alone: the
 elements and classes that name content, all of them, with the headings outside, or the whole page where none does.
 A page that would lose more than half of its regions' text as constant (of its elements named as content, without
@@ -52,6 +54,8 @@ from .frames import mark, release, settle
 SHAPES, LEAST, MAX_HOSTS = 64, 3, 20_000
 #: Share of a node's pages that must hold a text for it to be template; share of a page's content below which its template stays.
 ALIKE, COPY = 0.6, 0.5
+#: Share of a region's pages that must hold a text for it to be template there; characters a page of a slot that is content outside regions, before and behind them.
+ALWAYS, LEAD, TAIL = 0.95, 60, 120
 #: Bytes of wrappers that are broadcast, at most; beyond, they are joined by host.
 MAX_BYTES = 64 << 20
 
@@ -72,8 +76,11 @@ _NAMED = _STRICT | frozenset("promo promotion banner side comment respond reply
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _WHOLE = frozenset(("html", "body", "main", "article"))
 _BODY_NAMES = frozenset("content main article post entry story body text".split())
+_KNOWN = _NAMED | _BODY_NAMES | {"header"}
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _TOP = frozenset(("#root", "html", "body"))
+#: Elements of one text.
+_TEXTUAL = _HEADINGS | frozenset("p li dt dd blockquote pre td th caption figcaption".split())
 
 
 class Node:
@@ -91,13 +98,15 @@ def _element(tag: str, raw: str) -> tuple[str, int, bool]:
     """Key, gone and head of an element."""
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
     names = html.unescape(f"{a.get('class', '')} {a.get('id', '')}").lower()
-    tokens = set(re.split(r"[\s_\-]+", names)) - {""} if names.strip() else set()
+    split = lambda x: set(re.split(r"[\s_\-]+", x)) - {""}
+    tokens = split(names)
     gone = 3 if tag in _NEVER else 2 if tag in _GONE else 0
     if tag not in _WHOLE or (tag == "article" and tokens & {"comment", "comments", "reply"}):
-        gone = max(gone, 2 if tokens & _STRICT or tag == "article" and tokens & _NAMED else 1 if tokens & _NAMED or a.get("role", "").lower() in _ROLES else 0)
+        gone = max(gone, 2 if (set(names.split()) if tag in _TEXTUAL else tokens) & _STRICT or tag == "article" and tokens & _NAMED else 1 if tokens & _NAMED or a.get("role", "").lower() in _ROLES else 0)
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         gone = 3
-    key = f"{tag}.{'.'.join(sorted({'0' if t.isdecimal() else t for t in tokens}))}" if tokens else tag
+    told = split(html.unescape(a.get("class", "")).lower()) | (tokens & _KNOWN)
+    key = f"{tag}.{'.'.join(sorted({'0' if t.isdecimal() else t for t in told}))}" if told else tag
     return key, gone, tag == "header" or ("header" in tokens and tag not in _WHOLE)
 
 
@@ -389,18 +398,21 @@ def _outline_key(s: str) -> str:
 
 
 class Wrapper:
-    """A wrapper with what all pages count at its nodes: stats of (node, pages, chars, links, fewest, most), template texts (node, text key)."""
+    """A wrapper with what all pages count at its nodes: stats of (node, pages, chars, links, fewest, most), texts that stand in most pages of their
+    node (node, text key, whether in nearly all)."""
 
-    def __init__(self, tree: str, stats: list[tuple], common: list[tuple[int, int]]):
+    def __init__(self, tree: str, stats: list[tuple], common: list[tuple[int, int, bool]]):
         self.tree = t = Tree.read(tree)
         n = len(t.keys)
-        self.common = set(common)
+        self.common = {(i, t) for i, t, _ in common}
+        self.always = {(i, t) for i, t, always in common if always}
         self.maps: dict[str, list[int]] = {}
         order = t.order()
         chars, links, some = [0] * n, [0] * n, [0] * n
         fewest, most = [0] * n, [0] * n
         for i, pages, c, x, lo, hi in stats:
             chars[i], links[i], some[i], fewest[i], most[i] = c, x, pages, lo, hi
+        own = [c / max(1, k) for c, k in zip(chars, some)]
         for i in reversed(order[1:]):
             chars[t.parents[i]] += chars[i]
             links[t.parents[i]] += links[i]
@@ -411,9 +423,11 @@ class Wrapper:
             begins[i] = at
         sizes = t.sizes()
         repeats = [i for i in order[1:] if most[i] > fewest[i] and most[i] > 1 and chars[i] and not linked[i]]
-        region = [False] * n
+        region, self.run = [False] * n, [False] * n
         for i in repeats:
-            region[t.parents[i]] = True
+            region[t.parents[i]] = self.run[i] = True
+        for i in order[1:]:
+            self.run[i] |= self.run[t.parents[i]]
         # where a region lies below a node
         holds = list(region)
         for i in reversed(order[1:]):
@@ -434,10 +448,14 @@ class Wrapper:
                 self.content[i] = False
             elif self.regions:
                 near = i and holds[p] and t.keys[p].split(".", 1)[0] not in _TOP
-                self.content[i] = bool((self.inside[i] and (i == 0 or self.content[p] or not self.inside[p])) or (i and self.content[p]) or near or tag in _HEADINGS or (first <= begins[i] < last and not holds[i]))
+                self.content[i] = bool((self.inside[i] and (i == 0 or self.content[p] or not self.inside[p])) or (i and self.content[p]) or near or tag in _HEADINGS or (first <= begins[i] < last and not holds[i]) or self.long(tag, own[i], begins[i]))
             elif i:
                 self.content[i] = self.content[p]
 
+    def long(self, tag: str, chars: float, at: int) -> bool:
+        """Whether a text block of so many characters a page, at this place, is content by its length."""
+        return tag == "#" and chars >= (LEAD if at < self.last else TAIL)
+
     def of(self, page: Tree) -> list[int]:
         """The wrapper's node of each of the outline's nodes, or -1."""
         s = page.write()
@@ -476,7 +494,7 @@ class Wrapper:
                     content[j] = False
                 elif self.regions:
                     beside = mine and self.holds[w] and self.tree.keys[w].split(".", 1)[0] not in _TOP
-                    content[j] = content[p] or beside or page.keys[j].split(".", 1)[0] in _HEADINGS or self.first < at < self.last
+                    content[j] = content[p] or beside or page.keys[j].split(".", 1)[0] in _HEADINGS or self.first < at < self.last or self.long(page.keys[j], chars[j], at)
                 else:
                     content[j] = content[p]
         return near, content
@@ -515,7 +533,7 @@ def extract(source: str | None, wrapper: Wrapper | None = None, names: bool = Tr
         spots = [(k, of[k.at], near[k.at], held) for k, held, _ in texts]
         if not wrapper.regions or any(wrapper.inside[w] for _, _, w, _ in spots):
             # block, whether template, whether in a region, or where names say content if there is none
-            slots = [(k, i >= 0 and (i, _key(k.text)) in wrapper.common, wrapper.inside[w] if wrapper.regions else held) for k, i, w, held in spots if content[k.at]]
+            slots = [(k, i >= 0 and (i, _key(k.text)) in (wrapper.always if wrapper.run[i] else wrapper.common), wrapper.inside[w] if wrapper.regions else held) for k, i, w, held in spots if content[k.at]]
             story = [(len(k.text), fixed) for k, fixed, core in slots if core]
             copy = sum(n for n, fixed in story if not fixed) < COPY * sum(n for n, _ in story)
             return "\n".join(k.text for k, fixed, core in slots if not fixed or (copy and core))
@@ -645,7 +663,7 @@ def _placed(shapes: DataFrame, induced: DataFrame) -> DataFrame:
 
 
 def wrappers(rows: DataFrame) -> DataFrame:
-    """h, wrapper, stats and common of each host of rows (page_id, html, host) with at least LEAST different pages."""
+    """h, wrapper, stats and common (node, text, whether nearly always) of each host of rows (page_id, html, host) with at least LEAST different pages."""
     held = rows.filter("host <> '' AND length(html) > 0").select("host", F.xxhash64("html").alias("page"), "html")
     counts = held.mapInArrow(_counts, "h string, shape string, page long, outline string, node int, t long, chars long, links long, size int")
     # copies of a page count once; after that only pages' numbers travel
@@ -665,7 +683,7 @@ def wrappers(rows: DataFrame) -> DataFrame:
     nodes = at.filter("t = 0")
     stats = nodes.groupBy("h").agg(F.collect_list(F.struct("wnode", "n", "chars", "links", "lo", "hi")).alias("stats"))
     often = at.filter("t <> 0").select("h", "wnode", "t", F.col("n").alias("m")).join(nodes.select("h", "wnode", "n"), ["h", "wnode"]).filter(F.col("m") >= ALIKE * F.col("n"))
-    common = often.groupBy("h").agg(F.collect_list(F.struct("wnode", "t")).alias("common"))
+    common = often.groupBy("h").agg(F.collect_list(F.struct("wnode", "t", (F.col("m") >= ALWAYS * F.col("n")).alias("always"))).alias("common"))
     return induced.join(stats, "h", "left").join(common, "h", "left").select("h", "wrapper", "stats", "common")
 
 

@@ -421,7 +421,7 @@ def wrapped(pages):
                 at[i] = n + 1, c + sum(len(y.text) for y in own), x + sum(y.links for y in own), min(lo, len(members[j])), max(hi, len(members[j]))
             for key in {html_text._key(y.text) for y in own}:
                 texts[i, key] = texts.get((i, key), 0) + 1
-    common = [k for k, n in texts.items() if n >= html_text.LEAST and n >= html_text.ALIKE * at[k[0]][0]]
+    common = [(*k, n >= html_text.ALWAYS * at[k[0]][0]) for k, n in texts.items() if n >= html_text.LEAST and n >= html_text.ALIKE * at[k[0]][0]]
     return w, [(i, *at[i]) for i in at], common
 
 
@@ -490,6 +490,36 @@ def test_all_content_of_a_page_stays():
     assert html_text.extract("<body><table><tr><td>other</table></body>", wrap) == "other"
 
 
+def sentence(r, n):
+    return " ".join(r.choices("oak elm fir ash yew may bay fig plum pear".split(), k=n)) + "."
+
+
+def hosts():
+    """Five layouts of twelve pages, with what must come out: the article, and nothing of menu and footer."""
+    r = random.Random(7)
+    menu = "<ul class=top>" + "".join(f"<li><a href=/{x}>{x}</a>" for x in "abcd") + "</ul>"
+    for n in range(12):
+        story = [sentence(r, 20 + r.randrange(20)) for _ in range(3 + n % 4)]
+        items = [sentence(r, 2) for _ in range(2 + n % 4)]
+        par = lambda ts: "".join(f"<p>{t}</p>" for t in ts)
+        li = "<ul>" + "".join(f"<li>{t}</li>" for t in items) + "</ul>"
+        slug = "-".join(r.choices("oak elm fir ash yew".split(), k=3))
+        yield "a", n, f'<body>{menu}<div id="{slug}">{par(story)}{li}</div><div class=end>page {n}</div></body>', story + items
+        yield "b", n, f"<body>{menu}<div class=mq><p>{story[0]}</p></div>{li}<div class=end>page {n}</div></body>", [story[0], *items]
+        yield "c", n, f"<body>{menu}<div class=lead>{story[0]}</div><div class=txt>{par(story[1:])}</div><div class=end>page {n}</div></body>", story
+        last = "All of this was first told in the village of Oakham, years ago." if n % 3 else sentence(r, 12)
+        yield "d", n, f"<body>{menu}<article>{par([*story, last])}</article><div class=end>page {n}</div></body>", [*story, last]
+        yield "e", n, f'<body>{menu}<article>{par(story)}<p class="related-work">{items[0]} {story[0]}</p><div class="related">see also {n}</div></article></body>', [*story, f"{items[0]} {story[0]}"]
+
+
+def test_html_whole_articles(spark):
+    """Ids made from the page, one paragraph a page beside a list, a lead above, a closing line of most pages, a class that only sounds like a frame's."""
+    rows = [(h, n, source, "\n".join(text)) for h, n, source, text in hosts()]
+    df = spark.createDataFrame([(i, f"http://{h}.org/{n}", source) for i, (h, n, source, _) in enumerate(rows)], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_text.extract_pages(df).collect()}
+    assert [(h, n, out[i]) for i, (h, n, _, _) in enumerate(rows)] == [(h, n, text) for h, n, _, text in rows]
+
+
 def test_every_outline_shapes_the_wrapper(spark):
     """More outlines than one piece holds: what only rare ones have is template or slot like the rest, and what one page alone has is judged in its page."""
     n_many = html_text.SHAPES + 30
