@@ -386,14 +386,15 @@ def quality(target: Sequence[str], ops: Sequence[dict]) -> float:
 
 
 _OPS = "array<struct<kind:string,expected:string,actual:string,anchored:boolean,at:int>>"
-_DIFF = "array<struct<kind:string,expected:string,actual:string,confidence:double,anchored:boolean,before:int,after:int,at:int>>"
+_DIFF = "array<struct<kind:string,expected:string,actual:string,confidence:double,anchored:boolean,before:int,after:int,at:int,first:int,last:int>>"
 
 
 def aligned(pairs: DataFrame, keys: Sequence[str], target: str, tokens: str, confidences: str | None = None, spans: str | None = None) -> DataFrame:
     """keys, coverage (per cent of target tokens read), n_same, quality, ops and diff of each pair's best alignment.
 
     confidences: one of each token. spans: start, end, top and bottom of each token as it reads, one after the other; with them words read twice
-    or standing beside the phrase are no differences. In diff, `before` and `after` are the read tokens round an anchored gap, `at` the first token read there.
+    or standing beside the phrase are no differences. In diff, `before` and `after` are the read tokens round an anchored gap, `at` the first token read there, `first` to `last`
+    the steps of ops that the difference covers.
     """
     kept = [pairs.schema[k] for k in keys]
     more = [c for c in (confidences, spans) if c]
@@ -412,7 +413,7 @@ def aligned(pairs: DataFrame, keys: Sequence[str], target: str, tokens: str, con
         diff = []
         for d in differences(ops, c):
             gap = ops[d["first"]].get("between") or (None, None)
-            diff.append({k: d[k] for k in ("kind", "expected", "actual", "confidence", "anchored")} | {"before": at(gap[0], True), "after": at(gap[1]), "at": at(ops[d["first"]]["at"])})
+            diff.append({k: d[k] for k in ("kind", "expected", "actual", "confidence", "anchored")} | {"before": at(gap[0], True), "after": at(gap[1]), "at": at(ops[d["first"]]["at"]), "first": d["first"], "last": d["last"]})
         return {"coverage": int(100 * same / max(1, len(x)) + 0.5), "n_same": same, "quality": quality(x, ops), "ops": [{k: o[k] for k in ("kind", "expected", "actual", "anchored")} | {"at": at(o["at"])} for o in ops], "diff": diff}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -255,12 +255,13 @@ def edge_places(edges: DataFrame) -> DataFrame:
     return rows.withColumn("areas", areas).drop("_f")
 
 
-def settled_edges(places: DataFrame, probes: DataFrame, words: DataFrame) -> DataFrame:
+def settled_edges(places: DataFrame, probes: DataFrame, words: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """place_ix, sheet_id, anchored, blank, seen of each place: absent from the print only if every area is blank or surely holds
     other words, and the telling ones (four letters or more) are not all printed elsewhere.
 
     places: sheet_id, place_ix, rotation, expected (tokens), areas; probes: sheet_id, probe_ix, box, rotation, blank, text,
-    confidence; words: sheet_id, text, confidence, outside the phrase.
+    confidence; words: sheet_id, text, confidence (and box), outside the phrase. own: sheet_id, place_ix, box of the words of the place's
+    own phrase, where words holds them too.
     """
     a = places.select("sheet_id", "place_ix", "rotation", "expected", F.posexplode("areas").alias("area_ix", "area"))
     p = probes.select(F.col("sheet_id").alias("_s"), "probe_ix", F.col("box").alias("_b"), F.col("rotation").alias("_t"), "blank", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
@@ -271,9 +272,15 @@ def settled_edges(places: DataFrame, probes: DataFrame, words: DataFrame) -> Dat
     good = F.col("p.probe_ix").isNotNull() & (F.coalesce("p.blank", F.lit(False)) | other)
     told = first.select("sheet_id", "place_ix", "expected", F.coalesce(good, F.lit(False)).alias("good"), F.coalesce("p.blank", F.lit(False)).alias("b"), F.when(other, F.col("p.text")).alias("t"))
     sums = told.groupBy("sheet_id", "place_ix").agg(F.bool_and("good").alias("good"), F.bool_and("b").alias("blank"), F.collect_list("t").alias("seen"), F.first("expected").alias("expected"))
-    surely = words.filter(F.coalesce("confidence", F.lit(0.0)) >= X.FLOOR_USABLE).select("sheet_id", F.explode(T.phrase_tokens(F.col("text"))).alias("token")).distinct()
+    at = [] if own is None else ["box"]
+    surely = words.filter(F.coalesce("confidence", F.lit(0.0)) >= X.FLOOR_USABLE).select("sheet_id", *at, F.explode(T.phrase_tokens(F.col("text"))).alias("token")).distinct()
     telling = sums.select("sheet_id", "place_ix", F.explode(F.filter("expected", lambda t: F.char_length(t) >= 4)).alias("token"))
-    printed = telling.join(surely.withColumn("there", F.lit(1)), ["sheet_id", "token"], "left").groupBy("sheet_id", "place_ix").agg((F.count("there") == F.count("*")).alias("elsewhere"))
+    there = telling.join(surely, ["sheet_id", "token"])
+    if own is not None:
+        o = own.select(F.col("sheet_id").alias("_s"), F.col("place_ix").alias("_p"), F.col("box").alias("_b"))
+        there = there.join(o, (F.col("sheet_id") == F.col("_s")) & (F.col("place_ix") == F.col("_p")) & F.col("box").eqNullSafe(F.col("_b")), "left_anti")
+    there = there.select("sheet_id", "place_ix", "token").distinct().withColumn("there", F.lit(1))
+    printed = telling.join(there, ["sheet_id", "place_ix", "token"], "left").groupBy("sheet_id", "place_ix").agg((F.count("there") == F.count("*")).alias("elsewhere"))
     out = sums.join(printed, ["sheet_id", "place_ix"], "left")
     return out.select("sheet_id", "place_ix", (F.col("good") & ~F.coalesce("elsewhere", F.lit(False))).alias("anchored"), "blank", "seen")
 

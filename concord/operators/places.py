@@ -114,7 +114,7 @@ def fused(first: DataFrame, second: DataFrame, letter: float = 1.5) -> DataFrame
     """sheet_id, rule_id, ix, outcome of each step of the first engine's alignment, by what the second reads at that place.
 
     first: sheet_id, rule_id, ix, token_ix (null for an extra word), kind, expected, actual, confidence, anchored, box (null if missing).
-    second: sheet_id, rule_id, token_ix, kind, confidence, box. The place of a step lies between its nearest equal steps, `letter` letters
+    second: sheet_id, rule_id, token_ix, kind, confidence, box, and extra_after where it reads a word between this token and the next. The place of a step lies between its nearest equal steps, `letter` letters
     wider. Where the second surely has the expected token there, a gap held to be empty is contradicted, a sure other
     reading disputed, anything else resolved; a weak extra word goes where the second surely has both neighbours; all else stays open.
     """
@@ -129,6 +129,9 @@ def fused(first: DataFrame, second: DataFrame, letter: float = 1.5) -> DataFrame
     seen = second.select("sheet_id", "rule_id", F.col("token_ix").alias("_t"), ((F.col("kind") == "same") & (F.coalesce("confidence", F.lit(0.0)) >= X.FLOOR_SURE)).alias("_sure"), F.col("box").alias("_seen"))
     key = F.coalesce("token_ix", "_left")
     after = seen.select("sheet_id", "rule_id", (F.col("_t") - 1).alias("_t"), F.col("_sure").alias("_next"))
+    if "extra_after" in second.columns:
+        more = second.filter("extra_after").select("sheet_id", "rule_id", F.col("token_ix").alias("_t"))
+        after = after.join(more, ["sheet_id", "rule_id", "_t"], "left_anti")
     rows = rows.withColumn("_t", key).join(seen, ["sheet_id", "rule_id", "_t"], "left").join(after, ["sheet_id", "rule_id", "_t"], "left")
     there = F.coalesce(F.col("_sure") & F.col("_seen").isNotNull() & F.col("_area").isNotNull() & (G.shared(F.col("_seen"), F.col("_area")) > 0), F.lit(False))
     numbers = F.coalesce(F.col("expected"), F.lit("")).rlike(r"\d") & F.coalesce(F.col("actual"), F.lit("")).rlike(r"\d")

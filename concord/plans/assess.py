@@ -20,10 +20,13 @@ from concord.functions import text as T
 from concord.operators import align, layout, measure, places, readings, verdict
 from concord.sources.shared import kept
 
+from . import evidence
+
 SIGNS = "(?iu)знаки|мебиус|рюмка"
 LEAST_COVERAGE = 50
 BOX = "struct<x:double,y:double,w:double,h:double>"
-DIFF = "array<struct<kind:string,expected:string,actual:string,confidence:double,anchored:boolean>>"
+DIFF = "array<struct<kind:string,expected:string,actual:string,confidence:double,anchored:boolean,first:int,last:int>>"
+STEPS = f"array<struct<kind:string,expected:string,actual:string,confidence:double,box:{BOX},turn:int>>"
 
 
 def expected_texts(rules: DataFrame, volume: str) -> DataFrame:
@@ -46,13 +49,13 @@ def placed(words: DataFrame, label: DataFrame | None = None) -> DataFrame:
 
 
 def pass_readings(words: DataFrame) -> DataFrame:
-    """sheet_id, pass, reading, read, confidences, boxes, spans: a sheet's words by pass in order; tokens word by word, each with its word's confidence and box."""
+    """sheet_id, pass, reading, read, confidences, boxes, turns, spans, aspect: a sheet's words by pass in order; tokens word by word, each with its word's confidence, box and rotation."""
     rows = words.withColumn("t", T.phrase_tokens(F.col("text")))
-    item = F.struct("word_ix", "text", "confidence", "t", "box", G.turned(F.col("box"), F.col("rotation"), F.col("aspect")).alias("r"))
-    sets = rows.groupBy("sheet_id", "pass").agg(F.sort_array(F.collect_list(item)).alias("w"))
+    item = F.struct("word_ix", "text", "confidence", "t", "box", "rotation", G.turned(F.col("box"), F.col("rotation"), F.col("aspect")).alias("r"))
+    sets = rows.groupBy("sheet_id", "pass").agg(F.sort_array(F.collect_list(item)).alias("w"), F.max("aspect").alias("aspect"))
     each = lambda f: F.flatten(F.transform("w", lambda x: F.transform(x["t"], lambda _: f(x))))
     spans = F.flatten(each(lambda x: F.when(x["box"].isNotNull(), F.array(x["r"]["x"], x["r"]["x"] + x["r"]["w"], x["r"]["y"], x["r"]["y"] + x["r"]["h"])).otherwise(F.array().cast("array<double>"))))
-    return sets.select("sheet_id", "pass", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("reading"), F.flatten(F.transform("w", lambda x: x["t"])).alias("read"), each(lambda x: x["confidence"]).alias("confidences"), each(lambda x: x["box"]).alias("boxes"), spans.alias("spans"))
+    return sets.select("sheet_id", "pass", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("reading"), F.flatten(F.transform("w", lambda x: x["t"])).alias("read"), each(lambda x: x["confidence"]).alias("confidences"), each(lambda x: x["box"]).alias("boxes"), each(lambda x: x["rotation"]).alias("turns"), spans.alias("spans"), "aspect")
 
 
 def _line(tokens: Column) -> Column:
@@ -60,22 +63,24 @@ def _line(tokens: Column) -> Column:
 
 
 def _whole(rules: DataFrame, readings_: DataFrame, tokens: str) -> DataFrame:
-    """sheet_id, rule_id, pass, boxes: the first pass in which a rule's tokens stand in one run, and the boxes of that run."""
-    pairs = rules.filter(F.size(tokens) > 0).select("sheet_id", "rule_id", F.col(tokens).alias("t")).join(readings_.select("sheet_id", "pass", "read", "boxes"), "sheet_id").filter(_line(F.col("read")).contains(_line(F.col("t"))))
-    start = F.size(F.split(F.split_part(_line(F.col("read")), _line(F.col("t")), F.lit(1)), " ")) - 1
-    best = pairs.groupBy("sheet_id", "rule_id").agg(F.min(F.struct("pass", F.slice("boxes", F.greatest(start, F.lit(0)) + 1, F.size("t")).alias("boxes"))).alias("b"))
-    return best.select("sheet_id", "rule_id", "b.pass", "b.boxes")
+    """sheet_id, rule_id, pass, boxes, steps, aspect: the first pass in which a rule's tokens stand in one run, and the places of that run."""
+    pairs = rules.filter(F.size(tokens) > 0).select("sheet_id", "rule_id", F.col(tokens).alias("t")).join(readings_.select("sheet_id", "pass", "read", "boxes", "confidences", "turns", "aspect"), "sheet_id").filter(_line(F.col("read")).contains(_line(F.col("t"))))
+    start = F.greatest(F.size(F.split(F.split_part(_line(F.col("read")), _line(F.col("t")), F.lit(1)), " ")) - 1, F.lit(0))
+    at = lambda c, i: F.get(c, F.col("_start") + i)
+    steps = F.transform("t", lambda t, i: F.struct(F.lit("same").alias("kind"), t.alias("expected"), t.alias("actual"), at("confidences", i).alias("confidence"), at("boxes", i).alias("box"), at("turns", i).alias("turn"))).cast(STEPS)
+    best = pairs.withColumn("_start", start).groupBy("sheet_id", "rule_id").agg(F.min(F.struct("pass", steps.alias("steps"), "aspect")).alias("b"))
+    return best.select("sheet_id", "rule_id", "b.pass", F.transform("b.steps", lambda o: o["box"]).alias("boxes"), "b.steps", "b.aspect")
 
 
 def located(rules: DataFrame, readings_: DataFrame, words: DataFrame) -> DataFrame:
-    """sheet_id, rule_id, pass, exact, notation, coverage, similarity, diff, boxes: the best place of each rule of route text.
+    """sheet_id, rule_id, pass, exact, notation, coverage, similarity, diff, boxes, steps, aspect: the best place of each rule of route text.
 
     As a whole; in another notation of a unit (notation); by the best alignment: most tokens read, then quality, then pass. Differences are
     settled by other readings of the same place and by what stands in the gaps.
     """
     r = rules.filter("route = 'text'").select("sheet_id", "rule_id", "tokens", "expected")
     none = F.array().cast(DIFF)
-    found = lambda d, notation: d.select("sheet_id", "rule_id", "pass", F.lit(True).alias("exact"), F.lit(notation).alias("notation"), F.lit(100).alias("coverage"), F.lit(1.0).alias("similarity"), none.alias("diff"), "boxes")
+    found = lambda d, notation: d.select("sheet_id", "rule_id", "pass", F.lit(True).alias("exact"), F.lit(notation).alias("notation"), F.lit(100).alias("coverage"), F.lit(1.0).alias("similarity"), none.alias("diff"), "boxes", "steps", "aspect")
     whole = _whole(r, readings_, "tokens")
     left = r.join(whole.select("sheet_id", "rule_id"), ["sheet_id", "rule_id"], "left_anti")
     other = left.select("sheet_id", "rule_id", F.explode(Q.notations(F.col("expected"))).alias("n")).select("sheet_id", "rule_id", T.phrase_tokens(F.col("n.text")).alias("tokens"))
@@ -89,10 +94,11 @@ def located(rules: DataFrame, readings_: DataFrame, words: DataFrame) -> DataFra
     done = align.aligned(pairs, ["sheet_id", "rule_id", "pass"], "tokens", "read", "confidences", "spans").filter(F.col("coverage") >= LEAST_COVERAGE)
     order = F.struct((-F.col("n_same")).alias("n"), (-F.col("quality")).alias("q"), "pass", "coverage", "quality", "ops", F.col("diff").alias("d"))
     best = done.groupBy("sheet_id", "rule_id").agg(F.min(order).alias("b")).select("sheet_id", "rule_id", "b.pass", "b.coverage", F.col("b.quality").alias("similarity"), "b.ops", F.col("b.d").alias("d"))
-    best = best.join(readings_.select("sheet_id", "pass", "boxes"), ["sheet_id", "pass"])
+    best = best.join(readings_.select("sheet_id", "pass", "boxes", "confidences", "turns", "aspect"), ["sheet_id", "pass"])
     best = settled(kept(best, "aligned"), words)
     same = F.transform(F.filter("ops", lambda o: o["kind"] == "same"), lambda o: F.get("boxes", o["at"]))
-    aligned = best.select("sheet_id", "rule_id", "pass", F.lit(False).alias("exact"), F.lit(False).alias("notation"), "coverage", "similarity", "diff", same.alias("boxes"))
+    steps = F.transform("ops", lambda o: F.struct(o["kind"], o["expected"], o["actual"], F.get("confidences", o["at"]), F.get("boxes", o["at"]), F.get("turns", o["at"]))).cast(STEPS)
+    aligned = best.select("sheet_id", "rule_id", "pass", F.lit(False).alias("exact"), F.lit(False).alias("notation"), "coverage", "similarity", "diff", same.alias("boxes"), steps.alias("steps"), "aspect")
     return found(whole, False).unionByName(found(noted, True)).unionByName(aligned)
 
 
@@ -110,7 +116,7 @@ def settled(best: DataFrame, words: DataFrame) -> DataFrame:
     rows = best.join(marks, ["sheet_id", "rule_id"], "left")
     marked = lambda m, k: F.coalesce(F.array_contains("marks", F.concat(F.lit(m + ":"), k.cast("string"))), F.lit(False))
     weak = lambda c: c["kind"].isin("replace", "extra") & (c["confidence"] < X.FLOOR_USABLE)
-    diff = F.transform("d", lambda c, k: F.struct(F.when(marked("doubted", k) | weak(c), "uncertain").otherwise(c["kind"]).alias("kind"), c["expected"].alias("expected"), c["actual"].alias("actual"), F.when(marked("doubted", k), 0.0).otherwise(c["confidence"]).alias("confidence"), (c["anchored"] & ~marked("held", k)).alias("anchored")))
+    diff = F.transform("d", lambda c, k: F.struct(F.when(marked("doubted", k) | weak(c), "uncertain").otherwise(c["kind"]).alias("kind"), c["expected"].alias("expected"), c["actual"].alias("actual"), F.when(marked("doubted", k), 0.0).otherwise(c["confidence"]).alias("confidence"), (c["anchored"] & ~marked("held", k)).alias("anchored"), c["first"].alias("first"), c["last"].alias("last")))
     return rows.withColumn("diff", diff).drop("marks", "d")
 
 
@@ -126,7 +132,7 @@ def beside(found: DataFrame, words: DataFrame, rules: DataFrame) -> DataFrame:
     own = F.transform(T.phrase_tokens(F.col("text")), T.fold)
     others = others.filter(F.col("_signs").isNull() | (F.size(F.array_except(own, F.col("_signs"))) > 0)).drop("_signs")
     near = layout.beside(ends, others, taken)
-    added = near.groupBy("sheet_id", "rule_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("side", "text"))), lambda x: F.struct(F.lit("uncertain").alias("kind"), F.lit(None).cast("string").alias("expected"), x["text"].alias("actual"), F.lit(0.0).alias("confidence"), F.lit(False).alias("anchored"))).cast(DIFF).alias("_n"))
+    added = near.groupBy("sheet_id", "rule_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("side", "text"))), lambda x: F.struct(F.lit("uncertain").alias("kind"), F.lit(None).cast("string").alias("expected"), x["text"].alias("actual"), F.lit(0.0).alias("confidence"), F.lit(False).alias("anchored"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))).cast(DIFF).alias("_n"))
     rows = found.join(added, ["sheet_id", "rule_id"], "left")
     return rows.withColumn("exact", F.col("exact") & F.col("_n").isNull()).withColumn("diff", F.concat("diff", F.coalesce("_n", F.array().cast(DIFF)))).drop("_n")
 
@@ -167,13 +173,17 @@ def quantities_of(rules: DataFrame, words: DataFrame, readings_: DataFrame) -> D
 
 def assess(
     rules: DataFrame, words: DataFrame, *, volume: str = "0,7", margin: float = 0.0, label: DataFrame | None = None, second: DataFrame | None = None, measured: DataFrame | None = None,
-    reviews: DataFrame | None = None, heights_affect_status: bool = False,
+    reviews: DataFrame | None = None, heights_affect_status: bool = False, probes: DataFrame | None = None, stated: DataFrame | None = None,
 ) -> DataFrame:
-    """sheet_id, rule_id, expected, comparison, coverage, sure, quantity, n_diff, sizes_missed, verdict, status, status_label.
+    """sheet_id, rule_id, expected, comparison, coverage, sure, quantity, n_diff, sizes_missed, verdict, status, status_label; then what
+    decided: code (another code printed in the place of the expected one), date (digits at a date's caption), declared (sizes taken from
+    statements on the sheet), contradicted_sizes (measured ones that statements contradict), resolved, contradicted and disputed (steps that the second
+    engine read otherwise), edges (missing ends that a second look did not find).
 
     rules: sheet_id, rule_id, title, constraint, original, text. words, and second (another engine's): sheet_id, word_ix, pass, text, confidence, and
     box, rotation and aspect where known. measured: sheet_id, rule_id, check_ix, value, step, and by_hand where a person measured. reviews: sheet_id,
-    rule_id, text_confirmed, rejected, not_applicable, note. A sheet without words has all its texts pending; letter heights move the status only
+    rule_id, text_confirmed, rejected, not_applicable, note. probes: what was seen when the places of `to_read_again` were examined: sheet_id, probe_ix, box,
+    rotation, blank, text, confidence. stated: sheet_id, rule_id, check_ix, value, level: sizes that the sheet itself declares. A sheet without words has all its texts pending; letter heights move the status only
     with heights_affect_status. A size a person measured too small is an error; one the engine measured is a matter to look at.
     """
     rules = expected_texts(rules, volume)
@@ -184,11 +194,16 @@ def assess(
     found = kept(located(rules, readings_, words), "located")
     if second is not None:
         others = kept(placed(second, label), "words")
-        found = kept(confirmed(found, located(rules, kept(pass_readings(others), "readings"), others)), "fused")
+        again = kept(located(rules, kept(pass_readings(others), "readings"), others), "located")
+        found = kept(evidence.fused(confirmed(found, again), again, rules), "fused")
+    else:
+        found = evidence.unfused(found)
+    found = evidence.edges_settled(found, probes, words) if probes is not None else found.withColumn("edges", F.lit(0))
+    found = kept(evidence.codes(found, rules, readings_), "coded")
     found = beside(found, words, rules)
     rows = rules.join(every, "sheet_id", "left").join(found, ["sheet_id", "rule_id"], "left").join(quantities_of(rules, words, readings_), ["sheet_id", "rule_id"], "left")
-    sizes = _sizes(rules, measured, margin, heights_affect_status)
-    rows = rows.join(sizes, ["sheet_id", "rule_id"], "left")
+    sizes = _sizes(rules, measured, margin, heights_affect_status, stated)
+    rows = rows.join(sizes, ["sheet_id", "rule_id"], "left").join(evidence.dates_of(found, rules, words), ["sheet_id", "rule_id"], "left")
     if reviews is not None:
         rows = rows.join(reviews.select("sheet_id", "rule_id", "text_confirmed", "rejected", F.col("not_applicable").alias("exempt"), "note"), ["sheet_id", "rule_id"], "left")
     else:
@@ -213,12 +228,21 @@ def assess(
     return rows.select(
         "sheet_id", "rule_id", "expected", "comparison", F.coalesce("coverage", "plain.coverage").cast("int").alias("coverage"), "sure", "quantity", F.size("diff").alias("n_diff"),
         F.coalesce("missed", F.lit(0)).cast("int").alias("sizes_missed"), verdict.text_verdict(F.col("comparison"), F.col("sure")).alias("verdict"), status.alias("status"), F.when(status == "issue", tag).alias("status_label"),
+        "code", "date", *(F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("declared", "contradicted_sizes", "resolved", "contradicted", "disputed", "edges")),
     )
 
 
-def _sizes(rules: DataFrame, measured: DataFrame | None, margin: float, heights: bool) -> DataFrame:
-    """sheet_id, rule_id, failed, missed, border, open: deciding size conditions that a person measured too small, that the engine did, within two raster
-    steps of the least, and those not yet settled by a person."""
+def to_read_again(rules: DataFrame, words: DataFrame, *, volume: str = "0,7", label: DataFrame | None = None) -> DataFrame:
+    """sheet_id, rule_id, side, rotation, expected, areas: where words missing at a phrase's end would stand. The first of two steps: whoever examines these
+    places hands what was seen there to assess as probes."""
+    rules = expected_texts(rules, volume)
+    words = kept(placed(words, label), "words")
+    return evidence.edges(located(rules, kept(pass_readings(words), "readings"), words))
+
+
+def _sizes(rules: DataFrame, measured: DataFrame | None, margin: float, heights: bool, stated: DataFrame | None = None) -> DataFrame:
+    """sheet_id, rule_id, failed, missed, border, open, declared, contradicted_sizes: deciding size conditions that a person measured too small, that the engine did, within two
+    raster steps of the least, those not yet settled by a person, those whose size only a statement gives, and those where measure and statement differ."""
     checks = rules.select("sheet_id", "rule_id", F.posexplode(Q.dimension_checks(F.col("title"), F.col("constraint"), margin)).alias("check_ix", "c"))
     if not heights:
         checks = checks.filter(~verdict.is_text_height(F.col("c.unit"), F.col("c.target"), F.col("c.label")))
@@ -227,9 +251,19 @@ def _sizes(rules: DataFrame, measured: DataFrame | None, margin: float, heights:
     else:
         hand = F.coalesce("by_hand", F.lit(False)) if "by_hand" in measured.columns else F.lit(False)
         checks = checks.join(measured.select("sheet_id", "rule_id", "check_ix", "value", "step", hand.alias("by_hand")), ["sheet_id", "rule_id", "check_ix"], "left")
+    if stated is None:
+        checks = checks.withColumn("_stated", F.lit(None).cast("double"))
+    else:  # the least usable statement; it fills in what was not measured, and never overrules a measure
+        said = measure.declared_least(stated.withColumn("scope", F.lit("section")).withColumn("_o", F.col("value")), ["sheet_id", "rule_id", "check_ix"], "value", "level", "scope", "_o")
+        checks = checks.join(said.select("sheet_id", "rule_id", "check_ix", F.col("declared").alias("_stated")), ["sheet_id", "rule_id", "check_ix"], "left")
+    filled = F.col("value").isNull() & F.col("_stated").isNotNull()
+    # as callouts.confirmed: a quarter of a millimetre, a fifth, or three raster steps
+    slack = F.greatest(F.lit(0.25), 0.2 * F.col("_stated"), 3 * F.coalesce("step", F.lit(0.0)))
+    differ = F.coalesce(F.abs(F.col("value") - F.col("_stated")) > slack, F.lit(False))
+    checks = checks.withColumns({"filled": filled, "differ": differ}).withColumn("value", F.coalesce("value", "_stated"))
     hand, low = F.coalesce("by_hand", F.lit(False)), F.col("value") < F.col("c.min")
     near = ~hand & measure.borderline(F.col("value"), F.col("c.min"), F.col("step"))
-    return checks.groupBy("sheet_id", "rule_id").agg(F.count_if(hand & low).alias("failed"), F.count_if(~hand & low).alias("missed"), F.count_if(near).alias("border"), F.count_if(F.col("value").isNull() | low | ~hand).alias("open"))
+    return checks.groupBy("sheet_id", "rule_id").agg(F.count_if(hand & low).alias("failed"), F.count_if(~hand & low).alias("missed"), F.count_if(near).alias("border"), F.count_if(F.col("value").isNull() | low | ~hand).alias("open"), F.count_if("filled").alias("declared"), F.count_if("differ").alias("contradicted_sizes"))
 
 
 def first_volume(rules: DataFrame) -> DataFrame:

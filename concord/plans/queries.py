@@ -570,13 +570,17 @@ def mutations(spark, sf_dir):
 
 @query()
 def stress_tally(spark, sf_dir):
-    """Every mutated text judged again on the reading of the text as it was: a match is a false match."""
+    """Every mutated text judged on the print of the text as it was, a sheet for each: a match is a false match. Words stand in lines of some 90
+    characters, with the boxes such print has, so what stands beside a phrase is seen."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
     changed = verdict.mutations(b, "item_id", "text")
-    rule = F.concat_ws(":", "kind", F.col("place").cast("string"))
-    rules = changed.select(F.col("item_id").alias("sheet_id"), rule.alias("rule_id"), F.lit("Текст").alias("title"), F.lit("").alias("constraint"), F.col("mutated").alias("original"), F.col("mutated").alias("text"))
+    sheet = F.concat_ws(":", "item_id", "kind", F.col("place").cast("string")).alias("sheet_id")
+    rules = changed.select(sheet, F.concat_ws(":", "kind", F.col("place").cast("string")).alias("rule_id"), F.lit("Текст").alias("title"), F.lit("").alias("constraint"), F.col("mutated").alias("original"), F.col("mutated").alias("text"))
     w = tokens.word_rows(b, "item_id", "text")
-    words = w.select(F.col("item_id").alias("sheet_id"), "word_ix", F.lit("a").alias("pass"), F.col("word").alias("text"), F.lit(95.0).alias("confidence"))
+    size = F.char_length("word")
+    at = F.sum(size + 1).over(Window.partitionBy("item_id").orderBy("word_ix")) - size - 1
+    w = w.select("item_id", "word_ix", "word", G.box((at % 90) / 100, F.floor(at / 90) * 0.03, size / 100, F.lit(0.02)).alias("box"))
+    words = changed.select("item_id", sheet).join(w, "item_id").select("sheet_id", "word_ix", F.lit("a").alias("pass"), F.col("word").alias("text"), F.lit(95.0).alias("confidence"), "box")
     rows = assess.assess(rules, words).withColumn("kind", F.substring_index("rule_id", ":", 1))
     n = lambda c: F.count_if(c)
     v = F.col("verdict")

@@ -102,7 +102,8 @@ def test_print_around_a_phrase_decides(spark):
     assert got["b", "r0"] == ("uncertain", False, "Спорно")  # unread print in the gap: nothing is asserted
     assert got["a", "r3"] == ("found", False, "Другая запись единицы")
     assert got["a", "r1"][0] == "found" and got["c", "r1"] == ("uncertain", False, "Спорно")
-    assert got["e", "r0"] == ("partial", True, "Отличие текста") and got["d", "r0"][:2] == ("uncertain", False)  # coverage 80: the second engine does not confirm it
+    assert got["e", "r0"] == ("partial", True, "Отличие текста") and got["d", "r0"][:2] == ("found", False)  # token by token the second engine settles the weak word
+    assert {(r.sheet_id, r.rule_id): r.resolved for r in rows}["d", "r0"] == 1
     status = {(r.sheet_id, r.rule_id): r.status for r in rows}
     assert status["a", "r4"] == "error" and status["b", "r4"] == "issue"
 
