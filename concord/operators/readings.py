@@ -91,14 +91,3 @@ def fuse(first: DataFrame, second: DataFrame, keys: Sequence[str], token_ix: str
 def whole_confirms(coverage: Column, sure_changes: Column, iou: Column) -> Column:
     """A second engine's exact phrase confirms the first's when that had nearly all, nothing surely different, at the same place."""
     return (coverage >= 90) & (sure_changes == 0) & (iou >= 0.5)
-
-
-def code_conflict(expected: Column, text: Column) -> Column:
-    """Another long code (6 digits or more) printed after the last two words before the expected one's; null if there is none."""
-    code = F.regexp_extract(expected, r"(\d{6,})", 1)
-    one = F.size(F.regexp_extract_all(expected, F.lit(r"\d{6,}"), F.lit(0))) == 1
-    caption = F.slice(F.reverse(T.words(F.regexp_extract(expected, r"^(.*?)\d{6,}", 1))), 1, 2)
-    pattern = F.concat(F.lit("(?iu)(?:"), F.array_join(F.transform(caption, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|"), F.lit(r")[^\d]{0,80}(\d{6,})"))
-    seen = F.regexp_substr(T.normalize(text), pattern)
-    found = F.regexp_extract(seen, r"(\d{6,})$", 1)
-    return F.when(one & (F.size(caption) > 0) & (found != "") & (found != code), found)

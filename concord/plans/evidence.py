@@ -132,10 +132,11 @@ def code_evidence(rules: DataFrame, readings_: DataFrame) -> DataFrame:
     # codes of a reading and what stands before each, once for all rules of a sheet
     printed = r"\d{6,}(?:\s*[.-]\s*\d+)*"
     parts, found = F.split("reading", printed), F.regexp_extract_all("reading", F.lit(printed), F.lit(0))
-    read = readings_.filter(F.col("reading").rlike(r"\d{6,}")).select("sheet_id", "pass", "said", parts.alias("parts"), F.posexplode(found).alias("i", "raw"))
+    read = readings_.filter(F.col("reading").rlike(r"\d{6,}")).select("sheet_id", "pass", "said", parts.alias("parts"), found.alias("raws")).select("*", F.posexplode("raws").alias("i", "raw"))
     near = F.get("parts", F.col("i"))
-    # further back than the code before this one a caption word is seen, though the last one must stand behind that code
-    before = F.when(F.col("i") > 0, F.concat(F.get("parts", F.col("i") - 1), F.lit(" 000000 "), near)).otherwise(near)
+    # a caption word further back than the code before this one is seen, though the last one must stand behind that code
+    earlier = F.transform(F.sequence(F.greatest(F.lit(0), F.col("i") - BACK // 6), F.greatest(F.lit(0), F.col("i") - 1)), lambda k: F.concat(F.get("parts", k), F.get("raws", k)))
+    before = F.when(F.col("i") > 0, F.concat(F.array_join(earlier, ""), near)).otherwise(near)
     head = F.regexp_extract("raw", r"^(\d{6,})", 1)
     word = F.get(F.filter("said", lambda w: F.contains(w["text"], head)), F.lit(0))
     read = read.select("sheet_id", "pass", "i", F.regexp_replace("raw", r"\s+", "").alias("code"), F.lower(F.right(before, F.lit(BACK))).alias("before"), F.lower(F.right(near, F.lit(BACK))).alias("near"), word["confidence"].alias("confidence"), word.isNotNull().alias("worded")).filter("worded")

@@ -401,18 +401,34 @@ def callout_checks(spark, sf_dir):
     return callouts.confirmed(links, matches).select(F.col("sheet_id").alias("l_orderkey"), F.col("rule_id").alias("l_linenumber"), "agrees", "scope")
 
 
-@query(
-    """SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 1) AND p_partkey <> 123456 THEN '77' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS other FROM part WHERE p_partkey % 4 < 3
-UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 4 = 3"""
-)
+_PRINTED = """
+o AS (SELECT l_orderkey AS s, l_linenumber AS i, min(l_partkey) AS p, min(l_suppkey) AS q, CAST(min(l_quantity) AS DOUBLE) AS n FROM lineitem GROUP BY ALL),
+w AS (SELECT p, q % 2 AS pass, s, i, 60 + n % 40 AS c, CASE (s + i) % 7 WHEN 0 THEN 'Номер' WHEN 1 THEN 'свидетельство' WHEN 2 THEN 'масса' WHEN 3 THEN lpad(CAST(s * 7919 % 10000000 AS VARCHAR), 7, '0') WHEN 4 THEN '12' WHEN 5 THEN CASE WHEN s % 4 = 0 THEN '46' || lpad(CAST(p AS VARCHAR), 6, '0') ELSE '-' END ELSE 'знак' END AS t FROM o),
+r AS (SELECT p, pass, string_agg(t, ' ' ORDER BY s, i) AS reading, list({'t': t, 'c': c} ORDER BY s, i) AS said FROM w GROUP BY p, pass),
+x AS (SELECT *, regexp_extract_all(reading, '[0-9]{6,}(?:\\s*[.-]\\s*[0-9]+)*') AS codes, string_split_regex(reading, '[0-9]{6,}(?:\\s*[.-]\\s*[0-9]+)*') AS parts FROM r),
+u AS (SELECT p, pass, said, codes, parts, unnest(range(1, len(codes) + 1)) AS i FROM x),
+e AS (SELECT p, pass, i, regexp_replace(codes[i], '\\s+', '', 'g') AS code, lower(right(array_to_string(list_transform(range(1, i), lambda k: parts[k] || codes[k]), '') || parts[i], 80)) AS before, lower(right(parts[i], 80)) AS near,
+  list_filter(said, lambda y: contains(y.t, regexp_extract(codes[i], '^[0-9]{6,}', 0)))[1].c AS c FROM u),
+g AS (SELECT *, CAST(contains(before, 'свидетельство') AS INT) + CAST(contains(before, 'номер') AS INT) AS seen, list_min(list_transform(list_filter(['свидетельство', 'номер'], lambda y: contains(near, y)), lambda y: length(string_split(near, y)[-1]))) AS between_ FROM e WHERE code <> '46' || lpad(CAST(p AS VARCHAR), 6, '0'))
+"""
+
+
+@query(f"WITH {_PRINTED} SELECT p AS l_partkey, code, c AS confidence FROM g WHERE between_ IS NOT NULL AND c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p ORDER BY 100 * seen + c + 2 * length(code) - between_ DESC, pass, i) = 1")
 def code_conflicts(spark, sf_dir):
-    """Another long code printed after the caption of the expected one. Part 123456 has its own code printed there: no conflict, as in the SQL."""
-    p = F.col("p_partkey")
-    code = lambda n: F.concat(F.lit(n), F.lpad(p.cast("string"), 6, "0"))
-    expected = F.concat(F.lit("Свидетельство номер "), code("46"))
-    printed = F.when(p == 123456, code("46")).otherwise(code("77"))
-    text = F.when(p % 4 == 0, F.concat(F.lit("прочее номер: "), printed, F.lit(" конец"))).when(p % 4 == 1, F.concat(F.lit("Свидетельство — "), code("77"))).when(p % 4 == 2, F.concat(F.lit("номер "), code("46"))).otherwise(F.concat(F.lit("артикул "), code("77")))
-    return table(spark, sf_dir, "part").select(p, readings.code_conflict(expected, text).alias("other"))
+    """The likeliest other code that two readings of a sheet print where the expected one should stand: by captions, confidence, length and distance."""
+    from concord.plans import evidence
+
+    one = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("i")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("q"), F.min("l_quantity").cast("double").alias("n"))
+    k, p6 = (F.col("s") + F.col("i")) % 7, F.lpad(F.col("p").cast("string"), 6, "0")
+    text = (
+        F.when(k == 0, "Номер").when(k == 1, "свидетельство").when(k == 2, "масса").when(k == 3, F.lpad((F.col("s") * 7919 % 10000000).cast("string"), 7, "0")).when(k == 4, "12")
+        .when(k == 5, F.when(F.col("s") % 4 == 0, F.concat(F.lit("46"), p6)).otherwise("-")).otherwise("знак")
+    )
+    rows = one.select(F.col("p").alias("sheet_id"), (F.col("q") % 2).alias("pass"), F.struct("s", "i", text.alias("text"), (60 + F.col("n") % 40).alias("confidence")).alias("w")).groupBy("sheet_id", "pass").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    said = F.transform("w", lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence")))
+    reads = rows.select("sheet_id", "pass", said.alias("said"), F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("reading"))
+    rules = reads.select("sheet_id").distinct().select("sheet_id", F.lit(0).alias("rule_id"), F.concat(F.lit("Свидетельство номер 46"), F.lpad(F.col("sheet_id").cast("string"), 6, "0")).alias("expected"))
+    return evidence.code_evidence(rules, reads).select(F.col("sheet_id").alias("l_partkey"), "code", "confidence")
 
 
 # ---- interchange -----------------------------------------------------------------------------------

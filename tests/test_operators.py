@@ -129,20 +129,6 @@ def test_consensus_and_conflicts(spark):
     assert got == {1: ("40", 1, True), 2: ("40", 2, False), 4: ("y", 1, False)}
 
 
-def test_code_conflict(value):  # noqa: F811
-    assert value(readings.code_conflict(F.lit("Номер декларации 123456"), F.lit("номер декларации: 654321"))) == "654321"
-    assert value(readings.code_conflict(F.lit("Номер декларации 123456"), F.lit("номер декларации: 123456"))) is None
-
-
-def test_code_conflicts_as_sql_beyond_small_keys(spark, tmp_path):
-    spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 123455, 123456, 123457, 123460, 999_996, 1_199_996)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
-    got = {tuple(r) for r in QUERIES["code_conflicts"](spark, str(tmp_path)).collect()}
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
-    assert got == set(con.execute(ORACLES["code_conflicts"]).fetchall())
-    assert (123456, None) in got and (123460, "77123460") in got
-
-
 def test_verdict_ladders(value):  # noqa: F811
     t, f = F.lit(True), F.lit(False)
     kw = dict(rejected=f, failed=f, exempt=f, confirmed=f, sizes_pass=t, conditions=t, quantity_issue=f, notation=f, size_issue=f, has_text=t)
@@ -366,3 +352,15 @@ def test_ten_readings_are_aligned(spark, misread):
     assert [(r.reading_id, r.coverage) for r in QUERIES["align_ops"](spark, misread).collect()] == [(9, 95)]
     assert [(r.words, r.word_errors) for r in QUERIES["score_lines"](spark, misread).collect()] == [(20, 1)]
     assert {r.sheet_id: r.coverage for r in QUERIES["assess_rows"](spark, misread).collect()}[9] == 95
+
+
+def test_totals_by_tag(spark):
+    """Each line once in the total and once for each of its tags; a line without tags in the total alone; rates of nothing are null."""
+    r = random.Random(3)
+    rows = [(i, *(r.randrange(20) for _ in align.SCORES), r.sample(["a", "b", "c"], r.randrange(4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} long" for c in align.SCORES) + ", tags array<string>")
+    got = {x.tag: tuple(x[c] for c in (*align.SCORES, "lines")) for x in align.totals(df, "tags").collect()}
+    sums = lambda some: (*(sum(x[1 + k] for x in some) for k in range(len(align.SCORES))), len(some))
+    assert got == {None: sums(rows)} | {t: sums([x for x in rows if t in x[-1]]) for t in "abc"}
+    one = spark.createDataFrame([(1, 8), (0, 0), (2, 3)], "e long, t long").select(align.rate(F.col("e"), F.col("t")).alias("r"))
+    assert [x.r for x in one.collect()] == [12.5, None, 66.7]
