@@ -80,8 +80,8 @@ def masks(docs: DataFrame, part: str = "lang", min_words: int = MIN_WORDS, min_d
     """doc_id, part and mask of each row: bit k is set if the document fails the k-th filter."""
     keyed = plain(docs, F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
     rows = settle(keyed.mapInArrow(_scan(min_words, min_distinct, max_capitals, symbols), "h1 long, h2 long, doc_id long, part string, mask int"), "masks")
-    # texts of several documents, the least of them; a shuffle at every size, as copies grow with the documents
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    # texts of several documents, the least of them; written, so that the join's two sides are shuffled plainly and a text of very many copies can be split
+    first = settle(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "copies")
     copy = F.when(F.col("doc_id") > F.col("least"), 1 << FILTERS.index("E")).otherwise(0)
     return rows.join(first.hint("merge"), ["h1", "h2"], "left").select("doc_id", "part", (F.col("mask") + copy).alias("mask"))
 
@@ -128,7 +128,7 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "lang", **limits) -> D
     spark, begun = docs.sparkSession, mark()
     judged = settle(masks(docs, part, **limits), "judged")
     marks = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    rows = judged.join(marks.filter("good = 1 OR toxic = 1").hint("merge"), "doc_id", "left")
+    rows = judged.join(settle(marks.filter("good = 1 OR toxic = 1"), "marks").hint("merge"), "doc_id", "left")
     cells = rows.groupBy("part", "mask").agg(F.count("*").alias("n"), F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"))
     # 32 structs a part at most
     cells = settle(cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).cast(_CELL).alias("cells")), "cells")
