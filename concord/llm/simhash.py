@@ -256,7 +256,7 @@ def components_of(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, seed:
     else:
         tops = settle(components(found), "fp-components")
         topped = settle(classes.join(tops.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("top")), "fp-tops")
-        least = topped.groupBy("top").agg(F.min("least").alias("component_id"))
+        least = settle(topped.groupBy("top").agg(F.min("least").alias("component_id")), "fp-least")
         of = topped.join(least.hint("merge"), "top").select("fp", "component_id")
     of = settle(of, "fp-of")
     release(spark, begun, rows, of)
