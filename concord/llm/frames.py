@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
-#: Paths of the tables settled so far, in order; see release.
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths of the tables that a thread settled so far, in order: queries built at once in several threads keep theirs apart. See release."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
@@ -43,7 +50,7 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     schema = df.schema
     # mostly hashes and ids, which no codec shortens
     df.write.option("compression", "uncompressed").parquet(path)
-    _made.append(path)
+    _made.paths.append(path)
     back = spark.read.schema(schema).parquet(path)
     back._settled = path
     return back
@@ -51,14 +58,14 @@ def settle(df: DataFrame, what: str) -> DataFrame:
 
 def mark() -> int:
     """Where release begins."""
-    return len(_made)
+    return len(_made.paths)
 
 
 def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Deletes the tables settled since the mark, but for those of `keep`: nothing that is read from here on may need the others."""
     kept = {getattr(d, "_settled", None) for d in keep}
-    gone = [p for p in _made[since:] if p not in kept]
-    _made[since:] = [p for p in _made[since:] if p in kept]
+    gone = [p for p in _made.paths[since:] if p not in kept]
+    _made.paths[since:] = [p for p in _made.paths[since:] if p in kept]
     conf = spark._jsc.hadoopConfiguration()
     for p in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
