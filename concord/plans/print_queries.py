@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord.functions import geometry as G
-from concord.operators import diff, pairing, sweep, tokens
+from concord.operators import diff, linking, pairing, sweep, tokens
 
 from .registry import query, table
 
@@ -82,3 +82,23 @@ def nearest_pairs(spark, sf_dir):
     apart = lambda s, e: F.greatest(F.lit(0.0), F.col(f"q.{s}") - F.col(f"p.{s}") - F.col(f"p.{e}"), F.col(f"p.{s}") - F.col(f"q.{s}") - F.col(f"q.{e}"))
     options = a.join(b, ["doc_id", "row"]).select("doc_id", "number_ix", "word_ix", (apart("x", "w") + apart("y", "h")).alias("gap"))
     return pairing.one_to_one(options, ["doc_id", "number_ix"], ["doc_id", "word_ix"], ["gap", "doc_id", "number_ix", "word_ix"]).select("doc_id", "number_ix", "word_ix")
+
+
+@query()
+def callout_links(spark, sf_dir):
+    """Callouts of made-up sheets of required texts, each read three ways, and the texts their inscriptions belong to; against a plain version in the tests."""
+    i, t = F.col("item_id"), F.col("text")
+    rows = table(spark, sf_dir, "benchmark").select((i % 8).alias("sheet_id"), "item_id", "text")
+    flag = lambda m, k: F.coalesce(i % m == k, F.lit(False))
+    sides = F.array((20.0 + i % 50).cast("double"), (40.0 + i % 30).cast("double"))
+    rules = rows.select("sheet_id", i.alias("rule_id"), t.alias("expected"), flag(16, 3).alias("percent"), flag(12, 5).alias("sign"), F.when(i % 3 == 0, F.array(sides)).otherwise(F.array().cast("array<array<double>>")).alias("formats"))
+    words = F.filter(F.split(t, r"[\t-\r ]+"), lambda w: w != "")
+    cut = lambda n, k: F.array_join(F.slice(words, 2 + i.cast("int") % 5, n), " ") if k is None else F.regexp_replace(F.array_join(F.slice(words, 2 + i.cast("int") % 5, n), " "), k, "о")
+    kind = F.when(i % 9 == 0, "percent").when(i % 9 == 1, "box").when(i % 9 == 2, "unreadable").otherwise("height")
+    texts = [(F.when(i % 4 == 1, "").otherwise(cut(4, None)), 90.0), (cut(6, "[aeu]"), 80.0), (F.when(i % 5 == 0, "еас").otherwise(cut(2, None)), 70.0)]
+    reads = F.array(*(F.struct(x.alias("text"), F.lit(c).alias("confidence")) for x, c in texts))
+    callouts = rows.select(
+        "sheet_id", i.alias("callout_ix"), kind.alias("kind"), sides.alias("values"), reads.alias("texts"), F.when(i % 7 > 0, 0.4 + i % 7 * 0.3).alias("aspect"), F.when(i % 7 > 2, "gauge").when(i % 7 > 0, "beside").alias("via"),
+        (60.0 + i % 40).alias("confidence"), F.when(i % 3 == 0, True).when(i % 3 == 1, False).alias("marks_agree"), (i % 4).alias("reads"),
+    )
+    return linking.linked(callouts, rules).select("sheet_id", F.col("callout_ix").alias("item_id"), F.col("rule_id").alias("linked_item"), "how", F.round("share", 6).alias("share"), F.round("whole", 6).alias("whole"), "shown", "level")
