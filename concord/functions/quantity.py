@@ -142,7 +142,7 @@ def scope_index(scopes: Column, text: Column) -> Column:
 
     rest_of = lambda s: s.rlike("(?iu)остальн")
     ranked = F.sort_array(F.filter(F.transform(scopes, lambda s, i: F.when(s.isNotNull() & ~rest_of(s), rank(s, i))), lambda r: r.isNotNull() & r["first"].isNotNull()))
-    rest = F.coalesce(F.element_at(F.filter(F.transform(scopes, lambda s, i: F.when(rest_of(s), i)), lambda i: i.isNotNull()), -1), F.lit(-1))
+    rest = F.coalesce(F.array_max(F.transform(scopes, lambda s, i: F.when(rest_of(s), i))), F.lit(-1))
     clear = (F.size(ranked) == 1) | (F.get(ranked, F.lit(0))["first"] < F.get(ranked, F.lit(1))["first"])
     return F.when(F.size(ranked) == 0, rest).when(clear, F.get(ranked, F.lit(0))["index"]).otherwise(rest)
 

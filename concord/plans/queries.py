@@ -291,12 +291,26 @@ def size_rules(spark, sf_dir):
     return rows.select("p_partkey", "check_ix", "c.label", "c.min", "c.unit", "c.target")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 3 = 1 THEN 1 ELSE 2 END AS scope_ix FROM part")
+_PHRASES = "СРОК ГОДНОСТИ", "Хранить в тепле", "условие", "Сроки и годы", "остальное", "годен, хранение"
+_SCOPES = f"""
+t AS (SELECT p_partkey, array_to_string([(['{"', '".join(_PHRASES)}'])[p_partkey % 6 + 1], p_name, (['{"', '".join(_PHRASES)}'])[p_size % 6 + 1], CAST(p_size AS VARCHAR) || ' ' || p_type], ' ') AS text,
+  [CASE WHEN p_size % 2 = 0 THEN 'срока годности' END, CASE p_partkey % 4 WHEN 0 THEN 'условий хранения' WHEN 1 THEN 'хранения по сроку' WHEN 2 THEN p_name END, CASE WHEN p_size % 5 < 3 THEN 'остальной текст' END] AS s FROM part),
+f AS (SELECT p_partkey, {S.fold(S.compact('text'))} AS flat, s FROM t),
+u AS (SELECT p_partkey, flat, unnest(s) AS sc, generate_subscripts(s, 1) - 1 AS i FROM f),
+r AS (SELECT p_partkey, i, list_filter(list_transform(list_filter({S.words('sc')}, lambda w: length(w) > 3), lambda w: instr(flat, substr({S.fold('w')}, 1, 4)) - 1), lambda x: x >= 0) AS spots FROM u WHERE sc IS NOT NULL AND NOT contains(sc, 'остальн')),
+k AS (SELECT p_partkey, i, list_min(spots) AS first, row_number() OVER (PARTITION BY p_partkey ORDER BY list_min(spots), len(spots) DESC, i) AS rn FROM r WHERE len(spots) > 0),
+z AS (SELECT p_partkey, max(i) AS rest FROM u WHERE contains(sc, 'остальн') GROUP BY p_partkey)
+"""
+
+
+@query(f"WITH {_SCOPES} SELECT t.p_partkey, CAST(CASE WHEN a.i IS NOT NULL AND (b.i IS NULL OR a.first < b.first) THEN a.i ELSE coalesce(rest, -1) END AS INTEGER) AS scope_ix FROM t LEFT JOIN k a ON a.p_partkey = t.p_partkey AND a.rn = 1 LEFT JOIN k b ON b.p_partkey = t.p_partkey AND b.rn = 2 LEFT JOIN z ON z.p_partkey = t.p_partkey")
 def scope_index(spark, sf_dir):
-    p = F.col("p_partkey")
-    text = F.concat(F.when(p % 3 == 0, "СРОК ГОДНОСТИ ").when(p % 3 == 1, "Условия хранения: ").otherwise("Состав "), F.col("p_name"))
-    scopes = F.array(*map(F.lit, ("срока годности", "условий хранения", "остальной текст")))
-    return table(spark, sf_dir, "part").select(p, Q.scope_index(scopes, text).alias("scope_ix"))
+    """Which of up to three conditions a text falls under: the one whose subject it names first, else the one for the rest."""
+    p, n = F.col("p_partkey"), F.col("p_size")
+    phrase = lambda k: F.get(F.array(*map(F.lit, _PHRASES)), k.cast("int"))
+    text = F.concat_ws(" ", phrase(p % 6), "p_name", phrase(n % 6), n.cast("string"), "p_type")
+    scopes = F.array(F.when(n % 2 == 0, "срока годности"), F.when(p % 4 == 0, "условий хранения").when(p % 4 == 1, "хранения по сроку").when(p % 4 == 2, F.col("p_name")), F.when(n % 5 < 3, "остальной текст"))
+    return table(spark, sf_dir, "part").select(p, Q.scope_index(scopes, text).cast("int").alias("scope_ix"))
 
 
 @query(
@@ -804,17 +818,23 @@ def surest_reading(spark, sf_dir):
     return readings.supersede(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "value", "event_id").select("user_id", "event_id", "value")
 
 
-@query(
-    "WITH a AS (SELECT part.p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || ',5 мм' ELSE p_size || ' мм' END AS raw FROM part) SELECT p_partkey, raw, CAST(2 AS INTEGER) AS reads FROM a"
-)
+_ATTEMPTS = """
+o AS (SELECT l_orderkey AS s, l_linenumber AS i, min(l_partkey) AS p, min(l_suppkey) AS q, CAST(min(l_quantity) AS BIGINT) % 4 + 1 AS n FROM lineitem GROUP BY ALL),
+t AS (SELECT s, i, q % 60 + 40e0 AS c, p % 4 AS k, CASE WHEN p % 3 > 0 THEN p // 4 % 2 END AS specks, CASE p % 4 WHEN 0 THEN n || ' мм' WHEN 1 THEN n || ',5 мм' WHEN 2 THEN '0' || n || ' мм' ELSE 'часть ' || n END AS raw,
+  CASE p % 4 WHEN 0 THEN 'height ' || n WHEN 1 THEN 'height ' || n || '.5' WHEN 2 THEN 'unreadable' ELSE '' END AS said FROM o),
+r AS (SELECT *, CASE WHEN k < 2 AND specks IS NOT NULL THEN specks = k END AS agree FROM t),
+b AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN k = 3 THEN 0 WHEN k = 2 THEN 1 WHEN coalesce(agree, false) THEN 3 ELSE 2 END * 1000 + c DESC, i) AS rn FROM r)
+"""
+
+
+@query(f"WITH {_ATTEMPTS} SELECT b.s AS l_orderkey, b.raw, b.c AS confidence, b.agree AS marks_agree, CAST((SELECT count(*) FROM r WHERE r.s = b.s AND r.said = b.said) AS INTEGER) AS reads FROM b WHERE rn = 1")
 def callout_readings(spark, sf_dir):
-    """Three attempts at each callout: two alike whose marks agree with the ink, and a surer one with a lost mark."""
-    p, n = F.col("p_partkey"), F.col("p_size").cast("string")
-    good = F.when(p % 2 == 0, F.concat(n, F.lit(",5 мм"))).otherwise(F.concat(n, F.lit(" мм")))
-    lost = F.when(p % 2 == 0, F.concat(n, F.lit("5 мм"))).otherwise(F.concat(n, F.lit(",1 мм")))
-    tries = table(spark, sf_dir, "part").select(p.alias("sheet_id"), F.lit(0).alias("callout_ix"), F.explode(F.array(*(F.struct(F.lit(i).alias("attempt"), r.alias("raw"), F.lit(c).alias("confidence")) for i, r, c in ((0, lost, 95.0), (1, good, 60.0), (2, good, 50.0))))).alias("t"), F.when(p % 2 == 0, 1).otherwise(0).alias("separators"))
-    rows = callouts.best_reading(tries.select("sheet_id", "callout_ix", "t.*", "separators"))
-    return rows.select(F.col("sheet_id").alias("p_partkey"), "raw", "reads")
+    """Of an order's lines as attempts at one callout the best: readable, marks as the ink has specks, surest, first; and how many say the same."""
+    one = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("i")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("q"), F.min("l_quantity").cast("long").alias("l"))
+    n, k = (F.col("l") % 4 + 1).cast("string"), F.col("p") % 4
+    raw = F.when(k == 0, F.concat(n, F.lit(" мм"))).when(k == 1, F.concat(n, F.lit(",5 мм"))).when(k == 2, F.concat(F.lit("0"), n, F.lit(" мм"))).otherwise(F.concat(F.lit("часть "), n))
+    tries = one.select(F.col("s").alias("sheet_id"), F.lit(0).alias("callout_ix"), F.col("i").alias("attempt"), raw.alias("raw"), (F.col("q") % 60 + 40.0).alias("confidence"), F.when(F.col("p") % 3 > 0, (F.floor(F.col("p") / 4) % 2).cast("int")).alias("separators"))
+    return callouts.best_reading(tries).select(F.col("sheet_id").alias("l_orderkey"), "raw", "confidence", "marks_agree", "reads")
 
 
 @query()
