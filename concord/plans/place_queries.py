@@ -231,11 +231,18 @@ def fused_places(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, unnest(CASE p_partkey % 8 WHEN 0 THEN [0] WHEN 1 THEN [1] WHEN 2 THEN [0, 1] WHEN 3 THEN [0] WHEN 4 THEN [1] WHEN 5 THEN [0] WHEN 6 THEN [1] ELSE [] END) AS check_ix FROM part"""
+    """WITH k AS (SELECT p_partkey, p_partkey % 8 AS k, CASE p_size % 3 WHEN 0 THEN 'percent' WHEN 1 THEN 'box' ELSE 'height' END AS kind, p_size % 2 = 0 AS wide, p_partkey % 5 > 0 AS sign, p_partkey // 8 % 5 AS t FROM part),
+r(k, ix, label, unit, target, named) AS (VALUES (0, 0, 'Площадь', '%', 'letters', false), (0, 1, 'Высота букв', 'мм', 'letters', false), (1, 0, 'Высота ЕАС', 'мм', 'letters', false), (1, 1, 'Ширина ЕАС', 'мм', 'letters', false), (2, 0, 'Высота ЕАС', 'мм', 'letters', false),
+  (2, 1, 'Ширина ЕАС', 'мм', 'letters', false), (3, 0, 'Высота букв', 'мм', 'letters', false), (3, 1, 'Площадь', '%', 'letters', false), (4, 0, 'Буквы', 'мм', 'quantity_label', false), (4, 1, 'Количество', 'мм', 'quantity', false), (5, 0, 'Буквы подписи', 'мм', 'date_label', false),
+  (5, 1, 'Цифры', 'мм', 'date_digits', false), (6, 0, 'Остальной', 'мм', 'partitioned_letters', false), (6, 1, 'Срок', 'мм', 'partitioned_letters', true), (7, 0, 'Высота ЕАС', 'мм', 'letters', false), (7, 1, 'Ширина ЕАС', 'мм', 'letters', false)),
+t(t, caption, amount, letters, life) AS (VALUES (0, false, true, false, false), (1, false, false, true, false), (2, false, false, true, true), (3, true, false, true, false), (4, false, false, false, false)),
+s AS (SELECT *, count(*) FILTER (unit = 'мм') OVER w AS sized, bool_or(contains(label, 'ЕАС')) OVER w AS eac, bool_or(target = 'quantity') OVER w AS amounts, bool_or(target = 'date_label') OVER w AS dates FROM k JOIN r USING (k) JOIN t USING (t) WINDOW w AS (PARTITION BY p_partkey))
+SELECT p_partkey, CAST(ix AS INTEGER) AS check_ix FROM s WHERE CASE WHEN kind = 'percent' THEN unit = '%' WHEN unit <> 'мм' THEN false WHEN eac THEN sign AND (kind = 'box' OR contains(label, CASE WHEN wide THEN 'Ширина' ELSE 'Высота' END)) WHEN kind <> 'height' THEN false
+  WHEN sized = 1 THEN true WHEN amounts THEN CASE WHEN target = 'quantity_label' THEN caption ELSE amount END WHEN dates THEN target = CASE WHEN letters THEN 'date_label' ELSE 'date_digits' END ELSE named = life END"""
 )
 def claim_targets(spark, sf_dir):
-    """Which size condition a stated dimension speaks for, in eight kinds of rules."""
-    p = F.col("p_partkey")
+    """Which size conditions a stated dimension speaks for: eight kinds of rules, three of statements, five inscriptions."""
+    p, n = F.col("p_partkey"), F.col("p_size")
     k = p % 8
     # label, unit, target, scope of two conditions of each kind of rule
     kinds = {
@@ -244,12 +251,12 @@ def claim_targets(spark, sf_dir):
         4: (("Буквы", "мм", "quantity_label", None), ("Количество", "мм", "quantity", None)), 5: (("Буквы подписи", "мм", "date_label", None), ("Цифры", "мм", "date_digits", None)),
         6: (("Остальной", "мм", "partitioned_letters", "остальной текст"), ("Срок", "мм", "partitioned_letters", "срок годности")), 7: (("Высота ЕАС", "мм", "letters", None), ("Ширина ЕАС", "мм", "letters", None)),
     }
-    text = {4: "500 г", 5: "Дата розлива", 6: "Срок годности 5 лет"}
+    texts = F.array(*map(F.lit, ("500 г", "Дата розлива", "Срок годности 5 лет", "масса нетто", "12")))
     parts = table(spark, sf_dir, "part")
     pick = lambda of, kind: F.element_at(F.create_map(*(F.lit(x).cast(kind) if j % 2 else F.lit(x) for n in range(8) for j, x in enumerate((n, of(n))))), k.cast("int"))
     check = lambda j: F.struct(F.lit(j).alias("check_ix"), *(pick(lambda n, j=j, c=c: kinds[n][j][c], "string").alias(name) for c, name in enumerate(("label", "unit", "target", "scope"))))
     checks = parts.select(p.alias("rule_id"), F.explode(F.array(check(0), check(1))).alias("c")).select("rule_id", "c.*")
-    claims = parts.select(p.alias("claim_ix"), p.alias("rule_id"), F.lit("Масса").alias("title"), F.when(k == 0, "percent").when(k == 2, "box").otherwise("height").alias("kind"), F.when(k == 1, "width").alias("gauge"), (k != 7).alias("sign"), F.array(pick(lambda n: text.get(n, "надпись"), "string")).alias("texts"))
+    claims = parts.select(p.alias("claim_ix"), p.alias("rule_id"), F.lit("Масса").alias("title"), F.when(n % 3 == 0, "percent").when(n % 3 == 1, "box").otherwise("height").alias("kind"), F.when(n % 2 == 0, "width").alias("gauge"), (p % 5 > 0).alias("sign"), F.array(F.get(texts, (F.floor(p / 8) % 5).cast("int"))).alias("texts"))
     return places.check_for(claims, checks).select(F.col("claim_ix").alias("p_partkey"), "check_ix")
 
 

@@ -276,19 +276,32 @@ def notation_variants(spark, sf_dir):
     return rows.select("p_partkey", "n.text")
 
 
-@query(
-    "SELECT p_partkey, k AS check_ix, label, CAST(CASE WHEN unit = 'мм' THEN floor((m + 0.2) * 100 + 0.5) / 100 ELSE m END AS DOUBLE) AS min, unit, target FROM ("
-    "SELECT p_partkey, 0 AS k, 'Высота букв' AS label, p_size / 10.0 AS m, 'мм' AS unit, 'letters' AS target FROM part WHERE p_partkey % 3 = 0 "
-    "UNION ALL SELECT p_partkey, 0, 'Площадь предупреждения', p_size, '%', 'letters' FROM part WHERE p_partkey % 3 = 1 "
-    "UNION ALL SELECT p_partkey, unnest([0, 1]), unnest(['Буквы «Масса»', 'Количество товара']), unnest([p_size / 10.0, p_size * 10.0]), 'мм', unnest(['quantity_label', 'quantity']) FROM part WHERE p_partkey % 3 = 2)"
-)
+_SIZED = """
+k AS (SELECT p_partkey, p_partkey % 6 AS k, p_size / 10.0 AS a, (p_size + p_partkey % 7) / 10.0 AS b, CAST(p_size AS DOUBLE) AS n FROM part),
+c AS (SELECT p_partkey, 0 AS ix, 'Высота букв' AS label, a AS m, 'мм' AS unit, 'letters' AS target, NULL AS scope FROM k WHERE k = 0
+UNION ALL SELECT p_partkey, 0, 'Площадь предупреждения', n, '%', 'letters', NULL FROM k WHERE k = 1
+UNION ALL SELECT p_partkey, unnest([0, 1]), unnest(['Буквы «Масса»', 'Количество товара']), unnest([a, n * 10]), 'мм', unnest(['quantity_label', 'quantity']), NULL FROM k WHERE k = 2
+UNION ALL SELECT p_partkey, unnest([0, 1]), unnest(['Буквы подписи даты', 'Цифры даты / партии']), unnest([a, b]), 'мм', unnest(['date_label', 'date_digits']), NULL FROM k WHERE k = 3
+UNION ALL SELECT p_partkey, unnest([0, 1]), unnest(['Высота ЕАС', 'Ширина ЕАС']), b, 'мм', 'letters', NULL FROM k WHERE k = 4
+UNION ALL SELECT p_partkey, unnest([0, 1]), unnest(['Срок годности', 'Остальной текст']), unnest([b, a]), 'мм', 'partitioned_letters', unnest(['срока годности', 'остального текста']) FROM k WHERE k = 5)
+"""
+
+
+@query(f"WITH {_SIZED} SELECT p_partkey, ix AS check_ix, label, CAST(CASE WHEN unit = 'мм' AND NOT contains(label, 'ЕАС') THEN floor((m + 0.2) * 100 + 0.5) / 100 ELSE m END AS DOUBLE) AS min, unit, target, scope FROM c")
 def size_rules(spark, sf_dir):
-    p, n = F.col("p_partkey"), F.col("p_size").cast("string")
-    tenth = F.format_string("%d,%d", F.floor(F.col("p_size") / 10), F.col("p_size") % 10)
-    title = F.when(p % 3 == 2, "Масса").otherwise("Состав")
-    rule = F.when(p % 3 == 0, F.concat(F.lit("шрифт не менее "), tenth, F.lit(" мм"))).when(p % 3 == 1, F.concat(F.lit("площадь не менее "), n, F.lit(" %"))).otherwise(F.concat(F.lit("высота букв термина "), tenth, F.lit(" мм; количество "), n, F.lit(" см")))
-    rows = table(spark, sf_dir, "part").select(p, F.posexplode(Q.dimension_checks(title, rule, 0.2)).alias("check_ix", "c"))
-    return rows.select("p_partkey", "check_ix", "c.label", "c.min", "c.unit", "c.target")
+    """The size conditions of six kinds of rules: one height, a share, an amount, a date's window, the sign of conformity, several parts of a text; what is a greatest size is none."""
+    k, n = F.col("p_partkey") % 6, F.col("p_size")
+    tenth = lambda v: F.format_string("%d,%d", F.floor(v / 10).cast("int"), (v % 10).cast("int"))
+    a, b, whole = tenth(n), tenth(n + F.col("p_partkey") % 7), n.cast("string")
+    t = F.lit
+    rule = (
+        F.when(k == 0, F.concat(t("шрифт не менее "), a, t(" мм, не более 90 мм"))).when(k == 1, F.concat(t("площадь не менее "), whole, t(" %")))
+        .when(k == 2, F.concat(t("высота букв термина "), a, t(" мм; количество "), whole, t(" см"))).when(k == 3, F.concat(t("высота букв подписи "), a, t(" мм; высота цифр "), b, t(" мм")))
+        .when(k == 4, F.concat(t("не менее "), b, t(" мм, не более 50 мм"))).otherwise(F.concat(t("для срока годности не менее "), b, t(" мм; для остального текста не менее "), a, t(" мм")))
+    )
+    title = F.when(k == 2, "Масса").when(k == 3, "Окно для даты").when(k == 4, "Знак ЕАС").otherwise("Состав")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(Q.dimension_checks(title, rule, 0.2)).alias("check_ix", "c"))
+    return rows.select("p_partkey", "check_ix", "c.label", "c.min", "c.unit", "c.target", "c.scope")
 
 
 _PHRASES = "СРОК ГОДНОСТИ", "Хранить в тепле", "условие", "Сроки и годы", "остальное", "годен, хранение"
