@@ -58,7 +58,8 @@ def compared(rules: DataFrame, readings: DataFrame, pairs: DataFrame) -> DataFra
     a, read = parts(F.col("raw"))
     used = readings.join(pairs.select(F.col("reading_id").alias("id")).distinct(), "id", "left_semi")
     right = used.select(F.col("id").alias("reading_id"), a.alias("a"), read.alias("read"))
-    rows = pairs.join(left, "rule_id").join(right, "reading_id")
+    # few rows of much work: dealt over all cores, whichever small side the joins broadcast
+    rows = pairs.join(left, "rule_id").join(right, "reading_id").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "rule_id", "reading_id")
     return rows.select("rule_id", "reading_id", T.compare_tokens(F.col("e"), F.col("a"), F.col("want"), F.col("read")).alias("c")).select("rule_id", "reading_id", "c.status", "c.coverage", "c.missing")
 
 
@@ -69,6 +70,7 @@ def _aligned(rules: DataFrame, readings: DataFrame, pairs: DataFrame, least: flo
     used = readings.join(pairs.select(F.col("reading_id").alias("id")).distinct(), "id", "left_semi")
     rows = pairs.select("rule_id", "reading_id").join(want, "rule_id").join(used.select(F.col("id").alias("reading_id"), F.col("tokens").alias("read")), "reading_id")
     held = T.let(F.array_join("read", ""), lambda x: F.size(F.filter("want", lambda t: F.contains(x, t))))
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "rule_id", "reading_id")
     # each token not read is a step that is not same
     rows = rows.filter(F.size("want") - held <= (1 - least) * F.size("want") + 1e-9)
     return align.aligned(rows, ["rule_id", "reading_id"], "want", "read").filter(F.col("quality") >= least).select("rule_id", "reading_id", "coverage", "n_same", "quality")
