@@ -65,6 +65,10 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_run(spark, name):
+    if name == "op11_filter_audit":  # five steps of 120 orders for each part
+        parts = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("coalesce(lang, '')").distinct().count()
+        assert queries()[name](spark, SMALL).count() == 600 * parts
+        return
     base = spark.read.parquet(f"{SMALL}/{'pages' if name in ('op4_html_text', 'op7_url_filter') else 'documents'}.parquet").count()
     n = queries()[name](spark, SMALL).count()
     assert n == base or name == "op6_token_counts" and 0 < n <= base
