@@ -146,7 +146,7 @@ def confirmed(first: DataFrame, second: DataFrame) -> DataFrame:
     sure = F.size(F.filter("diff", lambda d: d["confidence"] >= X.FLOOR_USABLE))
     yes = F.coalesce((F.col("_n") > 0) & F.col("_f.x").isNotNull() & readings.whole_confirms(F.col("coverage"), sure, G.iou(F.col("_f"), F.col("_s"))), F.lit(False))
     rows = rows.withColumn("_yes", yes & ~F.col("exact"))
-    rows = rows.withColumn("exact", F.col("exact") | F.col("_yes")).withColumn("diff", F.when(F.col("_yes"), F.array().cast(DIFF)).otherwise(F.col("diff"))).withColumn("coverage", F.when(F.col("_yes"), 100).otherwise(F.col("coverage")))
+    rows = rows.withColumn("exact", F.col("exact") | F.col("_yes")).withColumn("diff", F.when(F.col("_yes"), F.array().cast(first.schema["diff"].dataType)).otherwise(F.col("diff"))).withColumn("coverage", F.when(F.col("_yes"), 100).otherwise(F.col("coverage")))
     return rows.drop("_s", "_n", "_f", "_yes")
 
 
