@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
-from .text import compact, fold, words
+from .text import compact, fold, let, words
 
 _UNIT = "|".join(X.UNIT_ORDER)
 _QUANTITY = rf"(?<![\p{{L}}\p{{N}}.,+-])(\d+(?:[.,]\d+)?)\s*({_UNIT})(?![\p{{L}}\p{{N}}])(?!\s*/)"
@@ -134,17 +134,23 @@ def dimension_checks(title: Column, constraint: Column, margin: float = 0.0) ->
 
 def scope_index(scopes: Column, text: Column) -> Column:
     """Index of the minimum whose subject stems stand earliest in the text; the rest condition if undecided; -1 without one."""
-    flat = fold(compact(text))
+    rest_of = lambda s: s.rlike("(?iu)остальн")
 
-    def rank(s: Column, i: Column) -> Column:
+    def rank(flat: Column, s: Column, i: Column) -> Column:
         at = F.filter(F.transform(F.filter(words(s), lambda w: F.char_length(w) > 3), lambda w: F.position(F.substring(fold(w), 1, 4), flat) - 1), lambda p: p >= 0)
-        return F.struct(F.array_min(at).alias("first"), (-F.size(at)).alias("hits"), i.alias("index"))
+        return let(at, lambda at: F.struct(F.array_min(at).alias("first"), (-F.size(at)).alias("hits"), i.alias("index")))
 
-    rest_of = lambda s: s.rlike("(?iu)остальн")
-    ranked = F.sort_array(F.filter(F.transform(scopes, lambda s, i: F.when(s.isNotNull() & ~rest_of(s), rank(s, i))), lambda r: r.isNotNull() & r["first"].isNotNull()))
-    rest = F.coalesce(F.array_max(F.transform(scopes, lambda s, i: F.when(rest_of(s), i))), F.lit(-1))
-    clear = (F.size(ranked) == 1) | (F.get(ranked, F.lit(0))["first"] < F.get(ranked, F.lit(1))["first"])
-    return F.when(F.size(ranked) == 0, rest).when(clear, F.get(ranked, F.lit(0))["index"]).otherwise(rest)
+    def ranks(flat: Column) -> Column:
+        every = F.transform(scopes, lambda s, i: F.when(s.isNotNull() & ~rest_of(s), rank(flat, s, i)))
+        return F.sort_array(F.filter(every, lambda r: r.isNotNull() & r["first"].isNotNull()))
+
+    def chosen(ranked: Column) -> Column:
+        rest = F.coalesce(F.array_max(F.transform(scopes, lambda s, i: F.when(rest_of(s), i))), F.lit(-1))
+        clear = (F.size(ranked) == 1) | (F.get(ranked, F.lit(0))["first"] < F.get(ranked, F.lit(1))["first"])
+        return F.when(F.size(ranked) == 0, rest).when(clear, F.get(ranked, F.lit(0))["index"]).otherwise(rest)
+
+    # the text is taken apart once, not for each word of each scope
+    return let(let(fold(compact(text)), ranks), chosen)
 
 
 _EDGE = r"[^\p{L}\p{N}]*"

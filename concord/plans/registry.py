@@ -21,9 +21,12 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts that come in fewer pieces than there are cores (one small file) are dealt over the cores, others left as they are."""
+    """A table; texts that come in fewer pieces than there are cores (one small file) are dealt over the cores, others left as they are.
+    Parts are always dealt: short rows of much work each, whose file may be one row group and so one task, however many pieces it is cut to."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
+    if name == "part":
+        return df.repartition(max(cores, df.rdd.getNumPartitions()))
     if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df

@@ -132,3 +132,16 @@ def test_calibration_and_boxes(value):
     assert (round(t["x"], 9), t["y"], t["w"], t["h"]) == (0.4, 0.2, 0.4, 0.6)
     m = value(G.mapped(G.box(0, 0, 10, 20), G.box(0.5, 0.5, 0.5, 0.5), L(100), L(200), L(0)))
     assert (m["x"], m["y"], m["w"], m["h"]) == (0.5, 0.5, 0.05, 0.05)
+
+
+def test_scope_text_is_taken_apart_once(spark):
+    df = spark.createDataFrame([("a", "b")], "text string, one string")
+    plan = df.select(Q.scope_index(F.array("one", "one", "one"), F.col("text")).alias("ix"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("¤§%°]") == 1
+
+
+def test_parts_are_dealt_over_all_cores(spark, tmp_path):
+    from concord.plans.registry import table
+
+    spark.range(8).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert table(spark, str(tmp_path), "part").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
