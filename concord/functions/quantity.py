@@ -79,10 +79,13 @@ _SIZE = r"(?iu)(\d+(?:[,.]\d+)?)\s*(мм|см|mm|cm)(?!\p{L})"
 def _sizes(constraint: Column) -> Column:
     """array<struct<min, context, after>> of all lengths in mm, maxima left out."""
     part = F.regexp_extract(constraint, r"(?isu)^(.*?)(?:формат\s*:|размер(?:ы)?\s+окна\s*:|$)", 1)
-    values = F.zip_with(F.regexp_extract_all(part, F.lit(_SIZE), F.lit(1)), F.regexp_extract_all(part, F.lit(_SIZE), F.lit(2)), lambda n, u: number(n) * F.when(u.rlike("(?iu)см|cm"), 10.0).otherwise(1.0))
-    texts = F.split(part, _SIZE)
-    rows = F.transform(values, lambda v, i: F.struct(v.alias("min"), F.element_at(F.split(F.get(texts, i), "[;\n]"), -1).alias("context"), F.substring(F.coalesce(F.get(texts, i + 1), F.lit("")), 1, 45).alias("after")))
-    return F.filter(rows, lambda r: ~r["context"].rlike("(?iu)(?:не более|максимальн)[^;]*$"))
+
+    def rows(p: Column, texts: Column) -> Column:
+        values = F.zip_with(F.regexp_extract_all(p, F.lit(_SIZE), F.lit(1)), F.regexp_extract_all(p, F.lit(_SIZE), F.lit(2)), lambda n, u: number(n) * F.when(u.rlike("(?iu)см|cm"), 10.0).otherwise(1.0))
+        every = F.transform(values, lambda v, i: F.struct(v.alias("min"), F.element_at(F.split(F.get(texts, i), "[;\n]"), -1).alias("context"), F.substring(F.coalesce(F.get(texts, i + 1), F.lit("")), 1, 45).alias("after")))
+        return F.filter(every, lambda r: ~r["context"].rlike("(?iu)(?:не более|максимальн)[^;]*$"))
+
+    return let(part, lambda p: let(F.split(p, _SIZE), lambda texts: rows(p, texts)))
 
 
 _CHECK = "array<struct<label:string,min:double,unit:string,target:string,scope:string>>"
@@ -90,8 +93,11 @@ _CHECK = "array<struct<label:string,min:double,unit:string,target:string,scope:s
 
 def dimension_checks(title: Column, constraint: Column, margin: float = 0.0) -> Column:
     """The size conditions of a rule; margin is added to all in mm but those of the conformity sign."""
-    t, c = F.lower(title), F.coalesce(constraint, F.lit(""))
-    sizes = _sizes(c)
+    # the lengths are found once for all kinds of rules
+    return let(_sizes(F.coalesce(constraint, F.lit(""))), lambda sizes: _checks(F.lower(title), title, F.coalesce(constraint, F.lit("")), sizes, margin))
+
+
+def _checks(t: Column, title: Column, c: Column, sizes: Column, margin: float) -> Column:
     n = F.size(sizes)
 
     def check(label, least, unit="мм", target="letters", scope="") -> Column:

@@ -145,3 +145,9 @@ def test_parts_are_dealt_over_all_cores(spark, tmp_path):
 
     spark.range(8).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert table(spark, str(tmp_path), "part").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_lengths_of_a_condition_are_found_once(spark):
+    df = spark.createDataFrame([("a", "b")], "title string, c string")
+    plan = df.select(Q.dimension_checks(F.col("title"), F.col("c"), 0.2).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("размер(?:ы)?") == 1
