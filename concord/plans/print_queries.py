@@ -15,9 +15,13 @@ _PRINT = f"""{_WORDS}, p AS (SELECT doc_id, i, word, (i % 12) * 8e-2 + (i * 7 %
     (i // 12) * 6e-2 + (i * 13 % 7) * 1e-3 AS y, least(7e-2, length(word) * 6e-3) AS w, 25e-3 + (i * 11 % 5) * 1e-3 AS h FROM u)"""
 
 
-def _print(spark, sf_dir):
+def _print(spark, sf_dir, dealt: bool = False):
+    """dealt: texts go to partitions by page before they are taken apart, so that no word is shuffled."""
     i = F.col("word_ix").cast("long")
-    rows = tokens.word_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if dealt:
+        docs = docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), "doc_id")
+    rows = tokens.word_rows(docs, "doc_id", "text")
     x = (i % 12) * 0.08 + (i * 7 % 5) * 0.002 + F.when((F.floor(i / 12) % 3 == 0) & (i % 12 >= 6), 0.15).otherwise(0.0)
     return rows.select("doc_id", "word_ix", "word", G.box(x, F.floor(i / 12) * 0.06 + (i * 13 % 7) * 0.001, F.least(F.lit(0.07), F.char_length("word") * 0.006), 0.025 + (i * 11 % 5) * 0.001).alias("box"))
 
@@ -33,14 +37,13 @@ SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(fragment AS BIGINT) AS f
 )
 def reading_lines(spark, sf_dir):
     """Lines of uneven print by common height, cut where the gap is wide. The SQL says it by intervals: on this print each height overlaps its own line alone."""
-    found = sweep.pieces(sweep.fragments(sweep.lines(_print(spark, sf_dir), ["doc_id"]), ["doc_id"]), ["doc_id"])
-    return found.select("doc_id", "line_no", "fragment", "n_words", "height", F.array_join("words", " ").alias("text"))
+    return sweep.printed(_print(spark, sf_dir, True), ["doc_id"], dealt=True).select("doc_id", "line_no", "fragment", "n_words", "height", "text")
 
 
 @query()
 def reading_columns(spark, sf_dir):
     """The columns that pieces of print chain to; against a plain version in the tests."""
-    return sweep.candidates(_print(spark, sf_dir), ["doc_id"]).select("doc_id", "column_no", "line_count", "n_words", "text")
+    return sweep.candidates(_print(spark, sf_dir, True), ["doc_id"], dealt=True).select("doc_id", "column_no", "line_count", "n_words", "text")
 
 
 _TRACED = """

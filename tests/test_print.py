@@ -94,6 +94,21 @@ def test_flat_boxes_and_empty(spark):
     assert sweep.candidates(spark.createDataFrame([], WORDS), ["page"]).count() == 0
 
 
+@pytest.mark.parametrize("named", [0.0, 0.3])
+def test_one_sweep_makes_the_pieces_of_the_steps(spark, named):
+    rows = [(k, *w) for k in range(30) for w in page(100 + k, 1 + 5 * k, named)] + [(40, i, "a", None, (0.1 * i, 0.5, 0.0, 0.0)) for i in range(20)]
+    df = spark.createDataFrame(rows, WORDS).repartition(4)
+    steps = sweep.pieces(sweep.fragments(sweep.lines(df, ["page"], name="line"), ["page"]), ["page"])
+    cols = ["page", "line_no", "fragment", "x", "y", "w", "h", "height", "n_words"]
+    want = sorted((*(r[c] for c in cols), " ".join(r["words"])) for r in steps.collect())
+    one = sweep.printed(df, ["page"], name="line")
+    assert sorted((*(r[c] for c in cols), r["text"]) for r in one.collect()) == want
+    # words meet in one shuffle
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    chained = sweep.printed(df, ["page"], name="line", chained=True).collect()
+    assert sorted((r["page"], r["line_no"], r["fragment"], r["column_no"]) for r in chained) == sorted((r["page"], r["line_no"], r["fragment"], r["column_no"]) for r in sweep.columns(steps, ["page"]).collect())
+
+
 def traced(a, b):
     n, m = len(a), len(b)
     t = [[0] * (m + 1) for _ in range(n + 1)]
