@@ -25,6 +25,17 @@ def line_texts(words: DataFrame, key: str) -> DataFrame:
     return words.groupBy(key, "line").agg(F.count("*").alias("n_words"), joined.alias("line_text"))
 
 
+def text_lines(df: DataFrame, key: str, text: str, per_line: int = 12) -> DataFrame:
+    """line_texts of word_rows, with lines cut in the row: a line is shuffled whole, once, and only to meet other texts of its key."""
+    words = F.filter(F.split(F.col(text), r"[\t-\r ]+"), lambda w: w != "")
+    cut = lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / per_line).cast("int")), lambda k: F.array_join(F.slice(w, k * per_line + 1, F.lit(per_line)), " ")))
+    rows = df.select(key, F.posexplode(T.let(words, cut)).alias("line", "_w")).groupBy(key, "line").agg(F.collect_list("_w").alias("_l"))
+    # no word holds a space
+    several = F.transform(F.sort_array(F.flatten(F.transform("_l", lambda s: F.transform(F.split(s, " "), lambda x, i: F.struct(i.alias("col"), x.alias("word")))))), lambda x: x["word"])
+    text_ = F.when(F.size("_l") == 1, F.get("_l", F.lit(0))).otherwise(F.array_join(several, " "))
+    return rows.select(key, "line", text_.alias("line_text")).select(key, "line", F.size(F.split("line_text", " ")).cast("long").alias("n_words"), "line_text")
+
+
 def islands(words: DataFrame, keys: Sequence[str], order: str, starts: Column, name: str = "island") -> DataFrame:
     """Numbers runs of rows: a row where `starts` holds begins one (gaps and islands)."""
     w = W.partitionBy(*keys).orderBy(order)

@@ -186,7 +186,7 @@ _WORDS = "w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\t-\\r
 
 @query(f"WITH {_WORDS} SELECT doc_id, CAST(word_ix // 12 AS INTEGER) AS line, count(*) AS n_words, string_agg(word, ' ' ORDER BY word_ix) AS line_text FROM u GROUP BY ALL")
 def word_layout(spark, sf_dir):
-    return tokens.line_texts(tokens.word_rows(_docs(spark, sf_dir), "doc_id", "text"), "doc_id")
+    return tokens.text_lines(_docs(spark, sf_dir), "doc_id", "text")
 
 
 @query(

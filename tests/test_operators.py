@@ -363,3 +363,15 @@ def test_totals_by_tag(spark):
     assert got == {None: sums(rows)} | {t: sums([x for x in rows if t in x[-1]]) for t in "abc"}
     one = spark.createDataFrame([(1, 8), (0, 0), (2, 3)], "e long, t long").select(align.rate(F.col("e"), F.col("t")).alias("r"))
     assert [x.r for x in one.collect()] == [12.5, None, 66.7]
+
+
+def test_lines_cut_in_the_row_are_those_of_the_words(spark):
+    from concord.operators import tokens
+
+    texts = [(1, " ".join(f"w{i}" for i in range(30))), (1, "b\ta  c\n" * 7), (2, ""), (3, None), (4, " \t"), (5, "x" * 9), (None, "y z"), (6, " ".join("ab" for _ in range(24)))]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = tokens.text_lines(df, "id", "text")
+    want = tokens.line_texts(tokens.word_rows(df, "id", "text"), "id")
+    assert sorted(map(tuple, got.collect()), key=lambda r: (r[0] or 0, r[1])) == sorted(map(tuple, want.collect()), key=lambda r: (r[0] or 0, r[1]))
+    # lines meet, not words
+    assert "word_ix" not in got._jdf.queryExecution().optimizedPlan().toString()
