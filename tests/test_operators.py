@@ -375,3 +375,14 @@ def test_lines_cut_in_the_row_are_those_of_the_words(spark):
     assert sorted(map(tuple, got.collect()), key=lambda r: (r[0] or 0, r[1])) == sorted(map(tuple, want.collect()), key=lambda r: (r[0] or 0, r[1]))
     # lines meet, not words
     assert "word_ix" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alignment_holds_few_rows_at_a_time(spark):
+    import pandas as pd
+
+    from concord.operators import align
+
+    rows = spark.range(100).coalesce(1)
+    sizes = [r["n"] for r in align._mapped(rows, lambda b: pd.DataFrame({"n": [len(b)]}), "n long").collect()]
+    assert sum(sizes) == 100 and max(sizes) <= align.ROWS
+    assert [r["distance"] for r in align.similarities(rows.selectExpr("id", "array('a', 'b') AS a", "array('x', 'b') AS b").orderBy("id"), ["id"], "a", "b").collect()] == [1] * 100
