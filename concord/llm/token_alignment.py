@@ -24,12 +24,14 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +44,20 @@ CHUNK = 1 << 16
 _SEAM = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Distinct pairs that a task counts before it merges them.
 MERGE = 1 << 20
+#: The splitting pattern of the byte-level format: each match is encoded by itself.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Distinct matches of up to LONG characters whose ids a worker remembers; beyond REMEMBERED they are forgotten, results stay the same.
+REMEMBERED, LONG = 320_000, 64
 
 
 class Vocabulary:
     """Bytes of each id, one after the other, and an encoder of lists of texts into id arrays."""
 
-    def __init__(self, tokens: list[bytes], encode, seams: bool):
+    def __init__(self, tokens: list[bytes], encode, seams: bool, matches: Matches | None = None):
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.size)))[:-1]
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
-        self.tokens, self.encode, self.seams = tokens, encode, seams
+        self.tokens, self.encode, self.seams, self.matches = tokens, encode, seams, matches
         digits = len(str(max(1, len(tokens) - 1)))
         places = np.arange(len(tokens))[:, None] // 10 ** np.arange(digits - 1, -1, -1)
         self.digits = (places % 10 + 48).astype(np.uint8)
@@ -62,6 +68,47 @@ class Vocabulary:
         return self.data[A.ranges(self.first[ids], self.size[ids])]
 
 
+class Matches:
+    """Ids of texts by a byte-level model, each distinct match of the splitting pattern encoded once.
+
+    The pattern's classes depend on the Unicode tables of whoever splits: a text with a character that the model's own splitter
+    takes for another class goes through the model whole.
+    """
+
+    def __init__(self, model, shown: dict[int, str]):
+        self.model, self.split, self.shown = model, regex.compile(_SPLIT).findall, str.maketrans(shown)
+        self.memory: dict[str, bytes] = {}
+        self.agreed, self.other = set(map(chr, range(32, 127))), set()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _match(self, m: str) -> bytes:
+        return array("I", [t.id for t in self.model.model.tokenize(m.encode().decode("latin-1").translate(self.shown))]).tobytes()
+
+    def _agrees(self, c: str) -> bool:
+        own = self.model.pre_tokenizer.pre_tokenize_str
+        return all([s[i:j] for _, (i, j) in own(s)] == self.split(s) for s in (f"x{c}x", f"1{c}1", f"!{c}!", f"x {c} x"))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        new = set().union(*texts).difference(self.agreed, self.other)
+        self.other.update(c for c in new if not self._agrees(c))
+        self.agreed |= new - self.other
+        whole = [i for i, t in enumerate(texts) if self.other and not self.other.isdisjoint(t)]
+        out = dict(zip(whole, self._whole([texts[i] for i in whole])))
+        split = {i: self.split(t) for i, t in enumerate(texts) if i not in out}
+        every = set().union(*split.values())
+        if len(self.memory) + len(every) > REMEMBERED:
+            self.memory.clear()
+        fresh = every.difference(self.memory)
+        self.memory.update((m, self._match(m)) for m in fresh)
+        out.update((i, b"".join(map(self.memory.__getitem__, s))) for i, s in split.items())
+        for m in fresh:
+            if len(m) > LONG:
+                del self.memory[m]
+        return [np.frombuffer(out[i], np.uint32).astype(np.int64) for i in range(len(texts))]
+
+
 @functools.lru_cache(2)
 def byte_level(path: str) -> Vocabulary:
     """The vocabulary of a byte-level BPE in the `tokenizers` format. Special tokens' strings in a text are plain text."""
@@ -80,10 +127,16 @@ def byte_level(path: str) -> Vocabulary:
         own = json.load(f)
     plain_split = own["normalizer"] is None and own["pre_tokenizer"]["type"] == "ByteLevel" and own["pre_tokenizer"]["use_regex"]
 
+    alone = plain_split and not own["pre_tokenizer"]["add_prefix_space"] and own["model"]["dropout"] is None and all(t["special"] for t in own["added_tokens"])
+    matches = Matches(model, {b: c for c, b in byte.items()}) if alone else None
+
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        spaced = [" " + t for t in texts]
+        if matches:
+            return matches.encode(spaced)
+        return [np.array(e.ids, np.int64) for e in model.encode_batch_fast(spaced, add_special_tokens=False)]
 
-    return Vocabulary(tokens, encode, plain_split)
+    return Vocabulary(tokens, encode, plain_split, matches)
 
 
 @functools.lru_cache(2)

@@ -144,6 +144,31 @@ def test_alignment_digest_and_empty(spark):
     assert token_alignment.alignment(spark.createDataFrame([(1, None)], "doc_id long, text string"), A_PATH, B_PATH).collect()[0]["count_sum"] == 0
 
 
+def test_matches_are_encoded_once():
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(A_PATH)
+    a.encode_special_tokens = True
+    r = random.Random(5)
+    odd = ["  ", "\n", "\t\n ", "'s", "'S", "''ll", "\x1c", "\x85", "\u00a0", "\u200b", "\u3000", "e\u0301", "٣", "²", "Ⅷ", "中文", "🙂", "\U0001e030", "<|endoftext|>", "x" * 200, "ab", "12", " ", " ", "!?", "ё"]
+    texts = [""] + ["".join(r.choices(odd, k=r.randrange(1, 40))) for _ in range(400)]
+    whole = [e.ids for e in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    v = token_alignment.byte_level.__wrapped__(A_PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in v.encode(texts)] == whole
+    # a text with a character that the two splitters class differently goes through the model whole
+    m = v.matches
+    m.agreed.discard("ё")
+    m.other.add("ё")
+    assert [x.tolist() for x in v.encode(texts)] == whole
+    # what was met before is not encoded again, long matches are not kept
+    met = []
+    m._match, made = lambda x: met.append(x) or made(x), m._match
+    v.encode(["new words, new words"] * 3)
+    v.encode(["new words"])
+    assert sorted(met) == sorted(set(met)) and not any(len(x) > token_alignment.LONG for x in m.memory)
+
+
 def test_pair_bound_holds(spark, docs):
     bound = token_alignment.pair_bound(A_PATH, B_PATH)
     counts = token_alignment.pair_counts(token_alignment.align(docs, A_PATH, B_PATH))
