@@ -21,6 +21,12 @@ def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(text).alias("raw"), T.phrase_tokens(F.col(text)).alias("tokens"))
 
 
+def chosen(readings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, raw, tokens of the readings that pairs name. The rows are chosen before they are taken apart: behind it all readings would be taken apart again."""
+    named = pairs.select(F.col("reading_id").alias("id")).distinct()
+    return prepared(readings.select("id", "raw").join(named, "id", "left_semi"), "id", "raw")
+
+
 def candidates(rules: DataFrame, readings: DataFrame, k: int = 10) -> DataFrame:
     """rule_id, reading_id, overlap, rank: the k readings that hold most of a rule's distinct tokens, two (or all) at least."""
     return search.ranked(rules, readings, k)
@@ -56,8 +62,7 @@ def compared(rules: DataFrame, readings: DataFrame, pairs: DataFrame) -> DataFra
     e, want = parts(F.col("raw"))
     left = rules.select(F.col("id").alias("rule_id"), e.alias("e"), want.alias("want"))
     a, read = parts(F.col("raw"))
-    used = readings.join(pairs.select(F.col("reading_id").alias("id")).distinct(), "id", "left_semi")
-    right = used.select(F.col("id").alias("reading_id"), a.alias("a"), read.alias("read"))
+    right = chosen(readings, pairs).select(F.col("id").alias("reading_id"), a.alias("a"), read.alias("read"))
     # few rows of much work: dealt over all cores, whichever small side the joins broadcast
     rows = pairs.join(left, "rule_id").join(right, "reading_id").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "rule_id", "reading_id")
     return rows.select("rule_id", "reading_id", T.compare_tokens(F.col("e"), F.col("a"), F.col("want"), F.col("read")).alias("c")).select("rule_id", "reading_id", "c.status", "c.coverage", "c.missing")
@@ -67,8 +72,7 @@ def _aligned(rules: DataFrame, readings: DataFrame, pairs: DataFrame, least: flo
     """rule_id, reading_id, coverage, n_same, quality of pairs whose best alignment has quality `least`. No more can be read than what
     the reading holds, with or without its spaces: pairs that hold too little are not aligned."""
     want = rules.select(F.col("id").alias("rule_id"), F.col("tokens").alias("want"))
-    used = readings.join(pairs.select(F.col("reading_id").alias("id")).distinct(), "id", "left_semi")
-    rows = pairs.select("rule_id", "reading_id").join(want, "rule_id").join(used.select(F.col("id").alias("reading_id"), F.col("tokens").alias("read")), "reading_id")
+    rows = pairs.select("rule_id", "reading_id").join(want, "rule_id").join(chosen(readings, pairs).select(F.col("id").alias("reading_id"), F.col("tokens").alias("read")), "reading_id")
     held = T.let(F.array_join("read", ""), lambda x: F.size(F.filter("want", lambda t: F.contains(x, t))))
     rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "rule_id", "reading_id")
     # each token not read is a step that is not same

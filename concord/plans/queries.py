@@ -659,8 +659,7 @@ def _top_pairs(spark, sf_dir, k: int):
     rules, reads = _sides(spark, sf_dir)
     pairs = _pairs(rules, reads, k).select("rule_id", "reading_id")
     left = rules.select(F.col("id").alias("rule_id"), F.col("raw").alias("rule_raw"), F.col("tokens").alias("rule_tokens"))
-    used = reads.join(pairs.select(F.col("reading_id").alias("id")).distinct(), "id", "left_semi")
-    right = used.select(F.col("id").alias("reading_id"), F.col("raw").alias("reading_raw"), F.col("tokens").alias("reading_tokens"))
+    right = locate.chosen(reads, pairs).select(F.col("id").alias("reading_id"), F.col("raw").alias("reading_raw"), F.col("tokens").alias("reading_tokens"))
     return pairs.join(left, "rule_id").join(right, "reading_id")
 
 

@@ -353,6 +353,26 @@ def test_ten_readings_are_aligned(spark, misread):
     assert {r.sheet_id: r.coverage for r in QUERIES["assess_rows"](spark, misread).collect()}[9] == 95
 
 
+@pytest.mark.parametrize("make", ["top_pairs", "aligned", "compared"])
+def test_readings_are_chosen_before_they_are_taken_apart(spark, misread, make):
+    from concord.operators import locate
+    from concord.plans import queries
+
+    rules, reads = queries._sides(spark, misread)
+    pairs = spark.createDataFrame([(1, 9, 20, 1)], "rule_id long, reading_id long, overlap long, rank int")
+    df = {"top_pairs": lambda: queries._top_pairs(spark, misread, 10), "aligned": lambda: locate._aligned(rules, reads, pairs, 0.5), "compared": lambda: locate.compared(rules, reads, pairs)}[make]()
+    assert df.count()
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo, joins = [plan], 0
+    while todo:
+        node = todo.pop()
+        if "Join LeftSemi" in node.simpleString(25):
+            joins += 1
+            assert "regexp_extract_all" not in node.toString()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert joins == 1
+
+
 def test_totals_by_tag(spark):
     """Each line once in the total and once for each of its tags; a line without tags in the total alone; rates of nothing are null."""
     r = random.Random(3)
