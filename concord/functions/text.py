@@ -26,11 +26,14 @@ def gram_list(tokens: Column, n: int) -> Column:
     return let(tokens, made)
 
 
+def _unlisted(s: Column) -> Column:
+    """Lower case, one alphabet, one dash, no quotes; without dashes that begin an item before a number."""
+    return F.regexp_replace(F.translate(F.lower(s), *_NORMAL), rf"(^|{X.WS})-{X.WS}+(?=\d)", "$1")
+
+
 def normalize(s: Column) -> Column:
     """Lower case, one alphabet for look-alikes, one dash, one space, none around marks, no quotes."""
-    x = F.translate(F.lower(s), *_NORMAL)
-    x = F.regexp_replace(x, rf"(^|{X.WS})-{X.WS}+(?=\d)", "$1")
-    x = F.regexp_replace(x, rf"{X.WS}+", " ")
+    x = F.regexp_replace(_unlisted(s), rf"{X.WS}+", " ")
     return F.trim(F.regexp_replace(x, r" *([,.:;%/()-]) *", "$1"))
 
 
@@ -45,8 +48,13 @@ def dehyphenate(s: Column) -> Column:
 
 
 def _tokens(s: Column) -> Column:
-    found = F.regexp_extract_all(normalize(dehyphenate(s)), F.lit(r"-?\d+(?:[,.]\d+)?|\p{L}+|[%°]"), F.lit(0))
-    return F.transform(found, lambda t: F.when(t.rlike(r"^\d+\.\d+$"), F.translate(t, ".", ",")).otherwise(t))
+    # of the white space that normalize takes away only that inside a number matters here: it is passed over, not replaced in the whole text
+    found = F.regexp_extract_all(_unlisted(dehyphenate(s)), F.lit(rf"(?:-{X.WS}*)?\d+(?:{X.WS}*[,.]{X.WS}*\d+)?|\p{{L}}+|[%°]"), F.lit(0))
+
+    def number(t: Column) -> Column:
+        return let(F.regexp_replace(t, rf"{X.WS}+", ""), lambda n: F.when(n.startswith("-"), n).otherwise(F.translate(n, ".", ",")))
+
+    return F.transform(found, lambda t: F.when(t.rlike(r"^[-\d]"), number(t)).otherwise(t))
 
 
 def words(s: Column) -> Column:

@@ -660,7 +660,8 @@ def _top_pairs(spark, sf_dir, k: int):
     pairs = _pairs(rules, reads, k).select("rule_id", "reading_id")
     left = rules.select(F.col("id").alias("rule_id"), F.col("raw").alias("rule_raw"), F.col("tokens").alias("rule_tokens"))
     right = locate.chosen(reads, pairs).select(F.col("id").alias("reading_id"), F.col("raw").alias("reading_raw"), F.col("tokens").alias("reading_tokens"))
-    return pairs.join(left, "rule_id").join(right, "reading_id")
+    # few rows of much work: dealt over all cores
+    return pairs.join(left, "rule_id").join(right, "reading_id").repartition(spark.sparkContext.defaultParallelism, "rule_id", "reading_id")
 
 
 @query()
@@ -691,7 +692,8 @@ def score_totals(spark, sf_dir):
     pairs = _top_pairs(spark, sf_dir, 10).groupBy("rule_id").agg(F.min("rule_raw").alias("line"), F.min("rule_tokens").alias("t"), F.sort_array(F.collect_list("reading_raw")).alias("readings"))
     n = F.size("t")
     tags = F.array_compact(F.array(F.when(n < 25, "short").when(n < 60, "middle").otherwise("long"), F.when(F.col("line").rlike(r"\d"), "numbers"), F.when(F.col("line").rlike("[()%:;]"), "marks")))
-    scores = align.score_lines(pairs, ["rule_id"], "line", "readings").join(pairs.select("rule_id", tags.alias("tags")), "rule_id")
+    # the totals read the scores twice
+    scores = kept(align.score_lines(pairs.withColumn("tags", tags), ["rule_id", "tags"], "line", "readings"), "scores")
     rates = [align.rate(F.col(f"{c}_errors"), F.col(f"{c}s")).alias(f"{c}_rate") for c in ("character", "word", "letter", "number", "mark", "token")]
     return align.totals(scores, "tags").select("tag", "lines", "missed", "characters", "character_errors", "tokens", "token_errors", *rates)
 

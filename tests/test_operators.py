@@ -373,6 +373,29 @@ def test_readings_are_chosen_before_they_are_taken_apart(spark, misread, make):
     assert joins == 1
 
 
+def test_lines_are_scored_once_on_all_cores(spark, misread):
+    from concord.plans.queries import QUERIES
+
+    plan = QUERIES["score_totals"](spark, misread)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("Relation") == 2
+    rows = spark.createDataFrame([(i, "a b", ["a b", "c"]) for i in range(40)], "id long, line string, readings array<string>").coalesce(1)
+    assert align.score_lines(rows, ["id"], "line", "readings").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
+def test_tokens_pass_over_white_space_inside_numbers(spark):
+    """Tokens are those of the normalized text, which is not made whole for them."""
+    from concord.functions import text as T
+
+    r = random.Random(9)
+    some = ["-", "–", " ", "  ", "\n", "\u00a0", "\u3000", "\ufeff", "1", "25", "3.5", ".", ",", ":", "%", "º", "(", '"', "a", "Б", "İ", "٣", "x"]
+    rows = [("- - 5",), ("a - 5 . 3 , 2",), ("- 5",), ("a- 5",), (None,), ("",)] + [("".join(r.choices(some, k=r.randrange(25))),) for _ in range(2000)]
+    found = F.regexp_extract_all(T.normalize(T.dehyphenate(F.col("s"))), F.lit(r"-?\d+(?:[,.]\d+)?|\p{L}+|[%°]"), F.lit(0))
+    plain = F.transform(found, lambda t: F.when(t.rlike(r"^\d+\.\d+$"), F.translate(t, ".", ",")).otherwise(t))
+    df = spark.createDataFrame(rows, "s string")
+    assert df.filter(~plain.eqNullSafe(T._tokens(F.col("s")))).count() == 0
+    assert " *([,.:;%/()-]) *" not in df.select(T._tokens(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_totals_by_tag(spark):
     """Each line once in the total and once for each of its tags; a line without tags in the total alone; rates of nothing are null."""
     r = random.Random(3)
