@@ -49,12 +49,13 @@ def dehyphenate(s: Column) -> Column:
 
 def _tokens(s: Column) -> Column:
     # of the white space that normalize takes away only that inside a number matters here: it is passed over, not replaced in the whole text
-    found = F.regexp_extract_all(_unlisted(dehyphenate(s)), F.lit(rf"(?:-{X.WS}*)?\d+(?:{X.WS}*[,.]{X.WS}*\d+)?|\p{{L}}+|[%°]"), F.lit(0))
+    found = F.regexp_extract_all(_unlisted(dehyphenate(s)), F.lit(rf"\p{{L}}+|(?:-{X.WS}*)?\d+(?:{X.WS}*[,.]{X.WS}*\d+)?|[%°]"), F.lit(0))
 
     def number(t: Column) -> Column:
         return let(F.regexp_replace(t, rf"{X.WS}+", ""), lambda n: F.when(n.startswith("-"), n).otherwise(F.translate(n, ".", ",")))
 
-    return F.transform(found, lambda t: F.when(t.rlike(r"^[-\d]"), number(t)).otherwise(t))
+    # a number begins with a dash or a digit; of other tokens only % and letters lie outside
+    return F.transform(found, lambda t: F.when((t >= "-") & (t < ":"), number(t)).otherwise(t))
 
 
 def words(s: Column) -> Column:
@@ -63,8 +64,8 @@ def words(s: Column) -> Column:
 
 
 def phrase_tokens(s: Column) -> Column:
-    """All tokens; the letter of a temperature scale after ° is с."""
-    return let(_tokens(s), lambda t: F.transform(t, lambda x, i: F.when((i > 0) & x.isin("c", "с") & (F.get(t, i - 1) == "°"), F.lit("с")).otherwise(x)))
+    """All tokens; the letter of a temperature scale after ° is с, as every Latin c is."""
+    return _tokens(s)
 
 
 def number_tokens(tokens: Column) -> Column:
