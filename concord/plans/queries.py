@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions import geometry as G
 from concord.functions import quantity as Q
 from concord.functions import text as T
-from concord.operators import align, callouts, layout, locate, measure, raster, readings, requirements, tokens, verdict
+from concord.operators import align, callouts, layout, locate, measure, nearest, raster, readings, requirements, tokens, verdict
 from concord.sources import documents, reports
 from concord.sources.shared import kept
 
@@ -688,12 +688,13 @@ def score_lines(spark, sf_dir):
 
 @query()
 def score_totals(spark, sf_dir):
-    """Errors of all required texts against their ten best readings, in all and by what a text is like, with rates in per cent and the texts missed whole."""
-    pairs = _top_pairs(spark, sf_dir, 10).groupBy("rule_id").agg(F.min("rule_raw").alias("line"), F.min("rule_tokens").alias("t"), F.sort_array(F.collect_list("reading_raw")).alias("readings"))
-    n = F.size("t")
-    tags = F.array_compact(F.array(F.when(n < 25, "short").when(n < 60, "middle").otherwise("long"), F.when(F.col("line").rlike(r"\d"), "numbers"), F.when(F.col("line").rlike("[()%:;]"), "marks")))
+    """Errors of all required texts against all readings, in all and by what a text is like, with rates in per cent and the texts missed whole."""
+    line = F.coalesce("text", F.lit(""))
+    n = F.size(T.phrase_tokens(line))
+    tags = F.array_compact(F.array(F.when(n < 25, "short").when(n < 60, "middle").otherwise("long"), F.when(line.rlike(r"\d"), "numbers"), F.when(line.rlike("[()%:;]"), "marks")))
+    lines = table(spark, sf_dir, "benchmark").select("text", tags.alias("tags"))
     # the totals read the scores twice
-    scores = kept(align.score_lines(pairs.withColumn("tags", tags), ["rule_id", "tags"], "line", "readings"), "scores")
+    scores = kept(nearest.scored(lines, ["tags"], "text", _docs(spark, sf_dir).select(F.col("text").alias("raw"))), "scores")
     rates = [align.rate(F.col(f"{c}_errors"), F.col(f"{c}s")).alias(f"{c}_rate") for c in ("character", "word", "letter", "number", "mark", "token")]
     return align.totals(scores, "tags").select("tag", "lines", "missed", "characters", "character_errors", "tokens", "token_errors", *rates)
 
